@@ -71,8 +71,10 @@ def tokenize(x) -> Column:
 def tokenize_sql_duckdb(expr: str) -> str:
     """The same tokenizer as a DuckDB SQL expression (for oracles)."""
     ws = PY_WHITESPACE_RE2
-    kept = f"regexp_replace({expr}, '[^{TOKEN_KEEP_CHARS}{ws}]', '', 'g')"
-    parts = f"string_split_regex(lower({kept}), '[{TOKEN_SPLIT_CHARS}{ws}]')"
+    keep = TOKEN_KEEP_CHARS.replace("'", "''")
+    split = TOKEN_SPLIT_CHARS.replace("'", "''")
+    kept = f"regexp_replace({expr}, '[^{keep}{ws}]', '', 'g')"
+    parts = f"string_split_regex(lower({kept}), '[{split}{ws}]')"
     return f"list_filter({parts}, lambda t: t NOT IN ('', 'l', 'd'))"
 
 

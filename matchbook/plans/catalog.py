@@ -74,3 +74,336 @@ def q_recommend(spark: SparkSession, sf: str) -> DataFrame:
     return recommend(fx.postings(spark, sf), fx.job_field_vectors(spark, sf),
                      fx.user_reference_vectors(spark, sf), fx.reviews(spark, sf),
                      implementation="FastText", n=10)
+
+
+# Imports used by the remaining builders.
+from pyspark.sql import functions as F  # noqa: E402
+
+from matchbook.functions import dims, text as T  # noqa: E402
+from matchbook.functions.prompts import IDEAL_JOB_PROMPT, KEYWORD_PROMPT, MATCH_PROMPT  # noqa: E402
+from matchbook.operators import clean, identity, ordering, textfilter  # noqa: E402
+from matchbook.operators.cooldown import cooldown_accept  # noqa: E402
+from matchbook.operators.embedding import elementwise_mean, ref_readiness  # noqa: E402
+from matchbook.operators.merge import upsert  # noqa: E402
+from matchbook.operators.profile import skill_share, standard_rules, validate_profiles, weight_totals  # noqa: E402
+from matchbook.operators.ranking import top_n, top_n_per_group  # noqa: E402
+from matchbook.operators.scoring import parse_replies  # noqa: E402
+from matchbook.operators.seen import IMPLEMENTATIONS, drop_seen, seen_hashes  # noqa: E402
+from matchbook.operators.similarity import field_similarity, job_scores  # noqa: E402
+from matchbook.sources.tables import read_table  # noqa: E402
+
+WS = T.PY_WHITESPACE_RE2
+
+
+def _strip_sql(e):
+    return T.strip_sql_duckdb(e)
+
+
+# --- ingest and identity ----------------------------------------------------
+
+RUN_DATE = "2024-03-01"
+
+FLATTEN_SQL = f"""
+WITH raw AS (
+  SELECT doc_id AS pos, substr(text, 1, 60) AS title, text AS description,
+         strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d') || 'T' ||
+           lpad((doc_id % 24)::VARCHAR, 2, '0') || ':30:00' ||
+           CASE WHEN lang = 'fr' THEN '+02:00' WHEN lang = 'de' THEN '-05:00' ELSE 'Z' END AS created,
+         'https://jobs.invalid/' || doc_id::VARCHAR AS redirect_url,
+         nullif(source, 'src0') AS company_name, upper(lang) AS loc_name,
+         [upper(lang), source] AS area
+  FROM documents)
+SELECT pos, redirect_url AS url, lower(description) AS description, lower(title) AS title,
+       TRY_CAST(substr(created, 1, 10) AS DATE) AS posted_date,
+       upper(coalesce(company_name, 'unknown')) AS company,
+       to_json(area) AS area_json, loc_name AS location, DATE '{RUN_DATE}' AS retrieved_date,
+       to_json(struct_pack(title := title, description := description, created := created,
+                           redirect_url := redirect_url,
+                           company := struct_pack(display_name := company_name),
+                           location := struct_pack(display_name := loc_name, area := area))) AS raw_payload
+FROM raw
+"""
+
+
+@query("flatten_clean_postings", FLATTEN_SQL)
+def q_flatten_clean_postings(spark, sf):
+    return clean.clean_postings(fx.raw_postings(spark, sf), run_date=RUN_DATE)
+
+
+RAW_JSON_SQL = """
+SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS k,
+       to_json(struct_pack(event_id := event_id, event_type := event_type,
+                           k := json_extract_string(props, '$.k')::INTEGER)) AS payload,
+       to_json([event_type, user_id::VARCHAR]) AS tags_json
+FROM events
+"""
+
+
+@query("raw_json_roundtrip", RAW_JSON_SQL)
+def q_raw_json_roundtrip(spark, sf):
+    from matchbook.functions.jsonx import json_path
+    e = read_table(spark, sf, "events").withColumn("k", json_path("props", "$.k", "int"))
+    return e.select("event_id", "k",
+                    F.to_json(F.struct("event_id", "event_type", "k"),
+                              {"ignoreNullFields": "false"}).alias("payload"),
+                    F.to_json(F.array("event_type", F.col("user_id").cast("string"))).alias("tags_json"))
+
+
+def _hash_sql(title, company, date):
+    return (f"sha256(lower({_strip_sql(title)}) || '_' || lower({_strip_sql(company)}) || '_' || "
+            f"year({date})::VARCHAR || '_' || month({date})::VARCHAR)")
+
+
+JOB_HASH_SQL = f"""
+SELECT doc_id AS job_id,
+       {_hash_sql("substr(text, 1, 60)", "source", "(DATE '2024-01-01' + (doc_id % 60)::INTEGER)")} AS job_hash
+FROM documents
+"""
+
+
+@query("job_hash", JOB_HASH_SQL)
+def q_job_hash(spark, sf):
+    p = fx.postings(spark, sf)
+    return p.select(F.col("job_hash").alias("job_id"),
+                    identity.job_hash("title", "company", "posted_date").alias("job_hash"))
+
+
+DEDUP_SQL = f"""
+SELECT job_hash, o_orderkey, o_custkey, o_totalprice, o_orderdate FROM (
+  SELECT *, {_hash_sql("o_custkey::VARCHAR", "''", "o_orderdate")} AS job_hash FROM orders)
+QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY o_orderkey) = 1
+"""
+
+
+@query("dedup_first", DEDUP_SQL)
+def q_dedup_first(spark, sf):
+    o = read_table(spark, sf, "orders")
+    h = identity.job_hash(F.col("o_custkey").cast("string"), F.lit(""), F.col("o_orderdate"))
+    keyed = o.select(h.alias("job_hash"), "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return identity.dedup_first(keyed, "job_hash", ["o_orderkey"])
+
+
+LINE_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+             "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+DEDUP_LINES_SQL = f"""
+SELECT job_hash, {", ".join(LINE_COLS)} FROM (
+  SELECT *, {_hash_sql("l_partkey::VARCHAR", "l_suppkey::VARCHAR", "l_shipdate")} AS job_hash FROM lineitem)
+QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY {", ".join(LINE_COLS)}) = 1
+"""
+
+
+@query("dedup_first_lines", DEDUP_LINES_SQL)
+def q_dedup_first_lines(spark, sf):
+    # (l_orderkey, l_linenumber) repeats in this table, so the source order is
+    # extended with every column until it is total.
+    li = read_table(spark, sf, "lineitem")
+    h = identity.job_hash(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"),
+                          F.col("l_shipdate"))
+    keyed = li.select(h.alias("job_hash"), *LINE_COLS)
+    return identity.dedup_first(keyed, "job_hash", LINE_COLS)
+
+
+PAGE_SQL = """
+SELECT doc_id, rn AS row_index, (rn - 1) // 50 + 1 AS page, ((rn - 1) % 50 + 1)::BIGINT AS pos_in_page
+FROM (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) AS rn FROM documents)
+"""
+
+
+@query("page_slice", PAGE_SQL)
+def q_page_slice(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", "source")
+    return ordering.page_slice(d, ["source", "doc_id"], per_page=50).select(
+        "doc_id", "row_index", "page", "pos_in_page")
+
+
+# --- text -------------------------------------------------------------------
+
+# Search terms per user (query parameters, as a keyword generator returns them).
+KEYWORDS = [
+    (1, "the and with", "le la"),
+    (2, "le des qui", "the"),
+    (3, "und der el los", "and"),
+]
+_KW_VALUES = ", ".join(f"({u}, '{a}', '{b}')" for u, a, b in KEYWORDS)
+
+KEYWORD_SQL = f"""
+WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
+t AS (SELECT doc_id, {T.tokenize_sql_duckdb("text")} AS toks FROM documents)
+SELECT kw.user_id::BIGINT AS user_id, t.doc_id FROM t, kw
+WHERE list_has_any(t.toks, string_split(kw.what_or, ' '))
+  AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))
+"""
+
+
+def keyword_table(spark):
+    return spark.createDataFrame(KEYWORDS, "user_id long, what_or string, what_exclude string")
+
+
+@query("keyword_filter", KEYWORD_SQL)
+def q_keyword_filter(spark, sf):
+    d = read_table(spark, sf, "documents")
+    return textfilter.keyword_matches(d, keyword_table(spark), "doc_id", "text")
+
+
+TOKENIZE_SQL = f"""
+SELECT doc_id, len(toks)::INTEGER AS n_tokens, array_to_string(toks, ' ') AS tokens_text
+FROM (SELECT doc_id, {T.tokenize_sql_duckdb("text")} AS toks FROM documents)
+"""
+
+
+@query("tokenize", TOKENIZE_SQL)
+def q_tokenize(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", T.tokenize("text").alias("toks"))
+    return d.select("doc_id", F.size("toks").alias("n_tokens"),
+                    F.array_join("toks", " ").alias("tokens_text"))
+
+
+LANG_SQL = """
+SELECT lang, model_lang, count(*) AS n_rows, model_lang IS NOT NULL AS routed
+FROM (SELECT lang, CASE lower(lang) WHEN 'fr' THEN 'FR' WHEN 'en' THEN 'EN' END AS model_lang FROM documents)
+GROUP BY ALL
+"""
+
+
+@query("language_routing", LANG_SQL)
+def q_language_routing(spark, sf):
+    return textfilter.language_report(read_table(spark, sf, "documents").select("lang"))
+
+
+# --- seen set and anti-join ---------------------------------------------------
+
+SEEN_SQL = """
+SELECT DISTINCT 'FastText' AS implementation, doc_id AS job_hash FROM labels WHERE toxic IS NOT NULL
+UNION ALL
+SELECT DISTINCT 'LLM' AS implementation, doc_id AS job_hash FROM labels WHERE quality IS NOT NULL
+"""
+
+
+@query("seen_hashes", SEEN_SQL)
+def q_seen_hashes(spark, sf):
+    r = fx.reviews(spark, sf)
+    parts = [seen_hashes(r, impl).select(F.lit(impl).alias("implementation"), "job_hash")
+             for impl in IMPLEMENTATIONS]
+    return parts[0].unionByName(parts[1])
+
+
+UNSEEN_SQL = """
+SELECT doc_id AS job_hash, lang, source AS company FROM documents
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL)
+"""
+
+
+@query("unseen_postings", UNSEEN_SQL)
+def q_unseen_postings(spark, sf):
+    p = fx.postings(spark, sf).select("job_hash", "lang", "company")
+    return drop_seen(p, seen_hashes(fx.reviews(spark, sf), "FastText"))
+
+
+# --- vectors ------------------------------------------------------------------
+
+CENTROID_SQL = f"""
+WITH {JV_SQL},
+ready AS (SELECT user_id, count(DISTINCT field || lang) = 4 AS ready FROM refs GROUP BY user_id)
+SELECT r.user_id, r.field, r.lang, r.i::INTEGER AS dim, round(r.m, 6) AS value, r.n AS n_vectors, ready.ready
+FROM refs_long r JOIN ready USING (user_id)
+"""
+
+
+@query("reference_centroids", CENTROID_SQL)
+def q_reference_centroids(spark, sf):
+    refs = fx.user_reference_vectors(spark, sf)
+    ready = ref_readiness(refs).select("user_id", "ready")
+    long = refs.select("user_id", "field", "lang", "n_vectors",
+                       F.posexplode("vec").alias("i", "value"))
+    return long.join(ready, "user_id").select(
+        "user_id", "field", "lang", (F.col("i") + 1).alias("dim"),
+        F.round("value", 6).alias("value"), "n_vectors", "ready")
+
+
+TOKEN_POOL_SQL = """
+SELECT item, i::INTEGER AS dim, round(avg(x), 6) AS value, count(*) AS n_tokens FROM (
+  SELECT vec_id // 5 AS item, unnest(range(1, len(embedding) + 1)) AS i,
+         unnest(embedding::DOUBLE[]) AS x FROM embeddings)
+GROUP BY ALL
+"""
+
+
+@query("token_mean_pool", TOKEN_POOL_SQL)
+def q_token_mean_pool(spark, sf):
+    pooled = elementwise_mean(fx.token_vectors(spark, sf), "item", "vec", dim=fx.EMBED_DIM)
+    return pooled.select("item", F.col("n_vectors").alias("n_tokens"),
+                         F.posexplode("vec").alias("i", "value")).select(
+        "item", (F.col("i") + 1).alias("dim"), F.round("value", 6).alias("value"), "n_tokens")
+
+
+FIELD_SIM_SQL = f"""
+WITH {JV_SQL}
+SELECT r.user_id, j.job_hash, j.field, j.lang, round(list_cosine_similarity(j.vec, r.vec), 6) AS similarity
+FROM jv j JOIN refs r USING (field, lang)
+"""
+
+
+def _field_sims(spark, sf):
+    return field_similarity(fx.job_field_vectors(spark, sf), fx.user_reference_vectors(spark, sf))
+
+
+@query("field_similarity", FIELD_SIM_SQL)
+def q_field_similarity(spark, sf):
+    return _field_sims(spark, sf).withColumn("similarity", F.round("similarity", 6))
+
+
+SCORES_CTE = f"""
+WITH {JV_SQL},
+scores AS (
+  SELECT r.user_id, j.job_hash,
+         CASE WHEN count(list_cosine_similarity(j.vec, r.vec)) = 2
+              THEN avg(list_cosine_similarity(j.vec, r.vec)) END AS score
+  FROM jv j JOIN refs r USING (field, lang) GROUP BY ALL)"""
+
+JOB_SCORES_SQL = SCORES_CTE + "\nSELECT user_id, job_hash, round(score, 6) AS score FROM scores"
+
+
+@query("job_scores", JOB_SCORES_SQL)
+def q_job_scores(spark, sf):
+    return job_scores(_field_sims(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+TOP_N_SQL = SCORES_CTE + """
+SELECT s.user_id, s.rk::INTEGER AS rank, s.job_hash, round(s.score, 6) AS score,
+       substr(d.text, 1, 60) AS title, d.source AS company
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, job_hash) AS rk
+      FROM scores) s
+JOIN documents d ON d.doc_id = s.job_hash
+WHERE s.rk <= 10
+"""
+
+
+@query("top_n_per_user", TOP_N_SQL)
+def q_top_n_per_user(spark, sf):
+    top = top_n_per_group(job_scores(_field_sims(spark, sf)), "user_id", "score", 10, "job_hash")
+    info = fx.postings(spark, sf).select("job_hash", "title", "company")
+    return top.join(info, "job_hash").select(
+        "user_id", "rank", "job_hash", F.round("score", 6).alias("score"), "title", "company")
+
+
+GLOBAL_TOP_SQL = """
+SELECT implementation, rk::INTEGER AS rank, event_id, user_id, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY implementation ORDER BY value DESC NULLS LAST, event_id) AS rk
+  FROM (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'FastText' ELSE 'LLM' END AS implementation
+        FROM events))
+WHERE rk <= 10
+"""
+
+
+@query("global_top_n", GLOBAL_TOP_SQL)
+def q_global_top_n(spark, sf):
+    e = read_table(spark, sf, "events")
+    impl = F.when(F.col("event_type").isin("click", "view"), "FastText").otherwise("LLM")
+    e = e.select("event_id", "user_id", "value", impl.alias("implementation"))
+    parts = []
+    for name in IMPLEMENTATIONS:
+        best = top_n(e.where(F.col("implementation") == name), "value", 10, "event_id")
+        # rank within the n kept rows (n rows, so the window is trivial)
+        parts.append(top_n_per_group(best, "implementation", "value", 10, "event_id"))
+    out = parts[0].unionByName(parts[1])
+    return out.select("implementation", "rank", "event_id", "user_id", "value")

@@ -93,3 +93,37 @@ def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
     return e.select(F.expr("vec_id div 5").alias("item"), (F.col("vec_id") % 5).alias("pos"),
                     F.col("embedding").alias("vec"))
+
+
+# --- profiles (customer) -----------------------------------------------------
+# Fixture rule: each customer is a user profile; the market segment is the
+# sector and the main skill, nation key gives the education/experience codes.
+SEGMENT_SECTOR = {
+    "AUTOMOBILE": "Manufacturing",
+    "BUILDING": "Infrastructure & Transport",
+    "FURNITURE": "Manufacturing",
+    "HOUSEHOLD": "Services & Commerce",
+    "MACHINERY": "Manufacturing",
+}
+
+
+def profiles(spark: SparkSession, sf: str) -> DataFrame:
+    c = read_table(spark, sf, "customer")
+    seg = F.col("c_mktsegment")
+    return c.select(
+        F.col("c_custkey").alias("user_id"),
+        F.array(F.col("c_name"), F.concat(F.initcap(seg), F.lit(" specialist"))).alias("job_titles"),
+        F.concat(F.lit("Hands-on "), F.lower(seg), F.lit(" work")).alias("ideal_job"),
+        F.array(F.struct(F.initcap(seg).alias("name"), F.lit(60).alias("weight_pct")),
+                F.struct(F.lit("Spark").alias("name"), F.lit(40).alias("weight_pct"))).alias("technical_skills"),
+        (F.col("c_nationkey") % 4).alias("education"),
+        (F.col("c_nationkey") % 5).alias("experience"),
+        F.array(seg).alias("sectors"),
+    )
+
+
+def scoring_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """events as scoring requests: click/view ask for FastText, others LLM."""
+    e = read_table(spark, sf, "events")
+    impl = F.when(F.col("event_type").isin("click", "view"), "FastText").otherwise("LLM")
+    return e.select("event_id", "user_id", impl.alias("implementation"), "ts")
