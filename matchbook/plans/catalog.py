@@ -407,3 +407,275 @@ def q_global_top_n(spark, sf):
         parts.append(top_n_per_group(best, "implementation", "value", 10, "event_id"))
     out = parts[0].unionByName(parts[1])
     return out.select("implementation", "rank", "event_id", "user_id", "value")
+
+
+# --- text-scorer side -------------------------------------------------------------
+
+def _initcap_sql(e):
+    return f"(upper(substr({e}, 1, 1)) || lower(substr({e}, 2)))"
+
+
+EDU_SQL = dims.map_sql_duckdb(dims.EDUCATION_LABELS, "(c_nationkey % 4)")
+EXP_SQL = dims.map_sql_duckdb(dims.EXPERIENCE_LABELS, "(c_nationkey % 5)")
+_TITLES_SQL = f"c_name || ', ' || {_initcap_sql('c_mktsegment')} || ' specialist'"
+_SKILLS_SQL = f"{_initcap_sql('c_mktsegment')} || ', Spark'"
+
+MATCH_PROMPT_SQL = f"""
+SELECT c.c_custkey AS user_id, d.doc_id AS job_hash,
+       {MATCH_PROMPT.sql(titles=_TITLES_SQL,
+                         ideal_job="'Hands-on ' || lower(c_mktsegment) || ' work'",
+                         skills=_SKILLS_SQL,
+                         education=f"coalesce({EDU_SQL}, 'unknown')",
+                         experience=f"coalesce({EXP_SQL}, 'unknown')",
+                         job_title="coalesce(substr(d.text, 1, 60), '')",
+                         company="coalesce(d.source, '')",
+                         description="substr(coalesce(d.text, ''), 1, 1000)")} AS prompt
+FROM documents d JOIN customer c ON c.c_custkey = d.doc_id
+"""
+
+
+@query("build_match_prompt", MATCH_PROMPT_SQL)
+def q_build_match_prompt(spark, sf):
+    from matchbook.plans.scorers import match_prompt_column
+    pairs = fx.postings(spark, sf).join(fx.profiles(spark, sf),
+                                        F.col("job_hash") == F.col("user_id"))
+    return pairs.select("user_id", "job_hash", match_prompt_column().alias("prompt"))
+
+
+def _profile_slots(sep_sectors: str, spark_side: bool):
+    if spark_side:
+        return dict(sectors=T.join_list("sectors", sep_sectors), titles=T.join_list("job_titles"),
+                    skills=F.array_join(F.transform("technical_skills", lambda s: s["name"]), ", "),
+                    education=T.default(dims.education_label("education"), "unknown"),
+                    experience=T.default(dims.experience_label("experience"), "unknown"))
+    return dict(sectors="c_mktsegment", titles=_TITLES_SQL, skills=_SKILLS_SQL,
+                education=f"coalesce({EDU_SQL}, 'unknown')",
+                experience=f"coalesce({EXP_SQL}, 'unknown')")
+
+
+PROFILE_PROMPTS_SQL = f"""
+SELECT c_custkey AS user_id,
+       {KEYWORD_PROMPT.sql(**_profile_slots(", ", False))} AS keyword_prompt,
+       {IDEAL_JOB_PROMPT.sql(**_profile_slots(" or ", False))} AS ideal_job_prompt
+FROM customer
+"""
+
+
+@query("build_profile_prompts", PROFILE_PROMPTS_SQL)
+def q_build_profile_prompts(spark, sf):
+    p = fx.profiles(spark, sf)
+    return p.select("user_id",
+                    KEYWORD_PROMPT.column(**_profile_slots(", ", True)).alias("keyword_prompt"),
+                    IDEAL_JOB_PROMPT.column(**_profile_slots(" or ", True)).alias("ideal_job_prompt"))
+
+
+PARSE_SQL = """
+SELECT l.doc_id AS job_hash, (l.quality * 10)::INTEGER AS llm_score, 'toxic=' || l.toxic::VARCHAR AS llm_comment,
+       true AS reply_valid, '1.0.0' AS llm_version, substr(d.text, 1, 60) AS title
+FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+"""
+
+
+@query("parse_llm_response", PARSE_SQL)
+def q_parse_llm_response(spark, sf):
+    from matchbook.operators.scoring import SCORER_VERSION
+    lab = read_table(spark, sf, "labels")
+    replies = lab.select(F.col("doc_id").alias("job_hash"),
+                         F.to_json(F.struct((F.col("quality") * 10).alias("score"),
+                                            F.concat(F.lit("toxic="), F.col("toxic").cast("string"))
+                                             .alias("justification"))).alias("reply"))
+    parsed = parse_replies(replies).withColumn("llm_version", F.lit(SCORER_VERSION))
+    info = fx.postings(spark, sf).select("job_hash", "title")
+    return parsed.join(info, "job_hash").select(
+        "job_hash", "llm_score", "llm_comment", "reply_valid", "llm_version", "title")
+
+
+@query("score_with_registry")
+def q_score_with_registry(spark, sf):
+    from matchbook.plans.scorers import default_registry
+    reg = default_registry()
+    fast, llm = reg.get("FastText"), reg.get("LLM")   # validated before any job
+    docs = read_table(spark, sf, "documents")
+    kw = keyword_table(spark)
+    pairs = textfilter.keyword_matches(docs, kw, "doc_id", "text").withColumnRenamed("doc_id", "job_hash")
+    posts = fx.postings(spark, sf)
+    ref_texts = kw.select("user_id", F.explode(F.array(*[F.lit(f) for f in ("description", "title")]))
+                          .alias("field"), F.col("what_or").alias("text"))
+    kw_profiles = kw.select("user_id", F.split("what_or", " ").alias("job_titles"),
+                            F.col("what_or").alias("ideal_job"),
+                            F.array(F.struct(F.lit("search").alias("name"),
+                                             F.lit(100).alias("weight_pct"))).alias("technical_skills"),
+                            F.lit(1).alias("education"), F.lit(1).alias("experience"))
+    return fast(pairs, posts, ref_texts).unionByName(llm(pairs, posts, kw_profiles))
+
+
+# --- persistence ------------------------------------------------------------------
+
+UPSERT_SQL = """
+WITH o AS (SELECT doc_id AS job_hash, quality AS llm_score, toxic::DOUBLE AS fasttext_score,
+                  'quality ' || quality::VARCHAR AS llm_comment, '1.0.0' AS llm_version,
+                  '1.0.0' AS fasttext_version FROM labels),
+n AS (SELECT doc_id AS job_hash, n_chars / 40000.0 AS fasttext_score,
+             '1.1.0' AS fasttext_version FROM documents WHERE lang = 'fr')
+SELECT coalesce(n.job_hash, o.job_hash) AS job_hash, o.llm_score,
+       CASE WHEN n.job_hash IS NOT NULL THEN n.fasttext_score ELSE o.fasttext_score END AS fasttext_score,
+       o.llm_comment, o.llm_version,
+       CASE WHEN n.job_hash IS NOT NULL THEN n.fasttext_version ELSE o.fasttext_version END AS fasttext_version
+FROM o FULL OUTER JOIN n ON o.job_hash = n.job_hash
+"""
+
+
+@query("upsert_partial_columns", UPSERT_SQL)
+def q_upsert_partial_columns(spark, sf):
+    old = fx.reviews(spark, sf).select(
+        "job_hash", "llm_score", "fasttext_score",
+        F.concat(F.lit("quality "), F.col("llm_score").cast("string")).alias("llm_comment"),
+        F.lit("1.0.0").alias("llm_version"), F.lit("1.0.0").alias("fasttext_version"))
+    d = read_table(spark, sf, "documents")
+    new = d.where(F.col("lang") == "fr").select(
+        F.col("doc_id").alias("job_hash"),
+        (F.col("n_chars") / 40000.0).alias("fasttext_score"),
+        F.lit("1.1.0").alias("fasttext_version"))
+    return upsert(old, new, ["job_hash"])
+
+
+# --- profile analytics -------------------------------------------------------------
+
+PROFILE_VALID_SQL = """
+WITH t AS (SELECT l_orderkey, sum(l_quantity) AS total_weight, count(*) AS n_skills
+           FROM lineitem GROUP BY l_orderkey)
+SELECT o.o_orderkey, t.total_weight, coalesce(t.n_skills, 0) AS n_skills,
+       v = '' AS is_valid, v AS violations
+FROM (SELECT o.*, concat_ws(',',
+        CASE WHEN coalesce(t.total_weight <> 100, true) THEN 'technical_total' END,
+        CASE WHEN o.o_orderpriority IS NULL THEN 'missing_priority' END) AS v
+      FROM orders o LEFT JOIN t ON t.l_orderkey = o.o_orderkey) o
+LEFT JOIN t ON t.l_orderkey = o.o_orderkey
+"""
+
+
+@query("profile_validation", PROFILE_VALID_SQL)
+def q_profile_validation(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    li = read_table(spark, sf, "lineitem")
+    totals = weight_totals(li, "l_orderkey", "l_quantity").withColumnRenamed("l_orderkey", "o_orderkey")
+    prof = o.join(totals, "o_orderkey", "left").withColumn("n_skills", F.coalesce("n_skills", F.lit(0)))
+    rules = standard_rules(F.col("total_weight"), required={"priority": F.col("o_orderpriority")})
+    checked = validate_profiles(prof, rules)
+    return checked.select("o_orderkey", "total_weight", "n_skills", "is_valid",
+                          F.array_join("violations", ",").alias("violations"))
+
+
+SHARE_SQL = """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity,
+       round(100.0 * l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey), 6) AS share_pct
+FROM lineitem
+"""
+
+
+@query("skill_share", SHARE_SQL)
+def q_skill_share(spark, sf):
+    li = read_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    return skill_share(li, "l_orderkey", "l_quantity").withColumn("share_pct", F.round("share_pct", 6))
+
+
+_SECTOR_VALUES = ", ".join("('" + "', '".join(v.replace("'", "''") for v in row) + "')"
+                           for row in dims.SECTORS)
+_SEG_SQL = dims.map_sql_duckdb(fx.SEGMENT_SECTOR, "c_mktsegment")
+DIM_SQL = f"""
+WITH s(category, core_idea, examples, icon) AS (VALUES {_SECTOR_VALUES})
+SELECT c.c_custkey AS user_id, (c.c_nationkey % 4) AS education, {EDU_SQL} AS education_label,
+       (c.c_nationkey % 5) AS experience, {EXP_SQL} AS experience_label,
+       (c.c_nationkey % 4) AS education_roundtrip,
+       {_SEG_SQL} AS sector, concat_ws(' ', s.icon, {_SEG_SQL}) AS sector_display, s.core_idea
+FROM customer c LEFT JOIN s ON s.category = {_SEG_SQL}
+"""
+
+
+@query("dimension_labels", DIM_SQL)
+def q_dimension_labels(spark, sf):
+    p = fx.profiles(spark, sf)
+    seg = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
+    sector = dims.code_to_label("c_mktsegment", fx.SEGMENT_SECTOR)
+    x = (p.join(seg, "user_id")
+          .withColumn("sector", sector)
+          .join(F.broadcast(dims.sector_dim(spark)), F.col("sector") == F.col("category"), "left"))
+    edu = dims.education_label("education")
+    return x.select("user_id", "education", edu.alias("education_label"), "experience",
+                    dims.experience_label("experience").alias("experience_label"),
+                    dims.label_to_code(edu, dims.EDUCATION_LABELS).alias("education_roundtrip"),
+                    "sector", dims.with_icon(F.col("icon"), F.col("sector")).alias("sector_display"),
+                    "core_idea")
+
+
+RATING_SQL = """
+SELECT user_id, job_hash, score, applied, comment FROM (
+  SELECT user_id, json_extract_string(props, '$.k')::BIGINT AS job_hash, (1 + event_id % 10)::INTEGER AS score,
+         event_type = 'purchase' AS applied, event_type AS comment, ts, event_id
+  FROM events WHERE event_type <> 'view')
+QUALIFY row_number() OVER (PARTITION BY user_id, job_hash ORDER BY ts DESC, event_id DESC) = 1
+"""
+
+
+@query("rating_projection", RATING_SQL)
+def q_rating_projection(spark, sf):
+    from matchbook.operators.ratings import rating_rows
+    e = read_table(spark, sf, "events")
+    shown = e.select("user_id", F.get_json_object("props", "$.k").cast("long").alias("job_hash"),
+                     "ts", "event_id",
+                     (F.col("event_type") != "view").alias("wants_to_rate"),
+                     (1 + F.col("event_id") % 10).cast("int").alias("score"),
+                     (F.col("event_type") == "purchase").alias("applied"),
+                     F.col("event_type").alias("comment"))
+    return rating_rows(shown).select("user_id", "job_hash", "score", "applied", "comment")
+
+
+PREVIEW_SQL = """
+SELECT doc_id AS job_hash,
+       coalesce(substr(text, 1, 60), 'Unknown Title') || ' at ' || coalesce(nullif(source, 'src0'), 'Unknown Company') AS card_title,
+       coalesce(substr(strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d'), 1, 10), 'N/A') AS posted,
+       coalesce(upper(lang), 'N/A') AS location,
+       substr(coalesce(text, 'No description available.'), 1, 500) || '...' AS preview
+FROM documents
+"""
+
+
+@query("preview_cards", PREVIEW_SQL)
+def q_preview_cards(spark, sf):
+    from matchbook.operators.ratings import preview_cards
+    p = fx.postings(spark, sf).withColumn("company", F.nullif("company", F.lit("src0"))) \
+        .withColumn("location", F.upper("lang"))
+    return preview_cards(p).select("job_hash", "card_title", "posted", "location", "preview")
+
+
+# --- cooldown -----------------------------------------------------------------------
+
+COOLDOWN_SECONDS = 300
+COOLDOWN_SQL = f"""
+WITH RECURSIVE req AS (
+  SELECT event_id, user_id, ts,
+         CASE WHEN event_type IN ('click', 'view') THEN 'FastText' ELSE 'LLM' END AS implementation,
+         row_number() OVER (PARTITION BY user_id,
+                            CASE WHEN event_type IN ('click', 'view') THEN 'FastText' ELSE 'LLM' END
+                            ORDER BY ts, event_id) AS rn
+  FROM events),
+walk AS (
+  SELECT user_id, implementation, rn, event_id, ts, ts AS last_ts, true AS accepted FROM req WHERE rn = 1
+  UNION ALL
+  SELECT r.user_id, r.implementation, r.rn, r.event_id, r.ts,
+         CASE WHEN r.ts >= w.last_ts + INTERVAL {COOLDOWN_SECONDS} SECOND THEN r.ts ELSE w.last_ts END,
+         r.ts >= w.last_ts + INTERVAL {COOLDOWN_SECONDS} SECOND
+  FROM walk w JOIN req r
+    ON r.user_id = w.user_id AND r.implementation = w.implementation AND r.rn = w.rn + 1)
+SELECT user_id, implementation, event_id, accepted,
+       CASE WHEN NOT accepted
+            THEN floor(({COOLDOWN_SECONDS} - (epoch(ts) - epoch(last_ts))) / 60)::BIGINT END AS wait_minutes
+FROM walk
+"""
+
+
+@query("cooldown_accept", COOLDOWN_SQL)
+def q_cooldown_accept(spark, sf):
+    req = fx.scoring_requests(spark, sf)
+    out = cooldown_accept(req, ["user_id", "implementation"], "ts", "event_id", COOLDOWN_SECONDS)
+    return out.select("user_id", "implementation", "event_id", "accepted", "wait_minutes")
