@@ -679,3 +679,54 @@ def q_cooldown_accept(spark, sf):
     req = fx.scoring_requests(spark, sf)
     out = cooldown_accept(req, ["user_id", "implementation"], "ts", "event_id", COOLDOWN_SECONDS)
     return out.select("user_id", "implementation", "event_id", "accepted", "wait_minutes")
+
+
+# --- streams ------------------------------------------------------------------------
+
+def _event_stream(spark, sf):
+    from matchbook.streaming.runner import read_stream_table
+    schema = read_table(spark, sf, "events").schema
+    return read_stream_table(spark, f"{sf.rstrip('/')}/events*.parquet", schema)
+
+
+def _requests_of(events):
+    impl = F.when(F.col("event_type").isin("click", "view"), "FastText").otherwise("LLM")
+    return events.select("event_id", "user_id", impl.alias("implementation"), "ts")
+
+
+@query("cooldown_accept_stream", COOLDOWN_SQL)
+def q_cooldown_accept_stream(spark, sf):
+    from matchbook.streaming.cooldown_stream import cooldown_stream
+    from matchbook.streaming.runner import run_to_table
+    s = cooldown_stream(_requests_of(_event_stream(spark, sf)), ["user_id", "implementation"],
+                        "ts", "event_id", COOLDOWN_SECONDS)
+    return run_to_table(s, "cooldown").select("user_id", "implementation", "event_id", "accepted",
+                                              "wait_minutes")
+
+
+@query("ingest_dedup_stream")
+def q_ingest_dedup_stream(spark, sf):
+    from matchbook.streaming.ingest_stream import dedup_stream
+    from matchbook.streaming.runner import run_to_table
+    ev = _event_stream(spark, sf)
+    keyed = ev.withColumn("job_hash", identity.job_hash(F.col("user_id").cast("string"),
+                                                        F.col("event_type"), F.col("ts")))
+    return run_to_table(dedup_stream(keyed, ["job_hash"], "ts", "1 day"), "ingest").select(
+        "job_hash", "event_id", "user_id", "event_type")
+
+
+@query("scoring_request_stream")
+def q_scoring_request_stream(spark, sf):
+    from matchbook.streaming.request_stream import serve_requests
+    from matchbook.streaming.runner import run_foreach_batch, stream_dirs
+    out, _ = stream_dirs(spark, "requests-out")
+    posts, vecs = fx.postings(spark, sf), fx.job_field_vectors(spark, sf)
+    refs, revs = fx.user_reference_vectors(spark, sf), fx.reviews(spark, sf)
+
+    def score(users, impl):
+        return recommend(posts, vecs, refs, revs, impl, 10, users=users)
+
+    run_foreach_batch(_requests_of(_event_stream(spark, sf)), "requests",
+                      serve_requests(None, score, out))
+    return spark.read.parquet(out).select("implementation", "epoch_id", "user_id", "rank",
+                                          "job_hash", "score")

@@ -25,13 +25,14 @@ DEFAULT_TOP_N = 10
 
 def recommend(postings: DataFrame, job_vecs: DataFrame, refs: DataFrame, reviews: DataFrame,
               implementation: str = "FastText", n: int = DEFAULT_TOP_N,
-              info_cols=("title", "company")) -> DataFrame:
+              info_cols=("title", "company"), users: DataFrame | None = None) -> DataFrame:
     """Top ``n`` unseen postings per user by embedding similarity.
 
     ``postings(job_hash, ...)``, ``job_vecs(job_hash, field, lang, vec)``,
     ``refs(user_id, field, lang, vec)``, ``reviews(job_hash[, user_id],
     llm_score, fasttext_score)``.  Users whose reference vectors are
-    incomplete are left out (see :func:`ref_readiness`).
+    incomplete are left out (see :func:`ref_readiness`).  ``users`` (a
+    DataFrame with ``user_id``) restricts the run to requested users.
     """
     check_implementation(implementation)
     seen = seen_hashes(reviews, implementation)
@@ -39,6 +40,8 @@ def recommend(postings: DataFrame, job_vecs: DataFrame, refs: DataFrame, reviews
     vecs = job_vecs.join(candidates, "job_hash", "left_semi")
     ready = ref_readiness(refs).where("ready").select("user_id")
     ready_refs = refs.join(ready, "user_id", "left_semi")
+    if users is not None:
+        ready_refs = ready_refs.join(users.select("user_id").distinct(), "user_id", "left_semi")
     leaders = top_similar_jobs(wide_job_vectors(vecs), ready_refs, n)
     top = top_n_per_group(leaders, "user_id", "score", n, "job_hash")
     info = postings.select("job_hash", *info_cols)
