@@ -1,5 +1,5 @@
 """Parquet table access.  Reads are lazy; Catalyst prunes columns and
-pushes filters into the scan."""
+pushes filters into the scan (through the optional spread below)."""
 
 from __future__ import annotations
 
@@ -9,5 +9,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def read_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Hash-spread a scan that arrives in fewer splits than there are cores.
+
+    A table stored as one row group is scanned by one task, which leaves
+    per-row CPU work (regexes, hashing) on a single core.  On a cluster the
+    scan already has many splits and this is a no-op; only under-split
+    input pays one cheap shuffle.  Planning only, no job.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key or df.columns[0])
+
+
+def read_table(spark: SparkSession, base_dir: str, name: str, spread_scan: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_scan else df
