@@ -25,6 +25,8 @@ This form is exact and stays distributed for any group size:
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,9 @@ from matchbook.operators.ordering import with_global_index
 from matchbook.session import cut_lineage
 
 DEFAULT_COOLDOWN_SECONDS = 300
+# Groups up to this many requests are folded in one task (memory bounded by
+# this limit); larger groups take the distributed doubling path.
+DEFAULT_MAX_GROUP_ROWS = 200_000
 
 
 def _plus_seconds(col, seconds: int):
@@ -40,15 +45,64 @@ def _plus_seconds(col, seconds: int):
 
 def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col: str = "event_id",
                     cooldown_seconds: int = DEFAULT_COOLDOWN_SECONDS,
-                    max_rounds: int = 64) -> DataFrame:
+                    max_group_rows: int = DEFAULT_MAX_GROUP_ROWS) -> DataFrame:
     """Return ``group_cols + id + ts + accepted + wait_minutes``.
 
     ``wait_minutes`` is NULL for accepted requests and otherwise the whole
     minutes left of the cooldown at the time of the request.
+
+    Group sizes come from a map-side-combined count.  Groups with more than
+    ``max_group_rows`` requests can number at most total / max_group_rows,
+    a proven bound, so that key table is broadcast to split the input
+    without a skewed join.  Bounded groups are folded in one sorted pass
+    per group; oversized groups use the distributed doubling plan.
     """
     groups = [group_cols] if isinstance(group_cols, str) else list(group_cols)
     base = requests.select(*groups, F.col(ts_col).cast("timestamp").alias("_ts"),
                            F.col(id_col).alias("_id"))
+    sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    big = F.broadcast(sizes.where(F.col("_n") > max_group_rows).select(*groups))
+    small = _fold_bounded_groups(base.join(big, groups, "left_anti"), groups, cooldown_seconds)
+    if big.limit(1).count() == 0:
+        out = small
+    else:
+        out = small.unionByName(_doubling(base.join(big, groups, "left_semi"), groups, cooldown_seconds))
+    return out.select(*groups, F.col("_id").alias(id_col), F.col("_ts").alias(ts_col),
+                      "accepted", "wait_minutes")
+
+
+def _fold_bounded_groups(base: DataFrame, groups, cooldown_seconds: int) -> DataFrame:
+    """Sequential fold per group, for groups proven to be bounded."""
+    cd_us = int(cooldown_seconds) * 1_000_000
+    src = base.select(*groups, "_id", F.unix_micros("_ts").alias("_us"))
+    types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
+    schema = ", ".join(f"`{c}` {types[c]}" for c in groups) + \
+        f", _id {types['_id']}, _us bigint, accepted boolean, wait_minutes bigint"
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_us", "_id"], kind="stable")
+        ts = pdf["_us"].to_numpy(np.int64)
+        acc = np.zeros(len(ts), dtype=bool)
+        wait = np.full(len(ts), -1, dtype=np.int64)
+        last = None
+        for i, t in enumerate(ts.tolist()):
+            if last is None or t - last >= cd_us:
+                last = t
+                acc[i] = True
+            else:
+                wait[i] = (cd_us - (t - last)) // 60_000_000
+        out = pdf.copy()
+        out["accepted"] = acc
+        out["wait_minutes"] = pd.array(np.where(acc, 0, wait), dtype="Int64")
+        out.loc[acc, "wait_minutes"] = pd.NA
+        return out
+
+    return (src.groupBy(*groups).applyInPandas(fold, schema)
+               .withColumn("_ts", F.timestamp_micros("_us")).drop("_us"))
+
+
+def _doubling(base: DataFrame, groups, cooldown_seconds: int, max_rounds: int = 64) -> DataFrame:
+    """Distributed exact plan for oversized groups (see module docstring)."""
     ev = with_global_index(base, [*groups, "_ts", "_id"], "_e")
 
     # (2) next acceptable request, via the merged request/probe order.
@@ -70,7 +124,8 @@ def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
         if jump.limit(1).count() == 0:
             break
         reached = marked.join(jump, "_e").select(F.col("_nxt").alias("_e"))
-        marked = cut_lineage(marked.unionByName(reached).distinct())
+        # positions reached in round k are all new (chains have no cycles)
+        marked = cut_lineage(marked.unionByName(reached))
         a, b = jump.alias("a"), jump.alias("b")
         jump = cut_lineage(a.join(b, F.col("a._nxt") == F.col("b._e"))
                             .select(F.col("a._e").alias("_e"), F.col("b._nxt").alias("_nxt")))
@@ -93,5 +148,5 @@ def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
     elapsed = (F.unix_micros(F.col("_ts")) - F.unix_micros(F.col("_acc_ts"))) / 1e6
     wait = F.floor((F.lit(float(cooldown_seconds)) - elapsed) / 60).cast("long")
     return (flagged.join(blocker, "_id", "left")
-                   .select(*groups, F.col("_id").alias(id_col), F.col("_ts").alias(ts_col), "accepted",
+                   .select(*groups, "_id", "_ts", "accepted",
                            F.when(~F.col("accepted"), wait).alias("wait_minutes")))

@@ -73,11 +73,18 @@ def wide_job_vectors(job_vecs: DataFrame, job_key: str = "job_hash", fields=FIEL
     return job_vecs.groupBy(job_key, "lang").agg(*aggs)
 
 
-def _ref_matrices(refs: DataFrame, fields):
-    """Collect the (bounded) reference vectors as unit-normalised matrices:
-    ``{lang: (user_ids, {field: users x dim})}``.  Missing or zero vectors
+def _collect_refs(refs: DataFrame, max_rows: int):
+    """Collect at most ``max_rows`` reference rows in one job; ``None`` when
+    there are more (the probe and the collection are the same job)."""
+    pdf = refs.select("user_id", "field", "lang", as_double("vec").alias("vec")) \
+              .limit(max_rows + 1).toPandas()
+    return None if len(pdf) > max_rows else pdf
+
+
+def _ref_matrices(pdf, fields):
+    """Unit-normalised reference matrices from collected rows:
+    ``(user_ids, {lang: {field: users x dim}})``.  Missing or zero vectors
     are NaN rows."""
-    pdf = refs.select("user_id", "field", "lang", as_double("vec").alias("vec")).toPandas()
     users = np.array(sorted(pdf["user_id"].unique().tolist()), dtype=object)
     pos = {u: i for i, u in enumerate(users)}
     dim = max((len(v) for v in pdf["vec"] if v is not None), default=0)
@@ -135,7 +142,8 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
     the limit the users are processed in blocks, each block broadcast on
     its own and the results unioned (exact, one job scan per block).
     """
-    if not has_at_most(refs, max_ref_rows):
+    collected = _collect_refs(refs, max_ref_rows)
+    if collected is None:
         ids = refs.select("user_id").distinct()
         blocks = ids.withColumn("_blk", F.pmod(F.xxhash64("user_id"),
                                                F.lit(int(np.ceil(refs.count() / max_ref_rows)) + 1)))
@@ -149,7 +157,7 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
             out = out.unionByName(p)
         return out
 
-    users, mats = _ref_matrices(refs, fields)
+    users, mats = _ref_matrices(collected, fields)
     sc = wide_jobs.sparkSession.sparkContext
     bc = sc.broadcast((users, mats))
     key_type = wide_jobs.schema[job_key].dataType.simpleString()

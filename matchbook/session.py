@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -38,10 +39,36 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def apply_runtime_conf(spark: SparkSession) -> None:
-    """Set the SQL confs the operators assume on an existing session."""
+    """Set the SQL confs the operators assume on an existing session, and
+    make the package importable by the Python workers."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
               "spark.sql.adaptive.skewJoin.enabled"):
         spark.conf.set(k, BASE_CONF[k])
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship this package to the executors once per SparkContext.
+
+    Python workers do not inherit the driver's ``sys.path``; functions run
+    by ``mapInPandas``/``applyInPandas*`` reference this package by module,
+    so executors need it.  ``addPyFile`` distributes the archive through
+    Spark itself.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_matchbook_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="matchbook-pyfiles-")
+    archive = os.path.join(out_dir, "matchbook.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(archive)
+    sc._matchbook_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

@@ -34,9 +34,19 @@ def test_cooldown_matches_sequential_fold(spark):
     rows = _rows(7)
     df = spark.createDataFrame(rows, "g string, ts timestamp, event_id long")
     for cd in (300, 6 * 3600):
+        want = brute(rows, cd)
+        # default: every group folded in one pass
         got = {r.event_id: (r.accepted, r.wait_minutes)
                for r in cooldown_accept(df, "g", "ts", "event_id", cd).collect()}
-        assert got == brute(rows, cd)
+        assert got == want
+        # hot group (~40% of rows) forced onto the distributed doubling plan
+        got = {r.event_id: (r.accepted, r.wait_minutes)
+               for r in cooldown_accept(df, "g", "ts", "event_id", cd, max_group_rows=500).collect()}
+        assert got == want
+        # every group on the doubling plan
+        got = {r.event_id: (r.accepted, r.wait_minutes)
+               for r in cooldown_accept(df, "g", "ts", "event_id", cd, max_group_rows=0).collect()}
+        assert got == want
 
 
 def test_cooldown_exact_boundary(spark):
@@ -44,5 +54,7 @@ def test_cooldown_exact_boundary(spark):
     rows = [("u", t0, 1), ("u", t0 + dt.timedelta(seconds=299), 2),
             ("u", t0 + dt.timedelta(seconds=300), 3), ("u", t0 + dt.timedelta(seconds=301), 4)]
     df = spark.createDataFrame(rows, "g string, ts timestamp, event_id long")
-    got = {r.event_id: (r.accepted, r.wait_minutes) for r in cooldown_accept(df, "g", "ts", "event_id", 300).collect()}
-    assert got == {1: (True, None), 2: (False, 0), 3: (True, None), 4: (False, 4)}
+    for limit in (200_000, 0):
+        got = {r.event_id: (r.accepted, r.wait_minutes)
+               for r in cooldown_accept(df, "g", "ts", "event_id", 300, max_group_rows=limit).collect()}
+        assert got == {1: (True, None), 2: (False, 0), 3: (True, None), 4: (False, 4)}
