@@ -72,33 +72,47 @@ def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
 
 
 def _fold_bounded_groups(base: DataFrame, groups, cooldown_seconds: int) -> DataFrame:
-    """Sequential fold per group, for groups proven to be bounded."""
+    """Sequential fold for groups proven to be bounded.
+
+    Rows are hash-partitioned by group and sorted within each partition, so
+    every task streams whole groups in time order; one Python pass per
+    partition carries the last accepted time across Arrow batches (no
+    per-group call, no group materialised in memory).
+    """
     cd_us = int(cooldown_seconds) * 1_000_000
-    src = base.select(*groups, "_id", F.unix_micros("_ts").alias("_us"))
+    src = (base.select(*groups, "_id", F.unix_micros("_ts").alias("_us"))
+               .repartition(*groups)
+               .sortWithinPartitions(*groups, "_us", "_id"))
     types = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     schema = ", ".join(f"`{c}` {types[c]}" for c in groups) + \
         f", _id {types['_id']}, _us bigint, accepted boolean, wait_minutes bigint"
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_us", "_id"], kind="stable")
-        ts = pdf["_us"].to_numpy(np.int64)
-        acc = np.zeros(len(ts), dtype=bool)
-        wait = np.full(len(ts), -1, dtype=np.int64)
-        last = None
-        for i, t in enumerate(ts.tolist()):
-            if last is None or t - last >= cd_us:
-                last = t
-                acc[i] = True
-            else:
-                wait[i] = (cd_us - (t - last)) // 60_000_000
-        out = pdf.copy()
-        out["accepted"] = acc
-        out["wait_minutes"] = pd.array(np.where(acc, 0, wait), dtype="Int64")
-        out.loc[acc, "wait_minutes"] = pd.NA
-        return out
-
-    return (src.groupBy(*groups).applyInPandas(fold, schema)
-               .withColumn("_ts", F.timestamp_micros("_us")).drop("_us"))
+    def fold(batches):
+        prev_key, last = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = pdf[groups]
+            starts = (keys != keys.shift()).any(axis=1).to_numpy()
+            first_key = tuple(keys.iloc[0])
+            starts[0] = first_key != prev_key
+            ts = pdf["_us"].to_numpy(np.int64).tolist()
+            acc = np.zeros(len(ts), dtype=bool)
+            wait = np.zeros(len(ts), dtype=np.int64)
+            for i, t in enumerate(ts):
+                if starts[i] or last is None or t - last >= cd_us:
+                    last = t
+                    acc[i] = True
+                else:
+                    wait[i] = (cd_us - (t - last)) // 60_000_000
+            prev_key = tuple(keys.iloc[-1])
+            out = pdf.copy()
+            out["accepted"] = acc
+            out["wait_minutes"] = pd.array(wait, dtype="Int64")
+            out.loc[acc, "wait_minutes"] = pd.NA
+            yield out
+
+    return src.mapInPandas(fold, schema).withColumn("_ts", F.timestamp_micros("_us")).drop("_us")
 
 
 def _doubling(base: DataFrame, groups, cooldown_seconds: int, max_rounds: int = 64) -> DataFrame:
