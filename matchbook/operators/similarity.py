@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.functions.vectors import as_double, dot, unit
+from matchbook.functions.vectors import as_double, dot, norm
 from matchbook.operators.embedding import FIELDS
 from matchbook.operators.sizing import has_at_most
 
@@ -26,25 +26,23 @@ REF_BROADCAST_MAX_ROWS = 1_000_000  # ~ 250k users x 4 (field, lang) vectors
 SALT_BUCKETS = 64
 
 
-def _unit_vectors(df: DataFrame, vec_col: str = "vec") -> DataFrame:
-    return df.withColumn(vec_col, unit(as_double(vec_col)))
-
-
 def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_hash",
                      max_broadcast_rows: int = REF_BROADCAST_MAX_ROWS) -> DataFrame:
     """Cosine similarity of each job field vector with each user's reference
     vector for the same (field, lang).
 
     Inputs: ``job_vecs(job_key, field, lang, vec)``, ``refs(user_id, field,
-    lang, vec)``.  Both sides are normalised once so the similarity is a
-    dot product; a zero vector gives NULL.  The join key has only a few
+    lang, vec)``.  Each side's norm is computed once per vector, before the
+    join, so a pair costs one dot product; a zero vector gives NULL.  The join key has only a few
     values, so the reference side is broadcast when a bounded probe proves
     it small, and otherwise the jobs are salted and the references
     replicated per salt so the pairs spread over ``SALT_BUCKETS`` tasks per
     key instead of one.
     """
-    jobs = _unit_vectors(job_vecs.select(job_key, "field", "lang", "vec"))
-    r = _unit_vectors(refs.select("user_id", "field", "lang", "vec")).withColumnRenamed("vec", "ref_vec")
+    jobs = (job_vecs.select(job_key, "field", "lang", as_double("vec").alias("vec"))
+                    .withColumn("_n", norm("vec")))
+    r = (refs.select("user_id", "field", "lang", as_double("vec").alias("ref_vec"))
+             .withColumn("_rn", norm("ref_vec")))
     if has_at_most(r, max_broadcast_rows):
         pairs = jobs.join(F.broadcast(r), ["field", "lang"])
     else:
@@ -52,7 +50,7 @@ def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_h
         rep = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
         pairs = salted.join(rep, ["field", "lang", "_salt"]).drop("_salt")
     return pairs.select("user_id", job_key, "field", "lang",
-                        dot("vec", "ref_vec").alias("similarity"))
+                        F.try_divide(dot("vec", "ref_vec"), F.col("_n") * F.col("_rn")).alias("similarity"))
 
 
 def job_scores(field_sims: DataFrame, job_key: str = "job_hash", n_fields: int = len(FIELDS)) -> DataFrame:

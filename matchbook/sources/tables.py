@@ -3,23 +3,42 @@ pushes filters into the scan (through the optional spread below)."""
 
 from __future__ import annotations
 
+import os
+from urllib.parse import urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 
+# Spreading pays one shuffle; below this input size it is not worth it.
+SPREAD_MIN_BYTES = 1 << 20
+
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
 
+def _local_bytes(df: DataFrame) -> int | None:
+    total = 0
+    for f in df.inputFiles():
+        u = urlparse(f)
+        if u.scheme not in ("", "file"):
+            return None
+        total += os.path.getsize(u.path)
+    return total
+
+
 def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Hash-spread a scan that arrives in fewer splits than there are cores.
 
     A table stored as one row group is scanned by one task, which leaves
     per-row CPU work (regexes, hashing) on a single core.  On a cluster the
     scan already has many splits and this is a no-op; only under-split
-    input pays one cheap shuffle.  Planning only, no job.
+    input of a worthwhile size pays one shuffle.  Planning only, no job.
     """
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
+    size = _local_bytes(df)
+    if size is None or size < SPREAD_MIN_BYTES:
+        return df
     return df.repartition(target, key or df.columns[0])
 
 
