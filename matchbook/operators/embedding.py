@@ -9,7 +9,7 @@ from typing import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.text import TOKEN_KEEP_CHARS, TOKEN_SPLIT_CHARS, TOKEN_STOP
@@ -57,6 +57,22 @@ def ref_readiness(refs: DataFrame, user_col: str = "user_id", fields=FIELDS,
                 .withColumn("ready", F.col("n_ready") == want))
 
 
+def ready_references(refs: DataFrame, user_col: str = "user_id", fields=FIELDS,
+                     langs=REF_LANGS) -> DataFrame:
+    """Reference rows of users whose set is complete, in one pass.
+
+    The per-user set of complete (field, lang) pairs has at most
+    ``len(fields) * len(langs)`` entries, so a window ``collect_set`` over
+    the user is bounded; the reference table is not re-aggregated.
+    """
+    want = len(fields) * len(langs)
+    ok = (F.col("vec").isNotNull() & F.col("field").isin(list(fields))
+          & F.col("lang").isin(list(langs)))
+    w = Window.partitionBy(user_col)
+    return (refs.withColumn("_ready", F.size(F.collect_set(F.when(ok, F.struct("field", "lang"))).over(w)))
+                .where(F.col("_ready") == want).drop("_ready"))
+
+
 # ---------------------------------------------------------------- X2 hook --
 
 def py_tokenize(text: str | None) -> list[str]:

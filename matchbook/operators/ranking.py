@@ -29,3 +29,14 @@ def top_n(df: DataFrame, score_col: str, n: int, tie_cols=None) -> DataFrame:
     """Global top ``n`` (``TakeOrderedAndProject``: per-partition top-n,
     then a final merge of n x partitions rows)."""
     return df.orderBy(*_order(score_col, tie_cols)).limit(n)
+
+
+def top_jobs(reviews: DataFrame, job_info: DataFrame, implementation: str, n: int = 10,
+             info_cols=("title", "company", "url")) -> DataFrame:
+    """Top ``n`` reviewed postings per user for one implementation, with
+    their posting info (S9 = W2 over ai_review, then J4)."""
+    from matchbook.operators.seen import SCORE_COLUMN, check_implementation
+    score = SCORE_COLUMN[check_implementation(implementation)]
+    ranked = top_n_per_group(reviews.where(F.col(score).isNotNull()), "user_id", score, n, "job_hash")
+    cols = [c for c in info_cols if c in job_info.columns]
+    return ranked.join(job_info.select("job_hash", *cols), "job_hash")

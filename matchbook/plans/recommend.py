@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchbook.operators.embedding import ref_readiness
+from matchbook.operators.embedding import ready_references
 from matchbook.operators.ranking import top_n_per_group
 from matchbook.operators.seen import check_implementation, drop_seen, seen_hashes
 from matchbook.operators.similarity import top_similar_jobs, wide_job_vectors
@@ -31,15 +31,14 @@ def recommend(postings: DataFrame, job_vecs: DataFrame, refs: DataFrame, reviews
     ``postings(job_hash, ...)``, ``job_vecs(job_hash, field, lang, vec)``,
     ``refs(user_id, field, lang, vec)``, ``reviews(job_hash[, user_id],
     llm_score, fasttext_score)``.  Users whose reference vectors are
-    incomplete are left out (see :func:`ref_readiness`).  ``users`` (a
+    incomplete are left out (see :func:`ready_references`).  ``users`` (a
     DataFrame with ``user_id``) restricts the run to requested users.
     """
     check_implementation(implementation)
     seen = seen_hashes(reviews, implementation)
     candidates = drop_seen(postings.select("job_hash"), seen)
     vecs = job_vecs.join(candidates, "job_hash", "left_semi")
-    ready = ref_readiness(refs).where("ready").select("user_id")
-    ready_refs = refs.join(ready, "user_id", "left_semi")
+    ready_refs = ready_references(refs)
     if users is not None:
         ready_refs = ready_refs.join(users.select("user_id").distinct(), "user_id", "left_semi")
     leaders = top_similar_jobs(wide_job_vectors(vecs), ready_refs, n)

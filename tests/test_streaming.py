@@ -38,3 +38,32 @@ def test_window_counts_hold_open_window(spark, tmp_dir):
     assert len(days) == 2                 # the last day is still open: withheld in append mode
     total = sum(r.n_requests for r in rows)
     assert total == batch.where("ts < '2024-01-03'").count()
+
+
+def test_ingest_dedup_keeps_one_per_key(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    from matchbook.streaming.ingest_stream import dedup_stream
+    batch = _land_events(spark, tmp_dir)
+    stream = spark.readStream.schema(batch.schema).parquet(os.path.join(tmp_dir, "events"))
+    got = run_to_table(dedup_stream(stream, ["user_id", "event_type"], "ts", "7 days"), "t-dd")
+    assert got.count() == batch.select("user_id", "event_type").distinct().count()
+
+
+def test_request_stream_serves_each_implementation(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    from matchbook.streaming.request_stream import serve_requests
+    from matchbook.streaming.runner import run_foreach_batch
+    batch = _land_events(spark, tmp_dir)
+    impl = F.when(F.col("event_type") == "purchase", "LLM").otherwise("FastText")
+    stream = spark.readStream.schema(batch.schema).parquet(os.path.join(tmp_dir, "events")) \
+        .select("user_id", impl.alias("implementation"))
+    out = os.path.join(tmp_dir, "served")
+
+    def score(users, implementation):
+        return users.select("user_id", F.lit(1).alias("rank"))
+
+    run_foreach_batch(stream, "t-req", serve_requests(None, score, out))
+    got = spark.read.parquet(out)
+    want = batch.select("user_id", impl.alias("implementation")).distinct()
+    assert sorted(map(tuple, got.select("user_id", "implementation").collect())) == \
+        sorted(map(tuple, want.collect()))
