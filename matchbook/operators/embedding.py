@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.text import TOKEN_KEEP_CHARS, TOKEN_SPLIT_CHARS, TOKEN_STOP
+from matchbook.sources.tables import spread_for_python
 
 # --- fixed values -----------------------------------------------------------
 FIELDS = ("description", "title")
@@ -65,12 +66,18 @@ def ready_references(refs: DataFrame, user_col: str = "user_id", fields=FIELDS,
     ``len(fields) * len(langs)`` entries, so a window ``collect_set`` over
     the user is bounded; the reference table is not re-aggregated.
     """
+    return with_readiness(refs, user_col, fields, langs).where("ready").drop("ready")
+
+
+def with_readiness(refs: DataFrame, user_col: str = "user_id", fields=FIELDS,
+                   langs=REF_LANGS) -> DataFrame:
+    """Reference rows plus the user's ``ready`` flag, in one pass."""
     want = len(fields) * len(langs)
     ok = (F.col("vec").isNotNull() & F.col("field").isin(list(fields))
           & F.col("lang").isin(list(langs)))
     w = Window.partitionBy(user_col)
-    return (refs.withColumn("_ready", F.size(F.collect_set(F.when(ok, F.struct("field", "lang"))).over(w)))
-                .where(F.col("_ready") == want).drop("_ready"))
+    return refs.withColumn(
+        "ready", F.size(F.collect_set(F.when(ok, F.struct("field", "lang"))).over(w)) == want)
 
 
 # ---------------------------------------------------------------- X2 hook --
@@ -132,7 +139,7 @@ def embed_texts(df: DataFrame, key_cols, text_col: str,
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     provider = provider or HashingEmbedder(dim)
     token_mode = getattr(provider, "mode", "sentence") == "token"
-    sel = df.select(*keys, text_col)
+    sel = spread_for_python(df.select(*keys, text_col))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in sel.schema.fields if f.name in keys)
     schema = key_schema + (", pos int" if token_mode else "") + ", vec array<float>"

@@ -95,11 +95,11 @@ def generate_ideal_jobs(profiles: DataFrame, client=None) -> DataFrame:
     prompts = profiles.select("user_id", IDEAL_JOB_PROMPT.column(**profile_prompt_slots(" or ")).alias("prompt"))
     replies = call_text_model(prompts, "prompt", "user_id", client or OfflineIdealJobClient())
     parsed = replies.select("user_id", F.from_json("reply", IDEAL_JOB_SCHEMA).alias("r"))
-    fields = []
-    for f in ("title", "description"):
-        fields.append(parsed.select("user_id", F.lit(f).alias("field"),
-                                    F.posexplode(F.col("r")[f]).alias("idx", "text")))
-    long = fields[0].unionByName(fields[1])
+    # both fields from the one parsed reply: the model is called once
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), F.col("r")[f].alias("texts"))
+                          for f in ("title", "description")])
+    long = (parsed.select("user_id", F.explode(per_field).alias("f"))
+                  .select("user_id", "f.field", F.posexplode("f.texts").alias("idx", "text")))
     lang = F.when(F.col("idx") % 2 == 0, REF_LANGS[0]).otherwise(REF_LANGS[1])
     return long.withColumn("lang", lang).select("user_id", "field", "lang", "idx", "text")
 

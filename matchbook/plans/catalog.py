@@ -736,7 +736,8 @@ def q_scoring_request_stream(spark, sf):
 def q_build_reference_embeddings(spark, sf):
     # Entry 2 over every customer profile: generator (X4) -> provider
     # -> mean per (user, field, lang) (A1), then readiness.
+    from matchbook.operators.embedding import with_readiness
     from matchbook.operators.generators import build_reference_embeddings
     refs = build_reference_embeddings(fx.profiles(spark, sf))
-    return refs.join(ref_readiness(refs).select("user_id", "ready"), "user_id").select(
-        "user_id", "field", "lang", "n_vectors", "ready", F.size("vec").alias("dim"))
+    return with_readiness(refs).select("user_id", "field", "lang", "n_vectors", "ready",
+                                       F.size("vec").alias("dim"))

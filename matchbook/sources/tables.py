@@ -42,6 +42,16 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(target, key or df.columns[0])
 
 
+def spread_for_python(df: DataFrame) -> DataFrame:
+    """Like :func:`spread` but without the size floor: per-row Python work
+    (model hooks) is costly enough that even a small under-split input is
+    worth one shuffle.  No-op when already split across the cores."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 def read_table(spark: SparkSession, base_dir: str, name: str, spread_scan: bool = True) -> DataFrame:
     df = spark.read.parquet(f"{base_dir.rstrip('/')}/{name}.parquet")
     return spread(df) if spread_scan else df
