@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchbook.functions.text import TOKEN_KEEP_CHARS, TOKEN_SPLIT_CHARS, TOKEN_STOP
-from matchbook.sources.tables import spread_for_python
+from matchbook.sources.tables import spread_partitions
 
 # --- fixed values -----------------------------------------------------------
 FIELDS = ("description", "title")
@@ -139,7 +139,7 @@ def embed_texts(df: DataFrame, key_cols, text_col: str,
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     provider = provider or HashingEmbedder(dim)
     token_mode = getattr(provider, "mode", "sentence") == "token"
-    sel = spread_for_python(df.select(*keys, text_col))
+    sel = spread_partitions(df.select(*keys, text_col))
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in sel.schema.fields if f.name in keys)
     schema = key_schema + (", pos int" if token_mode else "") + ", vec array<float>"

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from matchbook.functions.vectors import as_double, dot, norm
 from matchbook.operators.embedding import FIELDS
 from matchbook.operators.sizing import has_at_most
+from matchbook.sources.tables import spread_partitions
 
 REF_BROADCAST_MAX_ROWS = 1_000_000  # ~ 250k users x 4 (field, lang) vectors
 SALT_BUCKETS = 64
@@ -39,7 +40,8 @@ def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_h
     replicated per salt so the pairs spread over ``SALT_BUCKETS`` tasks per
     key instead of one.
     """
-    jobs = (job_vecs.select(job_key, "field", "lang", as_double("vec").alias("vec"))
+    # the job side fans out into one row per user: spread it over the cores
+    jobs = (spread_partitions(job_vecs.select(job_key, "field", "lang", as_double("vec").alias("vec")))
                     .withColumn("_n", norm("vec")))
     r = (refs.select("user_id", "field", "lang", as_double("vec").alias("ref_vec"))
              .withColumn("_rn", norm("ref_vec")))

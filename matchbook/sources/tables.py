@@ -42,10 +42,11 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(target, key or df.columns[0])
 
 
-def spread_for_python(df: DataFrame) -> DataFrame:
-    """Like :func:`spread` but without the size floor: per-row Python work
-    (model hooks) is costly enough that even a small under-split input is
-    worth one shuffle.  No-op when already split across the cores."""
+def spread_partitions(df: DataFrame) -> DataFrame:
+    """Like :func:`spread` but without the size floor, for inputs whose
+    per-row work is large relative to their size (Python model hooks, a
+    side that fans out into many pairs).  No-op when already split across
+    the cores."""
     target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
