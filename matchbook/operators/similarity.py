@@ -104,6 +104,22 @@ def _ref_matrices(pdf, fields):
     return users, out
 
 
+def _unit_rows(col: pd.Series, dim: int) -> np.ndarray:
+    """Arrow list column -> (rows x dim) unit vectors; NaN rows where the
+    vector is missing, zero or of the wrong length.  Vectorised: one stack
+    and one norm over the batch."""
+    out = np.full((len(col), dim), np.nan)
+    vals = col.to_numpy()
+    ok = np.array([v is not None and len(v) == dim for v in vals], dtype=bool)
+    if ok.any():
+        m = np.stack([np.asarray(v, np.float64) for v in vals[ok]])
+        n = np.linalg.norm(m, axis=1)
+        good = n > 0
+        idx = np.nonzero(ok)[0]
+        out[idx[good]] = m[good] / n[good, None]
+    return out
+
+
 def _batch_leaders(keys: np.ndarray, scores: np.ndarray, users: np.ndarray, n: int):
     """Per user column: every job whose score ties or beats the n-th best.
 
@@ -172,15 +188,7 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
                 if lang not in mats_ or len(users_) == 0:
                     continue
                 keys = g[job_key].to_numpy()
-                per_field = []
-                for f, c in zip(fields, vec_cols):
-                    rows = []
-                    for v in g[c]:
-                        a = np.asarray(v, np.float64) if v is not None else None
-                        nrm = np.linalg.norm(a) if a is not None and a.size else 0.0
-                        rows.append(a / nrm if nrm > 0 and a.size == mats_[lang][f].shape[1]
-                                    else np.full(mats_[lang][f].shape[1], np.nan))
-                    per_field.append(np.vstack(rows) if rows else np.empty((0, 0)))
+                per_field = [_unit_rows(g[c], mats_[lang][f].shape[1]) for f, c in zip(fields, vec_cols)]
                 for lo in range(0, len(users_), user_block):
                     hi = min(lo + user_block, len(users_))
                     total = None

@@ -741,3 +741,31 @@ def q_build_reference_embeddings(spark, sf):
     refs = build_reference_embeddings(fx.profiles(spark, sf))
     return with_readiness(refs).select("user_id", "field", "lang", "n_vectors", "ready",
                                        F.size("vec").alias("dim"))
+
+
+REVIEW_STORE_SCHEMA = ("user_id long, job_hash string, llm_score int, fasttext_score double, "
+                       "llm_comment string, llm_version string, fasttext_version string")
+
+
+@query("scoring_run")
+def q_scoring_run(spark, sf):
+    # Entry 1 twice over the landed postings: a FastText run into an empty
+    # review store, then an LLM run into the result.  The LLM run must add
+    # its columns to the same (user, posting) rows without erasing scores.
+    from matchbook.plans.scoring_run import score_new_postings
+    raw = fx.raw_postings(spark, sf)
+    kw = keyword_table(spark)
+    lang = F.lower(F.col("location"))
+    empty = spark.createDataFrame([], REVIEW_STORE_SCHEMA)
+    ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
+                          F.col("what_or").alias("text"))
+    _, after_fast = score_new_postings(raw, kw, empty, "FastText", lang, run_date=RUN_DATE,
+                                       ref_texts=ref_texts)
+    profiles = kw.select("user_id", F.split("what_or", " ").alias("job_titles"),
+                         F.col("what_or").alias("ideal_job"),
+                         F.array(F.struct(F.lit("search").alias("name"),
+                                          F.lit(100).alias("weight_pct"))).alias("technical_skills"),
+                         F.lit(1).alias("education"), F.lit(1).alias("experience"))
+    _, after_llm = score_new_postings(raw, kw, after_fast, "LLM", lang, run_date=RUN_DATE,
+                                      profiles=profiles)
+    return after_llm
