@@ -20,15 +20,20 @@ from pyspark.sql import functions as F
 
 from matchbook.functions.vectors import as_double, dot, norm
 from matchbook.operators.embedding import FIELDS
-from matchbook.operators.sizing import has_at_most
+from matchbook.operators.sizing import (DEFAULT_MAX_BROADCAST_BYTES, ELEMENT_BYTES, ROW_OVERHEAD_BYTES,
+                                        fits_in_bytes)
 from matchbook.sources.tables import spread_partitions
 
 REF_BROADCAST_MAX_ROWS = 1_000_000  # ~ 250k users x 4 (field, lang) vectors
+# The reference side is broadcast only when it also fits this many bytes
+# (at dim 64 about 250k vectors, at dim 300 about 55k).
+REF_BROADCAST_MAX_BYTES = DEFAULT_MAX_BROADCAST_BYTES
 SALT_BUCKETS = 64
 
 
 def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_hash",
-                     max_broadcast_rows: int = REF_BROADCAST_MAX_ROWS) -> DataFrame:
+                     max_broadcast_rows: int = REF_BROADCAST_MAX_ROWS,
+                     max_broadcast_bytes: int = REF_BROADCAST_MAX_BYTES) -> DataFrame:
     """Cosine similarity of each job field vector with each user's reference
     vector for the same (field, lang).
 
@@ -36,7 +41,7 @@ def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_h
     lang, vec)``.  Each side's norm is computed once per vector, before the
     join, so a pair costs one dot product; a zero vector gives NULL.  The join key has only a few
     values, so the reference side is broadcast when a bounded probe proves
-    it small, and otherwise the jobs are salted and the references
+    it small in rows and bytes, and otherwise the jobs are salted and the references
     replicated per salt so the pairs spread over ``SALT_BUCKETS`` tasks per
     key instead of one.
     """
@@ -45,7 +50,7 @@ def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_h
                     .withColumn("_n", norm("vec")))
     r = (refs.select("user_id", "field", "lang", as_double("vec").alias("ref_vec"))
              .withColumn("_rn", norm("ref_vec")))
-    if has_at_most(r, max_broadcast_rows):
+    if fits_in_bytes(r, "ref_vec", max_broadcast_bytes, max_broadcast_rows):
         pairs = jobs.join(F.broadcast(r), ["field", "lang"])
     else:
         salted = jobs.withColumn("_salt", F.pmod(F.xxhash64(job_key), F.lit(SALT_BUCKETS)))
@@ -73,12 +78,21 @@ def wide_job_vectors(job_vecs: DataFrame, job_key: str = "job_hash", fields=FIEL
     return job_vecs.groupBy(job_key, "lang").agg(*aggs)
 
 
-def _collect_refs(refs: DataFrame, max_rows: int):
-    """Collect at most ``max_rows`` reference rows in one job; ``None`` when
-    there are more (the probe and the collection are the same job)."""
-    pdf = refs.select("user_id", "field", "lang", as_double("vec").alias("vec")) \
-              .limit(max_rows + 1).toPandas()
-    return None if len(pdf) > max_rows else pdf
+def _collect_refs(refs: DataFrame, max_rows: int, max_bytes: int):
+    """Reference rows as pandas when a bounded probe proves they fit
+    ``max_rows`` rows and ``max_bytes`` bytes; ``None`` otherwise."""
+    if not fits_in_bytes(refs, "vec", max_bytes, max_rows):
+        return None
+    return refs.select("user_id", "field", "lang", as_double("vec").alias("vec")).toPandas()
+
+
+def _user_blocks(refs: DataFrame, max_rows: int, max_bytes: int) -> int:
+    """How many user blocks keep each block's references within both
+    limits (one aggregate job; a spare block absorbs hash imbalance)."""
+    r = refs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec").cast("long")).alias("e")).first()
+    n, e = int(r["n"]), int(r["e"] or 0)
+    by_bytes = (n * ROW_OVERHEAD_BYTES + e * ELEMENT_BYTES) / max_bytes
+    return int(np.ceil(max(n / max_rows, by_bytes))) + 1
 
 
 def _ref_matrices(pdf, fields):
@@ -148,25 +162,24 @@ def _batch_leaders(keys: np.ndarray, scores: np.ndarray, users: np.ndarray, n: i
 
 def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str = "job_hash",
                      fields=FIELDS, max_ref_rows: int = REF_BROADCAST_MAX_ROWS,
-                     user_block: int = 4096) -> DataFrame:
+                     user_block: int = 4096,
+                     max_ref_bytes: int = REF_BROADCAST_MAX_BYTES) -> DataFrame:
     """Per-batch leaders ``(user_id, job_key, score)`` for a later exact
     per-user top-N (see :func:`matchbook.operators.ranking.top_n_per_group`).
 
     score = mean over ``fields`` of cosine(job field vector, user reference
     vector for that field and the job's language); NULL if any is missing.
-    The reference matrices are broadcast only after a bounded probe; above
-    the limit the users are processed in blocks, each block broadcast on
-    its own and the results unioned (exact, one job scan per block).
+    The reference matrices are broadcast only after a bounded probe of
+    their rows and bytes; above the limits the users are hashed into
+    blocks, each block broadcast on its own and the results unioned
+    (exact; one scan of the jobs per block).
     """
-    collected = _collect_refs(refs, max_ref_rows)
+    collected = _collect_refs(refs, max_ref_rows, max_ref_bytes)
     if collected is None:
-        ids = refs.select("user_id").distinct()
-        blocks = ids.withColumn("_blk", F.pmod(F.xxhash64("user_id"),
-                                               F.lit(int(np.ceil(refs.count() / max_ref_rows)) + 1)))
-        n_blk = blocks.agg(F.max("_blk")).first()[0] + 1
-        parts = [top_similar_jobs(wide_jobs, refs.join(blocks.where(F.col("_blk") == b).select("user_id"),
-                                                       "user_id", "left_semi"),
-                                  n, job_key, fields, max_ref_rows, user_block)
+        n_blk = _user_blocks(refs, max_ref_rows, max_ref_bytes)
+        blk = F.pmod(F.xxhash64("user_id"), F.lit(n_blk))
+        parts = [top_similar_jobs(wide_jobs, refs.where(blk == b), n, job_key, fields,
+                                  max_ref_rows, user_block, max_ref_bytes)
                  for b in range(n_blk)]
         out = parts[0]
         for p in parts[1:]:

@@ -2,7 +2,9 @@
 
 A side is broadcast only after a bounded probe proves it has at most
 ``max_rows`` rows (``limit(max_rows + 1).count()`` stops early, so the probe
-itself is cheap).  Callers supply the other plan for the large case.
+itself is cheap).  Sides that carry vectors are also bounded in bytes: a
+row count alone says nothing when each row holds an array of unknown
+length.  Callers supply the other plan for the large case.
 """
 
 from __future__ import annotations
@@ -11,6 +13,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+# Budget for a broadcast side holding vectors (each executor keeps a copy,
+# and a Python-side broadcast one per Python worker).
+DEFAULT_MAX_BROADCAST_BYTES = 128 << 20
+ELEMENT_BYTES = 8                       # vectors are widened to DOUBLE
+ROW_OVERHEAD_BYTES = 64                 # keys and array headers, per row
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
@@ -22,3 +29,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     if has_at_most(df, max_rows):
         return F.broadcast(df), True
     return df, False
+
+
+def fits_in_bytes(df: DataFrame, array_cols, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+                  max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
+    """Bounded probe: at most ``max_rows`` rows whose ``array_cols`` hold at
+    most ``max_bytes`` in all (``ELEMENT_BYTES`` per element plus a fixed
+    per-row overhead).  One job over at most ``max_rows + 1`` rows."""
+    cols = [array_cols] if isinstance(array_cols, str) else list(array_cols)
+    elems = sum((F.coalesce(F.size(c), F.lit(0)) for c in cols), F.lit(0))
+    r = (df.limit(max_rows + 1)
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(elems.cast("long")).alias("e"))
+           .first())
+    n, e = int(r["n"]), int(r["e"] or 0)
+    return n <= max_rows and n * ROW_OVERHEAD_BYTES + e * ELEMENT_BYTES <= max_bytes

@@ -65,3 +65,26 @@ def test_kernel_user_blocks(spark):
                               "user_id", "score", n, "job_hash")
     key = lambda r: (r.user_id, r.rank, r.job_hash, None if r.score is None else round(r.score, 9))
     assert sorted(map(key, one.collect())) == sorted(map(key, blocked.collect()))
+
+
+def test_byte_budget_forces_the_large_plans(spark):
+    # 9 users x 4 vectors of 6 doubles: a 1 kB budget admits ~2 users'
+    # references, so the join salts and the kernel splits users into blocks.
+    from matchbook.operators.sizing import fits_in_bytes
+    jv, rv = _data(spark, n_jobs=60, n_users=9)
+    assert fits_in_bytes(rv, "vec", max_bytes=1 << 20)
+    assert not fits_in_bytes(rv, "vec", max_bytes=1000)
+    n = 5
+    key = lambda r: (r.user_id, r.rank, r.job_hash, None if r.score is None else round(r.score, 9))
+    one = top_n_per_group(top_similar_jobs(wide_job_vectors(jv), rv, n), "user_id", "score", n, "job_hash")
+    blocked = top_n_per_group(top_similar_jobs(wide_job_vectors(jv), rv, n, max_ref_bytes=1000),
+                              "user_id", "score", n, "job_hash")
+    assert sorted(map(key, one.collect())) == sorted(map(key, blocked.collect()))
+    a = field_similarity(jv, rv)
+    b = field_similarity(jv, rv, max_broadcast_bytes=1000)
+    assert "BroadcastHashJoin" not in b._jdf.queryExecution().executedPlan().toString()
+    ka = sorted((r.user_id, r.job_hash, r.field, None if r.similarity is None else round(r.similarity, 9))
+                for r in a.collect())
+    kb = sorted((r.user_id, r.job_hash, r.field, None if r.similarity is None else round(r.similarity, 9))
+                for r in b.collect())
+    assert ka == kb
