@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.operators.embedding import elementwise_mean
-from matchbook.sources.tables import read_table
+from matchbook.sources.tables import read_table, spread
 
 # --- fixed values of the fixture mapping ------------------------------------
 BASE_DATE = "2024-01-01"
@@ -27,14 +27,17 @@ def posted_date(doc_id: Column) -> Column:
 
 
 def postings(spark: SparkSession, sf: str) -> DataFrame:
-    """documents as flat postings: ``job_hash = doc_id``."""
-    d = read_table(spark, sf, "documents")
-    return d.select(F.col("doc_id").alias("job_hash"),
+    """documents as flat postings: ``job_hash = doc_id``.
+
+    Projected before any spread, so a shuffle carries the derived columns a
+    query uses (a 60-character title) rather than whole texts."""
+    d = read_table(spark, sf, "documents", spread_scan=False)
+    return spread(d.select(F.col("doc_id").alias("job_hash"),
                     F.substring("text", 1, TITLE_CHARS).alias("title"),
                     F.col("source").alias("company"),
                     F.col("text").alias("description"),
                     F.col("lang"),
-                    posted_date(F.col("doc_id")).alias("posted_date"))
+                    posted_date(F.col("doc_id")).alias("posted_date")))
 
 
 def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,14 +46,14 @@ def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
     ``created`` carries a time and a UTC offset per language; a company is
     missing for one source, exercising the missing-value path.
     """
-    d = read_table(spark, sf, "documents")
+    d = read_table(spark, sf, "documents", spread_scan=False)
     hour = F.lpad((F.col("doc_id") % 24).cast("string"), 2, "0")
     offset = (F.when(F.col("lang") == "fr", F.lit("+02:00"))
                 .when(F.col("lang") == "de", F.lit("-05:00"))
                 .otherwise(F.lit("Z")))
     created = F.concat(F.date_format(posted_date(F.col("doc_id")), "yyyy-MM-dd"),
                        F.lit("T"), hour, F.lit(":30:00"), offset)
-    return d.select(
+    return spread(d.select(
         F.col("doc_id").alias("pos"),
         F.substring("text", 1, TITLE_CHARS).alias("title"),
         F.col("text").alias("description"),
@@ -59,7 +62,7 @@ def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.nullif(F.col("source"), F.lit("src0")).alias("display_name")).alias("company"),
         F.struct(F.upper("lang").alias("display_name"),
                  F.array(F.upper("lang"), F.col("source")).alias("area")).alias("location"),
-    )
+    ))
 
 
 def job_field_vectors(spark: SparkSession, sf: str) -> DataFrame:
