@@ -715,6 +715,30 @@ def q_ingest_dedup_stream(spark, sf):
         "job_hash", "event_id", "user_id", "event_type")
 
 
+WINDOW_DELAY_SECONDS = 3600
+WINDOW_COUNTS_SQL = f"""
+WITH r AS (SELECT ts, CASE WHEN event_type IN ('click', 'view') THEN 'FastText' ELSE 'LLM' END AS implementation
+           FROM events),
+wm AS (SELECT max(ts) - INTERVAL {WINDOW_DELAY_SECONDS} SECOND AS watermark FROM events)
+SELECT CAST(r.ts AS DATE) AS window_day, r.implementation, count(*) AS n_requests
+FROM r JOIN wm ON CAST(r.ts AS DATE) + INTERVAL 1 DAY <= wm.watermark
+GROUP BY ALL
+"""
+
+
+@query("request_window_counts", WINDOW_COUNTS_SQL)
+def q_request_window_counts(spark, sf):
+    # Requests per day and implementation as a stream.  Append mode
+    # emits a window once the watermark (latest event time minus the delay)
+    # has passed its end, so the still-open last day is held back.
+    from matchbook.streaming.ingest_stream import window_counts
+    from matchbook.streaming.runner import run_to_table
+    s = window_counts(_requests_of(_event_stream(spark, sf)), "implementation", "ts", "1 day",
+                      f"{WINDOW_DELAY_SECONDS} seconds")
+    return run_to_table(s, "window-counts").select(F.to_date("window_start").alias("window_day"),
+                                                   "implementation", "n_requests")
+
+
 @query("scoring_request_stream")
 def q_scoring_request_stream(spark, sf):
     from matchbook.streaming.request_stream import serve_requests
