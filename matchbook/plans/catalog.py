@@ -739,7 +739,45 @@ def q_request_window_counts(spark, sf):
                                                    "implementation", "n_requests")
 
 
-@query("scoring_request_stream")
+# One landed request file is one micro-batch (epoch 0); each
+# implementation's requesters get the flagship ranking against that
+# implementation's seen set.
+REQUEST_STREAM_SQL = f"""
+WITH {JV_SQL},
+req AS (SELECT DISTINCT user_id,
+               CASE WHEN event_type IN ('click', 'view') THEN 'FastText' ELSE 'LLM' END AS implementation
+        FROM events),
+ready AS (SELECT user_id FROM refs WHERE vec IS NOT NULL GROUP BY user_id
+          HAVING count(DISTINCT field || lang) = 4),
+seen AS (SELECT 'FastText' AS implementation, doc_id FROM labels WHERE toxic IS NOT NULL
+         UNION ALL
+         SELECT 'LLM' AS implementation, doc_id FROM labels WHERE quality IS NOT NULL),
+cand AS (SELECT 'FastText' AS implementation, doc_id AS job_hash FROM documents
+         WHERE doc_id IN (SELECT job_hash FROM jv)
+           AND doc_id NOT IN (SELECT doc_id FROM seen WHERE implementation = 'FastText')
+         UNION ALL
+         SELECT 'LLM' AS implementation, doc_id AS job_hash FROM documents
+         WHERE doc_id IN (SELECT job_hash FROM jv)
+           AND doc_id NOT IN (SELECT doc_id FROM seen WHERE implementation = 'LLM')),
+sims AS (
+  SELECT q.implementation, r.user_id, j.job_hash, list_cosine_similarity(j.vec, r.vec) AS sim
+  FROM jv j JOIN refs r USING (field, lang)
+  JOIN req q ON q.user_id = r.user_id
+  JOIN cand c ON c.implementation = q.implementation AND c.job_hash = j.job_hash
+  WHERE r.user_id IN (SELECT user_id FROM ready)),
+scores AS (
+  SELECT implementation, user_id, job_hash, CASE WHEN count(sim) = 2 THEN avg(sim) END AS score
+  FROM sims GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY implementation, user_id
+                               ORDER BY score DESC NULLS LAST, job_hash) AS rk
+  FROM scores)
+SELECT implementation, 0 AS epoch_id, user_id, rk::INTEGER AS rank, job_hash, round(score, 6) AS score
+FROM ranked WHERE rk <= 10
+"""
+
+
+@query("scoring_request_stream", REQUEST_STREAM_SQL)
 def q_scoring_request_stream(spark, sf):
     from matchbook.streaming.request_stream import serve_requests
     from matchbook.streaming.runner import run_foreach_batch, stream_dirs
