@@ -99,6 +99,11 @@ class HashingEmbedder:
     text's sentence vector is the mean of its token vectors.  It needs no
     model files and no network, and is the default for tests and benches.
     Real providers follow the same call signature.
+
+    Digest rule (MD5 of the UTF-8 token, as hex): the first 8 hex digits as
+    an unsigned integer, modulo ``dim``, give the coordinate; the next two
+    digits give the sign (odd: +1, even: -1).  MD5 is used because SQL
+    engines have it too, so the stub's output can be checked independently.
     """
 
     def __init__(self, dim: int = 64, mode: str = "sentence"):
@@ -107,9 +112,9 @@ class HashingEmbedder:
         self.dim, self.mode = dim, mode
 
     def _token_vec(self, tok: str) -> np.ndarray:
-        h = hashlib.blake2b(tok.encode("utf-8"), digest_size=8).digest()
-        idx = int.from_bytes(h[:4], "little") % self.dim
-        sign = 1.0 if h[4] & 1 else -1.0
+        h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+        idx = int(h[:8], 16) % self.dim
+        sign = 1.0 if int(h[8:10], 16) & 1 else -1.0
         v = np.zeros(self.dim, dtype=np.float32)
         v[idx] = sign
         return v

@@ -55,7 +55,7 @@ class OfflineIdealJobClient:
             titles, descs = [], []
             for i in range(IDEAL_JOBS_PER_PROFILE):
                 for lang in ("fr", "en"):
-                    k = int.from_bytes(hashlib.blake2b(f"{p}|{i}|{lang}".encode(), digest_size=4).digest(), "little")
+                    k = int(hashlib.md5(f"{p}|{i}|{lang}".encode()).hexdigest()[:8], 16)
                     pick = [words[(k + j) % len(words)] for j in range(4)]
                     titles.append(" ".join(pick[:2]))
                     descs.append(f"{lang}: " + " ".join(pick))

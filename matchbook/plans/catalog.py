@@ -490,7 +490,81 @@ def q_parse_llm_response(spark, sf):
         "job_hash", "llm_score", "llm_comment", "reply_valid", "llm_version", "title")
 
 
-@query("score_with_registry")
+def _stub_vectors_sql(name: str, src: str, keys: str, dim: int = 64) -> str:
+    """CTEs ``{name}_c(keys, idx, v)`` and ``{name}_n(keys, nrm)``: the
+    offline embedder's sentence vectors (mean of signed one-hot token
+    vectors, float32) in sparse form, from ``src(keys, text)``."""
+    return f"""
+{name}_t AS (SELECT {keys}, len(toks) AS n, toks
+             FROM (SELECT {keys}, {T.tokenize_sql_duckdb("text")} AS toks FROM {src})),
+{name}_c AS (
+  SELECT {keys}, idx, ((sum(sgn)::DOUBLE / any_value(n))::FLOAT)::DOUBLE AS v FROM (
+    SELECT {keys}, n, ('0x' || substr(md5(tok), 1, 8))::UBIGINT % {dim} AS idx,
+           CASE WHEN (('0x' || substr(md5(tok), 9, 2))::INTEGER & 1) = 1 THEN 1 ELSE -1 END AS sgn
+    FROM (SELECT {keys}, n, unnest(toks) AS tok FROM {name}_t))
+  GROUP BY ALL),
+{name}_n AS (SELECT {keys}, sqrt(sum(v * v)) AS nrm FROM {name}_c GROUP BY ALL)"""
+
+
+def _offline_scorers_sql(pairs: str, posts: str, kw: str) -> str:
+    """CTEs ``fast`` and ``llm``: what the registry's two scorers return with
+    the offline stubs, for ``pairs(user_id, job_hash)``,
+    ``posts(job_hash, title, company, description, lang)`` and
+    ``kw(user_id, what_or, what_exclude)`` (profiles derived from the search
+    terms, the search terms as the reference text)."""
+    prompt = MATCH_PROMPT.sql(
+        titles="array_to_string(string_split(k.what_or, ' '), ', ')",
+        ideal_job="coalesce(k.what_or, '')", skills="'search'",
+        education=f"coalesce({dims.map_sql_duckdb(dims.EDUCATION_LABELS, '1')}, 'unknown')",
+        experience=f"coalesce({dims.map_sql_duckdb(dims.EXPERIENCE_LABELS, '1')}, 'unknown')",
+        job_title="coalesce(d.title, '')", company="coalesce(d.company, '')",
+        description="substr(coalesce(d.description, ''), 1, 1000)")
+    routed = f"lower(lang) IN ('fr', 'en') AND job_hash IN (SELECT job_hash FROM {pairs})"
+    return f"""
+jt AS (SELECT job_hash, 'description' AS field, description AS text FROM {posts} WHERE {routed}
+       UNION ALL
+       SELECT job_hash, 'title' AS field, title AS text FROM {posts} WHERE {routed}),
+rt AS (SELECT user_id, 'description' AS field, what_or AS text FROM {kw}
+       UNION ALL
+       SELECT user_id, 'title' AS field, what_or AS text FROM {kw}),
+{_stub_vectors_sql("jv", "jt", "job_hash, field")},
+{_stub_vectors_sql("rv", "rt", "user_id, field")},
+pf AS (SELECT p.user_id, p.job_hash, jt.field FROM {pairs} p JOIN jt ON jt.job_hash = p.job_hash),
+dots AS (SELECT pf.user_id, pf.job_hash, pf.field, sum(j.v * r.v) AS dot
+         FROM pf JOIN jv_c j ON j.job_hash = pf.job_hash AND j.field = pf.field
+                 JOIN rv_c r ON r.user_id = pf.user_id AND r.field = pf.field AND r.idx = j.idx
+         GROUP BY ALL),
+sims AS (SELECT pf.user_id, pf.job_hash,
+                CASE WHEN jn.nrm > 0 AND rn.nrm > 0 THEN coalesce(dots.dot, 0) / (jn.nrm * rn.nrm) END AS sim
+         FROM pf LEFT JOIN dots USING (user_id, job_hash, field)
+                 LEFT JOIN jv_n jn ON jn.job_hash = pf.job_hash AND jn.field = pf.field
+                 LEFT JOIN rv_n rn ON rn.user_id = pf.user_id AND rn.field = pf.field),
+fast AS (SELECT user_id, job_hash, 'FastText' AS implementation,
+                CASE WHEN count(sim) = 2 THEN avg(sim) END AS score,
+                NULL::VARCHAR AS comment, '1.0.0' AS version
+         FROM sims GROUP BY user_id, job_hash),
+lp AS (SELECT p.user_id, p.job_hash, {prompt} AS prompt
+       FROM {pairs} p JOIN {kw} k ON k.user_id = p.user_id JOIN {posts} d ON d.job_hash = p.job_hash),
+llm AS (SELECT user_id, job_hash, 'LLM' AS implementation,
+               (('0x' || substr(md5(prompt), 1, 8))::UBIGINT % 11)::DOUBLE AS score,
+               'offline score for ' || length(prompt)::VARCHAR || ' chars' AS comment, '1.0.0' AS version
+        FROM lp)"""
+
+
+SCORE_REGISTRY_SQL = f"""
+WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
+t AS (SELECT doc_id, {T.tokenize_sql_duckdb("text")} AS toks FROM documents),
+pairs AS (SELECT kw.user_id::BIGINT AS user_id, t.doc_id AS job_hash FROM t JOIN kw
+          ON list_has_any(t.toks, string_split(kw.what_or, ' '))
+         AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))),
+posts AS (SELECT doc_id AS job_hash, substr(text, 1, 60) AS title, source AS company,
+                 text AS description, lang FROM documents),
+{_offline_scorers_sql("pairs", "posts", "kw")}
+SELECT * FROM fast UNION ALL SELECT * FROM llm
+"""
+
+
+@query("score_with_registry", SCORE_REGISTRY_SQL)
 def q_score_with_registry(spark, sf):
     from matchbook.plans.scorers import default_registry
     reg = default_registry()
