@@ -103,8 +103,7 @@ def _strip_sql(e):
 
 RUN_DATE = "2024-03-01"
 
-FLATTEN_SQL = f"""
-WITH raw AS (
+RAW_POSTINGS_CTE = """raw AS (
   SELECT doc_id AS pos, substr(text, 1, 60) AS title, text AS description,
          strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d') || 'T' ||
            lpad((doc_id % 24)::VARCHAR, 2, '0') || ':30:00' ||
@@ -112,7 +111,10 @@ WITH raw AS (
          'https://jobs.invalid/' || doc_id::VARCHAR AS redirect_url,
          nullif(source, 'src0') AS company_name, upper(lang) AS loc_name,
          [upper(lang), source] AS area
-  FROM documents)
+  FROM documents)"""
+
+FLATTEN_SQL = f"""
+WITH {RAW_POSTINGS_CTE}
 SELECT pos, redirect_url AS url, lower(description) AS description, lower(title) AS title,
        TRY_CAST(substr(created, 1, 10) AS DATE) AS posted_date,
        upper(coalesce(company_name, 'unknown')) AS company,
@@ -893,7 +895,29 @@ REVIEW_STORE_SCHEMA = ("user_id long, job_hash string, llm_score int, fasttext_s
                        "llm_comment string, llm_version string, fasttext_version string")
 
 
-@query("scoring_run")
+SCORING_RUN_SQL = f"""
+WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
+{RAW_POSTINGS_CTE},
+clean AS (SELECT pos, redirect_url AS url, lower(description) AS description, lower(title) AS title,
+                 TRY_CAST(substr(created, 1, 10) AS DATE) AS posted_date,
+                 upper(coalesce(company_name, 'unknown')) AS company, lower(loc_name) AS lang
+          FROM raw),
+posts AS (SELECT job_hash, title, company, description, lang FROM (
+            SELECT *, {_hash_sql("title", "company", "posted_date")} AS job_hash FROM clean)
+          QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY pos, url) = 1),
+t AS (SELECT job_hash, {T.tokenize_sql_duckdb("description")} AS toks FROM posts),
+pairs AS (SELECT kw.user_id::BIGINT AS user_id, t.job_hash FROM t JOIN kw
+          ON list_has_any(t.toks, string_split(kw.what_or, ' '))
+         AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))),
+{_offline_scorers_sql("pairs", "posts", "kw")}
+SELECT coalesce(l.user_id, f.user_id) AS user_id, coalesce(l.job_hash, f.job_hash) AS job_hash,
+       l.score::INTEGER AS llm_score, f.score AS fasttext_score, l.comment AS llm_comment,
+       l.version AS llm_version, f.version AS fasttext_version
+FROM llm l FULL OUTER JOIN fast f ON l.user_id = f.user_id AND l.job_hash = f.job_hash
+"""
+
+
+@query("scoring_run", SCORING_RUN_SQL)
 def q_scoring_run(spark, sf):
     # Entry 1 twice over the landed postings: a FastText run into an empty
     # review store, then an LLM run into the result.  The LLM run must add
