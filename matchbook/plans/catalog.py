@@ -880,15 +880,54 @@ def q_scoring_request_stream(spark, sf):
                                           "job_hash", "score")
 
 
-@query("build_reference_embeddings")
+# The offline ideal-job generator: distinct prompt words longer than two
+# characters, in first-seen order; slot (i, lang) picks 4 consecutive words
+# from an MD5 offset; title = 2 words, description = "lang: " + 4 words.
+BUILD_REFS_SQL = f"""
+WITH p AS (SELECT c_custkey AS user_id, {IDEAL_JOB_PROMPT.sql(**_profile_slots(" or ", False))} AS prompt
+           FROM customer),
+tw AS (SELECT user_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos
+       FROM (SELECT user_id, {T.tokenize_sql_duckdb("prompt")} AS toks FROM p)),
+wl AS (SELECT user_id, list(w ORDER BY first_pos) AS words
+       FROM (SELECT user_id, w, min(pos) AS first_pos FROM tw WHERE length(w) > 2 GROUP BY ALL)
+       GROUP BY user_id),
+slots AS (SELECT p.user_id, p.prompt, coalesce(wl.words, ['job']) AS words,
+                 unnest([0, 0, 1, 1, 2, 2]) AS i, unnest(['fr', 'en', 'fr', 'en', 'fr', 'en']) AS lc
+          FROM p LEFT JOIN wl ON wl.user_id = p.user_id),
+picks AS (SELECT user_id, i, lc, words, n,
+                 (('0x' || substr(md5(prompt || '|' || i::VARCHAR || '|' || lc), 1, 8))::UBIGINT % n)::BIGINT AS o
+          FROM (SELECT *, len(words) AS n FROM slots)),
+texts AS (SELECT user_id, upper(lc) AS lang, i, 'title' AS field,
+                 words[o + 1] || ' ' || words[(o + 1) % n + 1] AS text FROM picks
+          UNION ALL
+          SELECT user_id, upper(lc) AS lang, i, 'description' AS field,
+                 lc || ': ' || words[o + 1] || ' ' || words[(o + 1) % n + 1] || ' ' ||
+                 words[(o + 2) % n + 1] || ' ' || words[(o + 3) % n + 1] AS text FROM picks),
+{_stub_vectors_sql("tv", "texts", "user_id, lang, i, field")},
+grp AS (SELECT user_id, field, lang, count(*) AS n_vectors FROM texts GROUP BY ALL),
+comp AS (SELECT c.user_id, c.field, c.lang, c.idx, sum(c.v) / any_value(g.n_vectors) AS m
+         FROM tv_c c JOIN grp g USING (user_id, field, lang) GROUP BY ALL),
+agg AS (SELECT user_id, field, lang, sqrt(sum(m * m)) AS nrm, sum(m) AS vs FROM comp GROUP BY ALL)
+SELECT g.user_id, g.field, g.lang, g.n_vectors, count(*) OVER (PARTITION BY g.user_id) = 4 AS ready,
+       64 AS dim, round(coalesce(a.nrm, 0), 6) AS vec_norm, round(coalesce(a.vs, 0), 6) AS vec_sum
+FROM grp g LEFT JOIN agg a USING (user_id, field, lang)
+"""
+
+
+@query("build_reference_embeddings", BUILD_REFS_SQL)
 def q_build_reference_embeddings(spark, sf):
     # Entry 2 over every customer profile: generator (X4) -> provider
-    # -> mean per (user, field, lang) (A1), then readiness.
+    # -> mean per (user, field, lang) (A1), then readiness (P17).  The norm
+    # and the sum of each mean vector make its values part of the check.
+    from matchbook.functions.vectors import norm
     from matchbook.operators.embedding import with_readiness
     from matchbook.operators.generators import build_reference_embeddings
     refs = build_reference_embeddings(fx.profiles(spark, sf))
+    total = F.aggregate("vec", F.lit(0.0).cast("double"), lambda acc, x: acc + x)
     return with_readiness(refs).select("user_id", "field", "lang", "n_vectors", "ready",
-                                       F.size("vec").alias("dim"))
+                                       F.size("vec").alias("dim"),
+                                       F.round(norm("vec"), 6).alias("vec_norm"),
+                                       F.round(total, 6).alias("vec_sum"))
 
 
 REVIEW_STORE_SCHEMA = ("user_id long, job_hash string, llm_score int, fasttext_score double, "
