@@ -81,9 +81,15 @@ def wide_job_vectors(job_vecs: DataFrame, job_key: str = "job_hash", fields=FIEL
 def _collect_refs(refs: DataFrame, max_rows: int, max_bytes: int):
     """Reference rows as pandas when a bounded probe proves they fit
     ``max_rows`` rows and ``max_bytes`` bytes; ``None`` otherwise."""
-    if not fits_in_bytes(refs, "vec", max_bytes, max_rows):
-        return None
-    return refs.select("user_id", "field", "lang", as_double("vec").alias("vec")).toPandas()
+    # probe and collection read the same rows: keep them between the two
+    # jobs (a cache only; lost blocks are recomputed from lineage)
+    sel = refs.select("user_id", "field", "lang", as_double("vec").alias("vec")).persist()
+    try:
+        if not fits_in_bytes(sel, "vec", max_bytes, max_rows):
+            return None
+        return sel.toPandas()
+    finally:
+        sel.unpersist()
 
 
 def _user_blocks(refs: DataFrame, max_rows: int, max_bytes: int) -> int:
