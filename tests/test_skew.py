@@ -6,7 +6,6 @@ import random
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from matchbook.operators.embedding import elementwise_mean
 from matchbook.operators.identity import latest_per_key
