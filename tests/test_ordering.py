@@ -40,3 +40,30 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
         out.append(sorted(map(tuple, top_n_per_group(df, "user_id", "score", 5, "job_hash").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert out[0] == out[1] == out[2]
+
+
+def test_global_index_edge_keys(spark):
+    import datetime as dt
+    import random
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for i in range(1500):
+        src = "hot" if rnd.random() < 0.5 else rnd.choice(["a", "b", None])   # hot prefix, NULLs
+        ts = None if rnd.random() < 0.05 else t0 + dt.timedelta(seconds=rnd.randrange(10**6))
+        rows.append((src, ts, i))
+    df = spark.createDataFrame(rows, "src string, ts timestamp, id long").repartition(5)
+
+    def want_order(rs):
+        key = lambda r: ((r[0] is not None, r[0] or ""), (r[1] is not None, r[1] or t0), r[2])
+        return [r[2] for r in sorted(rs, key=key)]
+
+    for parts in ("1", "3", "64"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = with_global_index(df, ["src", "ts", "id"], "rn").collect()
+        assert sorted(r.rn for r in got) == list(range(1, len(rows) + 1))
+        assert [r.id for r in sorted(got, key=lambda r: r.rn)] == want_order(rows)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    empty = df.where("id < 0")
+    assert with_global_index(empty, ["src", "id"], "rn").count() == 0
+
