@@ -89,7 +89,8 @@ from matchbook.operators.profile import skill_share, standard_rules, validate_pr
 from matchbook.operators.ranking import top_n, top_n_per_group  # noqa: E402
 from matchbook.operators.scoring import parse_replies  # noqa: E402
 from matchbook.operators.seen import IMPLEMENTATIONS, drop_seen, seen_hashes  # noqa: E402
-from matchbook.operators.similarity import field_similarity, job_scores  # noqa: E402
+from matchbook.operators.similarity import (field_similarity, job_scores, top_similar_jobs,  # noqa: E402
+                                            wide_job_vectors)
 from matchbook.sources.tables import read_table  # noqa: E402
 
 WS = T.PY_WHITESPACE_RE2
@@ -382,7 +383,11 @@ WHERE s.rk <= 10
 
 @query("top_n_per_user", TOP_N_SQL)
 def q_top_n_per_user(spark, sf):
-    top = top_n_per_group(job_scores(_field_sims(spark, sf)), "user_id", "score", 10, "job_hash")
+    # Ranking goes through the block kernel: only per-batch leaders leave
+    # the tasks, never users x jobs similarity rows.
+    jv = fx.job_field_vectors(spark, sf).select("job_hash", "field", "lang", "vec")
+    leaders = top_similar_jobs(wide_job_vectors(jv), fx.user_reference_vectors(spark, sf), 10)
+    top = top_n_per_group(leaders, "user_id", "score", 10, "job_hash")
     info = fx.postings(spark, sf).select("job_hash", "title", "company")
     return top.join(info, "job_hash").select(
         "user_id", "rank", "job_hash", F.round("score", 6).alias("score"), "title", "company")
