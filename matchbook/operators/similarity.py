@@ -29,6 +29,9 @@ REF_BROADCAST_MAX_ROWS = 1_000_000  # ~ 250k users x 4 (field, lang) vectors
 # (at dim 64 about 250k vectors, at dim 300 about 55k).
 REF_BROADCAST_MAX_BYTES = DEFAULT_MAX_BROADCAST_BYTES
 SALT_BUCKETS = 64
+# Largest jobs x users score matrix the kernel builds at once (8M doubles,
+# 64 MB per Python worker), whatever the Arrow batch size.
+MAX_SCORE_CELLS = 8_000_000
 
 
 def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_hash",
@@ -208,8 +211,9 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
                     continue
                 keys = g[job_key].to_numpy()
                 per_field = [_unit_rows(g[c], mats_[lang][f].shape[1]) for f, c in zip(fields, vec_cols)]
-                for lo in range(0, len(users_), user_block):
-                    hi = min(lo + user_block, len(users_))
+                step = max(1, min(user_block, MAX_SCORE_CELLS // max(1, len(keys))))
+                for lo in range(0, len(users_), step):
+                    hi = min(lo + step, len(users_))
                     total = None
                     for f, jm in zip(fields, per_field):
                         sims = jm @ mats_[lang][f][lo:hi].T
