@@ -88,3 +88,13 @@ def test_byte_budget_forces_the_large_plans(spark):
     kb = sorted((r.user_id, r.job_hash, r.field, None if r.similarity is None else round(r.similarity, 9))
                 for r in b.collect())
     assert ka == kb
+
+
+def test_kernel_small_user_blocks_same_ranking(spark):
+    jv, rv = _data(spark, n_jobs=80, n_users=9)
+    n = 6
+    key = lambda r: (r.user_id, r.rank, r.job_hash, None if r.score is None else round(r.score, 9))
+    full = top_n_per_group(top_similar_jobs(wide_job_vectors(jv), rv, n), "user_id", "score", n, "job_hash")
+    tiny = top_n_per_group(top_similar_jobs(wide_job_vectors(jv), rv, n, user_block=2),
+                           "user_id", "score", n, "job_hash")
+    assert sorted(map(key, full.collect())) == sorted(map(key, tiny.collect()))
