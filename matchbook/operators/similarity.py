@@ -32,6 +32,9 @@ SALT_BUCKETS = 64
 # Largest jobs x users score matrix the kernel builds at once (8M doubles,
 # 64 MB per Python worker), whatever the Arrow batch size.
 MAX_SCORE_CELLS = 8_000_000
+# A task compacts its running top-N once it holds more than
+# max(this, 4 x users x n) candidate rows.
+COMPACT_MIN_ROWS = 100_000
 
 
 def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_hash",
@@ -169,13 +172,27 @@ def _batch_leaders(keys: np.ndarray, scores: np.ndarray, users: np.ndarray, n: i
     return np.concatenate(rows_u), np.concatenate(rows_j)
 
 
+def _running_top(frames: list, n: int, job_key: str) -> pd.DataFrame:
+    """Exact top ``n`` per user of the rows in ``frames`` by (score desc,
+    NULL last, key asc) -- the final ranking's total order, so ties need not
+    be carried.  ``score`` is float with NaN for NULL."""
+    df = pd.concat(frames, ignore_index=True)
+    rank_key = np.where(np.isnan(df["score"].to_numpy(np.float64)), np.inf, -df["score"].to_numpy(np.float64))
+    df = df.assign(_o=rank_key).sort_values(["user_id", "_o", job_key], kind="mergesort")
+    return df.groupby("user_id", sort=False).head(n).drop(columns="_o")
+
+
 def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str = "job_hash",
                      fields=FIELDS, max_ref_rows: int = REF_BROADCAST_MAX_ROWS,
                      user_block: int = 4096,
                      max_ref_bytes: int = REF_BROADCAST_MAX_BYTES) -> DataFrame:
-    """Per-batch leaders ``(user_id, job_key, score)`` for a later exact
+    """Per-partition leaders ``(user_id, job_key, score)`` for a later exact
     per-user top-N (see :func:`matchbook.operators.ranking.top_n_per_group`).
 
+    Each task keeps a running exact top ``n`` per user across its Arrow
+    batches (compacted whenever it grows past a few times users x n rows),
+    so it emits at most users x n rows whatever its number of batches.
+
     score = mean over ``fields`` of cosine(job field vector, user reference
     vector for that field and the job's language); NULL if any is missing.
     The reference matrices are broadcast only after a bounded probe of
@@ -202,8 +219,13 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
     user_type = refs.schema["user_id"].dataType.simpleString()
     vec_cols = [f"vec_{f}" for f in fields]
 
+    compact_min = COMPACT_MIN_ROWS
+
     def kernel(batches):
         users_, mats_ = bc.value
+        keep: list = []
+        kept_rows = 0
+        compact_at = max(compact_min, 4 * n * len(users_))
         for pdf in batches:
             out = []
             for lang, g in pdf.groupby("lang"):
@@ -221,14 +243,21 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
                     score = total / len(fields)
                     uu, jj = _batch_leaders(keys, score, users_[lo:hi], n)
                     if len(uu):
-                        sc_ = score[jj, uu]
                         out.append(pd.DataFrame({
                             "user_id": users_[lo:hi][uu],
                             job_key: keys[jj],
-                            "score": np.where(np.isnan(sc_), None, sc_),
+                            "score": score[jj, uu].astype(np.float64),
                         }))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+            keep.extend(out)
+            kept_rows += sum(len(o) for o in out)
+            if kept_rows > compact_at:
+                keep = [_running_top(keep, n, job_key)]
+                kept_rows = len(keep[0])
+        if keep:
+            top = _running_top(keep, n, job_key)
+            # NaN must leave as NULL: Spark would rank NaN above every number
+            yield top.assign(score=pd.array(np.where(np.isnan(top["score"]), None, top["score"]),
+                                            dtype="Float64"))
 
     schema = f"user_id {user_type}, `{job_key}` {key_type}, score double"
     return wide_jobs.select(job_key, "lang", *vec_cols).mapInPandas(kernel, schema)

@@ -98,3 +98,22 @@ def test_kernel_small_user_blocks_same_ranking(spark):
     tiny = top_n_per_group(top_similar_jobs(wide_job_vectors(jv), rv, n, user_block=2),
                            "user_id", "score", n, "job_hash")
     assert sorted(map(key, full.collect())) == sorted(map(key, tiny.collect()))
+
+
+def test_kernel_running_top_across_many_batches(spark, monkeypatch):
+    # tiny Arrow batches and a tiny compaction threshold: every task folds
+    # many batches and compacts repeatedly; the ranking must not change
+    import matchbook.operators.similarity as sim
+    jv, rv = _data(spark, n_jobs=300, n_users=7)
+    n = 9
+    key = lambda r: (r.user_id, r.rank, r.job_hash, None if r.score is None else round(r.score, 9))
+    want = top_n_per_group(job_scores(field_similarity(jv, rv)), "user_id", "score", n, "job_hash")
+    monkeypatch.setattr(sim, "COMPACT_MIN_ROWS", 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = top_n_per_group(top_similar_jobs(wide_job_vectors(jv), rv, n), "user_id", "score", n,
+                              "job_hash")
+        got_rows = sorted(map(key, got.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got_rows == sorted(map(key, want.collect()))
