@@ -45,11 +45,15 @@ def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_h
 
     Inputs: ``job_vecs(job_key, field, lang, vec)``, ``refs(user_id, field,
     lang, vec)``.  Each side's norm is computed once per vector, before the
-    join, so a pair costs one dot product; a zero vector gives NULL.  The join key has only a few
-    values, so the reference side is broadcast when a bounded probe proves
-    it small in rows and bytes, and otherwise the jobs are salted and the references
-    replicated per salt so the pairs spread over ``SALT_BUCKETS`` tasks per
-    key instead of one.
+    join, so a pair costs one dot product; a zero vector gives NULL.
+
+    The join key has only a few values, so the reference side is broadcast
+    when a bounded probe proves it small in rows and bytes.  Otherwise the
+    pairs are cut into 2-D cells per key: users hashed into ``ub`` blocks
+    (each within the byte budget) and jobs into ``js`` salts, with each job
+    row sent to every user block and each reference row to every salt.  A
+    cell's task then holds a bounded slice of the references, and the
+    copies made (jobs x ``ub`` + references x ``js``) adapt to the sizes.
     """
     # the job side fans out into one row per user: spread it over the cores
     jobs = (spread_partitions(job_vecs.select(job_key, "field", "lang", as_double("vec").alias("vec")))
@@ -59,9 +63,14 @@ def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_h
     if fits_in_bytes(r, "ref_vec", max_broadcast_bytes, max_broadcast_rows):
         pairs = jobs.join(F.broadcast(r), ["field", "lang"])
     else:
-        salted = jobs.withColumn("_salt", F.pmod(F.xxhash64(job_key), F.lit(SALT_BUCKETS)))
-        rep = r.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
-        pairs = salted.join(rep, ["field", "lang", "_salt"]).drop("_salt")
+        ub = _user_blocks(refs, max_broadcast_rows, max_broadcast_bytes)
+        js = max(1, SALT_BUCKETS // ub)
+        cells = ["field", "lang", "_salt", "_blk"]
+        j2 = (jobs.withColumn("_salt", F.pmod(F.xxhash64(job_key), F.lit(js)))
+                  .withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(ub - 1)))))
+        r2 = (r.withColumn("_blk", F.pmod(F.xxhash64("user_id"), F.lit(ub)))
+               .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(js - 1)))))
+        pairs = j2.join(r2, cells).drop("_salt", "_blk")
     return pairs.select("user_id", job_key, "field", "lang",
                         F.try_divide(dot("vec", "ref_vec"), F.col("_n") * F.col("_rn")).alias("similarity"))
 
