@@ -6,9 +6,10 @@ Two physical forms of the same semantics:
 * :func:`field_similarity` / :func:`job_scores` -- every (user, job, field)
   similarity as rows.  Use when the pairs themselves are the output.
 * :func:`top_similar_jobs` -- scores are computed as dense matrix products
-  inside Arrow batches and only each batch's per-user leaders leave the
-  task, so the shuffle carries users x N x batches rows instead of
-  users x jobs.  This is the ranking path.
+  inside Arrow batches, each task keeps an exact running top N per user,
+  and only those leave the task, so the shuffle carries at most
+  users x N x tasks rows instead of users x jobs.  This is the ranking
+  path.
 """
 
 from __future__ import annotations
