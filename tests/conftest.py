@@ -14,7 +14,8 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("local[4]", shuffle_partitions=4)
+    s = get_session("local[4]", shuffle_partitions=4,
+                    extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="mb-test-wh-")})
     s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mb-test-ckpt-"))
     yield s
     s.stop()
