@@ -232,9 +232,9 @@ _KW_VALUES = ", ".join(f"({u}, '{a}', '{b}')" for u, a, b in KEYWORDS)
 KEYWORD_SQL = f"""
 WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
 t AS (SELECT doc_id, {T.tokenize_sql_duckdb("text")} AS toks FROM documents)
-SELECT kw.user_id::BIGINT AS user_id, t.doc_id FROM t, kw
-WHERE list_has_any(t.toks, string_split(kw.what_or, ' '))
-  AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))
+SELECT kw.user_id::BIGINT AS user_id, t.doc_id FROM t JOIN kw
+  ON list_has_any(t.toks, string_split(kw.what_or, ' '))
+ AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))
 """
 
 
