@@ -21,7 +21,8 @@ def _canon(df):
 
 def test_queries_do_not_depend_on_shuffle_partitions(spark):
     names = ["recommend", "dedup_first", "keyword_filter", "cooldown_accept", "skill_share",
-             "upsert_partial_columns", "page_slice", "top_n_per_user", "rating_projection"]
+             "upsert_partial_columns", "page_slice", "top_n_per_user", "rating_projection",
+             "job_scores", "global_top_n", "score_with_registry", "build_reference_embeddings"]
     results = {}
     for p in ("1", "64"):
         spark.conf.set("spark.sql.shuffle.partitions", p)
