@@ -10,9 +10,14 @@ from pyspark.sql import SparkSession
 
 # Settings every session of this engine relies on: UTC so that date
 # arithmetic matches the oracle, AQE for runtime coalescing and skew-join
-# splitting, Arrow for the few Python-side operators.
+# splitting, Arrow for the few Python-side operators.  Automatic broadcasts
+# are decided only at runtime, by AQE, from the measured size of a finished
+# shuffle stage -- never from a static size estimate; the operators'
+# explicit broadcasts sit behind their own bounded probes.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -42,7 +47,8 @@ def apply_runtime_conf(spark: SparkSession) -> None:
     """Set the SQL confs the operators assume on an existing session, and
     make the package importable by the Python workers."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-              "spark.sql.adaptive.skewJoin.enabled"):
+              "spark.sql.adaptive.skewJoin.enabled", "spark.sql.autoBroadcastJoinThreshold",
+              "spark.sql.adaptive.autoBroadcastJoinThreshold"):
         spark.conf.set(k, BASE_CONF[k])
     ship_package(spark)
 

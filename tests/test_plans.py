@@ -40,3 +40,14 @@ def test_native_paths_have_no_python(spark):
                  "keyword_filter", "build_match_prompt", "upsert_partial_columns"):
         p = plan(QUERIES[name](spark, SF_MID))
         assert "Python" not in p and "ArrowEval" not in p, name
+
+
+def test_automatic_broadcasts_are_decided_on_measured_sizes(spark):
+    a = spark.range(5000).select((F.col("id") % 100).alias("k"), "id")
+    b = spark.range(100).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    j = a.join(b, "k")
+    before = plan(j)
+    assert "SortMergeJoin" in before and "BroadcastHashJoin" not in before   # no static guess
+    assert len(j.collect()) == 5000
+    after = plan(j)                       # the final adaptive plan, after the stages ran
+    assert "isFinalPlan=true" in after and "BroadcastHashJoin" in after
