@@ -25,6 +25,19 @@ def top_n_per_group(df: DataFrame, group_cols, score_col: str, n: int, tie_cols=
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
+def attach_info(ranked: DataFrame, info: DataFrame, key: str = "job_hash") -> DataFrame:
+    """Join ranked lists (at most groups x n rows) to a large info table.
+
+    The lists are materialised once with a reliable checkpoint (the work
+    behind them survives executor loss) and broadcast to the info scan when
+    a bounded probe proves them small, so the info table is not shuffled
+    for the lookup; otherwise both sides shuffle on ``key``."""
+    from matchbook.operators.sizing import broadcast_if_small
+    from matchbook.session import cut_lineage
+    side, _ = broadcast_if_small(cut_lineage(ranked))
+    return side.join(info, key)
+
+
 def top_n(df: DataFrame, score_col: str, n: int, tie_cols=None) -> DataFrame:
     """Global top ``n`` (``TakeOrderedAndProject``: per-partition top-n,
     then a final merge of n x partitions rows)."""
@@ -39,4 +52,4 @@ def top_jobs(reviews: DataFrame, job_info: DataFrame, implementation: str, n: in
     score = SCORE_COLUMN[check_implementation(implementation)]
     ranked = top_n_per_group(reviews.where(F.col(score).isNotNull()), "user_id", score, n, "job_hash")
     cols = [c for c in info_cols if c in job_info.columns]
-    return ranked.join(job_info.select("job_hash", *cols), "job_hash")
+    return attach_info(ranked, job_info.select("job_hash", *cols), "job_hash")

@@ -86,7 +86,7 @@ from matchbook.operators.cooldown import cooldown_accept  # noqa: E402
 from matchbook.operators.embedding import elementwise_mean, ref_readiness  # noqa: E402
 from matchbook.operators.merge import upsert  # noqa: E402
 from matchbook.operators.profile import skill_share, standard_rules, validate_profiles, weight_totals  # noqa: E402
-from matchbook.operators.ranking import top_n, top_n_per_group  # noqa: E402
+from matchbook.operators.ranking import attach_info, top_n, top_n_per_group  # noqa: E402
 from matchbook.operators.scoring import parse_replies  # noqa: E402
 from matchbook.operators.seen import IMPLEMENTATIONS, drop_seen, seen_hashes  # noqa: E402
 from matchbook.operators.similarity import (field_similarity, job_scores, top_similar_jobs,  # noqa: E402
@@ -389,7 +389,7 @@ def q_top_n_per_user(spark, sf):
     leaders = top_similar_jobs(wide_job_vectors(jv), fx.user_reference_vectors(spark, sf), 10)
     top = top_n_per_group(leaders, "user_id", "score", 10, "job_hash")
     info = fx.postings(spark, sf).select("job_hash", "title", "company")
-    return top.join(info, "job_hash").select(
+    return attach_info(top, info, "job_hash").select(
         "user_id", "rank", "job_hash", F.round("score", 6).alias("score"), "title", "company")
 
 

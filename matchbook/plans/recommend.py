@@ -16,11 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchbook.operators.embedding import ready_references
-from matchbook.operators.ranking import top_n_per_group
+from matchbook.operators.ranking import attach_info, top_n_per_group
 from matchbook.operators.seen import check_implementation, drop_seen, seen_hashes
 from matchbook.operators.similarity import top_similar_jobs, wide_job_vectors
-from matchbook.operators.sizing import broadcast_if_small
-from matchbook.session import cut_lineage
 
 DEFAULT_TOP_N = 10
 
@@ -44,12 +42,8 @@ def recommend(postings: DataFrame, job_vecs: DataFrame, refs: DataFrame, reviews
     if users is not None:
         ready_refs = ready_refs.join(users.select("user_id").distinct(), "user_id", "left_semi")
     leaders = top_similar_jobs(wide_job_vectors(vecs), ready_refs, n)
-    # At most users x n rows: materialised once (the kernel's work survives
-    # executor loss), then broadcast to the posting scan when the probe
-    # proves it small, so the postings are never shuffled for the lookup.
-    top = cut_lineage(top_n_per_group(leaders, "user_id", "score", n, "job_hash"))
-    top_side, _ = broadcast_if_small(top)
+    top = top_n_per_group(leaders, "user_id", "score", n, "job_hash")
     info = postings.select("job_hash", *info_cols)
-    return (top_side.join(info, "job_hash")
+    return (attach_info(top, info, "job_hash")
                .select("user_id", F.col("rank").cast("int").alias("rank"), "job_hash",
                        F.round("score", 6).alias("score"), *info_cols))
