@@ -97,9 +97,11 @@ def test_keyword_filter_hot_term(spark):
     kw = [(1, "common", "w1"), (2, "w2 w3", "common"), (3, "w4 common", "w5 w6")]
     ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(8)
     kdf = spark.createDataFrame(kw, "user_id long, what_or string, what_exclude string")
-    for limit in (5_000_000, 0):                       # broadcast and shuffled term joins
+    for limit, inline in ((5_000_000, 256), (0, 256), (5_000_000, 0), (0, 0)):
+        # broadcast or shuffled term join; vocabulary inlined or not
         got = {(r.user_id, r.doc_id)
-               for r in keyword_matches(ddf, kdf, max_broadcast_terms=limit).collect()}
+               for r in keyword_matches(ddf, kdf, max_broadcast_terms=limit,
+                                        inline_max_terms=inline).collect()}
         want = set()
         for d, text in docs:
             toks = set(text.split())
