@@ -30,7 +30,7 @@ def attach_info(ranked: DataFrame, info: DataFrame, key: str = "job_hash") -> Da
 
     The lists are materialised once with a reliable checkpoint (the work
     behind them survives executor loss) and broadcast to the info scan when
-    a bounded probe proves them small, so the info table is not shuffled
+    a size probe proves them small, so the info table is not shuffled
     for the lookup; otherwise both sides shuffle on ``key``."""
     from matchbook.operators.sizing import broadcast_if_small
     from matchbook.session import cut_lineage

@@ -49,7 +49,7 @@ def field_similarity(job_vecs: DataFrame, refs: DataFrame, job_key: str = "job_h
     join, so a pair costs one dot product; a zero vector gives NULL.
 
     The join key has only a few values, so the reference side is broadcast
-    when a bounded probe proves it small in rows and bytes.  Otherwise the
+    when a size probe proves it small in rows and bytes.  Otherwise the
     pairs are cut into 2-D cells per key: users hashed into ``ub`` blocks
     (each within the byte budget) and jobs into ``js`` salts, with each job
     row sent to every user block and each reference row to every salt.  A
@@ -95,7 +95,7 @@ def wide_job_vectors(job_vecs: DataFrame, job_key: str = "job_hash", fields=FIEL
 
 
 def _collect_refs(refs: DataFrame, max_rows: int, max_bytes: int):
-    """Reference rows as pandas when a bounded probe proves they fit
+    """Reference rows as pandas when a size probe proves they fit
     ``max_rows`` rows and ``max_bytes`` bytes; ``None`` otherwise."""
     # probe and collection read the same rows: keep them between the two
     # jobs (a cache only; lost blocks are recomputed from lineage)
@@ -205,7 +205,7 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
 
     score = mean over ``fields`` of cosine(job field vector, user reference
     vector for that field and the job's language); NULL if any is missing.
-    The reference matrices are broadcast only after a bounded probe of
+    The reference matrices are broadcast only after a size probe of
     their rows and bytes; above the limits the users are hashed into
     blocks, each block broadcast on its own and the results unioned
     (exact; one scan of the jobs per block).

@@ -1,10 +1,14 @@
 """Checked broadcast decisions.
 
-A side is broadcast only after a bounded probe proves it has at most
-``max_rows`` rows (``limit(max_rows + 1).count()`` stops early, so the probe
-itself is cheap).  Sides that carry vectors are also bounded in bytes: a
-row count alone says nothing when each row holds an array of unknown
-length.  Callers supply the other plan for the large case.
+A side is broadcast only after a probe proves it has at most ``max_rows``
+rows.  The probe is an exact count: each task counts its own partition and
+one partial count per partition crosses the shuffle.  (``limit(n).count()``
+looks cheaper but plans as a local limit, an exchange into a single
+partition and a global limit, so on a large input whose partitions each
+hold fewer than ``n`` rows every row is funnelled into one task.)  Sides
+that carry vectors are also bounded in bytes: a row count alone says
+nothing when each row holds an array of unknown length.  Callers supply
+the other plan for the large case.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ ROW_OVERHEAD_BYTES = 64                 # keys and array headers, per row
 
 
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
@@ -33,13 +37,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
 
 def fits_in_bytes(df: DataFrame, array_cols, max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
                   max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> bool:
-    """Bounded probe: at most ``max_rows`` rows whose ``array_cols`` hold at
-    most ``max_bytes`` in all (``ELEMENT_BYTES`` per element plus a fixed
-    per-row overhead).  One job over at most ``max_rows + 1`` rows."""
+    """Probe: at most ``max_rows`` rows whose ``array_cols`` hold at most
+    ``max_bytes`` in all (``ELEMENT_BYTES`` per element plus a fixed
+    per-row overhead).  One aggregate job, combined map-side."""
     cols = [array_cols] if isinstance(array_cols, str) else list(array_cols)
     elems = sum((F.coalesce(F.size(c), F.lit(0)) for c in cols), F.lit(0))
-    r = (df.limit(max_rows + 1)
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(elems.cast("long")).alias("e"))
-           .first())
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(elems.cast("long")).alias("e")).first()
     n, e = int(r["n"]), int(r["e"] or 0)
     return n <= max_rows and n * ROW_OVERHEAD_BYTES + e * ELEMENT_BYTES <= max_bytes

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 # splitting, Arrow for the few Python-side operators.  Automatic broadcasts
 # are decided only at runtime, by AQE, from the measured size of a finished
 # shuffle stage -- never from a static size estimate; the operators'
-# explicit broadcasts sit behind their own bounded probes.
+# explicit broadcasts sit behind their own size probes.
 BASE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.autoBroadcastJoinThreshold": "-1",

@@ -85,3 +85,14 @@ def test_raw_payload_keeps_the_record(spark):
     assert payload["location"]["area"] == ["FR", "IDF"]
     assert payload["created"] == "2024-02-03T10:00:00+02:00"
     assert (flat.company, flat.location, flat.url) == ("Acme", "Paris", "https://x.invalid/1")
+
+
+def test_size_probes_boundaries(spark):
+    from matchbook.operators.sizing import ELEMENT_BYTES, ROW_OVERHEAD_BYTES, fits_in_bytes, has_at_most
+    df = spark.range(0, 1000, 1, 7)
+    assert has_at_most(df, 1000) and not has_at_most(df, 999)
+    v = spark.range(10).select(F.array_repeat(F.lit(1.0), 4).alias("v"))
+    exact = 10 * ROW_OVERHEAD_BYTES + 40 * ELEMENT_BYTES
+    assert fits_in_bytes(v, "v", max_bytes=exact, max_rows=10)
+    assert not fits_in_bytes(v, "v", max_bytes=exact - 1, max_rows=10)
+    assert not fits_in_bytes(v, "v", max_bytes=exact, max_rows=9)
