@@ -63,7 +63,7 @@ def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
     sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     big = F.broadcast(sizes.where(F.col("_n") > max_group_rows).select(*groups))
     small = _fold_bounded_groups(base.join(big, groups, "left_anti"), groups, cooldown_seconds)
-    if big.limit(1).count() == 0:
+    if big.isEmpty():
         out = small
     else:
         out = small.unionByName(_doubling(base.join(big, groups, "left_semi"), groups, cooldown_seconds))
@@ -135,7 +135,7 @@ def _doubling(base: DataFrame, groups, cooldown_seconds: int, max_rounds: int =
     marked = cut_lineage(bounds.select(F.col("_first").alias("_e")))
     jump = cut_lineage(nxt)
     for _ in range(max_rounds):
-        if jump.limit(1).count() == 0:
+        if jump.isEmpty():
             break
         reached = marked.join(jump, "_e").select(F.col("_nxt").alias("_e"))
         # positions reached in round k are all new (chains have no cycles)
