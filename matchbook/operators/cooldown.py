@@ -61,9 +61,12 @@ def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
     base = requests.select(*groups, F.col(ts_col).cast("timestamp").alias("_ts"),
                            F.col(id_col).alias("_id"))
     sizes = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    big = F.broadcast(sizes.where(F.col("_n") > max_group_rows).select(*groups))
+    # the oversized keys are few (at most total / max_group_rows): keep them
+    # once, so the request table is aggregated a single time
+    big_keys = cut_lineage(sizes.where(F.col("_n") > max_group_rows).select(*groups))
+    big = F.broadcast(big_keys)
     small = _fold_bounded_groups(base.join(big, groups, "left_anti"), groups, cooldown_seconds)
-    if big.isEmpty():
+    if big_keys.isEmpty():
         out = small
     else:
         out = small.unionByName(_doubling(base.join(big, groups, "left_semi"), groups, cooldown_seconds))
