@@ -299,7 +299,7 @@ WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL)
 @query("unseen_postings", UNSEEN_SQL)
 def q_unseen_postings(spark, sf):
     p = fx.postings(spark, sf).select("job_hash", "lang", "company")
-    return drop_seen(p, seen_hashes(fx.reviews(spark, sf), "FastText"))
+    return drop_seen(p, seen_hashes(fx.reviews(spark, sf), "FastText", distinct=False))
 
 
 # --- vectors ------------------------------------------------------------------

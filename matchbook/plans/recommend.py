@@ -35,7 +35,7 @@ def recommend(postings: DataFrame, job_vecs: DataFrame, refs: DataFrame, reviews
     DataFrame with ``user_id``) restricts the run to requested users.
     """
     check_implementation(implementation)
-    seen = seen_hashes(reviews, implementation)
+    seen = seen_hashes(reviews, implementation, distinct=False)    # membership only
     candidates = drop_seen(postings.select("job_hash"), seen)
     vecs = job_vecs.join(candidates, "job_hash", "left_semi")
     ready_refs = ready_references(refs)
