@@ -270,4 +270,6 @@ def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str
                                             dtype="Float64"))
 
     schema = f"user_id {user_type}, `{job_key}` {key_type}, score double"
-    return wide_jobs.select(job_key, "lang", *vec_cols).mapInPandas(kernel, schema)
+    # a job without a key cannot be ranked by key nor joined back
+    return (wide_jobs.where(F.col(job_key).isNotNull())
+                     .select(job_key, "lang", *vec_cols).mapInPandas(kernel, schema))

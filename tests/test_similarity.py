@@ -117,3 +117,15 @@ def test_kernel_running_top_across_many_batches(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got_rows == sorted(map(key, want.collect()))
+
+
+def test_kernel_ignores_jobs_without_a_key(spark):
+    jv, rv = _data(spark, n_jobs=30, n_users=3)
+    nulls = spark.createDataFrame([(None, "title", "FR", [1.0] * 6), (None, "description", "FR", [1.0] * 6)],
+                                  jv.schema)
+    n = 5
+    key = lambda r: (r.user_id, r.rank, r.job_hash, None if r.score is None else round(r.score, 9))
+    a = top_n_per_group(top_similar_jobs(wide_job_vectors(jv), rv, n), "user_id", "score", n, "job_hash")
+    b = top_n_per_group(top_similar_jobs(wide_job_vectors(jv.unionByName(nulls)), rv, n),
+                        "user_id", "score", n, "job_hash")
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.collect()))
