@@ -25,16 +25,18 @@ def top_n_per_group(df: DataFrame, group_cols, score_col: str, n: int, tie_cols=
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 
 
-def attach_info(ranked: DataFrame, info: DataFrame, key: str = "job_hash") -> DataFrame:
+def attach_info(ranked: DataFrame, info: DataFrame, key: str = "job_hash",
+                max_rows: int | None = None) -> DataFrame:
     """Join ranked lists (at most groups x n rows) to a large info table.
 
     The lists are materialised once with a reliable checkpoint (the work
     behind them survives executor loss) and broadcast to the info scan when
     a size probe proves them small, so the info table is not shuffled
     for the lookup; otherwise both sides shuffle on ``key``."""
-    from matchbook.operators.sizing import broadcast_if_small
+    from matchbook.operators.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_small
     from matchbook.session import cut_lineage
-    side, _ = broadcast_if_small(cut_lineage(ranked))
+    limit = DEFAULT_MAX_BROADCAST_ROWS if max_rows is None else max_rows
+    side, _ = broadcast_if_small(cut_lineage(ranked), limit)
     return side.join(info, key)
 
 

@@ -67,3 +67,19 @@ def test_global_index_edge_keys(spark):
     empty = df.where("id < 0")
     assert with_global_index(empty, ["src", "id"], "rn").count() == 0
 
+
+
+def test_attach_info_broadcast_and_shuffled_agree(spark):
+    from matchbook.operators.ranking import attach_info
+    df = spark.range(400).select((F.col("id") % 9).alias("u"), F.col("id").alias("job_hash"),
+                                 (F.col("id") * 37 % 101).cast("double").alias("s"))
+    ranked = top_n_per_group(df, "u", "s", 5, "job_hash")
+    info = spark.range(400).select(F.col("id").alias("job_hash"),
+                                   F.concat(F.lit("t"), F.col("id").cast("string")).alias("title"))
+    small = attach_info(ranked, info)
+    big = attach_info(ranked, info, max_rows=0)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in big._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: (r.u, r.rank, r.job_hash, r.title)
+    assert sorted(map(key, small.collect())) == sorted(map(key, big.collect()))
+    assert len(small.collect()) == 45
