@@ -51,3 +51,14 @@ def test_automatic_broadcasts_are_decided_on_measured_sizes(spark):
     assert len(j.collect()) == 5000
     after = plan(j)                       # the final adaptive plan, after the stages ran
     assert "isFinalPlan=true" in after and "BroadcastHashJoin" in after
+
+
+def test_flagship_lookup_is_a_broadcast_of_the_ranked_lists(spark):
+    from matchbook.plans.catalog import QUERIES
+    p = plan(QUERIES["recommend"](spark, SF_MID))
+    assert "ExistingRDD" in p                      # ranked lists read from their checkpoint
+    assert "BroadcastHashJoin" in p and "SortMergeJoin" not in p
+    # postings are not shuffled for the join (the local spread of the
+    # single-row-group test file is a REPARTITION_BY_NUM exchange, not a join's)
+    assert not [ln for ln in p.splitlines()
+                if "hashpartitioning(job_hash" in ln and "ENSURE_REQUIREMENTS" in ln]
