@@ -74,13 +74,61 @@ def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
                       "accepted", "wait_minutes")
 
 
+def _group_starts(keys: pd.DataFrame) -> np.ndarray:
+    """True where a row starts a new group (rows sorted by the keys); NULL
+    keys compare equal, as in SQL ``PARTITION BY``."""
+    prev = keys.shift()
+    differs = (keys.ne(prev) & ~(keys.isna() & prev.isna())).any(axis=1).to_numpy()
+    if len(differs):
+        differs[0] = True
+    return differs
+
+
+def fold_sorted(starts: np.ndarray, us: np.ndarray, cd_us: int):
+    """Cooldown over complete groups sorted by (group, time, id), vectorised.
+
+    ``starts`` marks each group's first row, ``us`` holds times in
+    microseconds.  Returns ``(accepted, wait_minutes)``.  The successor of
+    request ``i`` -- the first request of its group at or after
+    ``us[i] + cd_us`` -- comes from one stable sort of the requests merged
+    with probes at ``us + cd_us`` (a probe sorts before a request at the same
+    time); accepted requests are those reachable from each group's first
+    request, marked by pointer doubling (log2 of the longest chain rounds).
+    """
+    n = len(us)
+    idx = np.arange(n)
+    if n == 0:
+        return np.zeros(0, bool), np.zeros(0, np.int64)
+    if cd_us <= 0:
+        return np.ones(n, bool), np.zeros(n, np.int64)
+    gid = np.cumsum(starts) - 1
+    group_end = np.append(np.flatnonzero(starts)[1:], n)[gid]
+    t = np.concatenate([us + cd_us, us])
+    kind = np.concatenate([np.zeros(n, np.int8), np.ones(n, np.int8)])
+    order = np.lexsort((kind, t, np.concatenate([gid, gid])))     # stable; group is the major key
+    pos = np.empty(2 * n, np.int64)
+    pos[order] = np.arange(2 * n)
+    first_after = pos[:n] - idx                                   # requests ordered before probe i
+    jump = np.append(np.where(first_after < group_end, first_after, n), n)   # n: no successor
+    accepted = starts.copy()
+    while (jump[:n] < n).any():
+        reached = jump[np.flatnonzero(accepted)]
+        accepted[reached[reached < n]] = True
+        jump = jump[jump]                                         # 2^k -> 2^(k+1) steps
+    last_acc = np.maximum.accumulate(np.where(accepted, idx, -1))  # a group's first row is accepted
+    wait = np.where(accepted, 0, (cd_us - (us - us[last_acc])) // 60_000_000)
+    return accepted, wait
+
+
 def _fold_bounded_groups(base: DataFrame, groups, cooldown_seconds: int) -> DataFrame:
-    """Sequential fold for groups proven to be bounded.
+    """Cooldown for groups proven to be bounded.
 
     Rows are hash-partitioned by group and sorted within each partition, so
-    every task streams whole groups in time order; one Python pass per
-    partition carries the last accepted time across Arrow batches (no
-    per-group call, no group materialised in memory).
+    every task streams whole groups in time order.  Each Arrow batch is cut
+    after its last complete group (the trailing group is carried into the
+    next batch; a group holds at most the bounded number of rows), and each
+    chunk of complete groups is folded by :func:`fold_sorted` with numpy --
+    no Python loop over rows.
     """
     cd_us = int(cooldown_seconds) * 1_000_000
     src = (base.select(*groups, "_id", F.unix_micros("_ts").alias("_us"))
@@ -90,30 +138,26 @@ def _fold_bounded_groups(base: DataFrame, groups, cooldown_seconds: int) -> Data
     schema = ", ".join(f"`{c}` {types[c]}" for c in groups) + \
         f", _id {types['_id']}, _us bigint, accepted boolean, wait_minutes bigint"
 
+    def emit(chunk):
+        acc, wait = fold_sorted(_group_starts(chunk[groups]), chunk["_us"].to_numpy(np.int64), cd_us)
+        out = chunk.copy()
+        out["accepted"] = acc
+        out["wait_minutes"] = pd.array(np.where(acc, None, wait), dtype="Int64")
+        return out
+
     def fold(batches):
-        prev_key, last = None, None
+        carry = None
         for pdf in batches:
+            if carry is not None:
+                pdf = pd.concat([carry, pdf], ignore_index=True)
             if pdf.empty:
                 continue
-            keys = pdf[groups]
-            starts = (keys != keys.shift()).any(axis=1).to_numpy()
-            first_key = tuple(keys.iloc[0])
-            starts[0] = first_key != prev_key
-            ts = pdf["_us"].to_numpy(np.int64).tolist()
-            acc = np.zeros(len(ts), dtype=bool)
-            wait = np.zeros(len(ts), dtype=np.int64)
-            for i, t in enumerate(ts):
-                if starts[i] or last is None or t - last >= cd_us:
-                    last = t
-                    acc[i] = True
-                else:
-                    wait[i] = (cd_us - (t - last)) // 60_000_000
-            prev_key = tuple(keys.iloc[-1])
-            out = pdf.copy()
-            out["accepted"] = acc
-            out["wait_minutes"] = pd.array(wait, dtype="Int64")
-            out.loc[acc, "wait_minutes"] = pd.NA
-            yield out
+            last_start = int(np.flatnonzero(_group_starts(pdf[groups]))[-1])
+            carry = pdf.iloc[last_start:].reset_index(drop=True)
+            if last_start:
+                yield emit(pdf.iloc[:last_start].reset_index(drop=True))
+        if carry is not None and len(carry):
+            yield emit(carry)
 
     return src.mapInPandas(fold, schema).withColumn("_ts", F.timestamp_micros("_us")).drop("_us")
 

@@ -58,3 +58,40 @@ def test_cooldown_exact_boundary(spark):
         got = {r.event_id: (r.accepted, r.wait_minutes)
                for r in cooldown_accept(df, "g", "ts", "event_id", 300, max_group_rows=limit).collect()}
         assert got == {1: (True, None), 2: (False, 0), 3: (True, None), 4: (False, 4)}
+
+
+def test_fold_sorted_matches_sequential_fold():
+    import numpy as np
+    from matchbook.operators.cooldown import fold_sorted
+    rnd = random.Random(3)
+    for _ in range(2000):
+        n = rnd.randrange(0, 60)
+        rows = sorted((rnd.randrange(4), rnd.choice([rnd.randrange(5000), rnd.randrange(50)]) * 1_000_000, i)
+                      for i in range(n))
+        cd = rnd.choice([0, 1, 7, 300, 1000]) * 1_000_000
+        g = np.array([r[0] for r in rows])
+        us = np.array([r[1] for r in rows], np.int64)
+        starts = np.ones(n, bool)
+        starts[1:] = g[1:] != g[:-1]
+        acc, wait = fold_sorted(starts, us, cd)
+        last = {}
+        for k, (gg, t, _) in enumerate(rows):
+            lt = last.get(gg)
+            if lt is None or t - lt >= cd:
+                last[gg] = t
+                assert acc[k]
+            else:
+                assert not acc[k] and wait[k] == (cd - (t - lt)) // 60_000_000
+
+
+def test_cooldown_groups_spanning_many_arrow_batches(spark):
+    rows = _rows(11, n=1500)
+    df = spark.createDataFrame(rows, "g string, ts timestamp, event_id long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for cd in (300, 6 * 3600):
+            got = {r.event_id: (r.accepted, r.wait_minutes)
+                   for r in cooldown_accept(df, "g", "ts", "event_id", cd).collect()}
+            assert got == brute(rows, cd)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
