@@ -1,49 +1,49 @@
 """Streaming cooldown (R1): per (group) state holds the last accepted time.
 
 Within a micro-batch a group's rows arrive unordered, so they are sorted by
-``(ts, id)`` before the fold; across micro-batches arrival order is the
+``(ts, id)`` and folded with the vectorised :func:`fold_sorted`, the last
+accepted time (the state) standing in as the group's first request; across micro-batches arrival order is the
 order (as with requests arriving at a server).  Given the same rows in one
 batch, the result equals :func:`matchbook.operators.cooldown.cooldown_accept`.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from matchbook.operators.cooldown import DEFAULT_COOLDOWN_SECONDS
+from matchbook.operators.cooldown import DEFAULT_COOLDOWN_SECONDS, fold_sorted
 
 
 def cooldown_stream(requests: DataFrame, group_cols, ts_col: str = "ts", id_col: str = "event_id",
                     cooldown_seconds: int = DEFAULT_COOLDOWN_SECONDS) -> DataFrame:
     groups = [group_cols] if isinstance(group_cols, str) else list(group_cols)
-    src = requests.select(*groups, F.col(id_col).alias(id_col), F.col(ts_col).cast("timestamp").alias(ts_col))
+    src = requests.select(*groups, F.col(id_col).alias(id_col),
+                          F.unix_micros(F.col(ts_col).cast("timestamp")).alias("_us"))
     schema_fields = {f.name: f.dataType.simpleString() for f in src.schema.fields}
     out_schema = ", ".join(f"{c} {schema_fields[c]}" for c in groups) + \
         f", {id_col} {schema_fields[id_col]}, accepted boolean, wait_minutes bigint"
-    cd = pd.Timedelta(seconds=cooldown_seconds)
+    cd_us = int(cooldown_seconds) * 1_000_000
 
     def fold(key, pdfs, state):
-        last = state.get[0] if state.exists else None
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([ts_col, id_col], kind="stable")
-        acc, wait = [], []
-        for ts in pdf[ts_col]:
-            if last is None or ts >= last + cd:
-                last = ts
-                acc.append(True)
-                wait.append(None)
-            else:
-                acc.append(False)
-                wait.append(math.floor((cooldown_seconds - (ts - last).total_seconds()) / 60))
-        state.update((last,))
+        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", id_col], kind="stable")
+        us = pdf["_us"].to_numpy(np.int64)
+        # the last accepted time from earlier batches acts as the group's
+        # first (already accepted) request; it is dropped from the output
+        prior = [int(state.get[0])] if state.exists else []
+        us_all = np.concatenate([np.array(prior, np.int64), us])
+        starts = np.zeros(len(us_all), bool)
+        starts[0] = True
+        acc, wait = fold_sorted(starts, us_all, cd_us)
+        state.update((int(us_all[np.flatnonzero(acc)[-1]]),))
+        acc, wait = acc[len(prior):], wait[len(prior):]
         out = pdf[groups + [id_col]].copy()
         out["accepted"] = acc
-        out["wait_minutes"] = pd.array(wait, dtype="Int64")
+        out["wait_minutes"] = pd.array(np.where(acc, None, wait), dtype="Int64")
         yield out
 
     return src.groupBy(*groups).applyInPandasWithState(
-        fold, out_schema, "last_accepted timestamp", "append", GroupStateTimeout.NoTimeout)
+        fold, out_schema, "last_accepted_us long", "append", GroupStateTimeout.NoTimeout)

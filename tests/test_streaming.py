@@ -67,3 +67,25 @@ def test_request_stream_serves_each_implementation(spark, tmp_dir):
     want = batch.select("user_id", impl.alias("implementation")).distinct()
     assert sorted(map(tuple, got.select("user_id", "implementation").collect())) == \
         sorted(map(tuple, want.collect()))
+
+
+def test_stream_cooldown_carries_state_across_micro_batches(spark, tmp_dir):
+    import time
+    from pyspark.sql import functions as F
+    batch = _land_events(spark, os.path.join(tmp_dir, "all"))
+    land = os.path.join(tmp_dir, "landed")
+    cuts = ["2024-01-02", "2024-01-03"]
+    parts = [batch.where(F.col("ts") < cuts[0]),
+             batch.where((F.col("ts") >= cuts[0]) & (F.col("ts") < cuts[1])),
+             batch.where(F.col("ts") >= cuts[1])]
+    for i, part in enumerate(parts):                  # arrival order = time order
+        part.coalesce(1).write.parquet(os.path.join(tmp_dir, f"stage{i}"))
+        src = [f for f in os.listdir(os.path.join(tmp_dir, f"stage{i}")) if f.endswith(".parquet")][0]
+        os.makedirs(land, exist_ok=True)
+        os.rename(os.path.join(tmp_dir, f"stage{i}", src), os.path.join(land, f"part{i}.parquet"))
+        time.sleep(1.1)
+    stream = (spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(land))
+    got = run_to_table(cooldown_stream(stream, "user_id", "ts", "event_id", 6 * 3600), "t-cd3")
+    want = cooldown_accept(batch, "user_id", "ts", "event_id", 6 * 3600)
+    key = lambda r: (r.event_id, r.accepted, r.wait_minutes)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
