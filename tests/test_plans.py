@@ -62,3 +62,20 @@ def test_flagship_lookup_is_a_broadcast_of_the_ranked_lists(spark):
     # single-row-group test file is a REPARTITION_BY_NUM exchange, not a join's)
     assert not [ln for ln in p.splitlines()
                 if "hashpartitioning(job_hash" in ln and "ENSURE_REQUIREMENTS" in ln]
+
+
+def test_runtime_conf_applies_the_broadcast_policy(spark):
+    from matchbook.session import apply_runtime_conf
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold",
+            "spark.sql.session.timeZone")
+    saved = {k: spark.conf.get(k) for k in keys}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        apply_runtime_conf(spark)                  # what the driver entry points call
+        assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+        assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == "64MB"
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
