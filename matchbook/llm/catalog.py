@@ -1,14 +1,19 @@
 """Queries of the llm operators and, where SQL can say them, their oracles."""
 
+from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
 from matchbook.llm.mixing import op6_mix
+from matchbook.llm.pii import op9_pii
 from matchbook.llm.secret_scan import op7_secrets
 from matchbook.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_mix": op6_mix,
     "op7_secrets": op7_secrets,
+    "op9_pii": op9_pii,
 }
 ORACLES = {
+    "op4_decontaminate": OP4_SQL,
     "op5_url_filter": OP5_SQL,
 }

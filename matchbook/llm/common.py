@@ -56,3 +56,38 @@ def held_out(id_col: Column) -> Column:
     """True where crc32 of the id written as text is divisible by 5; a null
     id counts as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
+
+
+def add_by_arrow(df: DataFrame, read: list[str], add: str, work) -> DataFrame:
+    """``df`` with further columns made in Arrow batches inside the tasks.
+
+    ``work(columns)`` gets one list per column of ``read`` (texts as UTF-8
+    bytes, null as None) and returns one list per column of the DDL ``add``;
+    the other columns pass through.  Columns of ``df`` that ``add`` names are
+    replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(add)
+    kept = df.schema if not set(new.names) & set(df.columns) else df.drop(
+        *[c for c in new.names if c not in read]).schema
+    kept = StructType([f for f in kept if f.name not in new.names])
+    schema = StructType(kept.fields + new.fields)
+    types, names = to_arrow_schema(new).types, schema.names
+    keep = kept.names
+
+    def run(batches):
+        for batch in batches:
+            cols = []
+            for c in read:
+                col = batch.column(c)
+                if pa.types.is_string(col.type) or pa.types.is_large_string(col.type):
+                    col = col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary())
+                cols.append(col.to_pylist())
+            made = work(cols)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in keep] + [pa.array(v, t) for v, t in zip(made, types, strict=True)], names=names)
+
+    return df.mapInArrow(run, schema)
