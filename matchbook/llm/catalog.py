@@ -1,6 +1,7 @@
 """Queries of the llm operators and, where SQL can say them, their oracles."""
 
 from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
+from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
 from matchbook.llm.secret_scan import op7_secrets
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_mix": op6_mix,
     "op7_secrets": op7_secrets,
     "op9_pii": op9_pii,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {
     "op4_decontaminate": OP4_SQL,
