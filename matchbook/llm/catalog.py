@@ -4,12 +4,14 @@ from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
 from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
+from matchbook.llm.quality import op3_quality
 from matchbook.llm.secret_scan import op7_secrets
 from matchbook.llm.toxicity import op1_toxicity
 from matchbook.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
     "op6_mix": op6_mix,
