@@ -1,6 +1,7 @@
 """Queries of the llm operators and, where SQL can say them, their oracles."""
 
 from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
+from matchbook.llm.jaccard_join import op8_jaccard
 from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_mix": op6_mix,
     "op7_secrets": op7_secrets,
+    "op8_jaccard": op8_jaccard,
     "op9_pii": op9_pii,
     "op10_fingerprints": op10_fingerprints,
 }
