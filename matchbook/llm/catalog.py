@@ -1,6 +1,7 @@
 """Queries of the llm operators and, where SQL can say them, their oracles."""
 
 from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
+from matchbook.llm.html_text import op2_main_text
 from matchbook.llm.jaccard_join import op8_jaccard
 from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
@@ -12,6 +13,7 @@ from matchbook.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_main_text": op2_main_text,
     "op3_quality": op3_quality,
     "op4_decontaminate": op4_decontaminate,
     "op5_url_filter": op5_url_filter,
