@@ -8,11 +8,10 @@ count differently beside another.  It is fitted by mini-batch AdaGrad on the
 logistic loss over a bounded sample of labelled rows that are not held out
 (``max_rows``, chosen by a seeded hash of the id); scoring covers every row.
 
-Only the hashed features of the sample reach the driver, and only the
-parameters of features seen there are broadcast (at most ``2 ** BITS`` rows).
 Features stay out, with no effect, unless their chi-squared association with
 the label over the sample reaches ``MIN_CHI``: the rest would only be learned by
-heart.
+heart.  Spark counts them; only the chosen features of the sample's rows reach
+the driver, and their parameters are broadcast (at most ``2 ** BITS`` rows).
 
 Defined cases: null and empty texts have no terms and score the intercept; rows
 with a null label are no training rows; of repeated labels of one id the larger
@@ -26,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import add_by_arrow, held_out, table
+from matchbook.llm.common import add_by_arrow, held_out, table, write_shared
 from matchbook.llm.decontaminate import words_of
 
 BITS = 18
@@ -123,17 +122,18 @@ class FactorizationMachine:
                 self.bias -= RATE * err.sum() / np.sqrt(g_b)
 
 
-def associated(rows: list[np.ndarray], labels: np.ndarray, least: float = MIN_CHI) -> np.ndarray:
-    """Sorted features whose presence depends on the label (chi-squared with
-    continuity correction)."""
-    seen, at = np.unique(np.concatenate(rows), return_inverse=True)
-    n, n1 = len(rows), labels.sum()
-    a = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), len(seen))     # with the feature, label 1
-    have = np.bincount(at, minlength=len(seen)).astype(float)
-    expected = have * n1 / n
-    spread = expected * (1 - n1 / n) * (1 - have / n)
-    chi = np.maximum(np.abs(a - expected) - 0.5, 0) ** 2 / np.maximum(spread, 1e-9)
-    return seen[chi >= least]
+def associated(sample: DataFrame, least: float = MIN_CHI) -> np.ndarray:
+    """Sorted features of ``sample`` (features, label) whose presence depends on
+    the label (chi-squared with continuity correction).  Counted in Spark; only
+    the chosen features reach the driver."""
+    n, n1 = sample.agg(F.count(F.lit(1)), F.sum("label")).first()
+    expected = F.col("have") * F.lit(n1 / n)
+    spread = expected * F.lit(1 - n1 / n) * (1 - F.col("have") / n)
+    counted = (sample.select(F.explode("features").alias("feature"), "label").groupBy("feature")
+                     .agg(F.count(F.lit(1)).alias("have"), F.sum("label").alias("hit")))
+    off = F.greatest(F.abs(F.col("hit") - expected) - 0.5, F.lit(0.0))
+    chosen = counted.filter(off * off >= least * F.greatest(spread, F.lit(1e-9))).select("feature").collect()
+    return np.array(sorted(r["feature"] for r in chosen), dtype=np.int32)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id",
@@ -149,15 +149,17 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def work(cols):
         cache: dict = {}
-        return [[features(t, cache).tobytes() for t in cols[0]]]
-    sample = add_by_arrow(texts, ["_text"], "_features binary", work).select("_id", "_features", "_label")
-    rows = sorted(sample.collect(), key=lambda r: (r["_id"], bytes(r["_features"])))   # at most about max_rows
-    y = np.array([r["_label"] for r in rows], dtype=np.float64)
-    if not len(y) or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
-    feats = [np.frombuffer(r["_features"], dtype=np.int32) for r in rows]
-    machine = FactorizationMachine(associated(feats, y))
-    machine.fit(feats, y)
+        return [[features(t, cache) for t in cols[0]]]
+    sample = write_shared(add_by_arrow(texts, ["_text"], "features array<int>", work).select(
+        F.col("_id").alias("id"), "features", F.col("_label").alias("label")), "toxicity-sample")
+    share = sample.agg(F.avg("label")).first()[0]
+    if not share or share == 1:
+        return float(share or 0.0)
+    machine = FactorizationMachine(associated(sample))
+    known = F.array(*[F.lit(int(f)) for f in machine.known]).cast("array<int>")
+    rows = sorted(tuple(r) for r in sample.select(           # at most about max_rows short rows
+        "id", F.array_sort(F.array_intersect("features", known)), "label").collect())
+    machine.fit([np.array(r[1], dtype=np.int32) for r in rows], np.array([r[2] for r in rows], dtype=np.float64))
     return machine
 
 
