@@ -1,0 +1,62 @@
+from helpers import clashing, docs
+from pyspark.sql import functions as F
+
+from matchbook.llm import pii
+
+TEXTS = ["write Ann.Lee42@mail7.example.com, phone +1 (017) 555-7713; host 10.20.30.40",
+         "card 4111111111111111 or 4111 1111 1111 1111, not 5927243074273351!! 1234567890123",
+         "on 2024-02-29, 31.12.1999 and 12/25/2020, not 2023-02-30 or 31/31/2020 or 1700-01-01",
+         "ssn 123-45-6789 iban GB82WEST12345698765432 not GB83WEST12345698765432 ip 256.1.1.1",
+         None, "", "nothing 12345 here", "again Ann.Lee42@mail7.example.com", "é🙂 a@b.co x" * 3]
+
+
+def run(spark, texts, **how):
+    table = clashing(docs(spark, list(enumerate(texts))), "n_pii", "kind", "old", "new")
+    return {r["doc_id"]: r for r in pii.pseudonymise(table, **how).collect()}
+
+
+def test_round_trip_links_and_formats(spark):
+    out = run(spark, TEXTS)
+    back = run(spark, [out[i]["text"] for i in range(len(TEXTS))], inverse=True)
+    assert [back[i]["text"] for i in range(len(TEXTS))] == TEXTS
+    assert [out[i]["n_pii"] for i in range(4)] == [3, 4, 3, 2]
+    assert out[1]["pii_kinds"] == "card,card,card,card" and out[3]["pii_kinds"] == "ssn,iban"
+    for i in (4, 5, 6):
+        assert out[i]["text"] == TEXTS[i] and out[i]["n_pii"] == 0
+    mail = out[0]["text"].split()[1].rstrip(",")
+    assert mail.endswith("@mail7.example.com") and mail in out[7]["text"] and "Lee42" not in out[0]["text"]
+    words = out[1]["text"].replace(",", "").split()
+    plain, spaced = words[1], "".join(words[3:7])
+    assert plain == spaced and luhn(plain) and not luhn(words[8].strip("!")) and len(words[9]) == 13
+    assert "2023-02-30" in out[2]["text"] and "31/31/2020" in out[2]["text"] and "1700-01-01" in out[2]["text"]
+    assert "GB83WEST12345698765432" in out[3]["text"] and "256.1.1.1" in out[3]["text"]
+    iban = out[3]["text"].split()[3]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def luhn(number):
+    digits = [int(c) for c in reversed(number)]
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
+
+
+def test_permutations_are_one_to_one(spark):
+    days = spark.range(0, 146097, 37).select(F.date_format(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("v"))
+    codes = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("v"))
+    for rows, change in ((days, lambda c: pii.permute_date(c, "yyyy-MM-dd")), (codes, lambda c: pii.permute_text(c, "x"))):
+        made = rows.select("v", change(F.col("v")).alias("w"))
+        assert made.select("w").distinct().count() == rows.count()
+        assert made.filter("v <> w").count() > 0.9 * rows.count()
+    assert codes.select(pii.permute_text(F.col("v"), "x").alias("w")).join(codes, F.col("w") == F.col("v"), "left_anti").count() == 0
+
+
+def test_keys_differ(spark):
+    a, b = run(spark, TEXTS), run(spark, TEXTS, key="other")
+    assert a[0]["text"] != b[0]["text"] and a[0]["text"] == run(spark, TEXTS)[0]["text"]
+
+
+def test_empty_table_long_text_and_plan(spark):
+    assert pii.pseudonymise(docs(spark, [])).count() == 0
+    long = "x" * 300_000 + " a@b.example.com " + "1" * 50_000
+    assert run(spark, [long])[0]["n_pii"] == 1
+    plan = pii.pseudonymise(docs(spark, [(1, "x")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
