@@ -8,7 +8,8 @@ triangle per partition, added up by row in Spark), so all labelled rows that
 are not held out train.  Isotonic calibration turns the raw score into the
 share of label 1: rows of one fifth (remainder 1) stay out of the ridge and
 are counted on a fixed grid of raw scores; pooling adjacent violators runs
-over the grid, at most ``GRID`` rows.
+over the grid, at most ``GRID`` rows.  Texts are read once: training and
+scoring work on the narrow table of their statistics.
 
 Defined cases: null and empty texts have all statistics zero; labels that are
 null or unknown are ignored, of repeated labels of one id the larger counts;
@@ -21,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import add_by_arrow, held_out, table, write_shared
+from matchbook.llm.common import add_by_arrow, broadcast_if_fits, held_out, table, write_shared
 
 STATS = ("log_bytes", "log_words", "log_lines", "letter", "upper", "digit", "space", "punctuation", "symbol",
          "non_ascii", "word_length", "word_spread", "distinct_words", "top_word", "repeated_next", "distinct_lines",
@@ -146,17 +147,21 @@ def _sums(df: DataFrame, cols: list[str], width: int, work) -> np.ndarray:
     return np.array([[v["v"] for v in r[1]] for r in rows], dtype=float)
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
-          text_col: str = "text") -> Model | None:
+def measure(docs: DataFrame, text_col: str = "text", stats_col: str = "_stats") -> DataFrame:
+    """``docs`` plus the statistics of their texts."""
+    return add_by_arrow(docs, [text_col], f"{stats_col} array<double>",
+                        lambda cols: [[statistics(t) for t in cols[0]]])
+
+
+def train(measured: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id",
+          stats_col: str = "_stats") -> Model | None:
+    """A model from measured documents and the labels of those not held out."""
     known = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
                    .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("double").alias("_label")))
     fold = F.crc32(F.col("_id").cast("string").cast("binary")) % 5
-    texts = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known, "_id")
-                 .withColumn("_fold", fold))
-
-    rows = write_shared(add_by_arrow(
-        texts, ["_text"], "_stats array<double>",
-        lambda cols: [[statistics(t).tolist() for t in cols[0]]]).select("_stats", "_label", "_fold"), "quality-stats")
+    rows = write_shared(
+        measured.select(F.col(id_col).alias("_id"), F.col(stats_col).alias("_stats"))
+                .join(broadcast_if_fits(known), "_id").select("_stats", "_label", fold.alias("_fold")), "quality-rows")
     moments = rows.select(F.posexplode("_stats").alias("i", "v")).groupBy("i").agg(
         F.avg("v").alias("mean"), F.stddev_pop("v").alias("spread")).orderBy("i").collect()
     if not moments:
@@ -182,20 +187,21 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     return Model(kernel, weights, isotonic(seen[:, 0], seen[:, 1]))
 
 
-def score(docs: DataFrame, model: Model | None, text_col: str = "text", score_col: str = "score") -> DataFrame:
+def score(measured: DataFrame, model: Model | None, stats_col: str = "_stats", score_col: str = "score") -> DataFrame:
+    """``measured`` plus ``score_col`` between 0 and 1."""
     if model is None:
-        return docs.withColumn(score_col, F.lit(0.5))
-    shared = docs.sparkSession.sparkContext.broadcast(model)      # a fixed number of parameters
+        return measured.withColumn(score_col, F.lit(0.5))
+    shared = measured.sparkSession.sparkContext.broadcast(model)      # a fixed number of parameters
 
     def work(cols):
-        if not cols[0]:
-            return [[]]
-        return [shared.value.score(np.array([statistics(t) for t in cols[0]])).tolist()]
-    return add_by_arrow(docs, [text_col], f"{score_col} double", work)
+        # rounded, as sums in another order differ in the last digits
+        return [np.round(shared.value.score(np.array(cols[0])), 9) if cols[0] else []]
+    return add_by_arrow(measured, [stats_col], f"{score_col} double", work)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
-                                     (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    measured = write_shared(measure(docs).select("doc_id", "_stats"), "quality-stats")
+    model = train(measured, table(spark, sf_dir, "labels"))
+    return score(measured, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
