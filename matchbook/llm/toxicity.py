@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import add_by_arrow, held_out, table, write_shared
+from matchbook.llm.common import add_by_arrow, broadcast_if_fits, held_out, table, write_shared
 from matchbook.llm.decontaminate import words_of
 
 BITS = 18
@@ -33,7 +33,7 @@ PREFIXES = (4, 5, 6, 7)
 RANK = 4
 MIN_CHI = 15.0
 MAX_ROWS = 20_000              # documented bound of the training sample
-EPOCHS = 12
+EPOCHS = 30
 BATCH = 256
 RATE = 0.1
 DECAY = 2e-5
@@ -145,7 +145,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     keep = F.pmod(F.xxhash64(F.lit(SEED), F.col("_id").cast("string")), F.lit(1 << 20)) < \
         int((1 << 20) * min(1.0, max_rows / max(1, total)))
     known = known.filter(keep)
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(known, "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(
+        broadcast_if_fits(known), "_id")
 
     def work(cols):
         cache: dict = {}
