@@ -10,9 +10,11 @@ For each element of the tree, over the ``m`` pages that have it:
 * together ``(1 - g ** l) * presentation + g ** l * content`` with ``l`` child
   sequences; content alone for elements without block-level children
 
-An importance from few pages is drawn towards that of the same path over all
-hosts (weight ``PRIOR_PAGES``).  Branches below ``LEAST`` go, unless they carry
-more than half of the host's text.  Elements that say what they are (scripts,
+Pages with the same html count once.  An importance from few pages is drawn
+towards that of the same path over all hosts, and that towards 1 (weight
+``PRIOR_PAGES``); inside ``article`` and ``main`` it is drawn to 1 with
+``ARTICLE_PAGES``, as a repeated paragraph is still the article.  Branches below
+``LEAST`` go, unless they carry more than half of the host's text.  Elements that say what they are (scripts,
 ``nav``, ``footer``, ``aside``, forms, class or id words such as ``ad`` or
 ``comments``) go on every page, however varied their text is: reader comments
 differ as much as articles do.
@@ -37,12 +39,13 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import add_by_arrow, broadcast_if_fits, table
+from matchbook.llm.common import add_by_arrow, broadcast_if_fits, table, write_shared
 from matchbook.llm.url_filter import host_of
 
 DECAY = 0.9
 LEAST = 0.35
 PRIOR_PAGES = 20
+ARTICLE_PAGES = 500
 MOST_TEXT = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -162,7 +165,8 @@ def _tree_rows(cols):
     for html in cols[0]:
         rows = []
         for path, (marks, size, children) in _elements(read_page(html)).items():
-            rows.append({"path": digest(path), "size": size, "form": digest(" ".join(children)) if children else None,
+            inside = not {"article", "main"}.isdisjoint(step.split(".")[0] for step in path.split("/"))
+            rows.append({"path": digest(path), "inside": inside, "size": size, "form": digest(" ".join(children)) if children else None,
                          "texts": sorted(marks)})
         made.append(rows)
     return [made]
@@ -171,13 +175,16 @@ def _tree_rows(cols):
 def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     """Rows (host, path, pages, size, imp): the merged trees of all hosts.
     ``path`` is a digest of the element path."""
-    seen = add_by_arrow(pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html")), ["html"],
-                        "elements array<struct<path:long,size:long,form:long,texts:array<long>>>", _tree_rows)
-    seen = seen.select("host", F.explode("elements").alias("e")).select("host", "e.*")
+    seen = add_by_arrow(pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"),
+                                     F.sha2(F.col(html_col), 256).alias("same")), ["html"],
+                        "elements array<struct<path:long,inside:boolean,size:long,form:long,texts:array<long>>>", _tree_rows)
+    seen = seen.groupBy("host", "same").agg(F.first("elements").alias("elements"))
+    seen = write_shared(seen.select("host", F.explode("elements").alias("e")).select("host", "e.*"), "page-elements")
     rate = F.log(F.col("k")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
 
     def tree(keys: list[str]) -> DataFrame:
-        size = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("size"))
+        size = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("size"),
+                                       F.max("inside").alias("inside"))
         texts = (seen.select(*keys, F.explode("texts").alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("k"))
                      .groupBy(*keys).agg(F.sum(F.log("k")).alias("text_logs"), F.count(F.lit(1)).alias("text_n")))
         forms = (seen.filter("form is not null").groupBy(*keys, "form").agg(F.count(F.lit(1)).alias("k"))
@@ -188,12 +195,20 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
         shape = (F.log("form_pages") - F.col("form_logs") / F.col("form_pages")) / base
         keep = F.pow(F.lit(DECAY), "forms")
         both = F.when(F.col("forms").isNull(), content).otherwise((1 - keep) * shape + keep * content)
-        return size.join(texts, keys).join(forms, keys, "left").select(*keys, "pages", "size", both.alias("imp"))
+        return size.join(texts, keys).join(forms, keys, "left").select(
+            *keys, "pages", "size", "inside", both.alias("imp"))
+
+    def drawn(imp: str, pages: str, to, weight):
+        known = F.col(pages) - 1
+        return (known * F.col(imp) + weight * to) / (known + weight)
 
     host = tree(["host", "path"])
-    anywhere = tree(["path"]).select("path", F.col("imp").alias("anywhere"))
-    drawn = ((F.col("pages") - 1) * F.col("imp") + PRIOR_PAGES * F.col("anywhere")) / (F.col("pages") - 1 + PRIOR_PAGES)
-    return host.join(anywhere, "path").select("host", "path", "pages", "size", drawn.alias("imp"))
+    anywhere = tree(["path"]).select("path", drawn("imp", "pages", F.lit(1.0), F.lit(PRIOR_PAGES)).alias("anywhere"))
+    article = F.col("inside")
+    prior = F.when(article, 1.0).otherwise(F.col("anywhere"))
+    weight = F.when(article, ARTICLE_PAGES).otherwise(PRIOR_PAGES)
+    return host.join(anywhere, "path").select("host", "path", "pages", "size",
+                                              drawn("imp", "pages", prior, weight).alias("imp"))
 
 
 def _texts(cols):
