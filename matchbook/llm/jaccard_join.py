@@ -15,7 +15,7 @@ one row per document with its component.
    are compared completely in one task, so nothing grows with a hot group.
 4. The matrix stores each group's union of sampled hashes.  A document and a
    group of which it is no part meet when their shared hashes can reach the
-   need; within its own group a document that is not with its block's majority
+   need; within its own group a document outside the group's largest component
    meets all blocks.  Pairs that are already in one component are left out.
 5. A block is opened for the documents that met it (in lots of ``LOT``): the
    exact union of its sets bounds the overlap once more, then all its members
@@ -165,8 +165,10 @@ def _groups(active: DataFrame) -> DataFrame:
 
 def _met(tokens: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
     """Rows (rep, block): documents and the blocks they have to be compared
-    with.  ``placed``: rep, n, leader, block, comp, apart (not with its block's
-    majority); ``blocks``: leader, block, main, least, most."""
+    with.  ``placed``: rep, n, leader, block, comp, apart (not in its group's
+    largest component); ``blocks``: leader, block, main (that component), least,
+    most.  Of two documents of different components, one is apart or meets a
+    group whose largest component is not its own, so no pair is missed."""
     num, den = THRESHOLD
     mine = tokens.join(placed.select("rep", "leader"), "rep")
     matrix = mine.select("token", "leader").distinct()
@@ -231,10 +233,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = components(inner)
     placed = groups.join(comps.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn(
         "comp", F.coalesce("component", "rep")).drop("component")
-    main = (placed.groupBy("block", "comp").agg(F.count(F.lit(1)).alias("m"))
-                  .groupBy("block").agg(F.max(F.struct("m", "comp")).alias("top"))
-                  .select("block", F.col("top.comp").alias("main")))
-    placed = write_shared(placed.join(main, "block").withColumn("apart", F.col("comp") != F.col("main")), "jaccard-placed")
+    main = (placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("m"))
+                  .groupBy("leader").agg(F.max(F.struct("m", "comp")).alias("top"))
+                  .select("leader", F.col("top.comp").alias("main")))
+    placed = write_shared(placed.join(main, "leader").withColumn("apart", F.col("comp") != F.col("main")), "jaccard-placed")
     blocks = placed.groupBy("leader", "block", "main").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     met = write_shared(_met(tokens.select("token", "rep").join(placed.select("rep"), "rep"), placed, blocks), "jaccard-met")
     lots = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
