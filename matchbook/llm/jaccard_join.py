@@ -9,14 +9,16 @@ one row per document with its component.
 2. Two linked sets share at least ``NEED`` sampled hashes (see below), so a
    representative that shares fewer with all others together is alone.
 3. The others are partitioned into groups of similar documents: the leader of a
-   min-hash bucket is the document most of whose sample is shared, and each
-   document joins the leader it meets most often.  A group is cut by set size
+   min-hash bucket is the document whose sample is shared most (the text that
+   others were edited from, rather than an edit), and each document joins the
+   leader it meets most often.  A group is cut by set size
    into blocks of about ``BLOCK`` documents, each joined by the leader; blocks
    are compared completely in one task, so nothing grows with a hot group.
 4. The matrix stores each group's union of sampled hashes.  A document and a
    group of which it is no part meet when their shared hashes can reach the
-   need; within its own group a document outside the group's largest component
-   meets all blocks.  Pairs that are already in one component are left out.
+   need (of two groups, the smaller one's documents meet the larger group);
+   within its own group a document outside the group's largest component meets
+   all blocks.  Pairs that are already in one component are left out.
 5. A block is opened for the documents that met it (in lots of ``LOT``): the
    exact union of its sets bounds the overlap once more, then all its members
    are compared.  One link per document and component of the block is kept.
@@ -39,7 +41,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import add_by_arrow, broadcast_if_fits, table, write_shared
@@ -49,8 +51,8 @@ from matchbook.llm.shingles import _mix, shingle_set
 THRESHOLD = (75, 100)
 SAMPLE, NEED = 64, 22
 BUCKETS = 8                    # pairs of min-hashes
-BLOCK = 64
-LOT = 128
+BLOCK = 128
+LOT = 256
 COMMON = 64                    # groups that may share a hash before it counts as common
 
 _rng = np.random.Generator(np.random.PCG64(417))
@@ -164,39 +166,50 @@ def _groups(active: DataFrame) -> DataFrame:
 
 
 def _met(tokens: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows (rep, block): documents and the blocks they have to be compared
-    with.  ``placed``: rep, n, leader, block, comp, apart (not in its group's
-    largest component); ``blocks``: leader, block, main (that component), least,
-    most.  Of two documents of different components, one is apart or meets a
-    group whose largest component is not its own, so no pair is missed."""
+    """Rows (rep, comp, block): documents and the blocks they have to be
+    compared with.  ``placed``: rep, n, leader, block, comp, apart (not in its
+    group's largest component); ``blocks``: leader, block, least, most.
+
+    Of two groups the documents of the smaller one meet the larger one, so a
+    hot group is met by others and meets few itself.  Within a group, one of two
+    documents of different components is apart.
+    """
     num, den = THRESHOLD
-    mine = tokens.join(placed.select("rep", "leader"), "rep")
+    kinds = placed.groupBy("leader").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("main"),
+                                         (F.min("comp") == F.max("comp")).alias("pure"))
+    kinds = write_shared(kinds, "jaccard-kinds")
+    theirs = kinds.select(F.col("leader").alias("other"), F.col("size").alias("other_size"), "main", "pure")
+    mine = tokens.join(placed.select("rep", "leader", "comp"), "rep").join(kinds.select("leader", "size"), "leader")
     matrix = mine.select("token", "leader").distinct()
     spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
     mine = mine.join(spread, "token")
     common = mine.filter(F.col("groups") > COMMON)
     many = common.groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
-    rare = matrix.join(spread.filter(F.col("groups") <= COMMON), "token").select("token", F.col("leader").alias("other"))
     need = _need(F.col("n"))
-    shared = (mine.select("token", "rep", "leader").join(rare, "token").filter("leader <> other")
+    meets = (((F.col("size") < F.col("other_size")) |
+              ((F.col("size") == F.col("other_size")) & (F.col("leader") < F.col("other")))) &
+             ~(F.col("pure") & (F.col("comp") == F.col("main"))))
+
+    def groups_with(index: DataFrame) -> DataFrame:
+        return index.select("token", F.col("leader").alias("other")).distinct().join(theirs, "other")
+
+    rare = groups_with(matrix.join(spread.filter(F.col("groups") <= COMMON), "token"))
+    shared = (mine.filter(F.col("groups") <= COMMON).join(rare, "token").filter(meets)
                   .groupBy("rep", "other").agg(F.count(F.lit(1)).alias("shared")))
     asked = (shared.join(placed.select("rep", "n"), "rep").join(many, "rep", "left")
                    .filter(F.col("shared") + F.coalesce("common", F.lit(0)) >= need).select("rep", "other"))
     # pairs without a rare hash in common: both hold as many common ones as are
     # needed, and one of the fewest-spread of them is shared
     full = many.join(placed.select("rep", "n"), "rep").filter(F.col("common") >= need)
-    from pyspark.sql import Window
     order = Window.partitionBy("rep").orderBy("groups", "token")
-    held = (common.join(full.select("rep", "common", "n"), "rep")
-                  .withColumn("place", F.row_number().over(order)))
-    ahead = held.filter(F.col("place") <= F.col("common") - need + 1).select("token", "rep", "leader")
-    other = held.select("token", F.col("leader").alias("other")).distinct()
-    asked = asked.unionByName(ahead.join(other, "token").filter("leader <> other").select("rep", "other")).distinct()
+    held = common.join(full.select("rep", "common", "n"), "rep").withColumn("place", F.row_number().over(order))
+    ahead = held.filter(F.col("place") <= F.col("common") - need + 1)
+    asked = asked.unionByName(ahead.join(groups_with(held), "token").filter(meets).select("rep", "other")).distinct()
     own = placed.filter("apart").select("rep", F.col("leader").alias("other"))
-    at = placed.select("rep", "n", "comp", "apart", F.col("block").alias("own_block"))
+    at = placed.select("rep", "n", "comp", F.col("block").alias("own_block"))
     return (asked.unionByName(own).join(at, "rep")
                  .join(blocks.withColumnRenamed("leader", "other"), "other")
-                 .filter((F.col("block") != F.col("own_block")) & ((F.col("comp") != F.col("main")) | F.col("apart")) &
+                 .filter((F.col("block") != F.col("own_block")) &
                          (F.col("most") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least") * num))
                  .select("rep", "comp", "block"))
 
@@ -217,11 +230,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     twice = of.join(twice.select("id", "a"), "id").select("a", F.col("rep").alias("b")).filter("a <> b")
 
     tokens = reps.select("rep", "n", F.explode("sample").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token")
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     tokens = write_shared(tokens.join(shared, "token"), "jaccard-tokens")
-    central = tokens.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= _need(F.col("n")))
+    central = (tokens.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c"), F.round(F.sum(F.log("df")), 6).alias("logs"))
+                     .filter(F.col("c") >= _need(F.col("n"))))
     active = write_shared(reps.drop("n", "sample").join(central, "rep").select(
-        "rep", "n", "bands", (F.col("c") / F.least(F.col("n"), F.lit(SAMPLE))).alias("central")), "jaccard-active")
+        "rep", "n", "bands", (F.col("logs") / F.least(F.col("n"), F.lit(SAMPLE))).alias("central")), "jaccard-active")
     groups = write_shared(_groups(active), "jaccard-blocks")
     texts = write_shared(base.join(broadcast_if_fits(groups.select(F.col("rep").alias("id"))), "id")
                              .select(F.col("id").alias("rep"), "text").distinct(), "jaccard-texts")
@@ -237,7 +251,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                   .groupBy("leader").agg(F.max(F.struct("m", "comp")).alias("top"))
                   .select("leader", F.col("top.comp").alias("main")))
     placed = write_shared(placed.join(main, "leader").withColumn("apart", F.col("comp") != F.col("main")), "jaccard-placed")
-    blocks = placed.groupBy("leader", "block", "main").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    blocks = placed.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     met = write_shared(_met(tokens.select("token", "rep").join(placed.select("rep"), "rep"), placed, blocks), "jaccard-met")
     lots = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
     queries = (met.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("rep"), F.col("lots")).cast("int"))
