@@ -149,9 +149,12 @@ def above(path: str) -> list[str]:
 
 
 def _elements(page: Page) -> dict[str, tuple]:
-    """Per path: distinct texts, text length, and the child sequence."""
+    """Per path: distinct texts, text length, and the child sequence.  What
+    goes on every page has no part in the tree."""
     out: dict[str, list] = {}
-    for path, _, text in page.blocks:
+    for path, noise, text in page.blocks:
+        if noise:
+            continue
         mark = digest(text)
         for p in above(path):
             got = out.setdefault(p, [set(), 0])
@@ -176,10 +179,11 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
     """Rows (host, path, pages, size, imp): the merged trees of all hosts.
     ``path`` is a digest of the element path."""
     seen = add_by_arrow(pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"),
-                                     F.sha2(F.col(html_col), 256).alias("same")), ["html"],
+                                     F.xxhash64(html_col).alias("same")), ["html"],
                         "elements array<struct<path:long,inside:boolean,size:long,form:long,texts:array<long>>>", _tree_rows)
     seen = seen.groupBy("host", "same").agg(F.first("elements").alias("elements"))
-    seen = write_shared(seen.select("host", F.explode("elements").alias("e")).select("host", "e.*"), "page-elements")
+    seen = write_shared(seen.select("host", "elements"), "page-elements")
+    seen = seen.select("host", F.explode("elements").alias("e")).select("host", "e.*")
     rate = F.log(F.col("k")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
 
     def tree(keys: list[str]) -> DataFrame:
