@@ -64,12 +64,16 @@ def cooldown_accept(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
     # the oversized keys are few (at most total / max_group_rows): keep them
     # once, so the request table is aggregated a single time
     big_keys = cut_lineage(sizes.where(F.col("_n") > max_group_rows).select(*groups))
-    big = F.broadcast(big_keys)
-    small = _fold_bounded_groups(base.join(big, groups, "left_anti"), groups, cooldown_seconds)
-    if big_keys.isEmpty():
-        out = small
+    if cooldown_seconds <= 0:
+        out = base.select(*groups, "_id", "_ts", F.lit(True).alias("accepted"),
+                          F.lit(None).cast("long").alias("wait_minutes"))
+    elif big_keys.isEmpty():
+        out = _fold_bounded_groups(base, groups, cooldown_seconds)
     else:
-        out = small.unionByName(_doubling(base.join(big, groups, "left_semi"), groups, cooldown_seconds))
+        big = F.broadcast(big_keys.select(*[F.col(c).alias(f"_big_{c}") for c in groups]))
+        same = [F.col(c).eqNullSafe(F.col(f"_big_{c}")) for c in groups]     # a NULL group is a group
+        small = _fold_bounded_groups(base.join(big, same, "left_anti"), groups, cooldown_seconds)
+        out = small.unionByName(_doubling(base.join(big, same, "left_semi"), groups, cooldown_seconds))
     return out.select(*groups, F.col("_id").alias(id_col), F.col("_ts").alias(ts_col),
                       "accepted", "wait_minutes")
 
@@ -110,8 +114,14 @@ def fold_sorted(starts: np.ndarray, us: np.ndarray, cd_us: int):
     pos[order] = np.arange(2 * n)
     first_after = pos[:n] - idx                                   # requests ordered before probe i
     jump = np.append(np.where(first_after < group_end, first_after, n), n)   # n: no successor
+    if (first_after <= idx).any():
+        raise ValueError("times must not decrease within a group")
     accepted = starts.copy()
-    while (jump[:n] < n).any():
+    # successors lie strictly ahead, so 2^k-step jumps leave the rows after
+    # at most log2(n) + 1 doublings
+    for _ in range(n.bit_length() + 1):
+        if not (jump[:n] < n).any():
+            break
         reached = jump[np.flatnonzero(accepted)]
         accepted[reached[reached < n]] = True
         jump = jump[jump]                                         # 2^k -> 2^(k+1) steps
@@ -120,6 +130,24 @@ def fold_sorted(starts: np.ndarray, us: np.ndarray, cd_us: int):
     return accepted, wait
 
 
+def fold_after(us: np.ndarray, last: int | None, cd_us: int):
+    """Cooldown of one group's sorted times after an accepted time ``last``.
+
+    Times before ``last + cd_us`` are rejected, late ones (before ``last``)
+    among them; the rest is folded by :func:`fold_sorted`.  Without a cooldown
+    everything is accepted."""
+    if last is None or cd_us <= 0:
+        starts = np.zeros(len(us), bool)
+        starts[:1] = True
+        return fold_sorted(starts, us, cd_us)
+    early = int(np.searchsorted(us, last + cd_us, "left"))
+    starts = np.zeros(len(us) - early, bool)
+    starts[:1] = True
+    acc, wait = fold_sorted(starts, us[early:], cd_us)
+    return (np.concatenate([np.zeros(early, bool), acc]),
+            np.concatenate([(last + cd_us - us[:early]) // 60_000_000, wait]))
+
+
 def _fold_bounded_groups(base: DataFrame, groups, cooldown_seconds: int) -> DataFrame:
     """Cooldown for groups proven to be bounded.
 
@@ -168,12 +196,13 @@ def _doubling(base: DataFrame, groups, cooldown_seconds: int, max_rounds: int =
 
     # (2) next acceptable request, via the merged request/probe order.
     probes = ev.select(*groups, _plus_seconds(F.col("_ts"), cooldown_seconds).alias("_t"),
-                       F.lit(0).alias("_kind"), "_id", "_e")
-    events = ev.select(*groups, F.col("_ts").alias("_t"), F.lit(1).alias("_kind"), "_id", "_e")
-    merged = with_global_index(probes.unionByName(events), [*groups, "_t", "_kind", "_id"], "_u")
+                       F.lit(0).alias("_kind"), "_e")
+    events = ev.select(*groups, F.col("_ts").alias("_t"), F.lit(1).alias("_kind"), "_e")
+    merged = with_global_index(probes.unionByName(events), [*groups, "_t", "_kind", "_e"], "_u")
     bounds = ev.groupBy(*groups).agg(F.min("_e").alias("_first"), F.max("_e").alias("_last"))
+    ends = bounds.select(*[F.col(c).alias(f"_b_{c}") for c in groups], "_last")
     nxt = (merged.where(F.col("_kind") == 0)
-                 .join(bounds, groups)
+                 .join(F.broadcast(ends), [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in groups])
                  .select("_e", (F.col("_u") - F.col("_e") + 1).alias("_nxt"), "_last")
                  .where(F.col("_nxt") <= F.col("_last"))
                  .select("_e", "_nxt"))
@@ -196,18 +225,19 @@ def _doubling(base: DataFrame, groups, cooldown_seconds: int, max_rounds: int =
     flagged = ev.join(marked.withColumn("accepted", F.lit(True)), "_e", "left").withColumn(
         "accepted", F.coalesce(F.col("accepted"), F.lit(False)))
 
-    # (4) wait time for rejected requests from the blocking accepted one.
+    # (4) wait time for rejected requests from the blocking accepted one; the
+    # unique request number identifies a row (ids may repeat)
     bucket = F.floor(F.unix_seconds(F.col("_ts")) / cooldown_seconds)
-    acc = flagged.where("accepted").select(*groups, bucket.alias("_b"),
-                                           F.col("_ts").alias("_acc_ts"), F.col("_id").alias("_acc_id"))
+    acc = flagged.where("accepted").select(
+        *[F.col(c).alias(f"_a_{c}") for c in groups], bucket.alias("_ab"),
+        F.col("_ts").alias("_acc_ts"), F.col("_e").alias("_acc_e"))
     rej = flagged.where(~F.col("accepted")).select(
-        *groups, "_id", "_ts", F.explode(F.array(bucket, bucket - 1)).alias("_b"))
-    before = (F.col("_acc_ts") < F.col("_ts")) | (
-        (F.col("_acc_ts") == F.col("_ts")) & (F.col("_acc_id") < F.col("_id")))
-    blocker = (rej.join(acc, [*groups, "_b"]).where(before)
-                  .groupBy("_id").agg(F.max("_acc_ts").alias("_acc_ts")))
+        *groups, "_e", F.explode(F.array(bucket, bucket - 1)).alias("_b"))
+    same = [F.col(c).eqNullSafe(F.col(f"_a_{c}")) for c in groups] + [F.col("_b") == F.col("_ab")]
+    blocker = (rej.join(acc, same).where(F.col("_acc_e") < F.col("_e"))
+                  .groupBy("_e").agg(F.max("_acc_ts").alias("_acc_ts")))
     elapsed = (F.unix_micros(F.col("_ts")) - F.unix_micros(F.col("_acc_ts"))) / 1e6
     wait = F.floor((F.lit(float(cooldown_seconds)) - elapsed) / 60).cast("long")
-    return (flagged.join(blocker, "_id", "left")
+    return (flagged.join(blocker, "_e", "left")
                    .select(*groups, "_id", "_ts", "accepted",
                            F.when(~F.col("accepted"), wait).alias("wait_minutes")))

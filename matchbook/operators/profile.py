@@ -47,13 +47,30 @@ def validate_profiles(profiles: DataFrame, rules: dict) -> DataFrame:
                     .withColumn("is_valid", F.size("violations") == 0))
 
 
+def is_missing(col: Column) -> Column:
+    """NULL, a text of white space only, or an array without elements (every
+    such value is written as ``[]``, blanks or nothing)."""
+    return F.coalesce(F.trim(F.regexp_replace(col.cast("string"), r"^\[\s*\]$|\s+", "")) == "", F.lit(True))
+
+
+def out_of_bounds(skills, weight_field: str = "weight_pct", low: int = 0, high: int = REQUIRED_TOTAL) -> Column:
+    """Whether any weight of an ARRAY<STRUCT> column is missing or outside
+    ``low`` to ``high``."""
+    c = F.col(skills) if isinstance(skills, str) else skills
+    return F.exists(c, lambda x: ~F.coalesce(x[weight_field].between(low, high), F.lit(False)))
+
+
 def standard_rules(tech_total: Column, family_total: Column | None = None,
-                   required: dict | None = None, required_total: int = REQUIRED_TOTAL) -> dict:
-    """The profile form's rules: weight totals equal ``required_total`` and
-    required fields present (non-NULL and non-empty)."""
+                   required: dict | None = None, required_total: int = REQUIRED_TOTAL,
+                   weights: dict | None = None) -> dict:
+    """The profile form's rules: weight totals equal ``required_total``,
+    required fields present (non-NULL and non-empty), and each weight of the
+    ``weights`` arrays between 0 and the total."""
     rules = {"technical_total": tech_total != required_total}
     if family_total is not None:
         rules["family_total"] = family_total != required_total
     for name, col in (required or {}).items():
-        rules[f"missing_{name}"] = col.isNull()
+        rules[f"missing_{name}"] = is_missing(col)
+    for name, col in (weights or {}).items():
+        rules[f"weight_{name}"] = out_of_bounds(col)
     return rules

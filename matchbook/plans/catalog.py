@@ -85,7 +85,7 @@ from matchbook.operators import clean, identity, ordering, textfilter  # noqa: E
 from matchbook.operators.cooldown import cooldown_accept  # noqa: E402
 from matchbook.operators.embedding import elementwise_mean, ref_readiness  # noqa: E402
 from matchbook.operators.merge import upsert  # noqa: E402
-from matchbook.operators.profile import skill_share, standard_rules, validate_profiles, weight_totals  # noqa: E402
+from matchbook.operators.profile import out_of_bounds, skill_share, standard_rules, validate_profiles  # noqa: E402
 from matchbook.operators.ranking import attach_info, top_n, top_n_per_group  # noqa: E402
 from matchbook.operators.scoring import parse_replies  # noqa: E402
 from matchbook.operators.seen import IMPLEMENTATIONS, drop_seen, seen_hashes  # noqa: E402
@@ -623,13 +623,17 @@ def q_upsert_partial_columns(spark, sf):
 # --- profile analytics -------------------------------------------------------------
 
 PROFILE_VALID_SQL = """
-WITH t AS (SELECT l_orderkey, sum(l_quantity) AS total_weight, count(*) AS n_skills
+WITH t AS (SELECT l_orderkey, sum(l_quantity) AS total_weight, sum(l_linenumber) AS family_weight, count(*) AS n_skills,
+                  bool_or(coalesce(l_quantity NOT BETWEEN 0 AND 45, true)) AS beyond
            FROM lineitem GROUP BY l_orderkey)
 SELECT o.o_orderkey, t.total_weight, coalesce(t.n_skills, 0) AS n_skills,
        v = '' AS is_valid, v AS violations
 FROM (SELECT o.*, concat_ws(',',
         CASE WHEN coalesce(t.total_weight <> 100, true) THEN 'technical_total' END,
-        CASE WHEN o.o_orderpriority IS NULL THEN 'missing_priority' END) AS v
+        CASE WHEN coalesce(t.family_weight <> 100, true) THEN 'family_total' END,
+        CASE WHEN trim(coalesce(o.o_orderpriority, '')) = '' THEN 'missing_priority' END,
+        CASE WHEN trim(regexp_replace(o.o_orderstatus, '[FO]', '')) = '' THEN 'missing_status' END,
+        CASE WHEN coalesce(t.beyond, true) THEN 'weight_quantity' END) AS v
       FROM orders o LEFT JOIN t ON t.l_orderkey = o.o_orderkey) o
 LEFT JOIN t ON t.l_orderkey = o.o_orderkey
 """
@@ -637,11 +641,18 @@ LEFT JOIN t ON t.l_orderkey = o.o_orderkey
 
 @query("profile_validation", PROFILE_VALID_SQL)
 def q_profile_validation(spark, sf):
-    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    li = read_table(spark, sf, "lineitem")
-    totals = weight_totals(li, "l_orderkey", "l_quantity").withColumnRenamed("l_orderkey", "o_orderkey")
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    # an order's lines are few, so its weights fit into one array
+    totals = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum("l_quantity").alias("total_weight"), F.sum("l_linenumber").alias("family_weight"),
+        F.count(F.lit(1)).alias("n_skills"),
+        F.collect_list(F.struct(F.col("l_quantity").alias("weight_pct"))).alias("weights"))
     prof = o.join(totals, "o_orderkey", "left").withColumn("n_skills", F.coalesce("n_skills", F.lit(0)))
-    rules = standard_rules(F.col("total_weight"), required={"priority": F.col("o_orderpriority")})
+    rules = standard_rules(
+        F.col("total_weight"), F.col("family_weight"),
+        required={"priority": F.col("o_orderpriority"),
+                  "status": F.regexp_replace("o_orderstatus", "[FO]", "")})      # closed and open ones are left blank
+    rules["weight_quantity"] = out_of_bounds("weights", high=45)
     checked = validate_profiles(prof, rules)
     return checked.select("o_orderkey", "total_weight", "n_skills", "is_valid",
                           F.array_join("violations", ",").alias("violations"))

@@ -42,15 +42,14 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.repartition(target, key or df.columns[0])
 
 
-def spread_partitions(df: DataFrame) -> DataFrame:
-    """Like :func:`spread` but without the size floor, for inputs whose
-    per-row work is large relative to their size (Python model hooks, a
-    side that fans out into many pairs).  No-op when already split across
-    the cores."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
-        return df
-    return df.repartition(target)
+def spread_partitions(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``df`` in ``partitions`` partitions, or as it is when none are asked for.
+
+    For inputs whose per-row work is large relative to their size (model
+    hooks, a side that fans out into many pairs).  The caller says how many:
+    asking a derived frame for its partition count would run its shuffles
+    while the plan is only being built."""
+    return df if partitions is None else df.repartition(partitions)
 
 
 def read_table(spark: SparkSession, base_dir: str, name: str, spread_scan: bool = True) -> DataFrame:

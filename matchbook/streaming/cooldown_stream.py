@@ -1,10 +1,12 @@
 """Streaming cooldown (R1): per (group) state holds the last accepted time.
 
 Within a micro-batch a group's rows arrive unordered, so they are sorted by
-``(ts, id)`` and folded with the vectorised :func:`fold_sorted`, the last
-accepted time (the state) standing in as the group's first request; across micro-batches arrival order is the
-order (as with requests arriving at a server).  Given the same rows in one
-batch, the result equals :func:`matchbook.operators.cooldown.cooldown_accept`.
+``(ts, id)`` and folded with the vectorised :func:`fold_after`; across
+micro-batches arrival order is the order (as with requests arriving at a
+server): a request earlier than the last accepted time plus the cooldown is
+rejected, a late one (before the last accepted time) too, its wait counting
+from its own time.  Given the same rows in one batch, the result equals
+:func:`matchbook.operators.cooldown.cooldown_accept`.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from matchbook.operators.cooldown import DEFAULT_COOLDOWN_SECONDS, fold_sorted
+from matchbook.operators.cooldown import DEFAULT_COOLDOWN_SECONDS, fold_after
 
 
 def cooldown_stream(requests: DataFrame, group_cols, ts_col: str = "ts", id_col: str = "event_id",
@@ -31,15 +33,11 @@ def cooldown_stream(requests: DataFrame, group_cols, ts_col: str = "ts", id_col:
     def fold(key, pdfs, state):
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", id_col], kind="stable")
         us = pdf["_us"].to_numpy(np.int64)
-        # the last accepted time from earlier batches acts as the group's
-        # first (already accepted) request; it is dropped from the output
-        prior = [int(state.get[0])] if state.exists else []
-        us_all = np.concatenate([np.array(prior, np.int64), us])
-        starts = np.zeros(len(us_all), bool)
-        starts[0] = True
-        acc, wait = fold_sorted(starts, us_all, cd_us)
-        state.update((int(us_all[np.flatnonzero(acc)[-1]]),))
-        acc, wait = acc[len(prior):], wait[len(prior):]
+        last = int(state.get[0]) if state.exists else None
+        acc, wait = fold_after(us, last, cd_us)
+        if acc.any():
+            newest = int(us[np.flatnonzero(acc)[-1]])
+            state.update((newest if last is None else max(last, newest),))
         out = pdf[groups + [id_col]].copy()
         out["accepted"] = acc
         out["wait_minutes"] = pd.array(np.where(acc, None, wait), dtype="Int64")

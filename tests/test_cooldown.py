@@ -95,3 +95,44 @@ def test_cooldown_groups_spanning_many_arrow_batches(spark):
             assert got == brute(rows, cd)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _brute(rows, cooldown):
+    """{row number: (accepted, wait)} of (group, seconds, id) rows."""
+    last, out = {}, {}
+    for i in sorted(range(len(rows)), key=lambda k: (str(rows[k][0]), rows[k][1], rows[k][2])):
+        g, t, _ = rows[i]
+        ok = g not in last or t >= last[g] + cooldown
+        out[i] = (ok, None if ok else int((last[g] + cooldown - t) // 60))
+        if ok:
+            last[g] = t
+    return out
+
+
+def test_both_plans_agree_on_nulls_repeats_and_no_cooldown(spark):
+    import collections
+    import datetime as dt
+    import random
+    rnd = random.Random(9)
+    rows = [(rnd.choice([None, 1, 2]), rnd.randrange(4000), rnd.randrange(20)) for _ in range(300)]
+    rows += [(3, 50, 7)] * 5 + [(1, 0, 1), (2, 0, 1)]
+    t0 = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(g, t0 + dt.timedelta(seconds=t), i) for g, t, i in rows], "g long, ts timestamp, id long")
+    for cooldown in (0, 90, 700):
+        want = collections.Counter((rows[k][0], rows[k][1], rows[k][2], *v) for k, v in _brute(rows, cooldown).items())
+        for limit in (0, 40, 200_000):
+            out = cooldown_accept(df, "g", "ts", "id", cooldown, limit).collect()
+            got = collections.Counter((r.g, int((r.ts - t0).total_seconds()), r.id, r.accepted, r.wait_minutes) for r in out)
+            assert got == want, (cooldown, limit)
+
+
+def test_late_times_after_a_state_are_rejected():
+    import numpy as np
+    import pytest
+    from matchbook.operators.cooldown import fold_after, fold_sorted
+    s = 1_000_000
+    acc, wait = fold_after(np.array([0, 10, 1040, 1060, 1100, 1121]) * s, 1000 * s, 60 * s)
+    assert list(acc) == [False, False, False, True, False, True] and list(wait[:3]) == [17, 17, 0]
+    assert fold_after(np.array([5, 6]) * s, 1000 * s, 0)[0].all()
+    with pytest.raises(ValueError):
+        fold_sorted(np.array([True, False]), np.array([1000, 0]) * s, 10 * s)

@@ -44,3 +44,11 @@ def test_code_label_roundtrip(spark):
         "c", "l", label_to_code("l", EDUCATION_LABELS).alias("back")).collect()]
     assert got[:4] == [(0, "None", 0), (1, "Bachelor", 1), (2, "Master", 2), (3, "PhD", 3)]
     assert got[4] == (9, None, None)
+
+
+def test_empty_values_and_bounds_are_violations(spark):
+    from matchbook.operators.profile import is_missing, out_of_bounds
+    rows = [("a", [("x", 100)], ["t"]), ("", [("x", 101), ("y", -1)], []), ("  ", [("x", None)], None), (None, [], [""])]
+    df = spark.createDataFrame(rows, "name string, tech array<struct<name:string,weight_pct:int>>, titles array<string>")
+    got = df.select(is_missing(F.col("name")), is_missing(F.col("titles")), out_of_bounds("tech")).collect()
+    assert [tuple(r) for r in got] == [(False, False, False), (True, True, True), (True, True, True), (True, True, False)]

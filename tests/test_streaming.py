@@ -89,3 +89,20 @@ def test_stream_cooldown_carries_state_across_micro_batches(spark, tmp_dir):
     want = cooldown_accept(batch, "user_id", "ts", "event_id", 6 * 3600)
     key = lambda r: (r.event_id, r.accepted, r.wait_minutes)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+
+
+def test_stream_rejects_late_rows_and_resumes_from_its_folder(spark, tmp_dir):
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp, user_id long"
+    path = os.path.join(tmp_dir, "late")
+
+    def land(rows):
+        spark.createDataFrame([(i, t0 + dt.timedelta(seconds=t), 1) for i, t in rows], schema).coalesce(1) \
+             .write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).parquet(path)
+        out = run_to_table(cooldown_stream(stream, "user_id", "ts", "event_id", 60), "t-late",
+                           path=os.path.join(tmp_dir, "query"))
+        return {r.event_id: r.accepted for r in out.collect()}
+    assert land([(1, 1000)]) == {1: True}
+    # the second run reads only the new file, with the first run's state
+    assert land([(2, 0), (3, 10), (4, 1060)]) == {1: True, 2: False, 3: False, 4: True}
