@@ -4,7 +4,9 @@
 from __future__ import annotations
 
 import hashlib
+import inspect
 import re
+import time
 from typing import Callable
 
 import numpy as np
@@ -18,6 +20,7 @@ from matchbook.sources.tables import spread_partitions
 # --- fixed values -----------------------------------------------------------
 FIELDS = ("description", "title")
 REF_LANGS = ("FR", "EN")
+DEFAULT_BATCH_SIZE = 50        # texts per inference call
 # ---------------------------------------------------------------------------
 
 
@@ -131,27 +134,51 @@ class HashingEmbedder:
         return out
 
 
+def made(provider):
+    """The provider itself, or what a factory without arguments makes."""
+    try:
+        bare = not inspect.signature(provider).parameters
+    except (TypeError, ValueError):
+        bare = False
+    return provider() if bare else provider
+
+
+def in_calls(model: Callable, items: list, batch_size: int, pause_seconds: float = 0.0) -> list:
+    """``model`` over ``items`` in calls of at most ``batch_size``, with a pause
+    between two calls."""
+    out = []
+    for i in range(0, len(items), batch_size):
+        if i and pause_seconds:
+            time.sleep(pause_seconds)
+        out.extend(model(items[i:i + batch_size]))
+    return out
+
+
 def embed_texts(df: DataFrame, key_cols, text_col: str,
-                provider: Callable | None = None, dim: int = 64) -> DataFrame:
+                provider: Callable | None = None, dim: int = 64, batch_size: int = DEFAULT_BATCH_SIZE,
+                pause_seconds: float = 0.0, partitions: int | None = None, token_mode: bool | None = None) -> DataFrame:
     """Run an embedding provider over ``text_col`` in Arrow batches.
 
-    The provider is built once per Python worker and called once per Arrow
-    batch (``spark.sql.execution.arrow.maxRecordsPerBatch`` rows), the
-    distributed form of fixed-size inference batches.  Output:
+    ``provider`` is a provider, or a factory without arguments that makes one
+    (then it is built inside each task, not on the driver).  It is called with
+    at most ``batch_size`` texts at a time, ``pause_seconds`` apart (T5).
+    ``partitions`` spreads the input first.  Output:
     ``key_cols + vec ARRAY<FLOAT>`` (sentence mode) or
     ``key_cols + pos INT + vec`` (token mode).
     """
     keys = [key_cols] if isinstance(key_cols, str) else list(key_cols)
     provider = provider or HashingEmbedder(dim)
-    token_mode = getattr(provider, "mode", "sentence") == "token"
-    sel = spread_partitions(df.select(*keys, text_col))
+    if token_mode is None:
+        token_mode = getattr(provider, "mode", "sentence") == "token"
+    sel = spread_partitions(df.select(*keys, text_col), partitions)
     key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
                            for f in sel.schema.fields if f.name in keys)
     schema = key_schema + (", pos int" if token_mode else "") + ", vec array<float>"
 
     def run(batches):
+        model = made(provider)
         for pdf in batches:
-            vecs = provider(pdf[text_col].tolist())
+            vecs = in_calls(model, pdf[text_col].tolist(), batch_size, pause_seconds)
             if token_mode:
                 rows = [(*k, p, np.asarray(v, np.float32))
                         for k, tv in zip(pdf[keys].itertuples(index=False), vecs)

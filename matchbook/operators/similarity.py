@@ -6,10 +6,10 @@ Two physical forms of the same semantics:
 * :func:`field_similarity` / :func:`job_scores` -- every (user, job, field)
   similarity as rows.  Use when the pairs themselves are the output.
 * :func:`top_similar_jobs` -- scores are computed as dense matrix products
-  inside Arrow batches, each task keeps an exact running top N per user,
-  and only those leave the task, so the shuffle carries at most
-  users x N x tasks rows instead of users x jobs.  This is the ranking
-  path.
+  inside (user block, job salt) cells, each task keeps an exact running top N
+  per user, and only those leave the cell, so the ranking shuffle carries at
+  most users x N x salts rows instead of users x jobs.  This is the ranking
+  path; references, seen pairs and jobs all stay rows of the cluster.
 """
 
 from __future__ import annotations
@@ -94,34 +94,21 @@ def wide_job_vectors(job_vecs: DataFrame, job_key: str = "job_hash", fields=FIEL
     return job_vecs.groupBy(job_key, "lang").agg(*aggs)
 
 
-def _collect_refs(refs: DataFrame, max_rows: int, max_bytes: int):
-    """Reference rows as pandas when a size probe proves they fit
-    ``max_rows`` rows and ``max_bytes`` bytes; ``None`` otherwise."""
-    # probe and collection read the same rows: keep them between the two
-    # jobs (a cache only; lost blocks are recomputed from lineage)
-    sel = refs.select("user_id", "field", "lang", as_double("vec").alias("vec")).persist()
-    try:
-        if not fits_in_bytes(sel, "vec", max_bytes, max_rows):
-            return None
-        return sel.toPandas()
-    finally:
-        sel.unpersist()
-
-
 def _user_blocks(refs: DataFrame, max_rows: int, max_bytes: int) -> int:
     """How many user blocks keep each block's references within both
     limits (one aggregate job; a spare block absorbs hash imbalance)."""
     r = refs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("vec").cast("long")).alias("e")).first()
     n, e = int(r["n"]), int(r["e"] or 0)
-    by_bytes = (n * ROW_OVERHEAD_BYTES + e * ELEMENT_BYTES) / max_bytes
-    return int(np.ceil(max(n / max_rows, by_bytes))) + 1
+    share = max(n / max_rows, (n * ROW_OVERHEAD_BYTES + e * ELEMENT_BYTES) / max_bytes)
+    return 1 if share <= 1 else int(np.ceil(share)) + 1
 
 
 def _ref_matrices(pdf, fields):
-    """Unit-normalised reference matrices from collected rows:
+    """Unit-normalised reference matrices from a block's reference rows:
     ``(user_ids, {lang: {field: users x dim}})``.  Missing or zero vectors
     are NaN rows."""
-    users = np.array(sorted(pdf["user_id"].unique().tolist()), dtype=object)
+    users = np.empty(pdf["user_id"].nunique(), dtype=object)
+    users[:] = sorted(pdf["user_id"].unique().tolist())
     pos = {u: i for i, u in enumerate(users)}
     dim = max((len(v) for v in pdf["vec"] if v is not None), default=0)
     out = {}
@@ -156,15 +143,16 @@ def _unit_rows(col: pd.Series, dim: int) -> np.ndarray:
     return out
 
 
-def _batch_leaders(keys: np.ndarray, scores: np.ndarray, users: np.ndarray, n: int):
-    """Per user column: every job whose score ties or beats the n-th best.
+def _batch_leaders(keys: np.ndarray, scores: np.ndarray, excluded: np.ndarray, n: int):
+    """Per user column: every job whose score ties or beats the n-th best,
+    leaving out the ``excluded`` (job, user) cells.
 
     NaN scores rank last; they are kept only for users with fewer than n
     valid scores in the batch, and then only the n smallest keys."""
     rows_u, rows_j = [], []
-    s = np.where(np.isnan(scores), -np.inf, scores)
+    s = np.where(np.isnan(scores) | excluded, -np.inf, scores)
     if s.shape[0] <= n:
-        ju, uu = np.nonzero(np.ones_like(s, dtype=bool))
+        ju, uu = np.nonzero(~excluded)
         return uu, ju
     kth = -np.partition(-s, n - 1, axis=0)[n - 1]  # n-th largest per user
     finite = np.isfinite(kth)
@@ -174,7 +162,7 @@ def _batch_leaders(keys: np.ndarray, scores: np.ndarray, users: np.ndarray, n: i
     rows_j.append(ju)
     for u in np.nonzero(~finite)[0]:          # fewer than n valid scores
         valid = np.nonzero(np.isfinite(s[:, u]))[0]
-        nan_rows = np.nonzero(~np.isfinite(s[:, u]))[0]
+        nan_rows = np.nonzero(~np.isfinite(s[:, u]) & ~excluded[:, u])[0]
         take = nan_rows[np.argsort(keys[nan_rows], kind="stable")[: n - len(valid)]]
         sel = np.concatenate([valid, take])
         rows_u.append(np.full(len(sel), u))
@@ -195,81 +183,131 @@ def _running_top(frames: list, n: int, job_key: str) -> pd.DataFrame:
 def top_similar_jobs(wide_jobs: DataFrame, refs: DataFrame, n: int, job_key: str = "job_hash",
                      fields=FIELDS, max_ref_rows: int = REF_BROADCAST_MAX_ROWS,
                      user_block: int = 4096,
-                     max_ref_bytes: int = REF_BROADCAST_MAX_BYTES) -> DataFrame:
-    """Per-partition leaders ``(user_id, job_key, score)`` for a later exact
+                     max_ref_bytes: int = REF_BROADCAST_MAX_BYTES,
+                     seen: DataFrame | None = None, job_salts: int | None = None) -> DataFrame:
+    """Per-cell leaders ``(user_id, job_key, score)`` for a later exact
     per-user top-N (see :func:`matchbook.operators.ranking.top_n_per_group`).
 
-    Each task keeps a running exact top ``n`` per user across its Arrow
-    batches (compacted whenever it grows past a few times users x n rows),
-    so it emits at most users x n rows whatever its number of batches.
-
     score = mean over ``fields`` of cosine(job field vector, user reference
     vector for that field and the job's language); NULL if any is missing.
-    The reference matrices are broadcast only after a size probe of
-    their rows and bytes; above the limits the users are hashed into
-    blocks, each block broadcast on its own and the results unioned
-    (exact; one scan of the jobs per block).
+    Pairs ``(user_id, job_key)`` of ``seen`` are left out.
+
+    References, seen pairs and jobs meet as rows in (user block, job salt)
+    cells: users are hashed into blocks whose references fit the limits, jobs
+    into ``job_salts`` (default: the shuffle partitions over the blocks).  A
+    cell's rows arrive sorted -- references, seen pairs, then jobs -- so its
+    task holds one block's references and seen pairs and streams the jobs,
+    keeping an exact running top ``n`` per user (compacted whenever it grows
+    past a few times users x n rows).  Nothing passes through the driver.
     """
-    collected = _collect_refs(refs, max_ref_rows, max_ref_bytes)
-    if collected is None:
-        n_blk = _user_blocks(refs, max_ref_rows, max_ref_bytes)
-        blk = F.pmod(F.xxhash64("user_id"), F.lit(n_blk))
-        parts = [top_similar_jobs(wide_jobs, refs.where(blk == b), n, job_key, fields,
-                                  max_ref_rows, user_block, max_ref_bytes)
-                 for b in range(n_blk)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    users, mats = _ref_matrices(collected, fields)
-    sc = wide_jobs.sparkSession.sparkContext
-    bc = sc.broadcast((users, mats))
-    key_type = wide_jobs.schema[job_key].dataType.simpleString()
-    user_type = refs.schema["user_id"].dataType.simpleString()
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructField, StructType
+
+    spark = wide_jobs.sparkSession
+    blocks = _user_blocks(refs, max_ref_rows, max_ref_bytes)
+    salts = job_salts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    key_type, user_type = wide_jobs.schema[job_key].dataType, refs.schema["user_id"].dataType
     vec_cols = [f"vec_{f}" for f in fields]
 
+    def block(c):
+        return F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+
+    def salt(c):
+        return F.pmod(F.xxhash64(c), F.lit(salts)).cast("int")
+
+    def every(count):
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    no_vec = F.lit(None).cast("array<double>")
+    jobs = wide_jobs.where(F.col(job_key).isNotNull()).select(
+        every(blocks).alias("_blk"), salt(job_key).alias("_salt"), F.lit(2).alias("_kind"),
+        F.col(job_key).alias("_job"), F.lit(None).cast(user_type).alias("_user"), F.lit(None).cast("string").alias("_field"),
+        F.col("lang").alias("_lang"), no_vec.alias("_vec"), *[as_double(c).alias(c) for c in vec_cols])
+    known = refs.where(F.col("user_id").isNotNull()).select(
+        block("user_id").alias("_blk"), every(salts).alias("_salt"), F.lit(0).alias("_kind"),
+        F.lit(None).cast(key_type).alias("_job"), F.col("user_id").alias("_user"), F.col("field").alias("_field"),
+        F.col("lang").alias("_lang"), as_double("vec").alias("_vec"), *[no_vec.alias(c) for c in vec_cols])
+    rows = jobs.unionByName(known)
+    if seen is not None:
+        rows = rows.unionByName(seen.select(
+            block("user_id").alias("_blk"), salt(job_key).alias("_salt"), F.lit(1).alias("_kind"),
+            F.col(job_key).cast(key_type).alias("_job"), F.col("user_id").cast(user_type).alias("_user"),
+            F.lit(None).cast("string").alias("_field"), F.lit(None).cast("string").alias("_lang"), no_vec.alias("_vec"),
+            *[no_vec.alias(c) for c in vec_cols]))
+    cells = rows.repartition("_blk", "_salt").sortWithinPartitions("_blk", "_salt", "_kind")
+    out = StructType([StructField("user_id", user_type), StructField(job_key, key_type),
+                      *StructType.fromDDL("score double").fields])
+    types = to_arrow_schema(out).types
     compact_min = COMPACT_MIN_ROWS
 
     def kernel(batches):
-        users_, mats_ = bc.value
-        keep: list = []
-        kept_rows = 0
-        compact_at = max(compact_min, 4 * n * len(users_))
-        for pdf in batches:
-            out = []
-            for lang, g in pdf.groupby("lang"):
-                if lang not in mats_ or len(users_) == 0:
-                    continue
-                keys = g[job_key].to_numpy()
-                per_field = [_unit_rows(g[c], mats_[lang][f].shape[1]) for f, c in zip(fields, vec_cols)]
-                step = max(1, min(user_block, MAX_SCORE_CELLS // max(1, len(keys))))
-                for lo in range(0, len(users_), step):
-                    hi = min(lo + step, len(users_))
-                    total = None
-                    for f, jm in zip(fields, per_field):
-                        sims = jm @ mats_[lang][f][lo:hi].T
-                        total = sims if total is None else total + sims
-                    score = total / len(fields)
-                    uu, jj = _batch_leaders(keys, score, users_[lo:hi], n)
-                    if len(uu):
-                        out.append(pd.DataFrame({
-                            "user_id": users_[lo:hi][uu],
-                            job_key: keys[jj],
-                            "score": score[jj, uu].astype(np.float64),
-                        }))
-            keep.extend(out)
-            kept_rows += sum(len(o) for o in out)
-            if kept_rows > compact_at:
-                keep = [_running_top(keep, n, job_key)]
-                kept_rows = len(keep[0])
-        if keep:
-            top = _running_top(keep, n, job_key)
-            # NaN must leave as NULL: Spark would rank NaN above every number
-            yield top.assign(score=pd.array(np.where(np.isnan(top["score"]), None, top["score"]),
-                                            dtype="Float64"))
+        at, refs_of, seen_of, ready, keep, kept = None, [], {}, None, [], 0
 
-    schema = f"user_id {user_type}, `{job_key}` {key_type}, score double"
-    # a job without a key cannot be ranked by key nor joined back
-    return (wide_jobs.where(F.col(job_key).isNotNull())
-                     .select(job_key, "lang", *vec_cols).mapInPandas(kernel, schema))
+        def top():
+            if not keep:
+                return
+            best = _running_top(keep, n, job_key)
+            score = best["score"].to_numpy(np.float64)
+            # NaN must leave as NULL: Spark would rank NaN above every number
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(best["user_id"].tolist(), types[0]), pa.array(best[job_key].tolist(), types[1]),
+                 pa.array(score, types[2], mask=np.isnan(score))], names=out.names)
+
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("_blk", "_salt", "_kind")], axis=1)
+            starts = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]).any(axis=1)]) if len(place) else []
+            for lo, hi in zip(starts, np.r_[starts[1:], len(place)], strict=True):
+                part, cell, kind = batch.slice(lo, hi - lo), tuple(place[lo][:2]), place[lo][2]
+                if cell != at:
+                    yield from top()
+                    at, refs_of, seen_of, ready, keep, kept = cell, [], {}, None, [], 0
+                if kind == 0:
+                    refs_of.append(pd.DataFrame({
+                        "user_id": pd.Series(part.column("_user").to_pylist(), dtype=object),
+                        "field": part.column("_field").to_pylist(), "lang": part.column("_lang").to_pylist(),
+                        "vec": part.column("_vec").to_pandas()}))
+                elif kind == 1:
+                    for j, u in zip(part.column("_job").to_pylist(), part.column("_user").to_pylist(), strict=True):
+                        seen_of.setdefault(j, []).append(u)
+                elif refs_of:
+                    if ready is None:
+                        users, mats = _ref_matrices(pd.concat(refs_of, ignore_index=True), fields)
+                        ready = users, mats, {u: i for i, u in enumerate(users)}
+                    found = _score_jobs(part, ready, seen_of, n, fields, vec_cols, user_block, job_key)
+                    keep += found
+                    kept += sum(len(f) for f in found)
+                    if kept > max(compact_min, 4 * n * len(ready[0])):
+                        keep = [_running_top(keep, n, job_key)]
+                        kept = len(keep[0])
+        yield from top()
+
+    return cells.mapInArrow(kernel, out)
+
+
+def _score_jobs(part, ready, seen_of: dict, n: int, fields, vec_cols, user_block: int, job_key: str) -> list:
+    """Leaders among a run of job rows, as frames (user_id, job, score)."""
+    users, mats, number = ready
+    langs = np.array(part.column("_lang").to_pylist(), dtype=object)
+    jobs = np.empty(len(langs), dtype=object)
+    jobs[:] = part.column("_job").to_pylist()
+    vecs = {c: part.column(c).to_pandas() for c in vec_cols}
+    found = []
+    for lang in {x for x in langs if x in mats}:
+        pick = np.flatnonzero(langs == lang)
+        keys = jobs[pick]
+        per_field = [_unit_rows(vecs[c].iloc[pick], mats[lang][f].shape[1]) for f, c in zip(fields, vec_cols)]
+        gone = [(i, number[u]) for i, k in enumerate(keys) for u in seen_of.get(k, ()) if u in number]
+        step = max(1, min(user_block, MAX_SCORE_CELLS // max(1, len(keys))))
+        for lo in range(0, len(users), step):
+            hi = min(lo + step, len(users))
+            score = sum(jm @ mats[lang][f][lo:hi].T for f, jm in zip(fields, per_field)) / len(fields)
+            excluded = np.zeros(score.shape, dtype=bool)
+            inside = [(i, u - lo) for i, u in gone if lo <= u < hi]
+            if inside:
+                excluded[tuple(np.array(inside).T)] = True
+            uu, jj = _batch_leaders(keys, score, excluded, n)
+            if len(uu):
+                found.append(pd.DataFrame({"user_id": users[lo:hi][uu], job_key: keys[jj],
+                                           "score": score[jj, uu].astype(np.float64)}))
+    return found

@@ -5,10 +5,10 @@ rows.  The probe is an exact count: each task counts its own partition and
 one partial count per partition crosses the shuffle.  (``limit(n).count()``
 looks cheaper but plans as a local limit, an exchange into a single
 partition and a global limit, so on a large input whose partitions each
-hold fewer than ``n`` rows every row is funnelled into one task.)  Sides
-that carry vectors are also bounded in bytes: a row count alone says
-nothing when each row holds an array of unknown length.  Callers supply
-the other plan for the large case.
+hold fewer than ``n`` rows every row is funnelled into one task.)  Every
+side is also bounded in bytes: a row count alone says nothing when rows hold
+texts or arrays of unknown length.  Callers supply the other plan for the
+large case.
 """
 
 from __future__ import annotations
@@ -28,9 +28,34 @@ def has_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS):
-    """Return ``(df_or_broadcast_df, was_broadcast)``."""
-    if has_at_most(df, max_rows):
+def row_bytes(df: DataFrame):
+    """A column: the bytes a row's values hold, roughly (texts and binaries by
+    their length, arrays and maps by their entries written as text, 8 bytes
+    for anything else)."""
+    size = F.lit(ROW_OVERHEAD_BYTES).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            size = size + F.coalesce(F.octet_length(c.cast("string")), F.lit(0))
+        else:
+            size = size + ELEMENT_BYTES
+    return size
+
+
+def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+             max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows and ``max_bytes`` bytes
+    (one aggregate, combined map-side)."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    return r["n"] <= max_rows and (r["b"] or 0) <= max_bytes
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                       max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES):
+    """Return ``(df_or_broadcast_df, was_broadcast)``; small in rows and bytes."""
+    if is_small(df, max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False
 

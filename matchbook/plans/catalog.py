@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from matchbook.plans import fixtures as fx
-from matchbook.plans.recommend import recommend
+from matchbook.plans.recommend import recommend, recommend_rejects
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -42,20 +42,25 @@ refs AS (
   FROM refs_long GROUP BY ALL)"""
 
 
+# the fixture's review store: who was scored on what, by implementation
+USER_SEEN_SQL = """
+user_reviews AS (SELECT ((doc_id // 3) % 8)::INTEGER AS user_id, doc_id // 2 AS job_hash, quality AS llm_score,
+                        CASE WHEN doc_id % 5 <> 0 THEN toxic::DOUBLE END AS fasttext_score FROM labels),
+seen AS (SELECT DISTINCT user_id, job_hash FROM user_reviews WHERE fasttext_score IS NOT NULL)"""
+
+
 # --- flagship ---------------------------------------------------------------
 
 RECOMMEND_SQL = f"""
 WITH {JV_SQL},
-cand AS (
-  SELECT doc_id AS job_hash FROM documents
-  WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic IS NOT NULL)
-    AND doc_id IN (SELECT job_hash FROM jv)),
+{USER_SEEN_SQL},
 ready AS (SELECT user_id FROM refs WHERE vec IS NOT NULL GROUP BY user_id
           HAVING count(DISTINCT field || lang) = 4),
 sims AS (
   SELECT r.user_id, j.job_hash, list_cosine_similarity(j.vec, r.vec) AS sim
   FROM jv j JOIN refs r USING (field, lang)
-  WHERE j.job_hash IN (SELECT job_hash FROM cand) AND r.user_id IN (SELECT user_id FROM ready)),
+  WHERE j.job_hash IN (SELECT doc_id FROM documents) AND r.user_id IN (SELECT user_id FROM ready)
+    AND (r.user_id, j.job_hash) NOT IN (SELECT (user_id, job_hash) FROM seen)),
 scores AS (
   SELECT user_id, job_hash, CASE WHEN count(sim) = 2 THEN avg(sim) END AS score
   FROM sims GROUP BY ALL),
@@ -63,7 +68,7 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, job_hash) AS rk
   FROM scores)
 SELECT r.user_id, r.rk::INTEGER AS rank, r.job_hash, round(r.score, 6) AS score,
-       substr(d.text, 1, 60) AS title, d.source AS company
+       split_part(d.text, chr(10), 1) AS title, d.source AS company
 FROM ranked r JOIN documents d ON d.doc_id = r.job_hash
 WHERE r.rk <= 10
 """
@@ -72,10 +77,29 @@ WHERE r.rk <= 10
 @query("recommend", RECOMMEND_SQL)
 def q_recommend(spark: SparkSession, sf: str) -> DataFrame:
     return recommend(fx.postings(spark, sf), fx.job_field_vectors(spark, sf),
-                     fx.user_reference_vectors(spark, sf), fx.reviews(spark, sf),
+                     fx.user_reference_vectors(spark, sf), fx.user_reviews(spark, sf),
                      implementation="FastText", n=10)
 
 
+REJECTS_SQL = f"""
+WITH {JV_SQL},
+ready AS (SELECT user_id FROM refs WHERE vec IS NOT NULL GROUP BY user_id HAVING count(DISTINCT field || lang) = 4)
+SELECT NULL::INTEGER AS user_id, doc_id AS job_hash, 'no_vector' AS reason FROM documents
+WHERE doc_id NOT IN (SELECT job_hash FROM jv)
+UNION ALL
+SELECT DISTINCT user_id, NULL::BIGINT, 'not_ready' FROM events
+WHERE user_id NOT IN (SELECT user_id FROM ready)
+"""
+
+
+@query("recommend_rejects", REJECTS_SQL)
+def q_recommend_rejects(spark, sf):
+    # everyone who asks for a ranking, and every posting, is ranked or listed
+    users = read_table(spark, sf, "events").select(F.col("user_id").cast("int").alias("user_id"))
+    return recommend_rejects(fx.postings(spark, sf), fx.job_field_vectors(spark, sf),
+                             fx.user_reference_vectors(spark, sf), users)
+
+
 # Imports used by the remaining builders.
 from pyspark.sql import functions as F  # noqa: E402
 
@@ -105,7 +129,7 @@ def _strip_sql(e):
 RUN_DATE = "2024-03-01"
 
 RAW_POSTINGS_CTE = """raw AS (
-  SELECT doc_id AS pos, substr(text, 1, 60) AS title, text AS description,
+  SELECT doc_id AS pos, split_part(text, chr(10), 1) AS title, text AS description,
          strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d') || 'T' ||
            lpad((doc_id % 24)::VARCHAR, 2, '0') || ':30:00' ||
            CASE WHEN lang = 'fr' THEN '+02:00' WHEN lang = 'de' THEN '-05:00' ELSE 'Z' END AS created,
@@ -159,7 +183,7 @@ def _hash_sql(title, company, date):
 
 JOB_HASH_SQL = f"""
 SELECT doc_id AS job_id,
-       {_hash_sql("substr(text, 1, 60)", "source", "(DATE '2024-01-01' + (doc_id % 60)::INTEGER)")} AS job_hash
+       {_hash_sql("split_part(text, chr(10), 1)", "source", "(DATE '2024-01-01' + (doc_id % 60)::INTEGER)")} AS job_hash
 FROM documents
 """
 
@@ -373,7 +397,7 @@ def q_job_scores(spark, sf):
 
 TOP_N_SQL = SCORES_CTE + """
 SELECT s.user_id, s.rk::INTEGER AS rank, s.job_hash, round(s.score, 6) AS score,
-       substr(d.text, 1, 60) AS title, d.source AS company
+       split_part(d.text, chr(10), 1) AS title, d.source AS company
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC NULLS LAST, job_hash) AS rk
       FROM scores) s
 JOIN documents d ON d.doc_id = s.job_hash
@@ -434,7 +458,7 @@ SELECT c.c_custkey AS user_id, d.doc_id AS job_hash,
                          skills=_SKILLS_SQL,
                          education=f"coalesce({EDU_SQL}, 'unknown')",
                          experience=f"coalesce({EXP_SQL}, 'unknown')",
-                         job_title="coalesce(substr(d.text, 1, 60), '')",
+                         job_title="coalesce(split_part(d.text, chr(10), 1), '')",
                          company="coalesce(d.source, '')",
                          description="substr(coalesce(d.text, ''), 1, 1000)")} AS prompt
 FROM documents d JOIN customer c ON c.c_custkey = d.doc_id
@@ -478,7 +502,7 @@ def q_build_profile_prompts(spark, sf):
 
 PARSE_SQL = """
 SELECT l.doc_id AS job_hash, (l.quality * 10)::INTEGER AS llm_score, 'toxic=' || l.toxic::VARCHAR AS llm_comment,
-       true AS reply_valid, '1.0.0' AS llm_version, substr(d.text, 1, 60) AS title
+       true AS reply_valid, '1.0.0' AS llm_version, split_part(d.text, chr(10), 1) AS title
 FROM labels l JOIN documents d ON d.doc_id = l.doc_id
 """
 
@@ -564,7 +588,7 @@ t AS (SELECT doc_id, {T.tokenize_sql_duckdb("text")} AS toks FROM documents),
 pairs AS (SELECT kw.user_id::BIGINT AS user_id, t.doc_id AS job_hash FROM t JOIN kw
           ON list_has_any(t.toks, string_split(kw.what_or, ' '))
          AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))),
-posts AS (SELECT doc_id AS job_hash, substr(text, 1, 60) AS title, source AS company,
+posts AS (SELECT doc_id AS job_hash, split_part(text, chr(10), 1) AS title, source AS company,
                  text AS description, lang FROM documents),
 {_offline_scorers_sql("pairs", "posts", "kw")}
 SELECT * FROM fast UNION ALL SELECT * FROM llm
@@ -724,7 +748,7 @@ def q_rating_projection(spark, sf):
 
 PREVIEW_SQL = """
 SELECT doc_id AS job_hash,
-       coalesce(substr(text, 1, 60), 'Unknown Title') || ' at ' || coalesce(nullif(source, 'src0'), 'Unknown Company') AS card_title,
+       coalesce(split_part(text, chr(10), 1), 'Unknown Title') || ' at ' || coalesce(nullif(source, 'src0'), 'Unknown Company') AS card_title,
        coalesce(substr(strftime(DATE '2024-01-01' + (doc_id % 60)::INTEGER, '%Y-%m-%d'), 1, 10), 'N/A') AS posted,
        coalesce(upper(lang), 'N/A') AS location,
        substr(coalesce(text, 'No description available.'), 1, 500) || '...' AS preview
@@ -841,35 +865,31 @@ def q_request_window_counts(spark, sf):
                                                    "implementation", "n_requests")
 
 
-# One landed request file is one micro-batch (epoch 0); each
-# implementation's requesters get the flagship ranking against that
-# implementation's seen set.
+# One landed request file is one micro-batch (epoch 0).  FastText requests get
+# the flagship ranking of unseen postings, LLM requests the postings the text
+# model has already scored for the user, best first.
 REQUEST_STREAM_SQL = f"""
 WITH {JV_SQL},
+{USER_SEEN_SQL},
 req AS (SELECT DISTINCT user_id,
                CASE WHEN event_type IN ('click', 'view') THEN 'FastText' ELSE 'LLM' END AS implementation
         FROM events),
 ready AS (SELECT user_id FROM refs WHERE vec IS NOT NULL GROUP BY user_id
           HAVING count(DISTINCT field || lang) = 4),
-seen AS (SELECT 'FastText' AS implementation, doc_id FROM labels WHERE toxic IS NOT NULL
-         UNION ALL
-         SELECT 'LLM' AS implementation, doc_id FROM labels WHERE quality IS NOT NULL),
-cand AS (SELECT 'FastText' AS implementation, doc_id AS job_hash FROM documents
-         WHERE doc_id IN (SELECT job_hash FROM jv)
-           AND doc_id NOT IN (SELECT doc_id FROM seen WHERE implementation = 'FastText')
-         UNION ALL
-         SELECT 'LLM' AS implementation, doc_id AS job_hash FROM documents
-         WHERE doc_id IN (SELECT job_hash FROM jv)
-           AND doc_id NOT IN (SELECT doc_id FROM seen WHERE implementation = 'LLM')),
 sims AS (
-  SELECT q.implementation, r.user_id, j.job_hash, list_cosine_similarity(j.vec, r.vec) AS sim
+  SELECT r.user_id, j.job_hash, list_cosine_similarity(j.vec, r.vec) AS sim
   FROM jv j JOIN refs r USING (field, lang)
-  JOIN req q ON q.user_id = r.user_id
-  JOIN cand c ON c.implementation = q.implementation AND c.job_hash = j.job_hash
-  WHERE r.user_id IN (SELECT user_id FROM ready)),
+  WHERE j.job_hash IN (SELECT doc_id FROM documents) AND r.user_id IN (SELECT user_id FROM ready)
+    AND r.user_id IN (SELECT user_id FROM req WHERE implementation = 'FastText')
+    AND (r.user_id, j.job_hash) NOT IN (SELECT (user_id, job_hash) FROM seen)),
 scores AS (
-  SELECT implementation, user_id, job_hash, CASE WHEN count(sim) = 2 THEN avg(sim) END AS score
-  FROM sims GROUP BY ALL),
+  SELECT 'FastText' AS implementation, user_id, job_hash, CASE WHEN count(sim) = 2 THEN avg(sim) END AS score
+  FROM sims GROUP BY ALL
+  UNION ALL
+  SELECT 'LLM', user_id, job_hash, max(llm_score)::DOUBLE FROM user_reviews
+  WHERE llm_score IS NOT NULL AND job_hash IN (SELECT doc_id FROM documents)
+    AND user_id IN (SELECT user_id FROM req WHERE implementation = 'LLM')
+  GROUP BY ALL),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY implementation, user_id
                                ORDER BY score DESC NULLS LAST, job_hash) AS rk
@@ -881,17 +901,26 @@ FROM ranked WHERE rk <= 10
 
 @query("scoring_request_stream", REQUEST_STREAM_SQL)
 def q_scoring_request_stream(spark, sf):
+    from matchbook.operators.ranking import top_jobs
     from matchbook.streaming.request_stream import serve_requests
     from matchbook.streaming.runner import run_foreach_batch, stream_dirs
     out, _ = stream_dirs(spark, "requests-out")
     posts, vecs = fx.postings(spark, sf), fx.job_field_vectors(spark, sf)
-    refs, revs = fx.user_reference_vectors(spark, sf), fx.reviews(spark, sf)
+    refs, revs = fx.user_reference_vectors(spark, sf), fx.user_reviews(spark, sf)
 
-    def score(users, impl):
-        return recommend(posts, vecs, refs, revs, impl, 10, users=users)
+    def by_vectors(users):
+        return recommend(posts, vecs, refs, revs, "FastText", 10, users=users).select(
+            "user_id", "rank", "job_hash", "score")
+
+    def by_reviews(users):
+        # postings the text model has scored for the user, from the review store
+        mine = revs.join(users.select(F.col("user_id").cast("int").alias("user_id")), "user_id", "left_semi")
+        best = mine.groupBy("user_id", "job_hash").agg(F.max("llm_score").alias("llm_score"))
+        return top_jobs(best, posts, "LLM", 10, ()).select(
+            "user_id", F.col("rank").cast("int").alias("rank"), "job_hash", F.col("llm_score").cast("double").alias("score"))
 
     run_foreach_batch(_requests_of(_event_stream(spark, sf)), "requests",
-                      serve_requests(None, score, out))
+                      serve_requests(None, {"FastText": by_vectors, "LLM": by_reviews}, out))
     return spark.read.parquet(out).select("implementation", "epoch_id", "user_id", "rank",
                                           "job_hash", "score")
 
@@ -950,14 +979,14 @@ REVIEW_STORE_SCHEMA = ("user_id long, job_hash string, llm_score int, fasttext_s
                        "llm_comment string, llm_version string, fasttext_version string")
 
 
-SCORING_RUN_SQL = f"""
+SCORING_RUN_CTES = f"""
 WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
 {RAW_POSTINGS_CTE},
 clean AS (SELECT pos, redirect_url AS url, lower(description) AS description, lower(title) AS title,
                  TRY_CAST(substr(created, 1, 10) AS DATE) AS posted_date,
                  upper(coalesce(company_name, 'unknown')) AS company, lower(loc_name) AS lang
           FROM raw),
-posts AS (SELECT job_hash, title, company, description, lang FROM (
+posts AS (SELECT job_hash, title, company, description, lang, url FROM (
             SELECT *, {_hash_sql("title", "company", "posted_date")} AS job_hash FROM clean)
           QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY pos, url) = 1),
 t AS (SELECT job_hash, {T.tokenize_sql_duckdb("description")} AS toks FROM posts),
@@ -965,6 +994,9 @@ pairs AS (SELECT kw.user_id::BIGINT AS user_id, t.job_hash FROM t JOIN kw
           ON list_has_any(t.toks, string_split(kw.what_or, ' '))
          AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))),
 {_offline_scorers_sql("pairs", "posts", "kw")}
+"""
+
+SCORING_RUN_SQL = SCORING_RUN_CTES + """
 SELECT coalesce(l.user_id, f.user_id) AS user_id, coalesce(l.job_hash, f.job_hash) AS job_hash,
        l.score::INTEGER AS llm_score, f.score AS fasttext_score, l.comment AS llm_comment,
        l.version AS llm_version, f.version AS fasttext_version
@@ -984,13 +1016,33 @@ def q_scoring_run(spark, sf):
     empty = spark.createDataFrame([], REVIEW_STORE_SCHEMA)
     ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
                           F.col("what_or").alias("text"))
-    _, after_fast = score_new_postings(raw, kw, empty, "FastText", lang, run_date=RUN_DATE,
+    _, after_fast, _ = score_new_postings(raw, kw, empty, "FastText", lang, run_date=RUN_DATE,
                                        ref_texts=ref_texts)
     profiles = kw.select("user_id", F.split("what_or", " ").alias("job_titles"),
                          F.col("what_or").alias("ideal_job"),
                          F.array(F.struct(F.lit("search").alias("name"),
                                           F.lit(100).alias("weight_pct"))).alias("technical_skills"),
                          F.lit(1).alias("education"), F.lit(1).alias("experience"))
-    _, after_llm = score_new_postings(raw, kw, after_fast, "LLM", lang, run_date=RUN_DATE,
+    _, after_llm, _ = score_new_postings(raw, kw, after_fast, "LLM", lang, run_date=RUN_DATE,
                                       profiles=profiles)
     return after_llm
+
+
+SCORING_REJECTS_SQL = SCORING_RUN_CTES + """
+SELECT d.url, p.user_id, p.job_hash,
+       CASE WHEN lower(d.lang) IN ('fr', 'en') THEN 'no_score' ELSE 'unsupported_language' END AS reason
+FROM pairs p JOIN posts d ON d.job_hash = p.job_hash
+LEFT JOIN fast f ON f.user_id = p.user_id AND f.job_hash = p.job_hash
+WHERE f.score IS NULL
+"""
+
+
+@query("scoring_run_rejects", SCORING_REJECTS_SQL)
+def q_scoring_run_rejects(spark, sf):
+    # every candidate pair of the FastText run is scored or listed here
+    from matchbook.plans.scoring_run import score_new_postings
+    kw = keyword_table(spark)
+    ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
+                          F.col("what_or").alias("text"))
+    return score_new_postings(fx.raw_postings(spark, sf), kw, spark.createDataFrame([], REVIEW_STORE_SCHEMA),
+                              "FastText", F.lower(F.col("location")), run_date=RUN_DATE, ref_texts=ref_texts)[2]

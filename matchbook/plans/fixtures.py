@@ -17,7 +17,6 @@ from matchbook.sources.tables import read_table, spread
 # --- fixed values of the fixture mapping ------------------------------------
 BASE_DATE = "2024-01-01"
 DATE_SPREAD_DAYS = 60
-TITLE_CHARS = 60
 EMBED_DIM = 64
 # ---------------------------------------------------------------------------
 
@@ -26,14 +25,19 @@ def posted_date(doc_id: Column) -> Column:
     return F.date_add(F.to_date(F.lit(BASE_DATE)), (doc_id % DATE_SPREAD_DAYS).cast("int"))
 
 
+def title(text: Column) -> Column:
+    """A document's title is its first line, whatever its length."""
+    return F.substring_index(text, "\n", 1)
+
+
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     """documents as flat postings: ``job_hash = doc_id``.
 
     Projected before any spread, so a shuffle carries the derived columns a
-    query uses (a 60-character title) rather than whole texts."""
+    query uses rather than whole texts."""
     d = read_table(spark, sf, "documents", spread_scan=False)
     return spread(d.select(F.col("doc_id").alias("job_hash"),
-                    F.substring("text", 1, TITLE_CHARS).alias("title"),
+                    title(F.col("text")).alias("title"),
                     F.col("source").alias("company"),
                     F.col("text").alias("description"),
                     F.col("lang"),
@@ -55,7 +59,7 @@ def raw_postings(spark: SparkSession, sf: str) -> DataFrame:
                        F.lit("T"), hour, F.lit(":30:00"), offset)
     return spread(d.select(
         F.col("doc_id").alias("pos"),
-        F.substring("text", 1, TITLE_CHARS).alias("title"),
+        title(F.col("text")).alias("title"),
         F.col("text").alias("description"),
         created.alias("created"),
         F.concat(F.lit("https://jobs.invalid/"), F.col("doc_id").cast("string")).alias("redirect_url"),
@@ -91,6 +95,15 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
                       F.col("toxic").cast("double").alias("fasttext_score"))
 
 
+def user_reviews(spark: SparkSession, sf: str) -> DataFrame:
+    """labels as a review store of several users: review ``doc_id`` belongs to
+    user ``doc_id div 3 % 8`` and is about posting ``doc_id div 2``."""
+    lab = read_table(spark, sf, "labels")
+    return lab.select(F.expr("doc_id div 3 % 8").cast("int").alias("user_id"), F.expr("doc_id div 2").alias("job_hash"),
+                      F.col("quality").alias("llm_score"),
+                      F.when(F.col("doc_id") % 5 != 0, F.col("toxic").cast("double")).alias("fasttext_score"))
+
+
 def token_vectors(spark: SparkSession, sf: str) -> DataFrame:
     """embeddings as token vectors: item = vec_id div 5, pos = vec_id % 5."""
     e = read_table(spark, sf, "embeddings")

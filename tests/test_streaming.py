@@ -59,14 +59,20 @@ def test_request_stream_serves_each_implementation(spark, tmp_dir):
         .select("user_id", impl.alias("implementation"))
     out = os.path.join(tmp_dir, "served")
 
-    def score(users, implementation):
-        return users.select("user_id", F.lit(1).alias("rank"))
+    def scorer(rank):
+        return lambda users: users.select("user_id", F.lit(rank).alias("rank"))
 
-    run_foreach_batch(stream, "t-req", serve_requests(None, score, out))
+    run_foreach_batch(stream, "t-req", serve_requests(None, {"FastText": scorer(1), "LLM": scorer(2)}, out))
     got = spark.read.parquet(out)
-    want = batch.select("user_id", impl.alias("implementation")).distinct()
-    assert sorted(map(tuple, got.select("user_id", "implementation").collect())) == \
+    want = batch.select("user_id", impl.alias("implementation"), F.when(impl == "LLM", 2).otherwise(1)).distinct()
+    assert sorted(map(tuple, got.select("user_id", "implementation", "rank").collect())) == \
         sorted(map(tuple, want.collect()))
+    # a name without a scorer is written to the rejects, not dropped
+    one = os.path.join(tmp_dir, "one")
+    run_foreach_batch(stream, "t-req1", serve_requests(None, {"FastText": scorer(1)}, one))
+    assert {r.implementation for r in spark.read.parquet(one).collect()} == {"FastText"}
+    rejected = spark.read.parquet(one + "-rejects").select("user_id", "implementation").collect()
+    assert sorted(map(tuple, rejected)) == sorted((r[0], r[1]) for r in want.collect() if r[1] == "LLM")
 
 
 def test_stream_cooldown_carries_state_across_micro_batches(spark, tmp_dir):
