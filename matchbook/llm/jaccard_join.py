@@ -159,7 +159,10 @@ def _groups(active: DataFrame) -> DataFrame:
     joined = (active.select("rep", "n").join(choice, "rep", "left")
                     .withColumn("leader", F.coalesce("leader", "rep")).withColumn("size_class", size_class))
     joined = write_shared(joined, "jaccard-groups")
-    many = joined.groupBy("leader", "size_class").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    # aggregates are written before they are joined back, so that a hot leader's
+    # side of the join is a plain shuffle, which Spark can split
+    many = write_shared(joined.groupBy("leader", "size_class").agg(
+        F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "jaccard-parts")
     part = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     return (joined.join(many, ["leader", "size_class"])
                   .select("rep", "n", "leader", F.xxhash64("leader", "size_class", part).alias("block")))
@@ -250,6 +253,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     main = (placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("m"))
                   .groupBy("leader").agg(F.max(F.struct("m", "comp")).alias("top"))
                   .select("leader", F.col("top.comp").alias("main")))
+    main = write_shared(main, "jaccard-main")
     placed = write_shared(placed.join(main, "leader").withColumn("apart", F.col("comp") != F.col("main")), "jaccard-placed")
     blocks = placed.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     met = write_shared(_met(tokens.select("token", "rep").join(placed.select("rep"), "rep"), placed, blocks), "jaccard-met")

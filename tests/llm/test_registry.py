@@ -2,6 +2,8 @@ import re
 import subprocess
 import sys
 
+import duckdb
+
 import __spark_entry__ as entry
 from matchbook.llm.catalog import ORACLES, QUERIES
 
@@ -25,3 +27,19 @@ def test_entry_works_without_the_subpackage():
             "assert 'recommend' in e.oracle_sql()\n")
     root = entry.__file__.rsplit("/", 1)[0]
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
+
+
+def test_queries_run_on_the_given_tables_and_match_their_oracles(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    tables = ("documents", "pages", "benchmark", "labels")
+    for t in tables:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    sizes = {t: con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in tables}
+    for name, fn in QUERIES.items():
+        out = fn(spark, folder)
+        rows = [tuple(r) for r in out.collect()]
+        assert len(rows) == sizes["pages" if name.startswith(("op2_", "op5_")) else "documents"], name
+        if name in ORACLES:
+            want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLES[name]})").fetchall()
+            assert sorted(rows, key=repr) == sorted(want, key=repr), name
