@@ -21,6 +21,7 @@ from matchbook.sources.tables import spread_partitions
 FIELDS = ("description", "title")
 REF_LANGS = ("FR", "EN")
 DEFAULT_BATCH_SIZE = 50        # texts per inference call
+MAX_KNOWN_TOKENS = 200_000     # digests an embedder remembers
 # ---------------------------------------------------------------------------
 
 
@@ -113,24 +114,31 @@ class HashingEmbedder:
         if mode not in ("sentence", "token"):
             raise ValueError(f"invalid mode {mode!r}; must be 'token' or 'sentence'")
         self.dim, self.mode = dim, mode
-
-    def _token_vec(self, tok: str) -> np.ndarray:
-        h = hashlib.md5(tok.encode("utf-8")).hexdigest()
-        idx = int(h[:8], 16) % self.dim
-        sign = 1.0 if int(h[8:10], 16) & 1 else -1.0
-        v = np.zeros(self.dim, dtype=np.float32)
-        v[idx] = sign
-        return v
+        self._known: dict[str, tuple[int, float]] = {}
+
+    def _place(self, tok: str) -> tuple[int, float]:
+        """Coordinate and sign of a token, digested once while remembered."""
+        got = self._known.get(tok)
+        if got is None:
+            if len(self._known) >= MAX_KNOWN_TOKENS:
+                self._known.clear()
+            h = hashlib.md5(tok.encode("utf-8")).hexdigest()
+            got = self._known[tok] = int(h[:8], 16) % self.dim, (1.0 if int(h[8:10], 16) & 1 else -1.0)
+        return got
 
     def __call__(self, texts: list[str]):
         out = []
         for t in texts:
-            toks = py_tokenize(t)
-            vecs = [self._token_vec(x) for x in toks]
+            places = [self._place(x) for x in py_tokenize(t)]
+            idx = np.array([p for p, _ in places], dtype=np.int64)
+            sign = np.array([s for _, s in places])
             if self.mode == "token":
-                out.append(vecs)
+                vecs = np.zeros((len(places), self.dim), dtype=np.float32)
+                vecs[np.arange(len(places)), idx] = sign
+                out.append(list(vecs))
             else:
-                out.append(np.mean(vecs, axis=0) if vecs else np.zeros(self.dim, np.float32))
+                total = np.bincount(idx, weights=sign, minlength=self.dim) if places else np.zeros(self.dim)
+                out.append((total / max(1, len(places))).astype(np.float32))
         return out
 
 

@@ -107,7 +107,7 @@ from matchbook.functions import dims, text as T  # noqa: E402
 from matchbook.functions.prompts import IDEAL_JOB_PROMPT, KEYWORD_PROMPT, MATCH_PROMPT  # noqa: E402
 from matchbook.operators import clean, identity, ordering, textfilter  # noqa: E402
 from matchbook.operators.cooldown import cooldown_accept  # noqa: E402
-from matchbook.operators.embedding import elementwise_mean, ref_readiness  # noqa: E402
+from matchbook.operators.embedding import elementwise_mean, with_readiness  # noqa: E402
 from matchbook.operators.merge import upsert  # noqa: E402
 from matchbook.operators.profile import out_of_bounds, skill_share, standard_rules, validate_profiles  # noqa: E402
 from matchbook.operators.ranking import attach_info, top_n, top_n_per_group  # noqa: E402
@@ -339,10 +339,9 @@ FROM refs_long r JOIN ready USING (user_id)
 @query("reference_centroids", CENTROID_SQL)
 def q_reference_centroids(spark, sf):
     refs = fx.user_reference_vectors(spark, sf)
-    ready = ref_readiness(refs).select("user_id", "ready")
-    long = refs.select("user_id", "field", "lang", "n_vectors",
-                       F.posexplode("vec").alias("i", "value"))
-    return long.join(ready, "user_id").select(
+    long = with_readiness(refs).select("user_id", "field", "lang", "n_vectors", "ready",
+                                       F.posexplode("vec").alias("i", "value"))
+    return long.select(
         "user_id", "field", "lang", (F.col("i") + 1).alias("dim"),
         F.round("value", 6).alias("value"), "n_vectors", "ready")
 
@@ -711,9 +710,8 @@ FROM customer c LEFT JOIN s ON s.category = {_SEG_SQL}
 @query("dimension_labels", DIM_SQL)
 def q_dimension_labels(spark, sf):
     p = fx.profiles(spark, sf)
-    seg = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    sector = dims.code_to_label("c_mktsegment", fx.SEGMENT_SECTOR)
-    x = (p.join(seg, "user_id")
+    sector = dims.code_to_label("segment", fx.SEGMENT_SECTOR)
+    x = (p.withColumn("segment", F.element_at("sectors", 1))
           .withColumn("sector", sector)
           .join(F.broadcast(dims.sector_dim(spark)), F.col("sector") == F.col("category"), "left"))
     edu = dims.education_label("education")
