@@ -2,7 +2,7 @@
 
 from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
 from matchbook.llm.html_text import op2_main_text
-from matchbook.llm.jaccard_join import op8_jaccard
+from matchbook.llm.jaccard_join import OP8_SQL, op8_jaccard
 from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
@@ -26,4 +26,5 @@ QUERIES = {
 ORACLES = {
     "op4_decontaminate": OP4_SQL,
     "op5_url_filter": OP5_SQL,
+    "op8_jaccard": OP8_SQL,
 }

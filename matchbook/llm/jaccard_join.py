@@ -276,3 +276,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, row_number() OVER () AS k, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT k, doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM sh GROUP BY k),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, a.k AS ka, b.k AS kb, count(*) AS shared
+         FROM sh a JOIN sh b ON a.s = b.s AND a.k < b.k GROUP BY ALL),
+link AS (SELECT x, y FROM pair JOIN n p ON p.k = ka JOIN n q ON q.k = kb
+         WHERE x IS NOT NULL AND y IS NOT NULL AND 100 * shared >= 75 * (p.n + q.n - shared)),
+edge AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x AS id, y AS other FROM edge
+          UNION SELECT r.id, e.y FROM reach r JOIN edge e ON e.x = r.other),
+comp AS (SELECT id, min(other) AS smallest FROM reach GROUP BY id)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles,
+       CASE WHEN n.n > 0 THEN least(w.doc_id, coalesce(comp.smallest, w.doc_id)) ELSE w.doc_id END AS component_id
+FROM w LEFT JOIN n ON n.k = w.k LEFT JOIN comp ON comp.id = w.doc_id
+"""
