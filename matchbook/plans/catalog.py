@@ -7,6 +7,8 @@ SQL formulations over the raw tables (DuckDB dialect).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from matchbook.plans import fixtures as fx
@@ -1044,3 +1046,113 @@ def q_scoring_run_rejects(spark, sf):
                           F.col("what_or").alias("text"))
     return score_new_postings(fx.raw_postings(spark, sf), kw, spark.createDataFrame([], REVIEW_STORE_SCHEMA),
                               "FastText", F.lower(F.col("location")), run_date=RUN_DATE, ref_texts=ref_texts)[2]
+
+
+# --- the stores around a run ----------------------------------------------------------
+
+PAGE_SIZE = 50
+LANDED_SQL = f"""
+WITH {RAW_POSTINGS_CTE},
+paged AS (SELECT *, pos // {PAGE_SIZE} + 1 AS page,
+                 row_number() OVER (PARTITION BY pos // {PAGE_SIZE} ORDER BY pos) - 1 AS place FROM raw)
+SELECT page::INTEGER AS page, place::INTEGER AS pos, redirect_url AS url, lower(title) AS title, lower(description) AS description,
+       TRY_CAST(substr(created, 1, 10) AS DATE) AS posted_date, upper(coalesce(company_name, 'unknown')) AS company,
+       loc_name AS location
+FROM paged
+"""
+
+
+@query("landed_pages", LANDED_SQL)
+def q_landed_pages(spark, sf):
+    # the job board's answers, one JSON file a page, read back as one table
+    from matchbook.session import ensure_checkpoint_dir
+    from matchbook.sources.landing import land_pages, read_posting_pages
+    raw = fx.raw_postings(spark, sf)
+    root = land_pages(raw.withColumn("page", (F.floor(F.col("pos") / PAGE_SIZE) + 1).cast("int")), "page", "pos",
+                      f"{ensure_checkpoint_dir(spark).rstrip('/')}/landed")
+    return clean.clean_postings(read_posting_pages(spark, root, multiline=False), run_date=RUN_DATE).select(
+        "page", "pos", "url", "title", "description", "posted_date", "company", "location")
+
+
+TOP_LISTS_SQL = f"""
+WITH {USER_SEEN_SQL.strip()},
+r AS (SELECT 'FastText' AS implementation, user_id, job_hash, max(fasttext_score) AS score FROM user_reviews
+      WHERE fasttext_score IS NOT NULL GROUP BY ALL
+      UNION ALL
+      SELECT 'LLM', user_id, job_hash, max(llm_score)::DOUBLE FROM user_reviews WHERE llm_score IS NOT NULL GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY implementation, user_id ORDER BY score DESC, job_hash) AS rk FROM r)
+SELECT implementation, user_id, rk::INTEGER AS rank, job_hash, score, split_part(d.text, chr(10), 1) AS title, d.source AS company
+FROM ranked JOIN documents d ON d.doc_id = job_hash
+WHERE rk <= 10
+"""
+
+
+@query("top_lists", TOP_LISTS_SQL)
+def q_top_lists(spark, sf):
+    # ranked lists from the review store with their posting info, saved and read
+    from matchbook.operators.ranking import top_jobs
+    from matchbook.operators.seen import SCORE_COLUMN
+    from matchbook.session import ensure_checkpoint_dir
+    from matchbook.sources.snapshots import save_top_lists
+    store = (fx.user_reviews(spark, sf).groupBy("user_id", "job_hash")
+               .agg(F.max("llm_score").alias("llm_score"), F.max("fasttext_score").alias("fasttext_score")))
+    info = fx.postings(spark, sf)
+    lists = None
+    for name in IMPLEMENTATIONS:
+        best = top_jobs(store, info, name, 10, ("title", "company")).select(
+            F.lit(name).alias("implementation"), "user_id", F.col("rank").cast("int").alias("rank"), "job_hash",
+            F.col(SCORE_COLUMN[name]).cast("double").alias("score"), "title", "company")
+        lists = best if lists is None else lists.unionByName(best)
+    path = save_top_lists(lists, f"{ensure_checkpoint_dir(spark).rstrip('/')}/top-lists-{uuid.uuid4().hex}")
+    return spark.read.parquet(path).select("implementation", "user_id", "rank", "job_hash", "score", "title", "company")
+
+
+RATING_STORE_SQL = f"""
+WITH fresh AS ({RATING_SQL}),
+store AS (SELECT (doc_id % 100)::BIGINT AS user_id, doc_id AS job_hash, quality AS score, 'kept' AS origin FROM labels)
+SELECT coalesce(f.user_id, s.user_id) AS user_id, coalesce(f.job_hash, s.job_hash) AS job_hash,
+       CASE WHEN f.user_id IS NOT NULL THEN f.score ELSE s.score END AS score, s.origin, f.applied, f.comment
+FROM store s FULL OUTER JOIN fresh f ON s.user_id = f.user_id AND s.job_hash = f.job_hash
+"""
+
+
+@query("ratings_upsert", RATING_STORE_SQL)
+def q_ratings_upsert(spark, sf):
+    lab = read_table(spark, sf, "labels")
+    store = lab.select((F.col("doc_id") % 100).alias("user_id"), F.col("doc_id").alias("job_hash"),
+                       F.col("quality").alias("score"), F.lit("kept").alias("origin"))
+    return upsert(store, q_rating_projection(spark, sf), ["user_id", "job_hash"])
+
+
+JOB_INFO_SQL = SCORING_RUN_CTES + f""",
+full_posts AS (SELECT * FROM (SELECT *, {_hash_sql("title", "company", "posted_date")} AS job_hash FROM (
+                 SELECT pos, redirect_url AS url, lower(description) AS description, lower(title) AS title,
+                        TRY_CAST(substr(created, 1, 10) AS DATE) AS posted_date,
+                        upper(coalesce(company_name, 'unknown')) AS company, loc_name AS location FROM raw))
+               QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY pos, url) = 1)
+SELECT job_hash, title, company, description, location, posted_date, DATE '{RUN_DATE}' AS retrieved_date, url,
+       CASE WHEN location = 'FR' THEN 'known' END AS note
+FROM full_posts WHERE job_hash IN (SELECT job_hash FROM fast)
+UNION ALL
+SELECT 'only-' || job_hash, title, company, NULL, NULL, NULL, NULL, NULL, 'known' FROM full_posts WHERE location = 'DE'
+"""
+
+
+@query("job_info_upsert", JOB_INFO_SQL)
+def q_job_info_upsert(spark, sf):
+    # posting rows of a scoring run merged into the posting store: known
+    # postings are renewed, columns the run does not bring are kept
+    from matchbook.plans.scoring_run import score_new_postings
+    kw = keyword_table(spark)
+    raw = fx.raw_postings(spark, sf)
+    ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
+                          F.col("what_or").alias("text"))
+    info, _, _ = score_new_postings(raw, kw, spark.createDataFrame([], REVIEW_STORE_SCHEMA), "FastText",
+                                    F.lower(F.col("location")), run_date=RUN_DATE, ref_texts=ref_texts)
+    info = info.select("job_hash", "title", "company", "description", "location", "posted_date", "retrieved_date", "url")
+    posts = clean.clean_postings(raw, run_date=RUN_DATE).withColumn(
+        "job_hash", identity.job_hash("title", "company", "posted_date"))
+    posts = identity.dedup_first(posts.select("job_hash", "title", "company", "location", "pos", "url"), "job_hash", ["pos", "url"])
+    known = (posts.where("location = 'FR'").join(info.select("job_hash"), "job_hash", "left_semi").select("job_hash", "title", "company")
+                  .unionByName(posts.where("location = 'DE'").select(F.concat(F.lit("only-"), "job_hash").alias("job_hash"), "title", "company")))
+    return upsert(known.withColumn("note", F.lit("known")), info, "job_hash").select(*info.columns, "note")
