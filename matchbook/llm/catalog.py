@@ -7,7 +7,7 @@ from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
 from matchbook.llm.quality import op3_quality
-from matchbook.llm.secret_scan import op7_secrets
+from matchbook.llm.secret_scan import OP7_SQL, op7_secrets
 from matchbook.llm.toxicity import op1_toxicity
 from matchbook.llm.url_filter import OP5_SQL, op5_url_filter
 
@@ -26,5 +26,6 @@ QUERIES = {
 ORACLES = {
     "op4_decontaminate": OP4_SQL,
     "op5_url_filter": OP5_SQL,
+    "op7_secrets": OP7_SQL,
     "op8_jaccard": OP8_SQL,
 }

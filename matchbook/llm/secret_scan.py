@@ -222,3 +222,95 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"),
                           count(2).alias("n_hex"), F.sha2(written(F.col("_base")), 256).alias("base_sha256"),
                           written(spans).alias("spans"))
+
+
+def _sql_battery() -> str:
+    """SQL expression of a token's grid step (columns ``core``, ``n``, ``enc``),
+    by the formulas of the battery."""
+    def case(values) -> str:
+        return "CASE enc " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+    sizes = [len(a) for _, a, _ in ENCODINGS]
+    spread = [2 / (9 * (k - 1)) for k in sizes]
+    bits = [f"translate(core, '{a}', '{'0' * (len(a) // 2) + '1' * (len(a) - len(a) // 2)}')" for _, a, _ in ENCODINGS]
+
+    def tail(z: str) -> str:
+        t = f"(1 / (1 + 0.2316419 * {z}))"
+        poly = "0.0"
+        for b in (1.330274429, -1.821255978, 1.781477937, -0.356563782, 0.319381530):
+            poly = f"(({poly} + {b}) * {t})"
+        return f"(0.3989422804::DOUBLE * exp(-{z} * {z} / 2) * {poly})"
+
+    def both_sides(z: str) -> str:
+        return f"least(1.0::DOUBLE, 2 * {tail(f'abs({z})')})"
+    return f"""
+alpha AS (SELECT *, {case([f"'{a}'" for _, a, _ in ENCODINGS])} AS alphabet, {case(sizes)}::DOUBLE AS size,
+                 {case(bits)} AS bits FROM token),
+place AS (SELECT *, length(core)::DOUBLE AS n,
+                 list_sum(list_transform(string_split(alphabet, ''), lambda c: ((length(core) - length(replace(core, c, ''))) ** 2)::DOUBLE)) AS squares,
+                 list_transform(string_split(core, ''), lambda c: instr(alphabet, c)::DOUBLE) AS x FROM alpha),
+mean AS (SELECT *, list_transform(x, lambda v: v - list_sum(x) / len(x)) AS d,
+                length(replace(bits, '0', ''))::DOUBLE AS ones,
+                (2 * n - length(replace(bits, '01', '')) - length(replace(bits, '10', ''))) / 2 AS turns FROM place),
+stat AS (SELECT *, (pow(greatest(squares * size / n - n, 0) / (size - 1), 1.0::DOUBLE / 3) - {case([repr(1 - s) for s in spread])}::DOUBLE)
+                   / {case([repr(s ** 0.5) for s in spread])}::DOUBLE AS chi_z,
+                2 * ones * (n - ones) / n + 1 AS runs_mean, list_sum(list_transform(d, lambda v: v * v)) AS ss FROM mean),
+test AS (SELECT *, (runs_mean - 1) * (runs_mean - 2) / (n - 1) AS runs_var,
+                CASE WHEN ss <= 0 THEN 0 ELSE list_sum(list_transform(range(1, len(d)), lambda i: d[i] * d[i + 1])) / ss * sqrt(n) END AS serial_z
+         FROM stat),
+p AS (SELECT *, 3 * least(CASE WHEN chi_z >= 0 THEN {tail("chi_z")} ELSE 1 - {tail("(-chi_z)")} END,
+                          CASE WHEN runs_var <= 0 THEN 0 ELSE {both_sides("((turns + 1 - runs_mean) / sqrt(runs_var))")} END,
+                          CASE WHEN ss <= 0 THEN 0 ELSE {both_sides("serial_z")} END) AS p FROM test)"""
+
+
+def _sql_encoding() -> str:
+    """Number of the first encoding a token fits (SQL has no look-ahead: the
+    parts of the shapes are tested one by one)."""
+    whens = []
+    for i, (_, _, shape) in enumerate(ENCODINGS):
+        parts = shape.strip("^$").split("(?=.*")
+        must = [q.split(")")[0] for q in parts[1:]]
+        whole = shape.rsplit(")", 1)[1].rstrip("$")
+        whens.append(f"WHEN regexp_full_match(m, '{whole}')" + "".join(f" AND regexp_matches(m, '{q}')" for q in must) + f" THEN {i}")
+    return "CASE " + " ".join(whens) + " END"
+
+
+_SQL_WORDS = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+                      for w in ("password", "passwd", "secret", "token", "api_?key"))
+_SQL_PATTERNS = [r"(?:%s)[\"'']?\x20*[:=]\x20*[\"'']?[A-Za-z0-9+/_.=-]+" % _SQL_WORDS, "AKIA[A-Z0-9]+", "[0-9a-f]+", TOKEN]
+_SQL_VALUE = r"^(?:%s)[\"'']?\x20*[:=]\x20*[\"'']?(.*)$" % _SQL_WORDS
+_SQL_MADE = " UNION ALL ".join(
+    f"SELECT k, {kind} AS kind, regexp_extract_all(text, '{p}') AS h, string_split_regex(text, '{p}') AS g FROM t"
+    for kind, p in enumerate(_SQL_PATTERNS))
+
+OP7_SQL = f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+made AS ({_SQL_MADE}),
+hit AS (SELECT k, kind, h[i] AS m, (list_sum(list_transform(g[1:i], lambda s: length(s)))
+               + coalesce(list_sum(list_transform(h[1:i - 1], lambda s: length(s))), 0))::BIGINT AS start
+        FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM made)),
+span AS (SELECT *, start + length(m) AS stop FROM hit),
+base AS (SELECT * FROM span WHERE (kind = 0 AND length(regexp_extract(m, '{_SQL_VALUE}', 1)) >= {MIN_VALUE})
+            OR (kind = 1 AND length(m) >= 18) OR (kind = 2 AND length(m) >= 16)),
+token AS (SELECT * FROM (
+            SELECT k, start, stop, rtrim(m, '=') AS core, floor(log2(length(m) / {MIN_TOKEN}.0))::INTEGER AS class, {_sql_encoding()} AS enc
+            FROM span s WHERE kind = 3 AND NOT EXISTS (
+              SELECT 1 FROM base b WHERE b.k = s.k AND b.start < s.stop AND s.start < b.stop))
+          WHERE enc IS NOT NULL),
+{_sql_battery()},
+step AS (SELECT k, start, stop, class, floor(-{GRID} * log10(least(greatest(p, {LEAST_P}::DOUBLE), 1.0)))::INTEGER AS step FROM p),
+seen AS (SELECT class, step, count(*) AS n FROM step GROUP BY ALL),
+ranked AS (SELECT class, step, sum(n) OVER (PARTITION BY class ORDER BY step DESC) AS k, sum(n) OVER (PARTITION BY class) AS m FROM seen),
+cut AS (SELECT class, min(step) AS step FROM ranked
+        WHERE pow(10.0::DOUBLE, -step / {GRID}.0::DOUBLE) <= ([{', '.join(f'{r}::DOUBLE' for r in RATES)}])[least(class + 1, {len(RATES)})] * k / m
+        GROUP BY class),
+every AS (SELECT k, kind, start, stop FROM base
+          UNION ALL SELECT s.k, 3, s.start, s.stop FROM step s LEFT JOIN cut c ON c.class = s.class
+          WHERE c.step IS NULL OR s.step < c.step),
+named AS (SELECT *, (['assign', 'access', 'hex', 'random'])[kind + 1] || ':' || start || ':' || stop AS name FROM every),
+out AS (SELECT k, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
+               count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base,
+               string_agg(name, ',' ORDER BY start, kind) AS spans FROM named GROUP BY k)
+SELECT t.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN out ON out.k = t.k
+"""

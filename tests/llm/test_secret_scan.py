@@ -89,6 +89,28 @@ def test_redaction_merges_overlaps(spark):
     assert got == {1: 'x [SECRET]" y', 2: "clean", 3: None, 4: "é🙂 [SECRET] api-key=x"}
 
 
+def test_query_and_oracle_on_random_and_patterned_tokens(spark, tmp_dir):
+    import duckdb
+    r = random.Random(5)
+    rows = list(enumerate(TEXTS))
+    for i in range(150):
+        words = []
+        for _ in range(r.randrange(1, 6)):
+            alphabet, n = r.choice(s.ENCODINGS)[1], r.choice([20, 21, 33, 40, 64, 200])
+            if r.random() < 0.6:
+                words.append(random_token(r.random(), n, alphabet))
+            else:
+                words.append(random_token(r.random(), n // 4, alphabet[:r.randrange(3, len(alphabet))]) * 4 + r.choice(["", "=", "=="]))
+        rows.append((1000 + i, " é ".join(words)))
+    docs(spark, rows).write.parquet(f"{tmp_dir}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_dir}/documents.parquet/*.parquet')")
+    out = s.op7_secrets(spark, tmp_dir)
+    got = sorted(map(tuple, out.collect()), key=repr)
+    assert got == sorted(con.execute(f"SELECT {', '.join(out.columns)} FROM ({s.OP7_SQL})").fetchall(), key=repr)
+    assert sum("random" in g[-1] for g in got) > 50
+
+
 def test_empty_table(spark):
     scanned = s.scan(docs(spark, []))
     assert s.reject_from(scanned) == {} and scanned.count() == 0
