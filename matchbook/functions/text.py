@@ -1,7 +1,8 @@
 """Text functions: strip, case, truncation, defaults, list joins, tokens.
 
-Every function returns a Column built from Spark built-ins so it stays
-inside whole-stage code generation.
+Every function returns a Column built from Spark built-ins, so it stays in the
+JVM; those that take a lambda over an array (and the tokenizer's stop-word
+filter) are interpreted, the others join whole-stage code generation.
 """
 
 from __future__ import annotations

@@ -88,9 +88,9 @@ def job_scores(field_sims: DataFrame, job_key: str = "job_hash", n_fields: int =
 
 def wide_job_vectors(job_vecs: DataFrame, job_key: str = "job_hash", fields=FIELDS) -> DataFrame:
     """Long ``(job, field, lang, vec)`` -> one row per job with one vector
-    column per field (NULL when the field is missing)."""
-    aggs = [F.first(F.when(F.col("field") == f, F.col("vec")), ignorenulls=True).alias(f"vec_{f}")
-            for f in fields]
+    column per field (NULL when the field is missing).  Of repeated vectors the
+    smallest counts, whatever order the rows come in."""
+    aggs = [F.min(F.when(F.col("field") == f, F.col("vec"))).alias(f"vec_{f}") for f in fields]
     return job_vecs.groupBy(job_key, "lang").agg(*aggs)
 
 

@@ -248,30 +248,42 @@ def q_page_slice(spark, sf):
 # --- text -------------------------------------------------------------------
 
 # Search terms per user (query parameters, as a keyword generator returns them).
-KEYWORDS = [
-    (1, "the and with", "le la"),
-    (2, "le des qui", "the"),
-    (3, "und der el los", "and"),
-]
-_KW_VALUES = ", ".join(f"({u}, '{a}', '{b}')" for u, a, b in KEYWORDS)
+# a profile's search terms: up to three words of at least ten letters, the
+# longest of the title of the document with its number; nothing in the other
+# big language
+SEARCH_LETTERS = 10
+KW_SQL = f"""kw AS (
+  SELECT user_id, array_to_string(list_transform(list_sort(list_transform(
+           list_filter(toks, lambda x: length(x) >= {SEARCH_LETTERS}),
+           lambda x, i: {{'n': -length(x), 'i': i, 'x': x}}))[1:3], lambda s: s.x), ' ') AS what_or,
+         CASE WHEN lang = 'en' THEN 'le' ELSE 'the' END AS what_exclude
+  FROM (SELECT c_custkey AS user_id, lang, {T.tokenize_sql_duckdb("split_part(text, chr(10), 1)")} AS toks
+        FROM customer JOIN documents ON doc_id = c_custkey))"""
 
 KEYWORD_SQL = f"""
-WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
-t AS (SELECT doc_id, {T.tokenize_sql_duckdb("text")} AS toks FROM documents)
-SELECT kw.user_id::BIGINT AS user_id, t.doc_id FROM t JOIN kw
-  ON list_has_any(t.toks, string_split(kw.what_or, ' '))
- AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))
+WITH {KW_SQL},
+kt AS (SELECT user_id, unnest(string_split(what_or, ' ')) AS term, false AS bad FROM kw
+       UNION SELECT user_id, what_exclude, true FROM kw),
+t AS (SELECT doc_id, unnest(list_distinct({T.tokenize_sql_duckdb("text")})) AS term FROM documents)
+SELECT kt.user_id, t.doc_id FROM t JOIN kt ON kt.term = t.term AND kt.term <> ''
+GROUP BY kt.user_id, t.doc_id HAVING bool_or(NOT bad) AND NOT bool_or(bad)
 """
 
 
-def keyword_table(spark):
-    return spark.createDataFrame(KEYWORDS, "user_id long, what_or string, what_exclude string")
+def keyword_table(spark, sf):
+    words = F.transform(F.filter(T.tokenize(fx.title(F.col("text"))), lambda x: F.length(x) >= SEARCH_LETTERS),
+                        lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
+    best = F.transform(F.slice(F.array_sort(words), 1, 3), lambda w: w["x"])
+    return (read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
+            .join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), "text", "lang"), "user_id")
+            .select("user_id", F.array_join(best, " ").alias("what_or"),
+                    F.when(F.col("lang") == "en", "le").otherwise("the").alias("what_exclude")))
 
 
 @query("keyword_filter", KEYWORD_SQL)
 def q_keyword_filter(spark, sf):
     d = read_table(spark, sf, "documents")
-    return textfilter.keyword_matches(d, keyword_table(spark), "doc_id", "text")
+    return textfilter.keyword_matches(d, keyword_table(spark, sf), "doc_id", "text")
 
 
 TOKENIZE_SQL = f"""
@@ -474,12 +486,7 @@ def q_build_match_prompt(spark, sf):
     return pairs.select("user_id", "job_hash", match_prompt_column().alias("prompt"))
 
 
-def _profile_slots(sep_sectors: str, spark_side: bool):
-    if spark_side:
-        return dict(sectors=T.join_list("sectors", sep_sectors), titles=T.join_list("job_titles"),
-                    skills=F.array_join(F.transform("technical_skills", lambda s: s["name"]), ", "),
-                    education=T.default(dims.education_label("education"), "unknown"),
-                    experience=T.default(dims.experience_label("experience"), "unknown"))
+def _profile_slots_sql():
     return dict(sectors="c_mktsegment", titles=_TITLES_SQL, skills=_SKILLS_SQL,
                 education=f"coalesce({EDU_SQL}, 'unknown')",
                 experience=f"coalesce({EXP_SQL}, 'unknown')")
@@ -487,18 +494,19 @@ def _profile_slots(sep_sectors: str, spark_side: bool):
 
 PROFILE_PROMPTS_SQL = f"""
 SELECT c_custkey AS user_id,
-       {KEYWORD_PROMPT.sql(**_profile_slots(", ", False))} AS keyword_prompt,
-       {IDEAL_JOB_PROMPT.sql(**_profile_slots(" or ", False))} AS ideal_job_prompt
+       {KEYWORD_PROMPT.sql(**_profile_slots_sql())} AS keyword_prompt,
+       {IDEAL_JOB_PROMPT.sql(**_profile_slots_sql())} AS ideal_job_prompt
 FROM customer
 """
 
 
 @query("build_profile_prompts", PROFILE_PROMPTS_SQL)
 def q_build_profile_prompts(spark, sf):
+    from matchbook.operators.generators import profile_prompt_slots
     p = fx.profiles(spark, sf)
     return p.select("user_id",
-                    KEYWORD_PROMPT.column(**_profile_slots(", ", True)).alias("keyword_prompt"),
-                    IDEAL_JOB_PROMPT.column(**_profile_slots(" or ", True)).alias("ideal_job_prompt"))
+                    KEYWORD_PROMPT.column(**profile_prompt_slots(", ")).alias("keyword_prompt"),
+                    IDEAL_JOB_PROMPT.column(**profile_prompt_slots(" or ")).alias("ideal_job_prompt"))
 
 
 PARSE_SQL = """
@@ -584,11 +592,12 @@ llm AS (SELECT user_id, job_hash, 'LLM' AS implementation,
 
 
 SCORE_REGISTRY_SQL = f"""
-WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
-t AS (SELECT doc_id, {T.tokenize_sql_duckdb("text")} AS toks FROM documents),
-pairs AS (SELECT kw.user_id::BIGINT AS user_id, t.doc_id AS job_hash FROM t JOIN kw
-          ON list_has_any(t.toks, string_split(kw.what_or, ' '))
-         AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))),
+WITH {KW_SQL},
+kt AS (SELECT user_id, unnest(string_split(what_or, ' ')) AS term, false AS bad FROM kw
+       UNION SELECT user_id, what_exclude, true FROM kw),
+t AS (SELECT doc_id AS job_hash, unnest(list_distinct({T.tokenize_sql_duckdb("text")})) AS term FROM documents),
+pairs AS (SELECT kt.user_id, t.job_hash FROM t JOIN kt ON kt.term = t.term AND kt.term <> ''
+          GROUP BY ALL HAVING bool_or(NOT bad) AND NOT bool_or(bad)),
 posts AS (SELECT doc_id AS job_hash, split_part(text, chr(10), 1) AS title, source AS company,
                  text AS description, lang FROM documents),
 {_offline_scorers_sql("pairs", "posts", "kw")}
@@ -602,7 +611,7 @@ def q_score_with_registry(spark, sf):
     reg = default_registry()
     fast, llm = reg.get("FastText"), reg.get("LLM")   # validated before any job
     docs = read_table(spark, sf, "documents")
-    kw = keyword_table(spark)
+    kw = keyword_table(spark, sf)
     pairs = textfilter.keyword_matches(docs, kw, "doc_id", "text").withColumnRenamed("doc_id", "job_hash")
     posts = fx.postings(spark, sf)
     ref_texts = kw.select("user_id", F.explode(F.array(*[F.lit(f) for f in ("description", "title")]))
@@ -929,7 +938,7 @@ def q_scoring_request_stream(spark, sf):
 # characters, in first-seen order; slot (i, lang) picks 4 consecutive words
 # from an MD5 offset; title = 2 words, description = "lang: " + 4 words.
 BUILD_REFS_SQL = f"""
-WITH p AS (SELECT c_custkey AS user_id, {IDEAL_JOB_PROMPT.sql(**_profile_slots(" or ", False))} AS prompt
+WITH p AS (SELECT c_custkey AS user_id, {IDEAL_JOB_PROMPT.sql(**_profile_slots_sql())} AS prompt
            FROM customer),
 tw AS (SELECT user_id, unnest(toks) AS w, generate_subscripts(toks, 1) AS pos
        FROM (SELECT user_id, {T.tokenize_sql_duckdb("prompt")} AS toks FROM p)),
@@ -980,7 +989,7 @@ REVIEW_STORE_SCHEMA = ("user_id long, job_hash string, llm_score int, fasttext_s
 
 
 SCORING_RUN_CTES = f"""
-WITH kw(user_id, what_or, what_exclude) AS (VALUES {_KW_VALUES}),
+WITH {KW_SQL},
 {RAW_POSTINGS_CTE},
 clean AS (SELECT pos, redirect_url AS url, lower(description) AS description, lower(title) AS title,
                  TRY_CAST(substr(created, 1, 10) AS DATE) AS posted_date,
@@ -989,10 +998,11 @@ clean AS (SELECT pos, redirect_url AS url, lower(description) AS description, lo
 posts AS (SELECT job_hash, title, company, description, lang, url FROM (
             SELECT *, {_hash_sql("title", "company", "posted_date")} AS job_hash FROM clean)
           QUALIFY row_number() OVER (PARTITION BY job_hash ORDER BY pos, url) = 1),
-t AS (SELECT job_hash, {T.tokenize_sql_duckdb("description")} AS toks FROM posts),
-pairs AS (SELECT kw.user_id::BIGINT AS user_id, t.job_hash FROM t JOIN kw
-          ON list_has_any(t.toks, string_split(kw.what_or, ' '))
-         AND NOT list_has_any(t.toks, string_split(kw.what_exclude, ' '))),
+kt AS (SELECT user_id, unnest(string_split(what_or, ' ')) AS term, false AS bad FROM kw
+       UNION SELECT user_id, what_exclude, true FROM kw),
+t AS (SELECT job_hash, unnest(list_distinct({T.tokenize_sql_duckdb("description")})) AS term FROM posts),
+pairs AS (SELECT kt.user_id, t.job_hash FROM t JOIN kt ON kt.term = t.term AND kt.term <> ''
+          GROUP BY ALL HAVING bool_or(NOT bad) AND NOT bool_or(bad)),
 {_offline_scorers_sql("pairs", "posts", "kw")}
 """
 
@@ -1011,7 +1021,7 @@ def q_scoring_run(spark, sf):
     # its columns to the same (user, posting) rows without erasing scores.
     from matchbook.plans.scoring_run import score_new_postings
     raw = fx.raw_postings(spark, sf)
-    kw = keyword_table(spark)
+    kw = keyword_table(spark, sf)
     lang = F.lower(F.col("location"))
     empty = spark.createDataFrame([], REVIEW_STORE_SCHEMA)
     ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
@@ -1041,7 +1051,7 @@ WHERE f.score IS NULL
 def q_scoring_run_rejects(spark, sf):
     # every candidate pair of the FastText run is scored or listed here
     from matchbook.plans.scoring_run import score_new_postings
-    kw = keyword_table(spark)
+    kw = keyword_table(spark, sf)
     ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
                           F.col("what_or").alias("text"))
     return score_new_postings(fx.raw_postings(spark, sf), kw, spark.createDataFrame([], REVIEW_STORE_SCHEMA),
@@ -1143,7 +1153,7 @@ def q_job_info_upsert(spark, sf):
     # posting rows of a scoring run merged into the posting store: known
     # postings are renewed, columns the run does not bring are kept
     from matchbook.plans.scoring_run import score_new_postings
-    kw = keyword_table(spark)
+    kw = keyword_table(spark, sf)
     raw = fx.raw_postings(spark, sf)
     ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
                           F.col("what_or").alias("text"))
