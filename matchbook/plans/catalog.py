@@ -271,13 +271,14 @@ GROUP BY kt.user_id, t.doc_id HAVING bool_or(NOT bad) AND NOT bool_or(bad)
 
 
 def keyword_table(spark, sf):
-    words = F.transform(F.filter(T.tokenize(fx.title(F.col("text"))), lambda x: F.length(x) >= SEARCH_LETTERS),
+    words = F.transform(F.filter(T.tokenize("title"), lambda x: F.length(x) >= SEARCH_LETTERS),
                         lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
     best = F.transform(F.slice(F.array_sort(words), 1, 3), lambda w: w["x"])
-    return (read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"))
-            .join(read_table(spark, sf, "documents").select(F.col("doc_id").alias("user_id"), "text", "lang"), "user_id")
-            .select("user_id", F.array_join(best, " ").alias("what_or"),
-                    F.when(F.col("lang") == "en", "le").otherwise("the").alias("what_exclude")))
+    titles = read_table(spark, sf, "documents", spread_scan=False).select(
+        F.col("doc_id").alias("user_id"), fx.title(F.col("text")).alias("title"), "lang")
+    terms = titles.select("user_id", F.array_join(best, " ").alias("what_or"),
+                          F.when(F.col("lang") == "en", "le").otherwise("the").alias("what_exclude"))
+    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")).join(terms, "user_id")
 
 
 @query("keyword_filter", KEYWORD_SQL)
