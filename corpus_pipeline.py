@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import table, write_shared
+from matchbook.llm.common import broadcast_if_fits, table, write_shared
 from matchbook.llm.decontaminate import find_benchmark
 from matchbook.llm.jaccard_join import jaccard_components
 from matchbook.llm.mixing import mix
@@ -27,12 +27,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component, the one with the smallest id; documents
-    without an id stay."""
-    found = jaccard_components(docs).filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    # ids of copies are dropped; repeated rows of a kept id are copies of each other
-    kept = docs.join(found, "doc_id", "left_anti")
-    named = kept.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(kept.filter("doc_id is null")).select(*docs.columns)
+    without an id stay.  Of rows that share the kept id the smallest stays.
+    Texts are not shuffled while the ids to drop have a bounded size."""
+    found = write_shared(jaccard_components(docs), "components")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    again = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    kept = docs.join(broadcast_if_fits(gone), "doc_id", "left_anti")
+    again = broadcast_if_fits(again)
+    first = (kept.join(again, "doc_id", "left_semi").groupBy("doc_id")
+                 .agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*"))
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

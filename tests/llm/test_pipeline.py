@@ -58,6 +58,13 @@ def test_stages_against_brute_force(spark, tmp_dir):
     assert sorted(map(tuple, p.run(spark, tmp_dir).collect()), key=repr) == sorted(map(tuple, mixed), key=repr)
 
 
+def test_rows_that_share_an_id_leave_one(spark):
+    rows = [(1, prose(1, 40)), (1, prose(2, 40)), (1, prose(1, 40)), (2, prose(2, 40)), (3, prose(3, 40)), (None, "x"), (None, "x")]
+    got = p.drop_near_copies(spark, docs(spark, rows), "")
+    want = [(1, min(prose(1, 40), prose(2, 40))), (3, prose(3, 40)), (None, "x"), (None, "x")]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_documents(spark, tmp_dir):
     docs(spark, []).write.parquet(f"{tmp_dir}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{tmp_dir}/labels.parquet")
