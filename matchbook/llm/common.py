@@ -11,6 +11,7 @@ from matchbook.session import ensure_checkpoint_dir, ship_package
 
 # A collected or broadcast side may hold at most this many bytes.
 MAX_SIDE_BYTES = 64 << 20
+BATCH_ROWS = 1000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,6 +59,15 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """At most ``BATCH_ROWS`` rows in an Arrow batch of this session: a batch
+    of whole texts is held twice in the executor and twice in its Python
+    worker.  A smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def add_by_arrow(df: DataFrame, read: list[str], add: str, work) -> DataFrame:
     """``df`` with further columns made in Arrow batches inside the tasks.
 
@@ -71,12 +81,11 @@ def add_by_arrow(df: DataFrame, read: list[str], add: str, work) -> DataFrame:
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(add)
-    kept = df.schema if not set(new.names) & set(df.columns) else df.drop(
-        *[c for c in new.names if c not in read]).schema
-    kept = StructType([f for f in kept if f.name not in new.names])
+    kept = StructType([f for f in df.schema if f.name not in new.names])
     schema = StructType(kept.fields + new.fields)
     types, names = to_arrow_schema(new).types, schema.names
     keep = kept.names
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -89,5 +98,6 @@ def add_by_arrow(df: DataFrame, read: list[str], add: str, work) -> DataFrame:
             made = work(cols)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(v, t) for v, t in zip(made, types, strict=True)], names=names)
+            del batch, cols, col, made
 
     return df.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchbook.llm.common import add_by_arrow, broadcast_if_fits, table, write_shared
+from matchbook.llm.common import add_by_arrow, bounded_batches, broadcast_if_fits, table, write_shared
 from matchbook.llm.shingles import shingle_hashes, word_hashes, words_in_common
 
 N_HASHES = 128
@@ -114,6 +114,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, work, schema: str) ->
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = 8 * parts
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
