@@ -13,8 +13,10 @@ For each element of the tree, over the ``m`` pages that have it:
 Pages with the same html count once.  An importance from few pages is drawn
 towards that of the same path over all hosts, and that towards 1 (weight
 ``PRIOR_PAGES``); inside ``article`` and ``main`` it is drawn to 1 with
-``ARTICLE_PAGES``, as a repeated paragraph is still the article.  Branches below
-``LEAST`` go, unless they carry more than half of the host's text.  Elements that say what they are (scripts,
+``ARTICLE_PAGES``, as a repeated paragraph is still the article.  The entropy of
+child sequences to the base m sinks as a host grows, so a branch goes only if the
+content importance of its whole subtree, drawn alike, is below ``LEAST`` too, and
+never while its subtree carries more than half of the host's text.  Elements that say what they are (scripts,
 ``nav``, ``footer``, ``aside``, forms, class or id words such as ``ad`` or
 ``comments``) go on every page, however varied their text is: reader comments
 differ as much as articles do.
@@ -149,8 +151,8 @@ def above(path: str) -> list[str]:
 
 
 def _elements(page: Page) -> dict[str, tuple]:
-    """Per path: distinct texts, text length, and the child sequence.  What
-    goes on every page has no part in the tree."""
+    """Per path: distinct texts and text length of the subtree, and the child
+    sequence.  What goes on every page has no part in the tree."""
     out: dict[str, list] = {}
     for path, noise, text in page.blocks:
         if noise:
@@ -159,30 +161,34 @@ def _elements(page: Page) -> dict[str, tuple]:
         for p in above(path):
             got = out.setdefault(p, [set(), 0])
             got[0].add(mark)
-            got[1] += len(text) if p == path else 0
+            got[1] += len(text)
     return {p: (marks, size, page.children.get(p)) for p, (marks, size) in out.items()}
 
 
 def _tree_rows(cols):
-    made = []
+    made, chars = [], []
     for html in cols[0]:
         rows = []
-        for path, (marks, size, children) in _elements(read_page(html)).items():
+        page = read_page(html)
+        chars.append(sum(len(text) for _, noise, text in page.blocks if not noise))
+        for path, (marks, size, children) in _elements(page).items():
             inside = not {"article", "main"}.isdisjoint(step.split(".")[0] for step in path.split("/"))
             rows.append({"path": digest(path), "inside": inside, "size": size, "form": digest(" ".join(children)) if children else None,
                          "texts": sorted(marks)})
         made.append(rows)
-    return [made]
+    return [chars, made]
 
 
 def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
-    """Rows (host, path, pages, size, imp): the merged trees of all hosts.
-    ``path`` is a digest of the element path."""
+    """Rows (host, path, pages, size, whole, content, imp): the merged trees of
+    all hosts.  ``path`` is a digest of the element path, ``size`` the text of its
+    subtree, ``whole`` that of the host."""
     seen = add_by_arrow(pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"),
                                      F.xxhash64(html_col).alias("same")), ["html"],
-                        "elements array<struct<path:long,inside:boolean,size:long,form:long,texts:array<long>>>", _tree_rows)
-    seen = seen.groupBy("host", "same").agg(F.first("elements").alias("elements"))
-    seen = write_shared(seen.select("host", "elements"), "page-elements")
+                        "chars long, elements array<struct<path:long,inside:boolean,size:long,form:long,texts:array<long>>>", _tree_rows)
+    seen = seen.groupBy("host", "same").agg(F.first("chars").alias("chars"), F.first("elements").alias("elements"))
+    seen = write_shared(seen.select("host", "chars", "elements"), "page-elements")
+    whole = seen.groupBy(F.col("host").alias("of")).agg(F.sum("chars").alias("whole"))
     seen = seen.select("host", F.explode("elements").alias("e")).select("host", "e.*")
     rate = F.log(F.col("k")) / F.log(F.greatest(F.col("pages"), F.lit(2)).cast("double"))
 
@@ -200,19 +206,21 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
         keep = F.pow(F.lit(DECAY), "forms")
         both = F.when(F.col("forms").isNull(), content).otherwise((1 - keep) * shape + keep * content)
         return size.join(texts, keys).join(forms, keys, "left").select(
-            *keys, "pages", "size", "inside", both.alias("imp"))
+            *keys, "pages", "size", "inside", content.alias("content"), both.alias("imp"))
 
     def drawn(imp: str, pages: str, to, weight):
         known = F.col(pages) - 1
         return (known * F.col(imp) + weight * to) / (known + weight)
 
     host = tree(["host", "path"])
-    anywhere = tree(["path"]).select("path", drawn("imp", "pages", F.lit(1.0), F.lit(PRIOR_PAGES)).alias("anywhere"))
+    anywhere = tree(["path"]).select("path", *[drawn(c, "pages", F.lit(1.0), F.lit(PRIOR_PAGES)).alias(f"{c}_anywhere")
+                                              for c in ("content", "imp")])
     article = F.col("inside")
-    prior = F.when(article, 1.0).otherwise(F.col("anywhere"))
     weight = F.when(article, ARTICLE_PAGES).otherwise(PRIOR_PAGES)
-    return host.join(anywhere, "path").select("host", "path", "pages", "size",
-                                              drawn("imp", "pages", prior, weight).alias("imp"))
+    return host.join(anywhere, "path").join(whole, F.col("host").eqNullSafe(F.col("of"))).select(
+        "host", "path", "pages", "size", "whole",
+        *[drawn(c, "pages", F.when(article, 1.0).otherwise(F.col(f"{c}_anywhere")), weight).alias(c)
+          for c in ("content", "imp")])
 
 
 def _texts(cols):
@@ -236,9 +244,7 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", te
     """``pages`` plus ``text_col``, the main text."""
     hosted = pages.withColumn("_host", host_of(F.col(url_col)))
     tree = importance(hosted, "_host", html_col)
-    whole = tree.groupBy("host").agg(F.sum("size").alias("whole"))
-    low = (tree.filter(F.col("imp") < LEAST).join(whole, "host")
-               .filter(F.col("size") <= MOST_TEXT * F.col("whole")))
+    low = tree.filter((F.greatest("content", "imp") < LEAST) & (F.col("size") <= MOST_TEXT * F.col("whole")))
     remove = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_remove"))
     joined = hosted.join(broadcast_if_fits(remove), "_host", "left")
     return add_by_arrow(joined, [html_col, "_remove"], f"{text_col} string", _texts).drop("_host", "_remove")

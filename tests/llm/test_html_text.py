@@ -95,6 +95,35 @@ def test_importance_against_brute_force(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_large_host_keeps_its_articles(spark):
+    """Many child sequences on many pages of one host: the entropy to the base
+    m is low, the texts differ.  Paragraphs and menus are told apart still."""
+    n = 20_500
+
+    def body(i):
+        paragraphs = 19 + i // 50 % 40 if i % 50 == 0 else 1 + i % 18
+        return page("<div class=legal>All rights reserved</div><article><h1>t%d</h1>%s</article>" % (
+            i, "".join(f"<p>w{i} w{j}</p>" for j in range(paragraphs))))
+    table = spark.createDataFrame([(i, f"http://big.org/{i}", body(i)) for i in range(n)], PAGES).repartition(16)
+    tree = {r["path"]: r for r in h.importance(table.selectExpr("'big.org' AS host", "html"), "host", "html").collect()}
+    article = tree[h.digest("/html/body/article")]
+    assert article["pages"] == n and article["imp"] < h.LEAST and article["content"] > 0.9
+    assert article["size"] > 0.5 * article["whole"]
+    got = h.main_text(table).selectExpr("page_id", "length(text) AS n", "instr(text, 'rights') AS legal").collect()
+    assert len(got) == n and all(r["legal"] == 0 for r in got)
+    assert all(r["n"] >= len(f"t{r['page_id']}") + 2 + len(f"w{r['page_id']} w0") for r in got)
+
+
+def test_many_templates_none_of_which_holds_most_text(spark):
+    """Three kinds of article, each below half of the host's text."""
+    rows = []
+    for i in range(3000):
+        shape = "".join(f"<p>w{i} v{j}</p>" for j in range(1 + i % 7)) + "<ul></ul>" * (i // 3 % 2)
+        rows.append((i, f"http://three.org/{i}", page(f"<div class=kind{'abc'[i % 3]}><h2>t{i}</h2>{shape}</div>")))
+    got = texts(spark, rows)
+    assert all(got[i].startswith(f"t{i}\n\nw{i} v0") for i in range(3000))
+
+
 def test_removals_joined_without_a_broadcast_agree(spark, monkeypatch):
     want = texts(spark, site(60))
     monkeypatch.setattr(h, "broadcast_if_fits", lambda df: df)
