@@ -28,8 +28,10 @@ bounded and joined otherwise.  Texts are never shuffled while it is.
 
 Defined cases: null html, and pages of which nothing is left, give an empty
 text; a null URL counts as one host of its own; broken markup (open elements,
-stray end tags) is closed as HTML prescribes for paragraphs and list items;
-repeated rows each get a row.
+stray end tags) is closed as HTML prescribes for paragraphs and list items, and
+a head left open ends at ``body`` or the first thing that cannot be in it;
+formulas and drawings are inline, their visible text stays in its block (not
+titles, descriptions and annotations); repeated rows each get a row.
 """
 
 from __future__ import annotations
@@ -53,7 +55,15 @@ MOST_TEXT = 0.5
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr br img".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
+SILENT = frozenset("script style noscript template head title iframe object canvas audio video".split())
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+FOREIGN = frozenset(["math", "svg"])
+FOREIGN_SILENT = frozenset("annotation annotation-xml defs desc metadata script style title".split())
+FOREIGN_BREAKS = frozenset("text foreignobject".split())
+HOLDS_HTML = frozenset("annotation-xml desc foreignobject title".split())
+# HTML elements that end a formula or drawing left open
+ENDS_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li "
+                         "menu meta nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
 NOISE = frozenset("nav footer aside form button select textarea menu dialog".split()) | SILENT
 NOISE_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo promotion sidebar menu nav navbar navigation "
@@ -81,11 +91,22 @@ class Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple] = []          # (tag, path, is noise), block-level elements and silent ones
+        self.foreign: list[str] = []         # open elements of a formula or drawing, which is inline
         self.pieces: list[str] = []
         self.blocks: list[tuple] = []        # (path, is noise, text)
         self.children: dict[str, list[str]] = {}
 
     def handle_starttag(self, tag, attrs):
+        if self.foreign and tag in ENDS_FOREIGN and HOLDS_HTML.isdisjoint(self.foreign):
+            self.foreign.clear()
+        if tag == "body" or tag not in IN_HEAD:
+            self.end_head(tag == "body")
+        if self.foreign or tag in FOREIGN:
+            if tag in FOREIGN_BREAKS:
+                self.pieces.append(" ")
+            if tag not in VOID:
+                self.foreign.append(tag)
+            return
         if tag in INLINE:
             if tag == "br":
                 self.pieces.append(" ")
@@ -107,10 +128,26 @@ class Page(HTMLParser):
         self.open.append((tag, f"{path}/{step}", noise))
 
     def handle_endtag(self, tag):
+        if self.foreign:
+            if tag in self.foreign:
+                while self.foreign.pop() != tag:
+                    pass
+                if tag in FOREIGN_BREAKS:
+                    self.pieces.append(" ")
+                return
+            if tag in INLINE or not any(o[0] == tag for o in self.open):
+                return
+            self.foreign.clear()
         if tag not in INLINE:
             self.cut()
             self.close_to(tag, frozenset())
 
+    def end_head(self, whole=False):
+        """Close an open head, as what cannot be in it does; ``whole`` closes
+        one with open elements too."""
+        if self.open and (self.open[-1][0] == "head" or whole):
+            self.close_to("head", frozenset(["body"]))
+
     def close_to(self, tag, keeps):
         """Close the innermost open ``tag`` that no element of ``keeps`` encloses."""
         for i in range(len(self.open) - 1, -1, -1):
@@ -121,7 +158,9 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data):
-        if not self.open or self.open[-1][0] not in SILENT:
+        if data.strip():
+            self.end_head()
+        if (not self.open or self.open[-1][0] not in SILENT) and FOREIGN_SILENT.isdisjoint(self.foreign):
             self.pieces.append(data)
 
     def cut(self):

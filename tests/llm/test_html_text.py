@@ -36,6 +36,25 @@ def test_blocks_markup_and_references(spark):
     assert h.main_text(spark.createDataFrame(rows, PAGES)).count() == len(rows)
 
 
+def test_open_heads_and_inline_formulas(spark):
+    rows = [
+        (1, "http://h1.org", "<html><head><title>t</title><body><article><p>text"),
+        (2, "http://h2.org", "<html><head><title>t</title><article><p>text"),
+        (3, "http://h3.org", "<head><meta charset=x><script>a()</script><b>bold</b> text"),
+        (4, "http://h4.org", "<head><title>t</title>\n loose text"),
+        (5, "http://h5.org", "<html><head><noscript><link rel=x><body><p>text"),
+        (6, "http://h6.org", page("<article><p>Let <math><mi>x</mi><mo>=</mo><msup><mi>y</mi><mn>2</mn></msup>"
+                                  "<annotation encoding=tex>x=y^2</annotation></math> hold.</p></article>")),
+        (7, "http://h7.org", page("<article><p>Press <svg viewBox='0 0 1 1'><title>icon</title><style>p{}</style><path d=x />"
+                                  "<text>OK</text><text>now</text></svg> to go.<p>next</article>")),
+        (8, "http://h8.org", page("<article><p>open <svg><g><p>two <math><mi>z</p><p>three</article>")),
+        (9, "http://h9.org", "<html><head><title>t</title></head><body><p>closed</p></body></html>")]
+    got = texts(spark, rows)
+    assert got[1] == got[2] == got[5] == "text" and got[3] == "bold text" and got[4] == "loose text"
+    assert got[6] == "Let x=y2 hold." and got[7] == "Press OK now to go.\n\nnext"
+    assert got[8] == "open\n\ntwo z\n\nthree" and got[9] == "closed"
+
+
 def site(n, host="s.org"):
     """Pages with unlabelled boilerplate around an unlabelled body."""
     return [(i, f"http://{host}/{i}", page(
