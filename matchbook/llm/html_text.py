@@ -16,14 +16,21 @@ towards that of the same path over all hosts, and that towards 1 (weight
 ``ARTICLE_PAGES``, as a repeated paragraph is still the article.  The entropy of
 child sequences to the base m sinks as a host grows, so a branch goes only if the
 content importance of its whole subtree, drawn alike, is below ``LEAST`` too, and
-never while its subtree carries more than half of the host's text.  Elements that say what they are (scripts,
-``nav``, ``footer``, ``aside``, forms, class or id words such as ``ad`` or
-``comments``) go on every page, however varied their text is: reader comments
-differ as much as articles do.
+never while its subtree carries more than half of the host's text.
+
+Names are a prior of the tree.  Outside ``article`` and ``main``, elements that
+say what they are (``nav``, ``footer``, ``aside``, forms, class, id or role words
+such as ``ad`` or ``comments``) go however varied their text is, as reader
+comments differ as much as articles do, unless they hold most of the host's text
+and it varies (a form or layout element around the page).  The elements ``nav``,
+``aside``, forms and the like are treated so inside too; a class, id or role word
+inside only takes away the article's protection: the branch is drawn to ``LEAST``
+with ``PRIOR_PAGES``, so it stays unless its texts repeat on this or other hosts.
+Words do not count on headings, and on sections inside ``article`` and ``main``.
 
 Scale: a page adds one row per distinct text of a path; rows are counted with
 map-side combination, so a hot host costs no more than its distinct texts, and
-only (host, paths to remove) meets the pages, broadcast if its measured size is
+only (host, paths to remove or keep) meets the pages, broadcast if its measured size is
 bounded and joined otherwise.  Texts are never shuffled while it is.
 
 Defined cases: null html, and pages of which nothing is left, give an empty
@@ -77,6 +84,10 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
              "option": frozenset(["option"])}
 KEEPS_OPEN = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]),
               "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
+ARTICLE = frozenset(["article", "main"])
+UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
+# kinds of paths: part of an article or main element, that with a noise word, noise
+PLAIN, ARTICLE_PART, NAMED, NOISY = range(4)
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -90,11 +101,12 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple] = []          # (tag, path, is noise), block-level elements and silent ones
+        self.open: list[tuple] = []          # (tag, path), block-level elements and silent ones
         self.foreign: list[str] = []         # open elements of a formula or drawing, which is inline
         self.pieces: list[str] = []
-        self.blocks: list[tuple] = []        # (path, is noise, text)
+        self.blocks: list[tuple] = []        # (path, text)
         self.children: dict[str, list[str]] = {}
+        self.kinds: dict[str, int] = {}      # of a path, PLAIN if missing
 
     def handle_starttag(self, tag, attrs):
         if self.foreign and tag in ENDS_FOREIGN and HOLDS_HTML.isdisjoint(self.foreign):
@@ -117,15 +129,24 @@ class Page(HTMLParser):
                 self.close_to(open_tag, KEEPS_OPEN.get(open_tag, frozenset(["article", "body"])))
         if tag in VOID:
             return
-        path, noise = (self.open[-1][1], self.open[-1][2]) if self.open else ("", False)
+        path = self.open[-1][1] if self.open else ""
         names = " ".join(sorted(v for k, v in attrs if k in ("class", "id", "role") and v)).lower()
-        step = tag + ("." + _DIGITS.sub("#", names) if names else "")
+        step = tag + ("." + _DIGITS.sub("#", names).replace("/", "|") if names else "")
         self.children.setdefault(path, []).append(step)
-        inside = any(o[0] in ("article", "main") for o in self.open)
-        noise = (noise or tag in NOISE or (tag == "header" and not inside)
-                 or (bool(names) and tag not in ("html", "body", "article", "main")
-                     and not NOISE_WORDS.isdisjoint(_WORDS.findall(names))))
-        self.open.append((tag, f"{path}/{step}", noise))
+        path = f"{path}/{step}"
+        if path not in self.kinds:
+            self.kinds[path] = self.kind_of(tag, names)
+        self.open.append((tag, path))
+
+    def kind_of(self, tag, names):
+        inside = tag in ARTICLE or any(o[0] in ARTICLE for o in self.open)
+        if tag in NOISE or (tag == "header" and not inside):
+            return NOISY
+        free = tag in ARTICLE or tag in UNNAMED or (tag == "section" and inside)
+        named = not free and bool(names) and not NOISE_WORDS.isdisjoint(_WORDS.findall(names))
+        if inside:
+            return NAMED if named else ARTICLE_PART
+        return NOISY if named else PLAIN
 
     def handle_endtag(self, tag):
         if self.foreign:
@@ -168,9 +189,8 @@ class Page(HTMLParser):
             text = " ".join("".join(self.pieces).split())
             self.pieces = []
             if text:
-                path, noise = (self.open[-1][1], self.open[-1][2]) if self.open else ("", False)
                 if not any(o[0] in SILENT for o in self.open):
-                    self.blocks.append((path, noise, text))
+                    self.blocks.append((self.open[-1][1] if self.open else "", text))
 
 
 def read_page(html: bytes | None) -> Page:
@@ -191,11 +211,9 @@ def above(path: str) -> list[str]:
 
 def _elements(page: Page) -> dict[str, tuple]:
     """Per path: distinct texts and text length of the subtree, and the child
-    sequence.  What goes on every page has no part in the tree."""
+    sequence."""
     out: dict[str, list] = {}
-    for path, noise, text in page.blocks:
-        if noise:
-            continue
+    for path, text in page.blocks:
         mark = digest(text)
         for p in above(path):
             got = out.setdefault(p, [set(), 0])
@@ -209,22 +227,21 @@ def _tree_rows(cols):
     for html in cols[0]:
         rows = []
         page = read_page(html)
-        chars.append(sum(len(text) for _, noise, text in page.blocks if not noise))
+        chars.append(sum(len(text) for _, text in page.blocks))
         for path, (marks, size, children) in _elements(page).items():
-            inside = not {"article", "main"}.isdisjoint(step.split(".")[0] for step in path.split("/"))
-            rows.append({"path": digest(path), "inside": inside, "size": size, "form": digest(" ".join(children)) if children else None,
+            rows.append({"path": digest(path), "kind": page.kinds.get(path, PLAIN), "size": size, "form": digest(" ".join(children)) if children else None,
                          "texts": sorted(marks)})
         made.append(rows)
     return [chars, made]
 
 
 def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
-    """Rows (host, path, pages, size, whole, content, imp): the merged trees of
-    all hosts.  ``path`` is a digest of the element path, ``size`` the text of its
+    """Rows (host, path, kind, pages, size, whole, content, imp): the merged
+    trees of all hosts.  ``path`` is a digest of the element path, ``size`` the text of its
     subtree, ``whole`` that of the host."""
     seen = add_by_arrow(pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"),
                                      F.xxhash64(html_col).alias("same")), ["html"],
-                        "chars long, elements array<struct<path:long,inside:boolean,size:long,form:long,texts:array<long>>>", _tree_rows)
+                        "chars long, elements array<struct<path:long,kind:int,size:long,form:long,texts:array<long>>>", _tree_rows)
     seen = seen.groupBy("host", "same").agg(F.first("chars").alias("chars"), F.first("elements").alias("elements"))
     seen = write_shared(seen.select("host", "chars", "elements"), "page-elements")
     whole = seen.groupBy(F.col("host").alias("of")).agg(F.sum("chars").alias("whole"))
@@ -233,7 +250,7 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 
     def tree(keys: list[str]) -> DataFrame:
         size = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("size"),
-                                       F.max("inside").alias("inside"))
+                                       F.max("kind").alias("kind"))
         texts = (seen.select(*keys, F.explode("texts").alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("k"))
                      .groupBy(*keys).agg(F.sum(F.log("k")).alias("text_logs"), F.count(F.lit(1)).alias("text_n")))
         forms = (seen.filter("form is not null").groupBy(*keys, "form").agg(F.count(F.lit(1)).alias("k"))
@@ -245,34 +262,41 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
         keep = F.pow(F.lit(DECAY), "forms")
         both = F.when(F.col("forms").isNull(), content).otherwise((1 - keep) * shape + keep * content)
         return size.join(texts, keys).join(forms, keys, "left").select(
-            *keys, "pages", "size", "inside", content.alias("content"), both.alias("imp"))
+            *keys, "pages", "size", "kind", content.alias("content"), both.alias("imp"))
 
     def drawn(imp: str, pages: str, to, weight):
         known = F.col(pages) - 1
         return (known * F.col(imp) + weight * to) / (known + weight)
 
     host = tree(["host", "path"])
-    anywhere = tree(["path"]).select("path", *[drawn(c, "pages", F.lit(1.0), F.lit(PRIOR_PAGES)).alias(f"{c}_anywhere")
+    kind = F.col("kind")
+    open_mind = F.when(kind == NAMED, LEAST).otherwise(1.0)
+    anywhere = tree(["path"]).select("path", *[drawn(c, "pages", open_mind, F.lit(PRIOR_PAGES)).alias(f"{c}_anywhere")
                                               for c in ("content", "imp")])
-    article = F.col("inside")
-    weight = F.when(article, ARTICLE_PAGES).otherwise(PRIOR_PAGES)
+    weight = F.when(kind == ARTICLE_PART, ARTICLE_PAGES).otherwise(PRIOR_PAGES)
+
+    def prior(c: str):
+        return F.when(kind == ARTICLE_PART, 1.0).when(kind == NOISY, 0.0).otherwise(F.col(f"{c}_anywhere"))
     return host.join(anywhere, "path").join(whole, F.col("host").eqNullSafe(F.col("of"))).select(
-        "host", "path", "pages", "size", "whole",
-        *[drawn(c, "pages", F.when(article, 1.0).otherwise(F.col(f"{c}_anywhere")), weight).alias(c)
-          for c in ("content", "imp")])
+        "host", "path", "kind", "pages", "size", "whole",
+        *[drawn(c, "pages", prior(c), weight).alias(c) for c in ("content", "imp")])
 
 
 def _texts(cols):
     out = []
-    for html, remove in zip(*cols, strict=True):
-        gone = set(remove or ())
+    for html, remove, stay in zip(*cols, strict=True):
+        low, stays = set(remove or ()), set(stay or ())
+        page = read_page(html)
         removed: dict[str, bool] = {}
         kept = []
-        for path, noise, text in read_page(html).blocks:
-            if noise:
-                continue
+
+        def goes(path, page=page, low=low, stays=stays):
+            if page.kinds.get(path) == NOISY:
+                return not stays or digest(path) not in stays
+            return bool(low) and digest(path) in low
+        for path, text in page.blocks:
             if path not in removed:
-                removed[path] = bool(gone) and any(digest(p) in gone for p in above(path))
+                removed[path] = any(goes(p) for p in above(path))
             if not removed[path]:
                 kept.append(text)
         out.append("\n\n".join(kept))
@@ -283,10 +307,15 @@ def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", te
     """``pages`` plus ``text_col``, the main text."""
     hosted = pages.withColumn("_host", host_of(F.col(url_col)))
     tree = importance(hosted, "_host", html_col)
-    low = tree.filter((F.greatest("content", "imp") < LEAST) & (F.col("size") <= MOST_TEXT * F.col("whole")))
-    remove = low.groupBy(F.col("host").alias("_host")).agg(F.collect_list("path").alias("_remove"))
-    joined = hosted.join(broadcast_if_fits(remove), "_host", "left")
-    return add_by_arrow(joined, [html_col, "_remove"], f"{text_col} string", _texts).drop("_host", "_remove")
+    most = F.col("size") > MOST_TEXT * F.col("whole")
+    low, noisy = F.greatest("content", "imp") < LEAST, F.col("kind") == NOISY
+    judged = (tree.filter(F.when(noisy, most & (F.col("content") >= LEAST)).otherwise(low & ~most))
+                  .groupBy(F.col("host").alias("_host"))
+                  .agg(F.collect_list(F.when(~noisy, F.col("path"))).alias("_remove"),
+                       F.collect_list(F.when(noisy, F.col("path"))).alias("_stay")))
+    joined = hosted.join(broadcast_if_fits(judged), "_host", "left")
+    return add_by_arrow(joined, [html_col, "_remove", "_stay"], f"{text_col} string", _texts).drop(
+        "_host", "_remove", "_stay")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,6 +55,27 @@ def test_open_heads_and_inline_formulas(spark):
     assert got[8] == "open\n\ntwo z\n\nthree" and got[9] == "closed"
 
 
+def test_names_inside_an_article_are_only_a_prior(spark):
+    parts = ("<h2 id=search-algorithms>Search</h2><section id=social-impact><p>impact</p></section>"
+             "<div class=related-work>work</div><p class=notice>notice</p>")
+    rows = [(1, "http://n1.org", page(f"<article><h1>One</h1>{parts}</article>"))]
+    rows += [(100 + i, f"http://n2.org/{i}", page(
+        f"<article><h1>t{i}</h1><p>{prose(i, 20)}</p><div class='related-work w-1/2'><h3>r{i}</h3><p>{prose(900 + i, 5)}</p></div>"
+        f"<div class=share-bar>Share this page</div><aside>x{i}</aside></article>"
+        f"<div class=comments><p>{prose(500 + i, 5)}</p></div>")) for i in range(60)]
+    got = texts(spark, rows)
+    assert got[1] == "One\n\nSearch\n\nimpact\n\nwork\n\nnotice"
+    assert all(got[100 + i] == f"t{i}\n\n{prose(i, 20)}\n\nr{i}\n\n{prose(900 + i, 5)}" for i in range(60))
+
+
+def test_named_elements_around_whole_pages_stay(spark):
+    """Named parts are in the tree: a form around every page holds its text."""
+    rows = [(i, f"http://form.org/{i}", page(
+        f"<form id=login><nav>Menu</nav><div class=body><p>{prose(i, 30)}</p></div></form>")) for i in range(40)]
+    got = texts(spark, rows)
+    assert all(got[i] == prose(i, 30) for i in range(40))
+
+
 def site(n, host="s.org"):
     """Pages with unlabelled boilerplate around an unlabelled body."""
     return [(i, f"http://{host}/{i}", page(
