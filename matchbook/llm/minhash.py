@@ -5,7 +5,8 @@ A fingerprint holds, for each of ``N_HASHES`` universal hash functions
 shingles, as hexadecimal text.  The share of equal places of two fingerprints
 estimates the Jaccard similarity of the shingle sets.  ``near_pairs`` joins
 documents in Spark on bands of the fingerprint and verifies the Jaccard
-similarity on words.
+similarity on words: all members of a band bucket meet each other, in tiles of
+bounded size; exact copies of a text meet through the smallest id of them.
 
 ``with_next`` pairs every document with the next one by descending id without
 a single-task window: ids are cut into ranges at quantiles, each range is
@@ -28,11 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import add_by_arrow, bounded_batches, broadcast_if_fits, table, write_shared
-from matchbook.llm.shingles import shingle_hashes, word_hashes, words_in_common
+from matchbook.llm.shingles import shingle_hashes, shingle_set, word_hashes, words_in_common
 
 N_HASHES = 128
 BANDS, ROWS_PER_BAND = 32, 4
 THRESHOLD = (75, 100)
+TILE_ROWS = 128                # members of a bucket that meet as many others at once
+SLACK = 0.25                   # an estimate so far below the threshold is off with a chance below 1e-9
 EMPTY = "-"
 CHUNK = 512                    # shingles hashed at once, so the matrix stays in the cache
 
@@ -68,28 +71,131 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return add_by_arrow(docs, [text_col], "fingerprint string", lambda cols: [[fingerprint(t) for t in cols[0]]])
 
 
+def _by_tile(rows: DataFrame, schema: str, work) -> DataFrame:
+    """``work(tile, rows)`` for the rows of every ``tile``, which lie in one
+    task, one tile in memory at a time; texts are bytes."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    out = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(out)
+    bounded_batches(rows.sparkSession)
+    rows = rows.repartition(F.col("tile")).sortWithinPartitions("tile")
+
+    def batch_of(made):
+        columns = list(zip(*made, strict=True)) if made else [[] for _ in arrow]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)],
+                                          names=arrow.names)
+
+    def run(batches):
+        tile, held = None, []
+        for batch in batches:
+            cols = [c.cast(pa.binary()) if pa.types.is_string(c.type) and n == "text" else c
+                    for n, c in zip(batch.schema.names, batch.columns, strict=True)]
+            made = []
+            for row in zip(*[c.to_pylist() for c in cols], strict=True):
+                row = dict(zip(batch.schema.names, row, strict=True))
+                if row["tile"] != tile:
+                    if held:
+                        made += work(tile, held)
+                    tile, held = row["tile"], []
+                held.append(row)
+            yield batch_of(made)
+        if held:
+            yield batch_of(work(tile, held))
+    return rows.mapInArrow(run, out)
+
+
+def _candidates(threshold: float):
+    """Of a tile of fingerprints: rows (tile, id, smaller ids to verify) of the
+    documents to verify.  A pair belongs to the first band that it shares."""
+    least = (threshold - SLACK) * N_HASHES
+
+    def work(tile, rows):
+        band, _, x, y = tile.split(":")
+        band = int(band)
+        ids = np.array([r["id"] for r in rows], dtype=np.int64)
+        block = np.array([r["block"] for r in rows])
+        prints = np.array([np.frombuffer(bytes.fromhex(r["fingerprint"]), dtype=">u2") for r in rows])
+        found: dict[int, set] = {}
+        for i in range(len(ids)):
+            same = prints == prints[i]
+            bands = same.reshape(len(ids), BANDS, ROWS_PER_BAND).all(axis=2)
+            good = (ids < ids[i]) & bands[:, band] & (bands.argmax(axis=1) == band) & (same.sum(axis=1) >= least)
+            if x != y:
+                good &= block != block[i]
+            if good.any():
+                mine = found.setdefault(int(ids[i]), set())
+                for other in ids[good].tolist():
+                    mine.add(other)
+                    found.setdefault(other, set())
+        return [(tile, ident, sorted(reps)) for ident, reps in found.items()]
+    return work
+
+
+def _verified(threshold: tuple[int, int]):
+    """Of a tile of texts: the pairs that reach the threshold, found on shingle
+    hashes and counted on words."""
+    def linked(both, either):
+        return both * threshold[1] >= either * threshold[0]
+
+    def work(tile, rows):
+        texts: dict[int, list] = {}
+        for r in rows:
+            texts.setdefault(r["id"], []).append((r["text"], shingle_set(r["text"])))
+        out = []
+        for ident, reps in {r["id"]: r["reps"] for r in rows}.items():
+            for rep in reps:
+                for a, x in texts[ident]:
+                    for b, y in texts.get(rep, ()):
+                        both = len(np.intersect1d(x, y, assume_unique=True))
+                        if linked(both, len(x) + len(y) - both):
+                            both, either = words_in_common(a or b"", b or b"")
+                            if linked(both, either):
+                                out.append((ident, rep, both, either))
+        return out
+    return work
+
+
 def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Rows (id, rep, both, either): documents linked with the smallest id of a
-    band bucket they are in, with their verified intersection and union sizes.
-    A bucket of m documents makes m - 1 rows, never all pairs."""
-    prints = write_shared(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
-                          .filter(F.col("fingerprint") != EMPTY).select("id", "fingerprint"), "prints")
+    """Rows (id, rep, both, either), ``rep`` the smaller id: the pairs of
+    different texts that share a band and reach the threshold, with their verified
+    intersection and union sizes; and every copy of a text with the smallest id
+    of it.  A bucket is cut into blocks of about ``TILE_ROWS`` and every block
+    meets every other, so memory is bounded and no pair is left out; the work
+    in a bucket of different texts grows with its square."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    prints = fingerprints(texts.withColumn("copy", F.sha2("text", 256)))
+    prints = write_shared(prints.filter(F.col("fingerprint") != EMPTY).select("id", "copy", "fingerprint"), "prints")
+    firsts = prints.groupBy("copy").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"))
     width = 4 * ROWS_PER_BAND
     bands = F.array(*[F.concat(F.lit(f"{b}:"), F.substring("fingerprint", b * width + 1, width)) for b in range(BANDS)])
-    keys = prints.select("id", F.explode(bands).alias("band"))
-    reps = keys.groupBy("band").agg(F.min("id").alias("rep"), F.max("id").alias("_most")).filter("rep < _most")
-    pairs = keys.join(reps.drop("_most"), "band").filter("id <> rep").select("id", "rep").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    both = (pairs.join(texts, "id")
-                 .join(texts.select(F.col("id").alias("rep"), F.col("text").alias("rep_text")), "rep"))
-
-    def work(cols):
-        found = [words_in_common(a or b"", b or b"") for a, b in zip(*cols, strict=True)]
+    keys = firsts.select("id", F.explode(bands).alias("band"))
+    sizes = keys.groupBy("band").count().filter("count > 1")
+    blocks = F.ceil(F.col("count") / TILE_ROWS).cast("int")
+    # a member meets its own block and all others; the tile is named by the two
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    members = (keys.join(sizes, "band").withColumn("blocks", blocks)
+                   .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", other)
+                   .select("id", "block", F.concat_ws(":", "band", F.least("block", "other"),
+                                                      F.greatest("block", "other")).alias("tile"))
+                   .join(firsts.select("id", "fingerprint"), "id"))
+    wanted = _by_tile(members.select("tile", "id", "block", "fingerprint"), "tile string, id long, reps array<long>",
+                      _candidates(threshold[0] / threshold[1]))
+    pairs = _by_tile(wanted.join(texts, "id").select("tile", "id", "reps", "text"),
+                     "id long, rep long, both long, either long", _verified(threshold))
+
+    def count(cols):
+        found = [words_in_common(t or b"", t or b"") for t in cols[0]]
         return [[x for x, _ in found], [y for _, y in found]]
-    checked = add_by_arrow(both, ["text", "rep_text"], "both long, either long", work)
-    return checked.filter(F.col("both") * threshold[1] >= F.col("either") * threshold[0]).select(
-        "id", "rep", "both", "either")
+    # the text decides, not the id, in case an id has several
+    same = texts.withColumn("copy", F.sha2("text", 256)).join(
+        prints.join(firsts.select("copy", F.col("id").alias("rep")), "copy").filter("id <> rep")
+              .select("id", "copy", "rep").distinct(), ["id", "copy"])
+    same = add_by_arrow(same.select("id", "rep", "text"), ["text"], "both long, either long", count)
+    return pairs.unionByName(same.select("id", "rep", "both", "either")).distinct()
 
 
 def _range_of(value: Column, bounds: list) -> Column:

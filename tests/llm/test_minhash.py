@@ -67,6 +67,34 @@ def test_near_pairs_are_verified_and_recalled(spark):
     assert m.near_pairs(docs(spark, [])).count() == 0
 
 
+def test_near_pairs_within_a_large_family(spark, monkeypatch):
+    """Planted pairs at about 0.77 among texts that are all alike at about 0.6:
+    the smallest id of a bucket is linked with none of them."""
+    base = prose(1, 200).split()
+
+    def changed(words, places, mark):
+        out = list(words)
+        for k in places:
+            out[k] = f"{mark}x{k}"
+        return out
+    rows, n, planted = [], 1200, 25
+    for i in range(n):
+        rows.append((i, " ".join(changed(base, [(i * 7 + 41 * k) % 200 for k in range(5)], f"m{i}"))))
+    for i in range(planted):
+        words = changed(base, [(i * 11 + 37 * k) % 200 for k in range(5)], f"p{i}")
+        other = changed(words, [(i * 11 + 18 + 37 * k) % 200 for k in range(5)], f"q{i}")
+        rows += [(n + 2 * i, " ".join(words)), (n + 2 * i + 1, " ".join(other))]
+    rows += [(9000, rows[-1][1]), (9001, rows[-1][1])]
+    texts = dict(rows)
+    monkeypatch.setattr(m, "TILE_ROWS", 40)
+    got = {(r["id"], r["rep"]): (r["both"], r["either"]) for r in m.near_pairs(docs(spark, rows)).collect()}
+    assert all((n + 2 * i + 1, n + 2 * i) in got for i in range(planted))
+    assert {(9000, n + 2 * planted - 1), (9001, n + 2 * planted - 1)} <= got.keys()
+    for (a, b), counts in got.items():
+        x, y = shingles(texts[a]), shingles(texts[b])
+        assert counts == (len(x & y), len(x | y)) and 100 * counts[0] >= 75 * counts[1] and b < a
+
+
 def test_word_hashes_across_segments():
     text = " ".join(f"Word{i}x" for i in range(SEGMENT // 5)).encode() + b" " + b"y" * (SEGMENT + 10) + b"\t\x0bend\xc2\xa0of  text"
     words, got = fold_words(text), word_hashes(text)
