@@ -8,10 +8,17 @@ one format stay different:
 * cards and account numbers (13-19 digits): all digits but the last pass
   through the network; the last keeps its distance to the Luhn check digit, so
   valid numbers stay valid and invalid ones invalid
-* IBANs whose check digits are right: the account part is permuted, the check
-  digits are computed anew
-* phone and social-security numbers, and the local part of e-mail addresses:
-  digits, lower-case and upper-case letters stay in their class, the rest stays
+* IBANs whose check digits are right, in one piece or printed in groups of four:
+  the account part is permuted, the check digits are computed anew, the groups
+  stay, so both spellings of one account stay linked
+* phone numbers of the North American plan (3-3-4, with or without separators,
+  ``+1`` or ``1``; without separators only if area code and exchange begin with
+  2 to 9) and international ones (``+``, 7 to 15 digits in any groups): the
+  digits after the country code are permuted and put back in their places, so
+  the spellings of one number stay linked.  Country codes, a trunk ``(0)`` and
+  whether area code and exchange begin with 0 or 1 stay
+* social-security numbers, and the local part of e-mail addresses: digits,
+  lower-case and upper-case letters stay in their class, the rest stays
 * IPv4 addresses with octets up to 255: a permutation of the 2^32 addresses
 * real dates (``yyyy-mm-dd``, ``dd.mm.yyyy``, ``mm/dd/yyyy``) of 1800 to 2199:
   a permutation of the 146,097 days of that calendar cycle
@@ -22,7 +29,9 @@ functions in the row: no shuffle, no Python.
 
 Defined cases: null text stays null with no findings; an empty text is
 unchanged; values that fail validation (impossible dates, octets over 255,
-wrong IBAN digits) stay as they are; extra columns pass through.
+wrong IBAN digits) stay as they are, as do national phone numbers of other
+plans without their country code; digits that follow an international number
+after a single space count as part of it up to 15; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -43,10 +52,27 @@ DAY_DATE = NOT_IN + r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}" + NOT_ON
 US_DATE = NOT_IN + r"[0-9]{2}/[0-9]{2}/[0-9]{4}" + NOT_ON
 IP = r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9])(?!\.[0-9])"
 SSN = r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"
-PHONE = (r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}" + NOT_ON)
+PLUS_ONE = r"\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ ./-]?[0-9]{3}[ ./-]?[0-9]{4}"
+DIALLED = (r"\+(?=(?:[^0-9A-Za-z+]{0,3}[0-9]){7})[1-9](?:[ ./-]?[0-9]){0,3}(?: ?\((?:0|[0-9]{2,5})\))?"
+           r"(?:[ ./-]?[0-9]){4,11}")
+SPLIT_PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
+PLAIN_PHONE = r"1?[2-9][0-9]{2}[2-9][0-9]{6}"
+PHONE = NOT_IN + "(?:" + "|".join(p + NOT_ON for p in (PLUS_ONE, DIALLED, SPLIT_PHONE, PLAIN_PHONE)) + ")"
+# country codes of one and two digits; all others have three
+SHORT_CODES = "^[17]"
+TWO_DIGIT_CODES = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+# countries by the length of their IBAN
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+                21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+                24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+                28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+                32: "LC", 33: "RU"}
+GROUPED_IBAN = NOT_IN + "(?=[A-Z]{2}[0-9]{2} )(?:" + "|".join(
+    f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    for n, countries in IBAN_LENGTHS.items()) + ")" + NOT_ON
 IBAN = NOT_IN + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + NOT_ON
 CARD = NOT_IN + r"[0-9](?:[ -]?[0-9]){12,18}" + NOT_ON
-ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, US_DATE, IP, SSN, CARD, PHONE, IBAN))
+ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, US_DATE, IP, SSN, CARD, PHONE, GROUPED_IBAN, IBAN))
 
 FIRST_DAY, DAY_A, DAY_B = "1800-01-01", 27, 5411      # 27 * 5411 = 146,097 days
 KINDS = ("email", "date", "ip", "ssn", "phone", "card", "iban")
@@ -92,7 +118,7 @@ def permute_text(value: Column, kind: str, key: str = KEY, inverse: bool = False
                        lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def permute_pair(a: Column, b: Column, n_a: int, n_b: int, kind: str, key: str = KEY,
+def permute_pair(a: Column, b: Column, n_a: int | Column, n_b: int | Column, kind: str, key: str = KEY,
                  inverse: bool = False) -> Column:
     """Keyed permutation of the pairs (a, b) with a < n_a, b < n_b."""
     sign = -1 if inverse else 1
@@ -126,16 +152,49 @@ def _luhn_digit(digits: Column) -> Column:
     return F.pmod(-total, F.lit(10))
 
 
-def _refill(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced by ``digits`` in order."""
+def _refill(shape: Column, digits: Column, place=lambda ch: ch.between("0", "9")) -> Column:
+    """``shape`` with its digits (or other places) replaced by ``digits`` in order."""
     chars = F.filter(F.split(shape, ""), lambda ch: ch != "")
     zero = F.struct(F.lit(0).alias("i"), F.lit("").alias("out"))
 
-    def put(acc: Column, ch: Column) -> Column:
-        is_digit = ch.between("0", "9")
-        return F.struct((acc["i"] + is_digit.cast("int")).alias("i"), F.concat(
-            acc["out"], F.when(is_digit, F.substring(digits, acc["i"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
-    return F.aggregate(chars, zero, put, lambda acc: acc["out"])
+    def put(acc: Column, ch: Column, digits: Column) -> Column:
+        return F.struct((acc["i"] + place(ch).cast("int")).alias("i"), F.concat(
+            acc["out"], F.when(place(ch), F.substring(digits, acc["i"] + 1, F.lit(1))).otherwise(ch)).alias("out"))
+    return let(digits, lambda made: F.aggregate(chars, zero, lambda acc, ch: put(acc, ch, made), lambda acc: acc["out"]))
+
+
+def permute_nanp(digits: Column, key: str = KEY, inverse: bool = False) -> Column:
+    """Keyed permutation of the 10 digits of a number of the North American
+    plan; area code and exchange that begin with 2 to 9 go on doing so."""
+    def work(d: Column) -> Column:
+        def first(at: int) -> Column:
+            return F.when(F.substring(d, at, 1) >= "2", 2).otherwise(0)
+
+        def n(at: int) -> Column:
+            return F.when(F.substring(d, at, 1) >= "2", 8).otherwise(2)
+        a = F.substring(d, 1, 3).cast("long") - first(1) * 100
+        b = F.substring(d, 4, 7).cast("long") - first(4) * 1_000_000
+        pair = permute_pair(a, b, n(1) * 100, n(4) * 1_000_000, "phone", key, inverse)
+        return let(pair, lambda p: F.concat(F.lpad((p["a"] + first(1) * 100).cast("string"), 3, "0"),
+                                            F.lpad((p["b"] + first(4) * 1_000_000).cast("string"), 7, "0")))
+    return let(digits, work)
+
+
+def permute_phone(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+    shape = F.regexp_replace(value, r"\(0\)", "(o)")
+
+    def work(digits: Column) -> Column:
+        american = ~value.startswith("+") | digits.rlike("^[01]")
+        code = (F.when(american & (F.length(digits) >= 10), F.length(digits) - 10)
+                 .when(digits.rlike(SHORT_CODES), 1).when(digits.rlike(TWO_DIGIT_CODES), 2).otherwise(3))
+        # +1 and other than ten digits is no American number
+        code = F.when(value.startswith("+1") & (F.length(digits) != 11), 1).otherwise(code)
+        rest = F.substring(digits, code + 1, F.length(digits))
+        new = F.when(american & (F.length(rest) == 10), permute_nanp(rest, key, inverse)).otherwise(
+            permute_text(rest, "phone", key, inverse))
+        return F.concat(F.substring(digits, F.lit(1), code), new)
+    made = let(F.regexp_replace(shape, "[^0-9]", ""), lambda digits: _refill(shape, work(digits)))
+    return F.regexp_replace(made, r"\(o\)", "(0)")
 
 
 def permute_card(value: Column, key: str = KEY, inverse: bool = False) -> Column:
@@ -157,6 +216,12 @@ def _mod97(text: Column) -> Column:
 
 
 def permute_iban(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+    """Of an IBAN in one piece or in groups."""
+    return let(F.regexp_replace(value, " ", ""), lambda whole: _refill(
+        value, _permute_iban(whole, key, inverse), lambda ch: ch != " "))
+
+
+def _permute_iban(value: Column, key: str, inverse: bool) -> Column:
     country, account = F.substring(value, 1, 2), F.substring(value, F.lit(5), F.length(value))
     valid = _mod97(F.concat(account, country, F.substring(value, 3, 2))) == 1
     renewed = let(permute_text(account, "iban", key, inverse), lambda new: F.concat(
@@ -204,7 +269,7 @@ def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
          .when(kind == "card", permute_card(value, key, inverse))
          .when(kind == "iban", permute_iban(value, key, inverse))
          .when(kind == "ssn", permute_text(value, "ssn", key, inverse))
-         .otherwise(permute_text(value, "phone", key, inverse))))
+         .otherwise(permute_phone(value, key, inverse))))
 
 
 def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, inverse: bool = False) -> DataFrame:

@@ -34,6 +34,28 @@ def test_round_trip_links_and_formats(spark):
     assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+def test_phones_and_ibans_in_other_spellings(spark):
+    texts = ["+44 20 7946 0958", "+442079460958", "+44 (0)20 7946 0958", "+49 30 901820", "+33 1 42 68 53 00",
+             "4075557710", "+14075557710", "+1 (407) 555-7710", "407-555-7710", "14075557710",
+             "DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "BE68 5390 0754 7034 THE BANK", "BE68539007547034",
+             "DE88 3704 0044 0532 0130 00", "(017) 555-7713", "1700000000", "+1 407 555 7710 2024-02-30"]
+    out = run(spark, [f"call {t}, now" for t in texts])
+    back = run(spark, [out[i]["text"] for i in range(len(texts))], inverse=True)
+    assert [back[i]["text"] for i in range(len(texts))] == [f"call {t}, now" for t in texts]
+    new = [out[i]["text"][5:-5] for i in range(len(texts))]
+    kinds = [out[i]["pii_kinds"] for i in range(len(texts))]
+    assert kinds == ["phone"] * 10 + ["iban"] * 4 + ["", "phone", "", "phone"]
+    for a, b in zip(texts, new, strict=True):
+        assert len(a) == len(b) and [c for c in a if not c.isalnum()] == [c for c in b if not c.isalnum()]
+    digits = ["".join(c for c in t if c.isdigit()) for t in new]
+    assert digits[0] == digits[1] == digits[2].replace("440", "44", 1) and new[2].startswith("+44 (0)")
+    assert new[3].startswith("+49 ") and new[4].startswith("+33 ")
+    assert digits[5] == digits[8] and digits[6] == digits[7] == digits[9] == "1" + digits[5] == digits[17][:11]
+    assert new[10].replace(" ", "") == new[11] and new[12].replace(" ", "") == new[13] + "THEBANK"
+    assert all(int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1 for v in (new[11], new[13]))
+    assert new[14] == texts[14] and new[16] == texts[16] and new[17].endswith(" 2024-02-30")
+
+
 def luhn(number):
     digits = [int(c) for c in reversed(number)]
     return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0
