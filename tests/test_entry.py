@@ -1,5 +1,5 @@
 import __spark_entry__ as entry
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from matchbook.plans.catalog import ORACLES, QUERIES
 
 

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from matchbook.operators.generators import (OfflineIdealJobClient, build_reference_embeddings,
                                             generate_ideal_jobs, generate_keywords)
 from matchbook.operators.embedding import ref_readiness

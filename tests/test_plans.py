@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_MID
+from paths import SF_MID
 from matchbook.operators.ranking import top_n_per_group
 from matchbook.operators.seen import drop_seen, seen_hashes
 from matchbook.plans import fixtures as fx

@@ -5,7 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from matchbook.operators.seen import drop_seen, seen_hashes
 from matchbook.plans import fixtures as fx
 from matchbook.plans.catalog import QUERIES
