@@ -10,6 +10,7 @@ from matchbook.llm.quality import op3_quality
 from matchbook.llm.secret_scan import OP7_SQL, op7_secrets
 from matchbook.llm.toxicity import op1_toxicity
 from matchbook.llm.url_filter import OP5_SQL, op5_url_filter
+from matchbook.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_pii": op9_pii,
     "op10_fingerprints": op10_fingerprints,
+    "op11_whitening": op11_whitening,
 }
 ORACLES = {
     "op4_decontaminate": OP4_SQL,
