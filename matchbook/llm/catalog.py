@@ -3,6 +3,7 @@
 from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
 from matchbook.llm.html_text import op2_main_text
 from matchbook.llm.jaccard_join import OP8_SQL, op8_jaccard
+from matchbook.llm.language_id import op12_language
 from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_fingerprints": op10_fingerprints,
     "op11_whitening": op11_whitening,
+    "op12_language": op12_language,
 }
 ORACLES = {
     "op4_decontaminate": OP4_SQL,

@@ -1,0 +1,140 @@
+import zlib
+from collections import Counter
+
+import numpy as np
+from helpers import clashing, docs
+from pyspark.sql import functions as F
+
+from matchbook.llm import language_id as g
+
+WORDS = {
+    "en": "the and of to in is that with for was on are this have from they which would there their what about".split(),
+    "de": "der die und das ist nicht mit ein eine auf für von dem den sich auch werden über nach wird bei".split(),
+    "fr": "le la les des et est une dans que pour qui sur pas avec vous sont cette être mais nous aux".split(),
+    "es": "el los las una que del por con para como más pero sus este está son también entre cuando muy sin".split(),
+    "xx": "zorq blik vumm quax drolt snarf wibb grux plonk twerg yabb fnord kreel".split(),
+}
+
+
+def text(lang, seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(WORDS[lang], n))
+
+
+def corpus(spark, each=80):
+    rows, i = [], 0
+    for lang in WORDS:
+        for _ in range(each):
+            rows.append((i, text(lang, i, 15 + i % 40), lang))
+            i += 1
+    base = docs(spark, [r[:2] for r in rows]).drop("lang")
+    langs = spark.createDataFrame([(r[0], r[2]) for r in rows], "id long, lang string")
+    return base.join(langs, F.col("doc_id") == F.col("id")).drop("id")
+
+
+def test_held_out_accuracy_and_cases(spark):
+    table = corpus(spark)
+    long = text("fr", 1, 600_000)
+    extra = [(9000, None), (9001, ""), (9002, "123 !? \n"), (9003, "\U0001F600"), (9004, long), (None, "der und die das"),
+             (9005, "the"), (9005, "the")]
+    model = g.train(table)
+    both = clashing(table.select("doc_id", "text").unionByName(docs(spark, extra).select("doc_id", "text")),
+                    "score", "lang_pred", "places", "order")
+    out = g.identify(both, model).select("doc_id", "text", "lang_pred", "score").collect()
+    assert len(out) == 408 and all(0 <= r["score"] <= 1 for r in out)
+    names = list(WORDS)
+    held = [r["lang_pred"] == names[r["doc_id"] // 80] for r in out
+            if r["doc_id"] is not None and r["doc_id"] < 400 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    assert len(held) > 50 and np.mean(held) > 0.98
+    by = {}
+    for r in out:
+        by.setdefault(r["text"], set()).add((r["lang_pred"], r["score"]))
+    assert by[None] == by[""] == by["123 !? \n"] == by["\U0001F600"] == {("und", 0.0)}
+    assert by[long] and next(iter(by[long]))[0] == "fr" and next(iter(by["der und die das"]))[0] == "de"
+    assert len(by["the"]) == 1
+
+
+def test_only_rows_that_are_not_held_out_teach(spark):
+    table = corpus(spark, 40)
+    lie = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit("xx")).otherwise(F.col("lang"))
+    a, b = g.train(table), g.train(table.withColumn("lang", lie).repartition(7))
+    assert np.array_equal(a.families.weights, b.families.weights)
+    assert all(np.array_equal(a.within[f].weights, b.within[f].weights) for f in a.within)
+
+
+def brute(t):
+    out, run = Counter(), ["\0"]
+    for c in t.lower():
+        c = c if c.isalpha() else "\0"
+        if c != "\0" or run[-1] != "\0":
+            run.append(c)
+    if run[-1] != "\0":
+        run.append("\0")
+    for n in range(1, 5):
+        for i in range(len(run) - n + 1):
+            gram = run[i:i + n]
+            if "\0" in gram[1:-1] or gram == ["\0"] * n or n == 1 and gram[0] == "\0":
+                continue
+            h = 0
+            for c in gram:
+                h = (h * 31 + (0 if c == "\0" else ord(c))) & 0xFFFFFFFF
+            if h:
+                out[(h * g.STEPS[n - 1] & 0xFFFFFFFF) >> (32 - g.BITS)] += 1
+    return out
+
+
+def test_features_equal_a_plain_count():
+    for t in ("a", "The cat, the CAT!", "Ünïcode — ß", "x 1 y 22 zz", "ab" * 50, "Ωμέγα 漢字 \U00010400", "--a--"):
+        got = g.counts(t)
+        assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(brute(t)), t
+    assert g.counts("12 .") is None and g.counts(None) is None and g.vector("") is None
+    at, weight = g.vector("The cat")
+    assert abs(float(weight @ weight) - 1) < 1e-6 and (np.diff(at) > 0).all()
+
+
+def test_languages_meet_only_inside_their_family():
+    rows = [g.vector(text(lang, s, 30)) for lang in WORDS for s in range(12)]
+    model = g.Hierarchy(rows, [lang for lang in WORDS for _ in range(12)])
+    assert model.families.names == ["germanic", "romance", "xx"]
+    assert {f: m.names for f, m in model.within.items()} == {"germanic": ["de", "en"], "romance": ["es", "fr"], "xx": ["xx"]}
+    assert model.within["germanic"].weights.shape[0] == 1 and model.within["xx"].weights.shape[0] == 0
+    assert model.decide(text("xx", 99, 20))[0] == "xx"
+
+
+def test_machine_reaches_the_optimum():
+    """The dual solution against plain gradient descent on the primal."""
+    rng = np.random.default_rng(8)
+    rows = [(np.sort(rng.choice(30, 8, replace=False)).astype(np.int32), rng.normal(size=8)) for _ in range(60)]
+    signs = np.where(rng.random(60) < 0.3, 1, -1)
+    got = g.linear_svm(rows, signs, epochs=400)
+    x = np.zeros((60, 31))
+    for i, (at, w) in enumerate(rows):
+        x[i, at] = w
+    x[:, 30] = 1
+    c = g.COST * np.array([60 / (2 * (signs == s).sum()) for s in signs])
+
+    def loss(v):
+        return v @ v / 2 + (c * np.maximum(0, 1 - signs * (x @ v)) ** 2).sum()
+    v = np.zeros(31)
+    for _ in range(20000):
+        v -= 2e-4 * (v - 2 * x.T @ (c * signs * np.maximum(0, 1 - signs * (x @ v))))
+    mine = np.append(got[:30], got[-1])
+    assert loss(mine) <= loss(v) * 1.001 and np.abs(got[30:-1]).max() == 0
+
+
+def test_nothing_or_one_language_learned(spark):
+    table = corpus(spark, 6)
+    assert g.train(table.limit(0)) is None and g.train(table.withColumn("lang", F.lit(None).cast("string"))) is None
+    assert g.train(table.withColumn("text", F.lit("1 2"))) is None
+    got = g.identify(table.select("doc_id", "text"), None).select("lang_pred", "score").distinct().collect()
+    assert [tuple(r) for r in got] == [("und", 0.0)]
+    one = g.identify(table.select("doc_id", "text"), g.train(table.filter("lang = 'es'")))
+    assert [tuple(r) for r in one.select("lang_pred", "score").distinct().collect()] == [("es", 1.0)]
+    assert g.identify(table.limit(0), g.train(table)).count() == 0
+
+
+def test_sample_is_bounded(spark):
+    table = corpus(spark, 60)
+    copies = table.unionByName(table.filter("doc_id = 1").crossJoin(spark.range(300)).drop("id"))
+    a, b = g.train(table, max_rows=50), g.train(copies.repartition(3), max_rows=50)
+    assert a.families.names == b.families.names == ["germanic", "romance", "xx"]
