@@ -4,6 +4,7 @@ from matchbook.llm.decontaminate import OP4_SQL, op4_decontaminate
 from matchbook.llm.html_text import op2_main_text
 from matchbook.llm.jaccard_join import OP8_SQL, op8_jaccard
 from matchbook.llm.language_id import op12_language
+from matchbook.llm.lexical_search import OP13_SQL, op13_search
 from matchbook.llm.minhash import op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
@@ -26,10 +27,12 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_whitening": op11_whitening,
     "op12_language": op12_language,
+    "op13_search": op13_search,
 }
 ORACLES = {
     "op4_decontaminate": OP4_SQL,
     "op5_url_filter": OP5_SQL,
     "op7_secrets": OP7_SQL,
     "op8_jaccard": OP8_SQL,
+    "op13_search": OP13_SQL,
 }

@@ -10,7 +10,7 @@ from matchbook.llm.catalog import ORACLES, QUERIES
 
 def test_every_operator_is_registered():
     names = entry.queries()
-    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n)[1] for n in QUERIES} == {str(n) for n in range(1, 14)}
     assert set(QUERIES) <= set(names) and "pipeline" in names
     assert set(ORACLES) <= set(entry.oracle_sql())
 
@@ -32,14 +32,16 @@ def test_entry_works_without_the_subpackage():
 def test_queries_run_on_the_given_tables_and_match_their_oracles(spark):
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    tables = ("documents", "pages", "benchmark", "labels")
+    tables = ("documents", "pages", "benchmark", "labels", "embeddings")
     for t in tables:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
     sizes = {t: con.execute(f"SELECT count(*) FROM {t}").fetchone()[0] for t in tables}
     for name, fn in QUERIES.items():
         out = fn(spark, folder)
         rows = [tuple(r) for r in out.collect()]
-        assert len(rows) == sizes["pages" if name.startswith(("op2_", "op5_")) else "documents"], name
+        want = {"op2": sizes["pages"], "op5": sizes["pages"], "op11": 16 * sizes["embeddings"],
+                "op13": 50 * sizes["benchmark"]}.get(name.split("_")[0], sizes["documents"])
+        assert len(rows) == want, name
         if name in ORACLES:
             want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLES[name]})").fetchall()
             assert sorted(rows, key=repr) == sorted(want, key=repr), name
