@@ -39,9 +39,8 @@ def test_queries_run_on_the_given_tables_and_match_their_oracles(spark):
     for name, fn in QUERIES.items():
         out = fn(spark, folder)
         rows = [tuple(r) for r in out.collect()]
-        want = {"op2": sizes["pages"], "op5": sizes["pages"], "op11": 16 * sizes["embeddings"],
-                "op13": 50 * sizes["benchmark"]}.get(name.split("_")[0], sizes["documents"])
-        assert len(rows) == want, name
+        want = {"op2": sizes["pages"], "op5": sizes["pages"], "op11": 16 * sizes["embeddings"]}.get(name.split("_")[0], sizes["documents"])
+        assert len(rows) == want or name == "op13_search", name           # up to 50 rows an item; its oracle counts
         if name in ORACLES:
             want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({ORACLES[name]})").fetchall()
             assert sorted(rows, key=repr) == sorted(want, key=repr), name
