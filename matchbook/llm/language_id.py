@@ -43,7 +43,7 @@ FAMILIES = {
     "baltic": ("lt", "lv"),
 }
 BITS = 14
-MAX_ROWS = 8000                # documented bound of the training sample
+MAX_ROWS = 5000                # documented bound of the training sample
 MAX_LANGUAGES = 400            # machines grow with the square of a family
 COST = 4.0
 EPOCHS = 12
@@ -195,14 +195,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     def work(cols):
         made = [vector(t.decode("utf-8", "replace")) for t in cols[0]]
-        return [[None if v is None else v[0].tobytes() for v in made], [None if v is None else v[1].tobytes() for v in made]]
+        return [[None if v is None else v[0].astype(np.uint16).tobytes() for v in made], [None if v is None else v[1].tobytes() for v in made]]
     # copies of a text count once, so that they cannot fill the sample
     sample = (add_by_arrow(picked, ["text"], "places binary, weights binary", work).drop("text")
               .filter("places is not null").dropDuplicates(["lang", "order"]).orderBy("order", "lang").limit(2 * max_rows))
     rows = sorted((r["order"], r["lang"], bytes(r["places"]), bytes(r["weights"])) for r in sample.collect())
     if not rows:
         return None
-    return Hierarchy([(np.frombuffer(p, np.int32), np.frombuffer(w, np.float32)) for _, _, p, w in rows],
+    return Hierarchy([(np.frombuffer(p, np.uint16).astype(np.int32), np.frombuffer(w, np.float32)) for _, _, p, w in rows],
                      [lang for _, lang, _, _ in rows])
 
 
