@@ -1167,3 +1167,7 @@ def q_job_info_upsert(spark, sf):
     known = (posts.where("location = 'FR'").join(info.select("job_hash"), "job_hash", "left_semi").select("job_hash", "title", "company")
                   .unionByName(posts.where("location = 'DE'").select(F.concat(F.lit("only-"), "job_hash").alias("job_hash"), "title", "company")))
     return upsert(known.withColumn("note", F.lit("known")), info, "job_hash").select(*info.columns, "note")
+
+
+# Further queries register themselves on import.
+from matchbook.plans import catalog_stores  # noqa: E402, F401
