@@ -87,10 +87,10 @@ def read_filters(spark: SparkSession, root: str, version: int | None = None) ->
     return spark.read.schema(f"{FILTER_SCHEMA}, part int").option("basePath", f"{root}/filters").parquet(*paths)
 
 
-def merge_store(spark: SparkSession, root: str, delta: DataFrame) -> int:
+def merge_store(spark: SparkSession, root: str, delta: DataFrame, note: dict | None = None) -> int:
     """Merge ``delta`` (some columns for some keys) and return the new version;
     an empty delta changes nothing.  Partitions without a delta key are neither
-    read nor written."""
+    read nor written.  ``note`` joins the version's info (see :func:`store_info`)."""
     version, entries, info = _open(spark, root, None)
     keys, parts = info["keys"], info["parts"]
     schema = StructType.fromJson(json.loads(info["schema"]))
@@ -101,6 +101,6 @@ def merge_store(spark: SparkSession, root: str, delta: DataFrame) -> int:
         return version
     old = _read_paths(spark, schema, [path for part, (path, _) in entries.items() if int(part) in touched])
     merged = upsert(old, delta, keys)
-    info["schema"] = merged.schema.json()
+    info.update(note or {}, schema=merged.schema.json())
     entries.update(_write_parts(merged, root, keys, parts, info["filters"]))
     return manifest.commit(spark, root, version + 1, entries, json.dumps(info))
