@@ -151,15 +151,28 @@ def made(provider):
     return provider() if bare else provider
 
 
+class Calls:
+    """``model`` in calls of at most ``batch_size`` items, with a pause between any
+    two calls of a task, whichever Arrow batch they belong to."""
+
+    def __init__(self, model: Callable, batch_size: int, pause_seconds: float = 0.0):
+        self.model, self.batch_size, self.pause_seconds = model, batch_size, pause_seconds
+        self.called = False
+
+    def __call__(self, items: list) -> list:
+        out = []
+        for i in range(0, len(items), self.batch_size):
+            if self.called and self.pause_seconds:
+                time.sleep(self.pause_seconds)
+            self.called = True
+            out.extend(self.model(items[i:i + self.batch_size]))
+        return out
+
+
 def in_calls(model: Callable, items: list, batch_size: int, pause_seconds: float = 0.0) -> list:
     """``model`` over ``items`` in calls of at most ``batch_size``, with a pause
     between two calls."""
-    out = []
-    for i in range(0, len(items), batch_size):
-        if i and pause_seconds:
-            time.sleep(pause_seconds)
-        out.extend(model(items[i:i + batch_size]))
-    return out
+    return Calls(model, batch_size, pause_seconds)(items)
 
 
 def embed_texts(df: DataFrame, key_cols, text_col: str,
@@ -184,9 +197,9 @@ def embed_texts(df: DataFrame, key_cols, text_col: str,
     schema = key_schema + (", pos int" if token_mode else "") + ", vec array<float>"
 
     def run(batches):
-        model = made(provider)
+        model = Calls(made(provider), batch_size, pause_seconds)
         for pdf in batches:
-            vecs = in_calls(model, pdf[text_col].tolist(), batch_size, pause_seconds)
+            vecs = model(pdf[text_col].tolist())
             if token_mode:
                 rows = [(*k, p, np.asarray(v, np.float32))
                         for k, tv in zip(pdf[keys].itertuples(index=False), vecs)

@@ -1170,4 +1170,4 @@ def q_job_info_upsert(spark, sf):
 
 
 # Further queries register themselves on import.
-from matchbook.plans import catalog_stores, catalog_streams  # noqa: E402, F401
+from matchbook.plans import catalog_runs, catalog_stores, catalog_streams  # noqa: E402, F401
