@@ -53,11 +53,18 @@ def is_missing(col: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(col.cast("string"), r"^\[\s*\]$|\s+", "")) == "", F.lit(True))
 
 
+def weight_out_of_bounds(weight, low: int = 0, high: int = REQUIRED_TOTAL) -> Column:
+    """Whether one weight is missing or outside ``low`` to ``high``: ``max`` of it
+    over a profile's rows says the same as :func:`out_of_bounds` of their array."""
+    c = F.col(weight) if isinstance(weight, str) else weight
+    return ~F.coalesce(c.between(low, high), F.lit(False))
+
+
 def out_of_bounds(skills, weight_field: str = "weight_pct", low: int = 0, high: int = REQUIRED_TOTAL) -> Column:
     """Whether any weight of an ARRAY<STRUCT> column is missing or outside
     ``low`` to ``high``."""
     c = F.col(skills) if isinstance(skills, str) else skills
-    return F.exists(c, lambda x: ~F.coalesce(x[weight_field].between(low, high), F.lit(False)))
+    return F.exists(c, lambda x: weight_out_of_bounds(x[weight_field], low, high))
 
 
 def standard_rules(tech_total: Column, family_total: Column | None = None,

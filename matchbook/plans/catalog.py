@@ -111,7 +111,7 @@ from matchbook.operators import clean, identity, ordering, textfilter  # noqa: E
 from matchbook.operators.cooldown import cooldown_accept  # noqa: E402
 from matchbook.operators.embedding import elementwise_mean, with_readiness  # noqa: E402
 from matchbook.operators.merge import upsert  # noqa: E402
-from matchbook.operators.profile import out_of_bounds, skill_share, standard_rules, validate_profiles  # noqa: E402
+from matchbook.operators.profile import skill_share, standard_rules, validate_profiles, weight_out_of_bounds  # noqa: E402
 from matchbook.operators.ranking import attach_info, top_n, top_n_per_group  # noqa: E402
 from matchbook.operators.scoring import parse_replies  # noqa: E402
 from matchbook.operators.seen import IMPLEMENTATIONS, drop_seen, seen_hashes  # noqa: E402
@@ -247,18 +247,19 @@ def q_page_slice(spark, sf):
 
 # --- text -------------------------------------------------------------------
 
-# Search terms per user (query parameters, as a keyword generator returns them).
-# a profile's search terms: up to three words of at least ten letters, the
-# longest of the title of the document with its number; nothing in the other
-# big language
+# Search terms per user (query parameters, as a keyword generator returns them),
+# for every profile: of the document with its number, counted round, the title's
+# words of at least ten letters, or the longest word of its text where the title
+# has none; nothing in the other big language.
 SEARCH_LETTERS = 10
 KW_SQL = f"""kw AS (
-  SELECT user_id, array_to_string(list_transform(list_sort(list_transform(
-           list_filter(toks, lambda x: length(x) >= {SEARCH_LETTERS}),
-           lambda x, i: {{'n': -length(x), 'i': i, 'x': x}}))[1:3], lambda s: s.x), ' ') AS what_or,
+  SELECT user_id, array_to_string(CASE WHEN len(long) > 0 THEN long ELSE longest END, ' ') AS what_or,
          CASE WHEN lang = 'en' THEN 'le' ELSE 'the' END AS what_exclude
-  FROM (SELECT c_custkey AS user_id, lang, {T.tokenize_sql_duckdb("split_part(text, chr(10), 1)")} AS toks
-        FROM customer JOIN documents ON doc_id = c_custkey))"""
+  FROM (SELECT c_custkey AS user_id, lang,
+               list_filter({T.tokenize_sql_duckdb("split_part(text, chr(10), 1)")}, lambda x: length(x) >= {SEARCH_LETTERS}) AS long,
+               list_transform(list_sort(list_transform({T.tokenize_sql_duckdb("text")},
+                                                       lambda x: {{'n': -length(x), 'x': x}}))[1:1], lambda p: p.x) AS longest
+        FROM customer JOIN documents ON doc_id = c_custkey % (SELECT count(*) FROM documents)))"""
 
 KEYWORD_SQL = f"""
 WITH {KW_SQL},
@@ -271,14 +272,18 @@ GROUP BY kt.user_id, t.doc_id HAVING bool_or(NOT bad) AND NOT bool_or(bad)
 
 
 def keyword_table(spark, sf):
-    words = F.transform(F.filter(T.tokenize("title"), lambda x: F.length(x) >= SEARCH_LETTERS),
-                        lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("x")))
-    best = F.transform(F.slice(F.array_sort(words), 1, 3), lambda w: w["x"])
-    titles = read_table(spark, sf, "documents", spread_scan=False).select(
-        F.col("doc_id").alias("user_id"), fx.title(F.col("text")).alias("title"), "lang")
-    terms = titles.select("user_id", F.array_join(best, " ").alias("what_or"),
-                          F.when(F.col("lang") == "en", "le").otherwise("the").alias("what_exclude"))
-    return read_table(spark, sf, "customer").select(F.col("c_custkey").alias("user_id")).join(terms, "user_id")
+    docs = read_table(spark, sf, "documents", spread_scan=False)
+    long = F.filter(T.tokenize(fx.title(F.col("text"))), lambda x: F.length(x) >= SEARCH_LETTERS)
+    longest = F.array_sort(F.transform(T.tokenize("text"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    terms = docs.select(
+        F.col("doc_id").alias("number"), long.alias("long"), F.transform(F.slice(longest, 1, 1), lambda w: w["x"]).alias("longest"),
+        F.when(F.col("lang") == "en", "le").otherwise("the").alias("what_exclude"))
+    # tokenised once a document, before the profiles (more than one may share it) join
+    terms = terms.select("number", F.array_join(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("longest")), " ")
+                         .alias("what_or"), "what_exclude")
+    users = read_table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % docs.count()).alias("number"))
+    return users.join(terms, "number").drop("number")
 
 
 @query("keyword_filter", KEYWORD_SQL)
@@ -466,6 +471,12 @@ _TITLES_SQL = f"c_name || ', ' || {_initcap_sql('c_mktsegment')} || ' specialist
 _SKILLS_SQL = f"{_initcap_sql('c_mktsegment')} || ', Spark'"
 
 MATCH_PROMPT_SQL = f"""
+WITH {KW_SQL},
+kt AS (SELECT user_id, unnest(string_split(what_or, ' ')) AS term, false AS bad FROM kw
+       UNION SELECT user_id, what_exclude, true FROM kw),
+t AS (SELECT doc_id, unnest(list_distinct({T.tokenize_sql_duckdb("text")})) AS term FROM documents),
+pairs AS (SELECT kt.user_id, t.doc_id FROM t JOIN kt ON kt.term = t.term AND kt.term <> ''
+          GROUP BY kt.user_id, t.doc_id HAVING bool_or(NOT bad) AND NOT bool_or(bad))
 SELECT c.c_custkey AS user_id, d.doc_id AS job_hash,
        {MATCH_PROMPT.sql(titles=_TITLES_SQL,
                          ideal_job="'Hands-on ' || lower(c_mktsegment) || ' work'",
@@ -475,16 +486,17 @@ SELECT c.c_custkey AS user_id, d.doc_id AS job_hash,
                          job_title="coalesce(split_part(d.text, chr(10), 1), '')",
                          company="coalesce(d.source, '')",
                          description="substr(coalesce(d.text, ''), 1, 1000)")} AS prompt
-FROM documents d JOIN customer c ON c.c_custkey = d.doc_id
+FROM pairs p JOIN documents d ON d.doc_id = p.doc_id JOIN customer c ON c.c_custkey = p.user_id
 """
 
 
 @query("build_match_prompt", MATCH_PROMPT_SQL)
 def q_build_match_prompt(spark, sf):
-    from matchbook.plans.scorers import match_prompt_column
-    pairs = fx.postings(spark, sf).join(fx.profiles(spark, sf),
-                                        F.col("job_hash") == F.col("user_id"))
-    return pairs.select("user_id", "job_hash", match_prompt_column().alias("prompt"))
+    # a prompt for every posting that a profile's own search terms find
+    from matchbook.plans.scorers import match_prompts
+    docs = read_table(spark, sf, "documents")
+    pairs = textfilter.keyword_matches(docs, keyword_table(spark, sf), "doc_id", "text").withColumnRenamed("doc_id", "job_hash")
+    return match_prompts(pairs, fx.postings(spark, sf), fx.profiles(spark, sf))
 
 
 def _profile_slots_sql():
@@ -677,17 +689,16 @@ LEFT JOIN t ON t.l_orderkey = o.o_orderkey
 @query("profile_validation", PROFILE_VALID_SQL)
 def q_profile_validation(spark, sf):
     o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    # an order's lines are few, so its weights fit into one array
     totals = read_table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
         F.sum("l_quantity").alias("total_weight"), F.sum("l_linenumber").alias("family_weight"),
         F.count(F.lit(1)).alias("n_skills"),
-        F.collect_list(F.struct(F.col("l_quantity").alias("weight_pct"))).alias("weights"))
+        F.max(weight_out_of_bounds("l_quantity", high=45)).alias("beyond"))
     prof = o.join(totals, "o_orderkey", "left").withColumn("n_skills", F.coalesce("n_skills", F.lit(0)))
     rules = standard_rules(
         F.col("total_weight"), F.col("family_weight"),
         required={"priority": F.col("o_orderpriority"),
                   "status": F.regexp_replace("o_orderstatus", "[FO]", "")})      # closed and open ones are left blank
-    rules["weight_quantity"] = out_of_bounds("weights", high=45)
+    rules["weight_quantity"] = F.col("beyond")
     checked = validate_profiles(prof, rules)
     return checked.select("o_orderkey", "total_weight", "n_skills", "is_valid",
                           F.array_join("violations", ",").alias("violations"))
@@ -1020,22 +1031,21 @@ def q_scoring_run(spark, sf):
     # Entry 1 twice over the landed postings: a FastText run into an empty
     # review store, then an LLM run into the result.  The LLM run must add
     # its columns to the same (user, posting) rows without erasing scores.
-    from matchbook.plans.scoring_run import score_new_postings
+    from matchbook.plans.scoring_run import prepare_postings, score_postings
     raw = fx.raw_postings(spark, sf)
     kw = keyword_table(spark, sf)
     lang = F.lower(F.col("location"))
     empty = spark.createDataFrame([], REVIEW_STORE_SCHEMA)
     ref_texts = kw.select("user_id", F.explode(F.array(F.lit("description"), F.lit("title"))).alias("field"),
                           F.col("what_or").alias("text"))
-    _, after_fast, _ = score_new_postings(raw, kw, empty, "FastText", lang, run_date=RUN_DATE,
-                                       ref_texts=ref_texts)
+    found = prepare_postings(raw, kw, lang, run_date=RUN_DATE)          # both runs score the same candidates
+    _, after_fast, _ = score_postings(found, empty, "FastText", ref_texts=ref_texts)
     profiles = kw.select("user_id", F.split("what_or", " ").alias("job_titles"),
                          F.col("what_or").alias("ideal_job"),
                          F.array(F.struct(F.lit("search").alias("name"),
                                           F.lit(100).alias("weight_pct"))).alias("technical_skills"),
                          F.lit(1).alias("education"), F.lit(1).alias("experience"))
-    _, after_llm, _ = score_new_postings(raw, kw, after_fast, "LLM", lang, run_date=RUN_DATE,
-                                      profiles=profiles)
+    _, after_llm, _ = score_postings(found, after_fast, "LLM", profiles=profiles)
     return after_llm
 
 
