@@ -117,6 +117,7 @@ from matchbook.operators.scoring import parse_replies  # noqa: E402
 from matchbook.operators.seen import IMPLEMENTATIONS, drop_seen, seen_hashes  # noqa: E402
 from matchbook.operators.similarity import (field_similarity, job_scores, top_similar_jobs,  # noqa: E402
                                             wide_job_vectors)
+from matchbook.session import cut_lineage  # noqa: E402
 from matchbook.sources.tables import read_table  # noqa: E402
 
 WS = T.PY_WHITESPACE_RE2
@@ -272,18 +273,19 @@ GROUP BY kt.user_id, t.doc_id HAVING bool_or(NOT bad) AND NOT bool_or(bad)
 
 
 def keyword_table(spark, sf):
-    docs = read_table(spark, sf, "documents", spread_scan=False)
+    docs = read_table(spark, sf, "documents")
     long = F.filter(T.tokenize(fx.title(F.col("text"))), lambda x: F.length(x) >= SEARCH_LETTERS)
-    longest = F.array_sort(F.transform(T.tokenize("text"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    longest = F.array_min(F.transform(T.tokenize("text"), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
     terms = docs.select(
-        F.col("doc_id").alias("number"), long.alias("long"), F.transform(F.slice(longest, 1, 1), lambda w: w["x"]).alias("longest"),
+        F.col("doc_id").alias("number"), long.alias("long"), longest["x"].alias("longest"),
         F.when(F.col("lang") == "en", "le").otherwise("the").alias("what_exclude"))
     # tokenised once a document, before the profiles (more than one may share it) join
-    terms = terms.select("number", F.array_join(F.when(F.size("long") > 0, F.col("long")).otherwise(F.col("longest")), " ")
+    terms = terms.select("number", F.when(F.size("long") > 0, F.array_join("long", " ")).otherwise(F.col("longest"))
                          .alias("what_or"), "what_exclude")
     users = read_table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"), (F.col("c_custkey") % docs.count()).alias("number"))
-    return users.join(terms, "number").drop("number")
+    # a run reads the terms for the search, the prompts and the reference texts
+    return cut_lineage(users.join(terms, "number").drop("number"))
 
 
 @query("keyword_filter", KEYWORD_SQL)
