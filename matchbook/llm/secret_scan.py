@@ -7,7 +7,9 @@ test and a lag-one serial correlation test its characters.  The smallest of
 the three p-values, times three, is the evidence that a token is *not* random.
 Tokens are then rejected as not random by a Benjamini-Hochberg step inside
 each length class (short tokens give weak tests, so their classes reject at a
-higher rate); those that stay are added as spans of kind ``random``.
+higher rate); those that stay are added as spans of kind ``random``.  A long token
+of which a base span is only a part is one secret as a whole: it is added without a
+test, so that no piece of it outlives a redaction.
 
 Everything is built-in functions and stays in the row; only the counts of
 p-values on a fixed logarithmic grid (at most classes x grid steps rows) are
@@ -15,8 +17,8 @@ aggregated over the corpus, and one threshold per length class is collected.
 P-values are defined on that grid (rounded up), which makes the step exact.
 
 Defined cases: null text counts as empty and has no span; a token of one
-character class is no encoding and is never added; added tokens never overlap
-a base span; repeated rows are judged and counted each; empty tables give
+character class is no encoding and is never added by a test; tested tokens never
+overlap a base span, and a token inside one adds nothing; repeated rows are judged and counted each; empty tables give
 empty results.
 """
 
@@ -142,8 +144,9 @@ def length_class(n: Column) -> Column:
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``_base`` (sorted base spans) and ``_tokens`` (candidate
-    spans with their length class and grid step)."""
+    """``docs`` plus ``_base`` (sorted base spans), ``_tokens`` (candidate spans
+    with their length class and grid step) and ``_wider`` (tokens that reach beyond
+    a base span in them)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
 
     def spans(kind: int, found: Column) -> Column:
@@ -160,7 +163,14 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     tokens = F.transform(free, lambda t: F.struct(
         t["start"].alias("start"), t["end"].alias("end"),
         length_class(F.length(t["text"])).alias("class"), battery(t["text"]).alias("step")))
-    return found.withColumn("_tokens", F.filter(tokens, lambda t: t["step"].isNotNull())).drop("_found")
+    # an assignment begins before its value, so only what follows it belongs to it
+    wider = F.filter("_found", lambda t: F.exists("_base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]) & (
+        (b["end"] < t["end"]) | ((b["kind"] > 0) & (t["start"] < b["start"])))) &
+        ~F.exists("_base", lambda b: (b["start"] <= t["start"]) & (t["end"] <= b["end"])))
+    return found.withColumns({
+        "_tokens": F.filter(tokens, lambda t: t["step"].isNotNull()),
+        "_wider": F.transform(wider, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end"))),
+    }).drop("_found")
 
 
 def reject_from(scanned: DataFrame) -> dict[int, int]:
@@ -180,7 +190,8 @@ def reject_from(scanned: DataFrame) -> dict[int, int]:
 
 
 def all_spans(limits: dict[int, int]) -> Column:
-    """Base spans and the tokens that stay random, sorted by start and kind."""
+    """Base spans, the tokens around them and those that stay random, sorted by
+    start and kind."""
     def stays(t: Column) -> Column:
         out = F.lit(True)
         for cls, step in limits.items():
@@ -188,7 +199,7 @@ def all_spans(limits: dict[int, int]) -> Column:
         return out
     added = F.transform(F.filter("_tokens", stays), lambda t: F.struct(
         t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return F.array_sort(F.concat("_base", added))
+    return F.array_sort(F.concat("_base", "_wider", added))
 
 
 def written(spans: Column) -> Column:
@@ -305,7 +316,11 @@ cut AS (SELECT class, min(step) AS step FROM ranked
         GROUP BY class),
 every AS (SELECT k, kind, start, stop FROM base
           UNION ALL SELECT s.k, 3, s.start, s.stop FROM step s LEFT JOIN cut c ON c.class = s.class
-          WHERE c.step IS NULL OR s.step < c.step),
+          WHERE c.step IS NULL OR s.step < c.step
+          UNION ALL SELECT k, 3, start, stop FROM span s WHERE kind = 3
+            AND EXISTS (SELECT 1 FROM base b WHERE b.k = s.k AND b.start < s.stop AND s.start < b.stop
+                        AND (b.stop < s.stop OR (b.kind > 0 AND s.start < b.start)))
+            AND NOT EXISTS (SELECT 1 FROM base b WHERE b.k = s.k AND b.start <= s.start AND s.stop <= b.stop)),
 named AS (SELECT *, (['assign', 'access', 'hex', 'random'])[kind + 1] || ':' || start || ':' || stop AS name FROM every),
 out AS (SELECT k, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access,
                count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg(name, ',' ORDER BY start, kind) FILTER (WHERE kind < 3) AS base,

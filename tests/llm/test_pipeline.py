@@ -1,7 +1,7 @@
 import zlib
 
 import corpus_pipeline as p
-from helpers import LABELS, docs, prose, shingles
+from helpers import LABELS, clashing, docs, prose, shingles
 from test_decontaminate import ITEMS, brute
 from test_toxicity import INSULTS
 
@@ -58,11 +58,38 @@ def test_stages_against_brute_force(spark, tmp_dir):
     assert sorted(map(tuple, p.run(spark, tmp_dir).collect()), key=repr) == sorted(map(tuple, mixed), key=repr)
 
 
-def test_rows_that_share_an_id_leave_one(spark):
-    rows = [(1, prose(1, 40)), (1, prose(2, 40)), (1, prose(1, 40)), (2, prose(2, 40)), (3, prose(3, 40)), (None, "x"), (None, "x")]
-    got = p.drop_near_copies(spark, docs(spark, rows), "")
-    want = [(1, min(prose(1, 40), prose(2, 40))), (3, prose(3, 40)), (None, "x"), (None, "x")]
-    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+def test_rows_that_share_an_id_go_only_when_linked(spark):
+    rows = [(1, prose(1, 40)), (1, prose(2, 40)), (1, prose(1, 40)), (2, prose(2, 40)), (3, prose(3, 40)), (None, "x"), (None, "x"),
+            (5, None), (5, "clean text"), (6, None), (6, None), (7, prose(7, 40)), (7, prose(7, 40) + " end")]
+    got = [(r["doc_id"], r["text"]) for r in p.drop_near_copies(spark, docs(spark, rows), "").collect()]
+    want = [(1, prose(1, 40)), (2, prose(2, 40)), (3, prose(3, 40)), (None, "x"), (None, "x"), (5, "clean text"), (6, None)]
+    seven = [t for i, t in got if i == 7]
+    assert len(seven) == 1 and seven[0] in (rows[-1][1], rows[-2][1])
+    assert sorted([g for g in got if g[0] != 7], key=repr) == sorted(want, key=repr)
+
+
+def test_clashing_columns_and_long_texts_pass_every_stage(spark, tmp_dir):
+    rows = fixture(spark, tmp_dir)[:60]
+    long = prose(9, 150_000)
+    secret = "sk_live_0123456789abcdef0QzT7pLm9XvB2kRw8YdF4"
+    table = docs(spark, rows + [(7000, long), (7001, long + " more"), (7002, f"{prose(11, 120_000)} {secret}")])
+    names = ["_score", "n_words", "n_hit", "n_items", "items", "contaminated", "_hits", "_items", "_key", "_id", "_any",
+             "component_id", "n_shingles", "_spans", "_base", "_tokens", "_wider", "_found", "size", "taken", "target", "label"]
+    table = clashing(table, *names)
+    for name, stage in p.STAGES:
+        made = stage(spark, table, tmp_dir)
+        if name == "mixing":
+            assert made.count() == table.count()
+            continue
+        assert made.columns == table.columns
+        made.write.parquet(f"{tmp_dir}/clash-{name}")
+        table = spark.read.parquet(f"{tmp_dir}/clash-{name}")
+        assert table.filter(" or ".join(f"coalesce(`{n}`, '') <> 'extra'" for n in names)).count() == 0
+        kept = {r["doc_id"]: r["text"] for r in table.filter("doc_id >= 7000").collect()}
+        assert set(kept) == ({7000, 7001, 7002} if name == "toxicity" else {7000, 7002}) and kept[7000] == long
+    assert kept[7002].endswith(" [SECRET]") and "QzT7" not in kept[7002]
+    bare = docs(spark, [(1, f"x {secret}")]).select("doc_id", "text")            # no n_chars to renew
+    assert p.redact_secrets(spark, bare, tmp_dir).first()["text"] == "x [SECRET]"
 
 
 def test_empty_documents(spark, tmp_dir):
