@@ -12,21 +12,26 @@ For each element of the tree, over the ``m`` pages that have it:
 
 Pages with the same html count once.  An importance from few pages is drawn
 towards that of the same path over all hosts, and that towards 1 (weight
-``PRIOR_PAGES``); inside ``article`` and ``main`` it is drawn to 1 with
-``ARTICLE_PAGES``, as a repeated paragraph is still the article.  The entropy of
-child sequences to the base m sinks as a host grows, so a branch goes only if the
-content importance of its whole subtree, drawn alike, is below ``LEAST`` too, and
-never while its subtree carries more than half of the host's text.
-
-Names are a prior of the tree.  Outside ``article`` and ``main``, elements that
-say what they are (``nav``, ``footer``, ``aside``, forms, class, id or role words
-such as ``ad`` or ``comments``) go however varied their text is, as reader
-comments differ as much as articles do, unless they hold most of the host's text
-and it varies (a form or layout element around the page).  The elements ``nav``,
-``aside``, forms and the like are treated so inside too; a class, id or role word
-inside only takes away the article's protection: the branch is drawn to ``LEAST``
-with ``PRIOR_PAGES``, so it stays unless its texts repeat on this or other hosts.
-Words do not count on headings, and on sections inside ``article`` and ``main``.
+``PRIOR_PAGES``); inside ``article`` it is drawn to 1 with ``ARTICLE_PAGES``, as a
+repeated paragraph is still the article.
+
+A branch goes if its score is below 0, the sum of (see :func:`branch_score`)
+
+* what the tree says: how far the larger of its importance and the content
+  importance of its whole subtree (the entropy of child sequences to the base m
+  sinks as a host grows) lies above or below ``LEAST``
+* its name, one prior: the elements ``nav``, ``footer``, ``aside``, forms and
+  class, id or role words that say nothing but that (``comments``, ``share-bar``)
+  weigh more than varied texts do, as reader comments vary as much as articles;
+  such a word among others (``related-work``, ``search-algorithms``) weighs little,
+  as does any word on a paragraph and an id, which may come from a heading, inside
+  an article; ``header`` is no such word there
+* its place: inside an ``article`` unless its name speaks against it, or beside one
+* the share of its text that stands in links
+* its share of the host's text; more than half of it outweighs a name (a form or
+  layout element around the page), but not inside or beside an article
+
+``main`` is layout, not an article.
 
 Scale: a page adds one row per distinct text of a path; rows are counted with
 map-side combination, so a hot host costs no more than its distinct texts, and
@@ -47,7 +52,7 @@ import hashlib
 import re
 from html.parser import HTMLParser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import add_by_arrow, broadcast_if_fits, table, write_shared
@@ -57,7 +62,12 @@ DECAY = 0.9
 LEAST = 0.35
 PRIOR_PAGES = 20
 ARTICLE_PAGES = 500
-MOST_TEXT = 0.5
+# weights of a branch's score
+MOST_TEXT, MOST_WEIGHT = 0.5, 1.5
+NAME_WEIGHTS = (0.0, 0.25, 2.0)            # no name, a weak one, a strong one
+INSIDE_WEIGHTS = (0.5, 0.1, 0.0)           # inside an article, by name
+LINK_WEIGHT = 1.2
+BESIDE_WEIGHT = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
@@ -84,10 +94,16 @@ CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset fo
              "option": frozenset(["option"])}
 KEEPS_OPEN = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]),
               "tr": frozenset(["table"]), "td": frozenset(["table"]), "th": frozenset(["table"])}
-ARTICLE = frozenset(["article", "main"])
-UNNAMED = frozenset("html body h1 h2 h3 h4 h5 h6".split())
-# kinds of paths: part of an article or main element, that with a noise word, noise
-PLAIN, ARTICLE_PART, NAMED, NOISY = range(4)
+# words that say nothing beside a noise word
+NEUTRAL_WORDS = frozenset(
+    "area bar block blocks bottom box btn button buttons card cards col column container content footer head inner item items "
+    "js left link links list main module outer page panel post posts right row section sections site sub thread tool tools "
+    "top text title wrap wrapper zone".split())
+UNNAMED = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+UNNAMED_INSIDE = frozenset(["header", "masthead"])
+# a path's kind: its name, plus INSIDE within an article
+UNSAID, WEAK, STRONG = range(3)
+INSIDE = 3
 _WORDS = re.compile(r"[a-z]+")
 _DIGITS = re.compile(r"\d+")
 
@@ -96,6 +112,26 @@ def digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
+def name_of(tag: str, attrs: list, inside: bool) -> int:
+    """What an element's names say: UNSAID, WEAK or STRONG."""
+    if tag in NOISE or (tag == "header" and not inside):
+        return STRONG
+    if tag in UNNAMED:
+        return UNSAID
+    noise = NOISE_WORDS - UNNAMED_INSIDE if inside else NOISE_WORDS
+    found = UNSAID
+    for key, value in attrs:
+        if key not in ("class", "id", "role") or not value:
+            continue
+        for name in value.lower().split():
+            words = set(_WORDS.findall(name))
+            if noise.isdisjoint(words):
+                continue
+            only = words <= noise | NEUTRAL_WORDS
+            found = max(found, STRONG if only and not (inside and (key == "id" or tag == "p")) else WEAK)
+    return found
+
+
 class Page(HTMLParser):
     """Blocks of a page in order, and the elements of its tree."""
 
@@ -104,9 +140,11 @@ class Page(HTMLParser):
         self.open: list[tuple] = []          # (tag, path), block-level elements and silent ones
         self.foreign: list[str] = []         # open elements of a formula or drawing, which is inline
         self.pieces: list[str] = []
-        self.blocks: list[tuple] = []        # (path, text)
+        self.blocks: list[tuple] = []        # (path, text, characters of it in links)
+        self.link, self.linked = False, 0
         self.children: dict[str, list[str]] = {}
-        self.kinds: dict[str, int] = {}      # of a path, PLAIN if missing
+        self.kinds: dict[str, int] = {}      # of a path, UNSAID if missing
+        self.articles: list[str] = []        # paths of article elements
 
     def handle_starttag(self, tag, attrs):
         if self.foreign and tag in ENDS_FOREIGN and HOLDS_HTML.isdisjoint(self.foreign):
@@ -122,6 +160,7 @@ class Page(HTMLParser):
         if tag in INLINE:
             if tag == "br":
                 self.pieces.append(" ")
+            self.link = self.link or tag == "a"
             return
         self.cut()
         for open_tag, closers in CLOSED_BY.items():
@@ -135,19 +174,12 @@ class Page(HTMLParser):
         self.children.setdefault(path, []).append(step)
         path = f"{path}/{step}"
         if path not in self.kinds:
-            self.kinds[path] = self.kind_of(tag, names)
+            inside = tag == "article" or any(o[0] == "article" for o in self.open)
+            self.kinds[path] = name_of(tag, attrs, inside) + INSIDE * inside
+        if tag == "article":
+            self.articles.append(path)
         self.open.append((tag, path))
 
-    def kind_of(self, tag, names):
-        inside = tag in ARTICLE or any(o[0] in ARTICLE for o in self.open)
-        if tag in NOISE or (tag == "header" and not inside):
-            return NOISY
-        free = tag in ARTICLE or tag in UNNAMED or (tag == "section" and inside)
-        named = not free and bool(names) and not NOISE_WORDS.isdisjoint(_WORDS.findall(names))
-        if inside:
-            return NAMED if named else ARTICLE_PART
-        return NOISY if named else PLAIN
-
     def handle_endtag(self, tag):
         if self.foreign:
             if tag in self.foreign:
@@ -159,6 +191,8 @@ class Page(HTMLParser):
             if tag in INLINE or not any(o[0] == tag for o in self.open):
                 return
             self.foreign.clear()
+        if tag == "a":
+            self.link = False
         if tag not in INLINE:
             self.cut()
             self.close_to(tag, frozenset())
@@ -183,14 +217,16 @@ class Page(HTMLParser):
             self.end_head()
         if (not self.open or self.open[-1][0] not in SILENT) and FOREIGN_SILENT.isdisjoint(self.foreign):
             self.pieces.append(data)
+            if self.link:
+                self.linked += len(" ".join(data.split()))
 
     def cut(self):
         if self.pieces:
-            text = " ".join("".join(self.pieces).split())
-            self.pieces = []
+            text, linked = " ".join("".join(self.pieces).split()), self.linked
+            self.pieces, self.linked = [], 0
             if text:
                 if not any(o[0] in SILENT for o in self.open):
-                    self.blocks.append((self.open[-1][1] if self.open else "", text))
+                    self.blocks.append((self.open[-1][1] if self.open else "", text, min(linked, len(text))))
 
 
 def read_page(html: bytes | None) -> Page:
@@ -210,16 +246,21 @@ def above(path: str) -> list[str]:
 
 
 def _elements(page: Page) -> dict[str, tuple]:
-    """Per path: distinct texts and text length of the subtree, and the child
-    sequence."""
+    """Per path: distinct texts and text length of the subtree, the child
+    sequence, the length of its text in links, and whether it stands beside an
+    article (neither in one nor around one)."""
     out: dict[str, list] = {}
-    for path, text in page.blocks:
+    for path, text, linked in page.blocks:
         mark = digest(text)
         for p in above(path):
-            got = out.setdefault(p, [set(), 0])
+            got = out.setdefault(p, [set(), 0, 0])
             got[0].add(mark)
             got[1] += len(text)
-    return {p: (marks, size, page.children.get(p)) for p, (marks, size) in out.items()}
+            got[2] += linked
+
+    def beside(p):
+        return bool(page.articles) and not any(p == a or p.startswith(a + "/") or a.startswith(p + "/") for a in set(page.articles))
+    return {p: (marks, size, page.children.get(p), linked, beside(p)) for p, (marks, size, linked) in out.items()}
 
 
 def _tree_rows(cols):
@@ -227,21 +268,23 @@ def _tree_rows(cols):
     for html in cols[0]:
         rows = []
         page = read_page(html)
-        chars.append(sum(len(text) for _, text in page.blocks))
-        for path, (marks, size, children) in _elements(page).items():
-            rows.append({"path": digest(path), "kind": page.kinds.get(path, PLAIN), "size": size, "form": digest(" ".join(children)) if children else None,
+        chars.append(sum(len(text) for _, text, _ in page.blocks))
+        for path, (marks, size, children, linked, beside) in _elements(page).items():
+            rows.append({"path": digest(path), "kind": page.kinds.get(path, UNSAID), "size": size, "linked": linked,
+                         "beside": int(beside), "form": digest(" ".join(children)) if children else None,
                          "texts": sorted(marks)})
         made.append(rows)
     return [chars, made]
 
 
 def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
-    """Rows (host, path, kind, pages, size, whole, content, imp): the merged
-    trees of all hosts.  ``path`` is a digest of the element path, ``size`` the text of its
-    subtree, ``whole`` that of the host."""
+    """Rows (host, path, kind, pages, size, linked, beside, whole, content, imp): the
+    merged trees of all hosts.  ``path`` is a digest of the element path, ``size`` the
+    text of its subtree, ``linked`` that in links, ``beside`` the share of pages on
+    which it stands beside an article, ``whole`` the text of the host."""
     seen = add_by_arrow(pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"),
                                      F.xxhash64(html_col).alias("same")), ["html"],
-                        "chars long, elements array<struct<path:long,kind:int,size:long,form:long,texts:array<long>>>", _tree_rows)
+                        "chars long, elements array<struct<path:long,kind:int,size:long,linked:long,beside:int,form:long,texts:array<long>>>", _tree_rows)
     seen = seen.groupBy("host", "same").agg(F.first("chars").alias("chars"), F.first("elements").alias("elements"))
     seen = write_shared(seen.select("host", "chars", "elements"), "page-elements")
     whole = seen.groupBy(F.col("host").alias("of")).agg(F.sum("chars").alias("whole"))
@@ -250,7 +293,7 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 
     def tree(keys: list[str]) -> DataFrame:
         size = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("pages"), F.sum("size").alias("size"),
-                                       F.max("kind").alias("kind"))
+                                       F.sum("linked").alias("linked"), F.avg("beside").alias("beside"), F.max("kind").alias("kind"))
         texts = (seen.select(*keys, F.explode("texts").alias("t")).groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("k"))
                      .groupBy(*keys).agg(F.sum(F.log("k")).alias("text_logs"), F.count(F.lit(1)).alias("text_n")))
         forms = (seen.filter("form is not null").groupBy(*keys, "form").agg(F.count(F.lit(1)).alias("k"))
@@ -262,7 +305,7 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
         keep = F.pow(F.lit(DECAY), "forms")
         both = F.when(F.col("forms").isNull(), content).otherwise((1 - keep) * shape + keep * content)
         return size.join(texts, keys).join(forms, keys, "left").select(
-            *keys, "pages", "size", "kind", content.alias("content"), both.alias("imp"))
+            *keys, "pages", "size", "linked", "beside", "kind", content.alias("content"), both.alias("imp"))
 
     def drawn(imp: str, pages: str, to, weight):
         known = F.col(pages) - 1
@@ -270,18 +313,31 @@ def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
 
     host = tree(["host", "path"])
     kind = F.col("kind")
-    open_mind = F.when(kind == NAMED, LEAST).otherwise(1.0)
-    anywhere = tree(["path"]).select("path", *[drawn(c, "pages", open_mind, F.lit(PRIOR_PAGES)).alias(f"{c}_anywhere")
+    anywhere = tree(["path"]).select("path", *[drawn(c, "pages", F.lit(1.0), F.lit(PRIOR_PAGES)).alias(f"{c}_anywhere")
                                               for c in ("content", "imp")])
-    weight = F.when(kind == ARTICLE_PART, ARTICLE_PAGES).otherwise(PRIOR_PAGES)
+    weight = F.when(kind == INSIDE + UNSAID, ARTICLE_PAGES).otherwise(PRIOR_PAGES)
 
     def prior(c: str):
-        return F.when(kind == ARTICLE_PART, 1.0).when(kind == NOISY, 0.0).otherwise(F.col(f"{c}_anywhere"))
+        return F.when(kind == INSIDE + UNSAID, 1.0).otherwise(F.col(f"{c}_anywhere"))
     return host.join(anywhere, "path").join(whole, F.col("host").eqNullSafe(F.col("of"))).select(
-        "host", "path", "kind", "pages", "size", "whole",
+        "host", "path", "kind", "pages", "size", "linked", "beside", "whole",
         *[drawn(c, "pages", prior(c), weight).alias(c) for c in ("content", "imp")])
 
 
+def branch_score() -> Column:
+    """Score of a row of :func:`importance`: below 0 the branch goes."""
+    name, inside = F.col("kind") % INSIDE, F.col("kind") >= INSIDE
+
+    def by_name(weights) -> Column:
+        return F.element_at(F.array(*[F.lit(w) for w in weights]), name + 1)
+    share = F.try_divide(F.col("size"), F.col("whole"))
+    around = ~inside & (F.col("beside") < 0.5)
+    return ((F.greatest("content", "imp") - LEAST) / (1 - LEAST) - by_name(NAME_WEIGHTS)
+            + F.when(inside, by_name(INSIDE_WEIGHTS)).otherwise(0.0) - BESIDE_WEIGHT * F.col("beside")
+            - LINK_WEIGHT * F.try_divide(F.col("linked"), F.col("size"))
+            + F.when(around & (share > MOST_TEXT), MOST_WEIGHT).otherwise(F.least(share, F.lit(MOST_TEXT))))
+
+
 def _texts(cols):
     out = []
     for html, remove, stay in zip(*cols, strict=True):
@@ -291,10 +347,10 @@ def _texts(cols):
         kept = []
 
         def goes(path, page=page, low=low, stays=stays):
-            if page.kinds.get(path) == NOISY:
+            if page.kinds.get(path, UNSAID) % INSIDE == STRONG:
                 return not stays or digest(path) not in stays
             return bool(low) and digest(path) in low
-        for path, text in page.blocks:
+        for path, text, _ in page.blocks:
             if path not in removed:
                 removed[path] = any(goes(p) for p in above(path))
             if not removed[path]:
@@ -306,13 +362,13 @@ def _texts(cols):
 def main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` plus ``text_col``, the main text."""
     hosted = pages.withColumn("_host", host_of(F.col(url_col)))
-    tree = importance(hosted, "_host", html_col)
-    most = F.col("size") > MOST_TEXT * F.col("whole")
-    low, noisy = F.greatest("content", "imp") < LEAST, F.col("kind") == NOISY
-    judged = (tree.filter(F.when(noisy, most & (F.col("content") >= LEAST)).otherwise(low & ~most))
+    tree = importance(hosted, "_host", html_col).withColumn("goes", branch_score() < 0)
+    # a strong name alone would remove its branch, so only those that stay are listed
+    strong = F.col("kind") % INSIDE == STRONG
+    judged = (tree.filter(strong != F.col("goes"))
                   .groupBy(F.col("host").alias("_host"))
-                  .agg(F.collect_list(F.when(~noisy, F.col("path"))).alias("_remove"),
-                       F.collect_list(F.when(noisy, F.col("path"))).alias("_stay")))
+                  .agg(F.collect_list(F.when(~strong, F.col("path"))).alias("_remove"),
+                       F.collect_list(F.when(strong, F.col("path"))).alias("_stay")))
     joined = hosted.join(broadcast_if_fits(judged), "_host", "left")
     return add_by_arrow(joined, [html_col, "_remove", "_stay"], f"{text_col} string", _texts).drop(
         "_host", "_remove", "_stay")

@@ -172,3 +172,64 @@ def test_removals_joined_without_a_broadcast_agree(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert h.main_text(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_comments_and_related_blocks_go_wherever_they_stand(spark):
+    rows = []
+    for i in range(60):
+        rows.append((i, f"http://m.org/{i}", page(
+            f"<main><header><p>Channel {i}</p></header><article><h1>t{i}</h1><p>{prose(i, 40)}</p></article>"
+            f"<div class=comments><div class=comment><p>{prose(700 + i, 12)}</p></div><div class=comment><p>{prose(800 + i, 9)}</p></div></div>"
+            f"<section id=related><p>{prose(900 + i, 8)}</p></section></main>")))
+        rows.append((100 + i, f"http://i.org/{i}", page(
+            f"<article><header><h1>t{i}</h1></header><p>{prose(i, 40)}</p>"
+            f"<section class=comments><p>{prose(700 + i, 30)}</p></section><div class='related-posts'><p>{prose(5 + i, 6)}</p></div></article>")))
+    got = texts(spark, rows)
+    assert all(got[i] == got[100 + i] == f"t{i}\n\n{prose(i, 40)}" for i in range(60))
+
+
+def test_varied_text_under_an_unlucky_name_stays(spark):
+    rows = [(i, f"http://v.org/{i}", page(
+        f"<div class=top><a href=/>Home</a> <a href=/x>All</a></div><h1>t{i}</h1><div class=intro><p>{prose(i, 30)}</p></div>"
+        f"<div class=related-work><h2>Related work {i}</h2><p>{prose(300 + i, 25)}</p></div>"
+        f"<section id=search-algorithms><p>{prose(600 + i, 25)}</p></section>"
+        f"<div class=strip><a href=/{i}>{prose(900 + i, 3)}</a> <a href=/y{i}>{prose(950 + i, 3)}</a></div>")) for i in range(60)]
+    got = texts(spark, rows)
+    assert all(got[i] == f"t{i}\n\n{prose(i, 30)}\n\nRelated work {i}\n\n{prose(300 + i, 25)}\n\n{prose(600 + i, 25)}" for i in range(60))
+
+
+def test_names():
+    def name(tag, inside=False, **attrs):
+        return h.name_of(tag, [(k.rstrip("_"), v) for k, v in attrs.items()], inside)
+    assert name("div", class_="comments") == name("div", id="comments") == name("nav") == name("header") == h.STRONG
+    assert name("div", class_="x share-bar") == name("section", inside=True, class_="comment-list") == h.STRONG
+    assert name("div", class_="related-work") == name("section", inside=True, id="related") == name("p", True, class_="notice") == h.WEAK
+    assert name("h2", class_="search") == name("main", class_="search") == name("div", class_="story") == h.UNSAID
+    assert name("header", inside=True) == name("div", True, class_="page-header") == h.UNSAID
+
+
+def test_branch_decision_against_brute_force(spark):
+    rows = [(u.split("/")[2], x) for _, u, x in site(30)] + [("q.org", page(
+        f"<div class=nav-top><a href=x>all</a></div><article><p>same words</p><p>{prose(i, 20)}</p><div class=ad>buy</div></article>"
+        f"<div class=foot>{i % 4} <a>contact us</a></div><form><p>{prose(i + 50, 90)}</p></form>")) for i in range(25)]
+    tree = h.importance(spark.createDataFrame(rows, "host string, html string"), "host", "html")
+    got = tree.withColumn("score", h.branch_score()).collect()
+    assert len(got) > 12
+    for r in got:
+        name, inside, share = r["kind"] % h.INSIDE, r["kind"] >= h.INSIDE, r["size"] / r["whole"]
+        want = (max(r["content"], r["imp"]) - h.LEAST) / (1 - h.LEAST) - h.NAME_WEIGHTS[name] - h.BESIDE_WEIGHT * r["beside"]
+        want += h.INSIDE_WEIGHTS[name] if inside else 0
+        want -= h.LINK_WEIGHT * r["linked"] / r["size"]
+        want += h.MOST_WEIGHT if share > h.MOST_TEXT and not inside and r["beside"] < 0.5 else min(share, h.MOST_TEXT)
+        assert abs(r["score"] - want) < 1e-9
+    by = {(r["host"], r["path"]): r for r in got}
+    foot = by["q.org", h.digest("/html/body/div.foot")]
+    assert foot["beside"] == 1 and foot["linked"] == 25 * len("contact us") and foot["size"] == 25 * len("0 contact us")
+    assert by["q.org", h.digest("/html/body/article")]["beside"] == 0 and by["q.org", h.digest("/html/body/form")]["score"] < 0
+
+
+def test_links_and_places_of_a_page():
+    p = h.read_page(b"<div><a href=x>one</a> two</div><article><p>three <a>four</a></p></article><p><a>five</a></p>")
+    e = h._elements(p)
+    assert e["/div"][1:4:2] == (7, 3) and e["/div"][4] and not e["/article"][4] and not e["/article/p"][4]
+    assert e["/article/p"][3] == 4 and e["/p"][3] == 4 and e["/p"][4]
