@@ -5,20 +5,23 @@ value is replaced in place by a keyed permutation of itself within its format,
 so equal values stay equal (linked) in every document and different values of
 one format stay different:
 
-* cards and account numbers (13-19 digits): all digits but the last pass
-  through the network; the last keeps its distance to the Luhn check digit, so
-  valid numbers stay valid and invalid ones invalid
+* card numbers whose issuer, length and Luhn check digit are right, in one piece or
+  in the groups they are printed in: the first four digits, which name the issuer,
+  stay, the digits between are permuted, the check digit is computed anew.  Other
+  long numbers (time stamps, order numbers) stay as they are
 * IBANs whose check digits are right, in one piece or printed in groups of four:
   the account part is permuted, the check digits are computed anew, the groups
   stay, so both spellings of one account stay linked
-* phone numbers of the North American plan (3-3-4, with or without separators,
-  ``+1`` or ``1``; without separators only if area code and exchange begin with
-  2 to 9) and international ones (``+``, 7 to 15 digits in any groups): the
-  digits after the country code are permuted and put back in their places, so
-  the spellings of one number stay linked.  Country codes, a trunk ``(0)`` and
-  whether area code and exchange begin with 0 or 1 stay
-* social-security numbers, and the local part of e-mail addresses: digits,
-  lower-case and upper-case letters stay in their class, the rest stays
+* phone numbers of the North American plan (3-3-4 with separators, or ``+1`` before
+  it; ten digits in one piece only after a word like ``call``, ``phone`` or ``tel``, and if
+  area code and exchange begin with 2 to 9) and international ones (``+``, 7 to 15
+  digits in any groups): the digits after the country code are permuted and put back
+  in their places, so the spellings of one number stay linked.  Country codes, a
+  trunk ``(0)`` and whether area code and exchange begin with 0 or 1 stay
+* social-security numbers that can have been given out (area 001 to 899 without 666,
+  group from 01, serial from 0001): a permutation of these numbers
+* the local part of e-mail addresses: digits, lower-case and upper-case letters stay
+  in their class, the rest stays
 * IPv4 addresses with octets up to 255: a permutation of the 2^32 addresses
 * real dates (``yyyy-mm-dd``, ``dd.mm.yyyy``, ``mm/dd/yyyy``) of 1800 to 2199:
   a permutation of the 146,097 days of that calendar cycle
@@ -27,11 +30,19 @@ The network is a Feistel network: half of the value shifts the other half by
 a SHA-256 stream of key, kind, round and half.  Everything is built-in
 functions in the row: no shuffle, no Python.
 
+Who has the key can undo the permutation.  ``pseudonymise`` takes it from its
+caller; the query reads ``KEY_CONF`` of the session and falls back to ``DEMO_KEY``,
+which is public and protects nothing.
+
 Defined cases: null text stays null with no findings; an empty text is
 unchanged; values that fail validation (impossible dates, octets over 255,
-wrong IBAN digits) stay as they are, as do national phone numbers of other
+wrong check digits, unknown issuers, social-security numbers never given out)
+stay as they are, as do national phone numbers of other
 plans without their country code; digits that follow an international number
-after a single space count as part of it up to 15; extra columns pass through.
+after a single space count as part of it up to 15; a text is worked on whole, in
+memory of a few times its length; repeated rows get equal results and all stay; an
+empty table gives an empty result; extra columns pass through, ``n_pii`` and
+``pii_kinds`` are replaced.
 """
 
 from __future__ import annotations
@@ -42,7 +53,8 @@ from pyspark.sql import functions as F
 from matchbook.llm.common import table
 from matchbook.llm.spans import let
 
-KEY = "matchbook-pseudonyms"   # give your own secret key in production
+KEY_CONF = "spark.matchbook.pii.key"
+DEMO_KEY = "matchbook-pseudonyms"
 ROUNDS = 8                     # even, so the halves end in their places
 NOT_IN = r"(?<![A-Za-z0-9])"
 NOT_ON = r"(?![A-Za-z0-9])"
@@ -57,7 +69,12 @@ DIALLED = (r"\+(?=(?:[^0-9A-Za-z+]{0,3}[0-9]){7})[1-9](?:[ ./-]?[0-9]){0,3}(?: ?
            r"(?:[ ./-]?[0-9]){4,11}")
 SPLIT_PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}"
 PLAIN_PHONE = r"1?[2-9][0-9]{2}[2-9][0-9]{6}"
-PHONE = NOT_IN + "(?:" + "|".join(p + NOT_ON for p in (PLUS_ONE, DIALLED, SPLIT_PHONE, PLAIN_PHONE)) + ")"
+# words before a number without separators that say it is a phone number
+CALL_WORDS = ("call tel phone telephone mobile cell fax sms whatsapp telefon handy mobil anrufen rufnummer "
+              "téléphone portable appelez teléfono telefono móvil movil llame").split()
+AFTER_WORD = r"(?<=(?<![\p{L}0-9])(?iu:" + "|".join(CALL_WORDS) + r")[ .:#]{1,3})"
+PHONE_FORMS = "(?:" + "|".join(p + NOT_ON for p in (PLUS_ONE, DIALLED, SPLIT_PHONE, PLAIN_PHONE)) + ")"
+PHONE = NOT_IN + "(?:" + "|".join(p + NOT_ON for p in (PLUS_ONE, DIALLED, SPLIT_PHONE, AFTER_WORD + PLAIN_PHONE)) + ")"
 # country codes of one and two digits; all others have three
 SHORT_CODES = "^[17]"
 TWO_DIGIT_CODES = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
@@ -71,7 +88,14 @@ GROUPED_IBAN = NOT_IN + "(?=[A-Z]{2}[0-9]{2} )(?:" + "|".join(
     f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "")
     for n, countries in IBAN_LENGTHS.items()) + ")" + NOT_ON
 IBAN = NOT_IN + r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}" + NOT_ON
-CARD = NOT_IN + r"[0-9](?:[ -]?[0-9]){12,18}" + NOT_ON
+# first digits of card issuers and the lengths of their numbers
+ISSUERS = {"4": (13, 16, 19), "5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)": (16,), "3[47]": (15,),
+           "3(?:0[0-5]|[689])": (14,), "6(?:011|4[4-9]|5|2)|35(?:2[89]|[3-8])": (16, 17, 18, 19)}
+CARD_GROUPS = {14: "[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4}", 15: "[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}",
+               16: "[0-9]{4}(?:[ -]?[0-9]{4}){3}"}
+CARD = NOT_IN + "(?:" + "|".join(
+    f"(?={first})(?:" + "|".join(CARD_GROUPS.get(n, f"[0-9]{{{n}}}") + NOT_ON for n in lengths) + ")"
+    for first, lengths in ISSUERS.items()) + ")"
 ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, US_DATE, IP, SSN, CARD, PHONE, GROUPED_IBAN, IBAN))
 
 FIRST_DAY, DAY_A, DAY_B = "1800-01-01", 27, 5411      # 27 * 5411 = 146,097 days
@@ -100,7 +124,7 @@ def _shift(half: Column, stream: Column, sign: int) -> Column:
     return F.array_join(F.transform(chars, move), "")
 
 
-def permute_text(value: Column, kind: str, key: str = KEY, inverse: bool = False) -> Column:
+def permute_text(value: Column, kind: str, key: str, inverse: bool = False) -> Column:
     """Keyed permutation of the strings with the character classes of ``value``."""
     cut = F.floor(F.length(value) / 2).cast("int")
     halves = F.struct(F.substring(value, F.lit(1), cut).alias("a"),
@@ -118,7 +142,7 @@ def permute_text(value: Column, kind: str, key: str = KEY, inverse: bool = False
                        lambda acc: F.concat(acc["a"], acc["b"]))
 
 
-def permute_pair(a: Column, b: Column, n_a: int | Column, n_b: int | Column, kind: str, key: str = KEY,
+def permute_pair(a: Column, b: Column, n_a: int | Column, n_b: int | Column, kind: str, key: str,
                  inverse: bool = False) -> Column:
     """Keyed permutation of the pairs (a, b) with a < n_a, b < n_b."""
     sign = -1 if inverse else 1
@@ -163,7 +187,7 @@ def _refill(shape: Column, digits: Column, place=lambda ch: ch.between("0", "9")
     return let(digits, lambda made: F.aggregate(chars, zero, lambda acc, ch: put(acc, ch, made), lambda acc: acc["out"]))
 
 
-def permute_nanp(digits: Column, key: str = KEY, inverse: bool = False) -> Column:
+def permute_nanp(digits: Column, key: str, inverse: bool = False) -> Column:
     """Keyed permutation of the 10 digits of a number of the North American
     plan; area code and exchange that begin with 2 to 9 go on doing so."""
     def work(d: Column) -> Column:
@@ -180,7 +204,7 @@ def permute_nanp(digits: Column, key: str = KEY, inverse: bool = False) -> Colum
     return let(digits, work)
 
 
-def permute_phone(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+def permute_phone(value: Column, key: str, inverse: bool = False) -> Column:
     shape = F.regexp_replace(value, r"\(0\)", "(o)")
 
     def work(digits: Column) -> Column:
@@ -197,13 +221,29 @@ def permute_phone(value: Column, key: str = KEY, inverse: bool = False) -> Colum
     return F.regexp_replace(made, r"\(o\)", "(0)")
 
 
-def permute_card(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+def permute_card(value: Column, key: str, inverse: bool = False) -> Column:
+    """Of a number whose last digit is its Luhn check digit; others stay."""
     def work(digits: Column) -> Column:
         body = F.substring(digits, F.lit(1), F.length(digits) - 1)
-        off = F.pmod(F.right(digits, F.lit(1)).cast("int") - _luhn_digit(body), F.lit(10))
-        return let(permute_text(body, "card", key, inverse), lambda new: F.concat(
-            new, F.pmod(_luhn_digit(new) + off, F.lit(10)).cast("string")))
-    return let(F.regexp_replace(value, "[^0-9]", ""), lambda digits: _refill(value, work(digits)))
+        valid = _luhn_digit(body) == F.right(digits, F.lit(1)).cast("int")
+        between = permute_text(F.substring(body, F.lit(5), F.length(body)), "card", key, inverse)
+        renewed = let(F.concat(F.substring(body, 1, 4), between),
+                      lambda new: _refill(value, F.concat(new, _luhn_digit(new).cast("string"))))
+        return F.when(valid, renewed).otherwise(value)
+    return let(F.regexp_replace(value, "[^0-9]", ""), work)
+
+
+def permute_ssn(value: Column, key: str, inverse: bool = False) -> Column:
+    """Of a social-security number that can have been given out; others stay."""
+    area, group, serial = (F.substring(value, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    pair = permute_pair(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1,
+                        898, 99 * 9999, "ssn", key, inverse)
+    moved = let(pair, lambda p: F.concat_ws(
+        "-", F.lpad((p["a"] + F.when(p["a"] >= 665, 2).otherwise(1)).cast("string"), 3, "0"),
+        F.lpad((F.floor(p["b"] / 9999) + 1).cast("string"), 2, "0"),
+        F.lpad((p["b"] % 9999 + 1).cast("string"), 4, "0")))
+    return F.when(valid, moved).otherwise(value)
 
 
 def _mod97(text: Column) -> Column:
@@ -215,7 +255,7 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(chars, F.lit(0), add)
 
 
-def permute_iban(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+def permute_iban(value: Column, key: str, inverse: bool = False) -> Column:
     """Of an IBAN in one piece or in groups."""
     return let(F.regexp_replace(value, " ", ""), lambda whole: _refill(
         value, _permute_iban(whole, key, inverse), lambda ch: ch != " "))
@@ -229,7 +269,7 @@ def _permute_iban(value: Column, key: str, inverse: bool) -> Column:
     return F.when(valid, renewed).otherwise(value)
 
 
-def permute_ip(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+def permute_ip(value: Column, key: str, inverse: bool = False) -> Column:
     def work(o: Column) -> Column:
         pair = permute_pair(o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536, "ip", key, inverse)
         return let(pair, lambda p: F.concat_ws(".", *[x.cast("string") for x in (
@@ -238,7 +278,7 @@ def permute_ip(value: Column, key: str = KEY, inverse: bool = False) -> Column:
     return F.when(F.exists(octets, lambda x: x > 255), value).otherwise(let(octets, work))
 
 
-def permute_date(value: Column, fmt: str, key: str = KEY, inverse: bool = False) -> Column:
+def permute_date(value: Column, fmt: str, key: str, inverse: bool = False) -> Column:
     day = F.try_to_timestamp(value, F.lit(fmt)).cast("date")
     n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
     moved = let(permute_pair(F.floor(n / DAY_B), n % DAY_B, DAY_A, DAY_B, "date", key, inverse),
@@ -252,10 +292,10 @@ def kind_of(value: Column) -> Column:
         return value.rlike("^(?:" + p + ")$")
     date = whole(ISO_DATE) | whole(DAY_DATE) | whole(US_DATE)
     return (F.when(F.instr(value, "@") > 0, "email").when(date, "date").when(whole(IP), "ip")
-             .when(whole(SSN), "ssn").when(whole(CARD), "card").when(whole(PHONE), "phone").otherwise("iban"))
+             .when(whole(SSN), "ssn").when(whole(CARD), "card").when(whole(PHONE_FORMS), "phone").otherwise("iban"))
 
 
-def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
+def pseudonym(value: Column, key: str, inverse: bool = False) -> Column:
     """The pseudonym of one found value (``inverse`` gives the value back)."""
     at = F.instr(value, "@")
     mail = F.concat(permute_text(F.substring(value, F.lit(1), at - 1), "email", key, inverse),
@@ -268,11 +308,11 @@ def pseudonym(value: Column, key: str = KEY, inverse: bool = False) -> Column:
          .when(kind == "ip", permute_ip(value, key, inverse))
          .when(kind == "card", permute_card(value, key, inverse))
          .when(kind == "iban", permute_iban(value, key, inverse))
-         .when(kind == "ssn", permute_text(value, "ssn", key, inverse))
+         .when(kind == "ssn", permute_ssn(value, key, inverse))
          .otherwise(permute_phone(value, key, inverse))))
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, inverse: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: bool = False) -> DataFrame:
     """``docs`` with the values in ``text_col`` replaced, plus ``n_pii`` (values
     replaced) and ``pii_kinds`` (their kinds in order, comma-joined)."""
     text = F.col(text_col)
@@ -292,4 +332,4 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY, invers
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymise(docs).select("doc_id", "text", "n_pii", "pii_kinds")
+    return pseudonymise(docs, spark.conf.get(KEY_CONF, DEMO_KEY)).select("doc_id", "text", "n_pii", "pii_kinds")
