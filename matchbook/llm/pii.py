@@ -74,7 +74,7 @@ CALL_WORDS = ("call tel phone telephone mobile cell fax sms whatsapp telefon han
               "téléphone portable appelez teléfono telefono móvil movil llame").split()
 AFTER_WORD = r"(?<=(?<![\p{L}0-9])(?iu:" + "|".join(CALL_WORDS) + r")[ .:#]{1,3})"
 PHONE_FORMS = "(?:" + "|".join(p + NOT_ON for p in (PLUS_ONE, DIALLED, SPLIT_PHONE, PLAIN_PHONE)) + ")"
-PHONE = NOT_IN + "(?:" + "|".join(p + NOT_ON for p in (PLUS_ONE, DIALLED, SPLIT_PHONE, AFTER_WORD + PLAIN_PHONE)) + ")"
+PHONE = NOT_IN + "(?:" + "|".join(p + NOT_ON for p in (PLUS_ONE, DIALLED, SPLIT_PHONE, "(?=1?[2-9])" + AFTER_WORD + PLAIN_PHONE)) + ")"
 # country codes of one and two digits; all others have three
 SHORT_CODES = "^[17]"
 TWO_DIGIT_CODES = "^(?:2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
@@ -96,7 +96,9 @@ CARD_GROUPS = {14: "[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4}", 15: "[0-9]{4}[ -]?[0-9]
 CARD = NOT_IN + "(?:" + "|".join(
     f"(?={first})(?:" + "|".join(CARD_GROUPS.get(n, f"[0-9]{{{n}}}") + NOT_ON for n in lengths) + ")"
     for first, lengths in ISSUERS.items()) + ")"
-ANY = "|".join((EMAIL, ISO_DATE, DAY_DATE, US_DATE, IP, SSN, CARD, PHONE, GROUPED_IBAN, IBAN))
+# what begins like no number and no IBAN is only tried as an address
+ANY = (EMAIL + "|(?=[0-9+(])(?:" + "|".join((ISO_DATE, DAY_DATE, US_DATE, IP, SSN, CARD, PHONE)) + ")"
+       "|(?=[A-Z]{2}[0-9]{2})(?:" + GROUPED_IBAN + "|" + IBAN + ")")
 
 FIRST_DAY, DAY_A, DAY_B = "1800-01-01", 27, 5411      # 27 * 5411 = 146,097 days
 KINDS = ("email", "date", "ip", "ssn", "phone", "card", "iban")
@@ -316,7 +318,8 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", inverse: boo
     """``docs`` with the values in ``text_col`` replaced, plus ``n_pii`` (values
     replaced) and ``pii_kinds`` (their kinds in order, comma-joined)."""
     text = F.col(text_col)
-    found = docs.withColumn("_found", F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)),
+    # without a digit or @ there is nothing to find
+    found = docs.withColumn("_found", F.coalesce(F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))),
                                                  F.array().cast("array<string>")))
     changed = F.transform("_found", lambda v: F.struct(
         v.alias("old"), pseudonym(v, key, inverse).alias("new"), kind_of(v).alias("kind")))
