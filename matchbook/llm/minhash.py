@@ -9,15 +9,21 @@ similarity on words: all members of a band bucket meet each other, in tiles of
 bounded size; exact copies of a text meet through the smallest id of them.
 
 ``with_next`` pairs every document with the next one by descending id without
-a single-task window: ids are cut into ranges at quantiles, each range is
+a single-task window: ids are cut into ranges at quantiles, an id (or the lack of
+one) that fills several ranges by the hash of its texts as well; each range is
 sorted in one partition, and a copy of the next range's first row travels along
 as its neighbour.  Texts are shuffled once; only one row per range is copied.
+Rows equal in id and text stay in one range, which streams through its task.
+``near_text_pairs`` is the band join as a query of its own.
 
 Defined cases: a null text counts as empty; texts without words have the
 fingerprint ``EMPTY``, which is alike (1.0) to itself and to nothing else; null
 ids come last; rows of one id are ordered by their text's hash; the last row's
 neighbour is the first (a single row's neighbour is itself); an empty table
-gives an empty result.
+gives an empty result; a task holds one Arrow batch of whole texts and in the band
+join the texts of one tile, so a text of some MB costs a few times its size; in
+the band join rows without words or id have no partner, a text's copies meet its
+smallest id, rows of one id are compared each; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +36,7 @@ from pyspark.sql import functions as F
 
 from matchbook.llm.common import add_by_arrow, bounded_batches, broadcast_if_fits, table, write_shared
 from matchbook.llm.shingles import shingle_hashes, shingle_set, word_hashes, words_in_common
+from matchbook.llm.spans import let
 
 N_HASHES = 128
 BANDS, ROWS_PER_BAND = 32, 4
@@ -37,6 +44,7 @@ THRESHOLD = (75, 100)
 TILE_ROWS = 128                # members of a bucket that meet as many others at once
 SLACK = 0.25                   # an estimate so far below the threshold is off with a chance below 1e-9
 EMPTY = "-"
+WIDEST = 1 << 20               # more than the pieces of one id
 CHUNK = 512                    # shingles hashed at once, so the matrix stays in the cache
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
@@ -184,7 +192,10 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    .join(firsts.select("id", "fingerprint"), "id"))
     wanted = _by_tile(members.select("tile", "id", "block", "fingerprint"), "tile string, id long, reps array<long>",
                       _candidates(threshold[0] / threshold[1]))
-    pairs = _by_tile(wanted.join(texts, "id").select("tile", "id", "reps", "text"),
+    wanted = write_shared(wanted, "wanted")
+    # only texts with a candidate are shuffled where their ids fit a broadcast
+    asked = texts.join(broadcast_if_fits(wanted.select("id").distinct()), "id", "left_semi")
+    pairs = _by_tile(wanted.join(asked, "id").select("tile", "id", "reps", "text"),
                      "id long, rep long, both long, either long", _verified(threshold))
 
     def count(cols):
@@ -212,6 +223,30 @@ def _range_of(value: Column, bounds: list) -> Column:
     return F.aggregate(rounds, zero, step, lambda acc: acc["lo"])
 
 
+def _part(rows: DataFrame, n: int) -> Column:
+    """Number of the range of (id, hash of the text) that a row lies in; about
+    ``n`` ranges of equal size.  An id that fills several ranges is cut by the
+    hash, as are the rows without id, which come first."""
+    cuts = rows.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)
+    bounds = sorted(set(cuts)) or [0.0]
+    # above 2^53 a double stands for several ids, which must not be cut alike
+    pieces = [cuts.count(b) if abs(b) < 2**53 else 1 for b in bounds]
+    size = rows.agg(F.count(F.lit(1)).alias("all"), F.count("id").alias("with_id")).first()
+    nulls = max(1, -(-n * (size["all"] - size["with_id"]) // max(size["all"], 1)))
+    value = F.col("id").cast("double")
+
+    def piece(count: Column) -> Column:
+        share = F.floor((F.xxhash64("text") / F.lit(2.0**64) + 0.5) * count).cast("long")
+        return F.least(F.greatest(share, F.lit(0)), count - 1)
+
+    def within(place: Column) -> Column:
+        many = F.coalesce(F.get(F.array(*[F.lit(k).cast("long") for k in pieces]), place - 1), F.lit(1).cast("long"))
+        hot = (F.get(F.array(*[F.lit(b) for b in bounds]), place - 1) == value) & (many > 1)
+        return place.cast("long") * WIDEST + F.when(hot, piece(many)).otherwise(many)
+    return F.when(F.col("id").isNull(), piece(F.lit(nulls).cast("long")) - WIDEST).otherwise(
+        let(_range_of(value, bounds), within))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str, work, schema: str) -> DataFrame:
     """``work(row, next_row)`` for every row and the next one by descending id;
     rows are (id, text bytes, memo dict).  ``work`` returns a tuple of ``schema``."""
@@ -222,17 +257,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, work, schema: str) ->
     spark = docs.sparkSession
     bounded_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = 8 * parts
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.approxQuantile("id", [i / n for i in range(1, n)], 0.25 / n)
-    bounds = sorted(set(cuts)) or [0.0]
-    rows = rows.withColumn("part", F.when(F.col("id").isNull(), -1).otherwise(_range_of(F.col("id").cast("double"), bounds)))
+    rows = rows.withColumn("part", _part(rows, 8 * parts))
     order = F.struct("id", F.xxhash64("text").alias("hash"))
     heads = sorted((r["part"], r["head"]) for r in rows.groupBy("part").agg(F.max(order).alias("head")).collect())
     # the head of a range follows the last row of the next higher range; the
     # highest head follows the very last row
     following = [(heads[(i + 1) % len(heads)][0], head["id"], head["hash"]) for i, (_, head) in enumerate(heads)]
-    ghosts = spark.createDataFrame(following, "to int, head_id long, head_hash long")
+    ghosts = spark.createDataFrame(following, "to long, head_id long, head_hash long")
     ghosts = (rows.join(broadcast_if_fits(ghosts), F.col("id").eqNullSafe(F.col("head_id")) &
                         (F.xxhash64("text") == F.col("head_hash")))
                   .select("id", "text", F.col("to").alias("part"), F.lit(True).alias("ghost"))
@@ -280,3 +312,30 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_next(docs, "doc_id", "text", _compare,
                      "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
                      "edited_fingerprint string, near_edited double, near_next double")
+
+
+def near_text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band join over all documents: pairs of documents whose verified
+    Jaccard similarity reaches the threshold, ``near_id`` the smaller id; of equal
+    texts only the smallest id has pairs with other texts, the copies one with it."""
+    return near_pairs(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        F.col("id").alias("doc_id"), F.col("rep").alias("near_id"), F.col("both").alias("n_both"), F.col("either").alias("n_either"),
+        (F.col("both") / F.col("either")).alias("jaccard"))
+
+
+NEAR_SQL = r"""
+WITH w AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first, regexp_extract_all(
+             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+           FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+sh AS (SELECT DISTINCT doc_id, first, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, first, count(*) AS n FROM sh GROUP BY ALL),
+met AS (SELECT a.doc_id AS doc_id, b.doc_id AS near_id, count(*) AS n_both
+        FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id > b.doc_id
+        WHERE a.doc_id = a.first AND b.doc_id = b.first GROUP BY ALL),
+near AS (SELECT met.doc_id, near_id, n_both, p.n + q.n - n_both AS n_either
+         FROM met JOIN n p ON p.doc_id = met.doc_id JOIN n q ON q.doc_id = near_id
+         WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)
+         UNION ALL SELECT doc_id, first, n, n FROM n WHERE doc_id <> first)
+SELECT doc_id, near_id, n_both, n_either, n_both / n_either AS jaccard FROM near
+"""

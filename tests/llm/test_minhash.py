@@ -46,6 +46,27 @@ def test_partitions_do_not_matter_and_small_tables(spark):
     assert len(twice) == 3 and sum(r["near_next"] for r in twice) == 1.0
 
 
+def test_one_id_and_rows_without_id_are_cut(spark):
+    from pyspark.sql import functions as F
+    rows = [(i, prose(i, 8)) for i in range(60)] + [(30, prose(100 + i, 8)) for i in range(150)]
+    rows += [(None, prose(500 + i, 8)) for i in range(90)] + [(2**60 + i, prose(700 + i, 8)) for i in range(20)]
+    table = docs(spark, rows)
+    placed = table.select(F.col("doc_id").alias("id"), "text")
+    placed = placed.select("id", "text", F.xxhash64("text").alias("h"), m._part(placed, 16).alias("part")).collect()
+    order = sorted(placed, key=lambda r: (r["id"] is not None, r["id"] or 0, r["h"]), reverse=True)
+    assert [r["part"] for r in order] == sorted((r["part"] for r in order), reverse=True)
+    most = {}
+    for r in order:
+        most[r["part"]] = most.get(r["part"], 0) + 1
+    assert max(most.values()) <= 60 and len(most) >= 12
+    got = {(r["doc_id"], r["fingerprint"], r["edited_sha256"]) for r in compared(spark, rows)}
+    for i, r in enumerate(order):
+        text, other = r["text"], order[(i + 1) % len(order)]["text"]
+        k = len(text) // 3
+        edited = (text[:len(text) - k] + other[:k]).encode()
+        assert (r["id"], m.fingerprint(text.encode()), hashlib.sha256(edited).hexdigest()) in got
+
+
 def test_near_pairs_are_verified_and_recalled(spark):
     rows = []
     for g in range(30):
