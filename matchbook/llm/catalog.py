@@ -5,7 +5,7 @@ from matchbook.llm.html_text import op2_main_text
 from matchbook.llm.jaccard_join import OP8_SQL, op8_jaccard
 from matchbook.llm.language_id import op12_language
 from matchbook.llm.lexical_search import OP13_SQL, op13_search
-from matchbook.llm.minhash import NEAR_SQL, near_text_pairs, op10_fingerprints
+from matchbook.llm.minhash import NEAR_SQL, near_text_classes, op10_fingerprints
 from matchbook.llm.mixing import op6_mix
 from matchbook.llm.pii import op9_pii
 from matchbook.llm.quality import op3_quality
@@ -28,7 +28,7 @@ QUERIES = {
     "op11_whitening": op11_whitening,
     "op12_language": op12_language,
     "op13_search": op13_search,
-    "near_text_pairs": near_text_pairs,        # the band join of the operator of op10
+    "near_text_classes": near_text_classes,        # the band join of the operator of op10
 }
 ORACLES = {
     "op4_decontaminate": OP4_SQL,
@@ -36,5 +36,5 @@ ORACLES = {
     "op7_secrets": OP7_SQL,
     "op8_jaccard": OP8_SQL,
     "op13_search": OP13_SQL,
-    "near_text_pairs": NEAR_SQL,
+    "near_text_classes": NEAR_SQL,
 }

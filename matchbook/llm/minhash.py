@@ -14,7 +14,7 @@ one) that fills several ranges by the hash of its texts as well; each range is
 sorted in one partition, and a copy of the next range's first row travels along
 as its neighbour.  Texts are shuffled once; only one row per range is copied.
 Rows equal in id and text stay in one range, which streams through its task.
-``near_text_pairs`` is the band join as a query of its own.
+``near_text_classes`` is the band join as a query of its own.
 
 Defined cases: a null text counts as empty; texts without words have the
 fingerprint ``EMPTY``, which is alike (1.0) to itself and to nothing else; null
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchbook.llm.common import add_by_arrow, bounded_batches, broadcast_if_fits, table, write_shared
+from matchbook.llm.components import components
 from matchbook.llm.shingles import shingle_hashes, shingle_set, word_hashes, words_in_common
 from matchbook.llm.spans import let
 
@@ -166,15 +167,30 @@ def _verified(threshold: tuple[int, int]):
     return work
 
 
-def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """Rows (id, rep, both, either), ``rep`` the smaller id: the pairs of
-    different texts that share a band and reach the threshold, with their verified
-    intersection and union sizes; and every copy of a text with the smallest id
-    of it.  A bucket is cut into blocks of about ``TILE_ROWS`` and every block
-    meets every other, so memory is bounded and no pair is left out; the work
-    in a bucket of different texts grows with its square."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+def _classes(threshold: tuple[int, int]):
+    """Of a tile of texts: for every id with a link in it the smallest id that
+    it reaches by the tile's links, and how many they are."""
+    pairs_of = _verified(threshold)
+
+    def work(tile, rows):
+        root: dict[int, int] = {}
+        links: dict[int, int] = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+        for a, b, _, _ in pairs_of(tile, rows):
+            links[a], links[b] = links.get(a, 0) + 1, links.get(b, 0) + 1
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+        return [(x, find(x), n) for x, n in links.items()]
+    return work
+
+
+def _candidate_tiles(texts: DataFrame, threshold: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows (id, text): the fingerprints (id, copy, fingerprint) of all texts
+    with words, the smallest id of each text, and the tiles of texts to verify."""
     prints = fingerprints(texts.withColumn("copy", F.sha2("text", 256)))
     prints = write_shared(prints.filter(F.col("fingerprint") != EMPTY).select("id", "copy", "fingerprint"), "prints")
     firsts = prints.groupBy("copy").agg(F.min("id").alias("id"), F.first("fingerprint").alias("fingerprint"))
@@ -195,8 +211,20 @@ def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = write_shared(wanted, "wanted")
     # only texts with a candidate are shuffled where their ids fit a broadcast
     asked = texts.join(broadcast_if_fits(wanted.select("id").distinct()), "id", "left_semi")
-    pairs = _by_tile(wanted.join(asked, "id").select("tile", "id", "reps", "text"),
-                     "id long, rep long, both long, either long", _verified(threshold))
+    return prints, firsts, wanted.join(asked, "id").select("tile", "id", "reps", "text")
+
+
+def near_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """Rows (id, rep, both, either), ``rep`` the smaller id: the pairs of
+    different texts that share a band and reach the threshold, with their verified
+    intersection and union sizes; and every copy of a text with the smallest id
+    of it.  A bucket is cut into blocks of about ``TILE_ROWS`` and every block
+    meets every other, so memory is bounded and no pair is left out; the work
+    in a bucket of different texts grows with its square."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null")
+    prints, firsts, tiles = _candidate_tiles(texts, threshold)
+    pairs = _by_tile(tiles, "id long, rep long, both long, either long", _verified(threshold))
 
     def count(cols):
         found = [words_in_common(t or b"", t or b"") for t in cols[0]]
@@ -314,28 +342,50 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "edited_fingerprint string, near_edited double, near_next double")
 
 
-def near_text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The band join over all documents: pairs of documents whose verified
-    Jaccard similarity reaches the threshold, ``near_id`` the smaller id; of equal
-    texts only the smallest id has pairs with other texts, the copies one with it."""
-    return near_pairs(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
-        F.col("id").alias("doc_id"), F.col("rep").alias("near_id"), F.col("both").alias("n_both"), F.col("either").alias("n_either"),
-        (F.col("both") / F.col("either")).alias("jaccard"))
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                 threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """One row per row of ``docs`` (id_col, component_id, n_links): the smallest id
+    reachable by links of ``near_pairs``, and the number of other texts that the id's
+    text is linked with (each pair is verified in one tile, so the sums are exact).
+    Tiles return a row per member, not per pair."""
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints, firsts, tiles = _candidate_tiles(texts.filter("id is not null"), threshold)
+    found = write_shared(_by_tile(tiles, "id long, rep long, links long", _classes(threshold)), "near-links")
+    firsts = firsts.select("copy", F.col("id").alias("first"))
+    of = write_shared(prints.select("id", "copy").join(firsts, "copy").select("id", "first").distinct(), "near-copies")
+    edges = found.filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).unionByName(
+        of.filter("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))).distinct()
+    links = found.groupBy(F.col("id").alias("first")).agg(F.sum("links").alias("links"))
+    of = of.join(links, "first").groupBy("id").agg(F.sum("links").alias("links"))
+    return (texts.select("id").join(components(write_shared(edges, "near-edges")), "id", "left").join(of, "id", "left")
+                 .select(F.col("id").alias(id_col), F.coalesce("component", "id").alias("component_id"),
+                         F.coalesce("links", F.lit(0)).alias("n_links")))
+
+
+def near_text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band join over all documents, as classes with verified links."""
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 NEAR_SQL = r"""
-WITH w AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY text) AS first, regexp_extract_all(
-             translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-           FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+WITH RECURSIVE
+w AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS first, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+      FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
 sh AS (SELECT DISTINCT doc_id, first, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
        FROM (SELECT *, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM w WHERE len(w) > 0)),
 n AS (SELECT doc_id, first, count(*) AS n FROM sh GROUP BY ALL),
-met AS (SELECT a.doc_id AS doc_id, b.doc_id AS near_id, count(*) AS n_both
-        FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id > b.doc_id
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+        FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
         WHERE a.doc_id = a.first AND b.doc_id = b.first GROUP BY ALL),
-near AS (SELECT met.doc_id, near_id, n_both, p.n + q.n - n_both AS n_either
-         FROM met JOIN n p ON p.doc_id = met.doc_id JOIN n q ON q.doc_id = near_id
-         WHERE 100 * n_both >= 75 * (p.n + q.n - n_both)
-         UNION ALL SELECT doc_id, first, n, n FROM n WHERE doc_id <> first)
-SELECT doc_id, near_id, n_both, n_either, n_both / n_either AS jaccard FROM near
+link AS (SELECT x, y FROM met JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+         WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+edge AS (SELECT x, y FROM link UNION SELECT doc_id, first FROM n WHERE doc_id <> first
+         UNION SELECT first, doc_id FROM n WHERE doc_id <> first),
+reach AS (SELECT x AS id, y AS other FROM edge
+          UNION SELECT r.id, e.y FROM reach r JOIN edge e ON e.x = r.other),
+comp AS (SELECT id, min(other) AS smallest FROM reach GROUP BY id),
+many AS (SELECT x, count(*) AS links FROM link GROUP BY x)
+SELECT d.doc_id, least(d.doc_id, coalesce(comp.smallest, d.doc_id)) AS component_id, coalesce(links, 0) AS n_links
+FROM documents d LEFT JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN many ON many.x = n.first
 """

@@ -116,6 +116,31 @@ def test_near_pairs_within_a_large_family(spark, monkeypatch):
         assert counts == (len(x & y), len(x | y)) and 100 * counts[0] >= 75 * counts[1] and b < a
 
 
+def test_near_classes_are_the_components_of_the_pairs(spark, monkeypatch):
+    rows = []
+    for g in range(6):
+        words = prose(g, 110).split()
+        for c in range(5 + 9 * g):
+            w = list(words)
+            w[(7 * c) % 100] = f"changed{c}"
+            rows.append((100 * g + c, " ".join(w)))
+    rows += [(9000, None), (9001, ""), (9002, rows[0][1]), (9003, rows[0][1]), (9004, prose(77, 4)), (None, rows[0][1])]
+    monkeypatch.setattr(m, "TILE_ROWS", 8)
+    got = m.near_classes(clashing(docs(spark, rows), "id", "copy", "rep", "links")).collect()
+    assert len(got) == len(rows)
+    pairs = [(r["id"], r["rep"]) for r in m.near_pairs(docs(spark, rows)).collect()]
+    texts, parent = dict(rows), {i: i for i, _ in rows}
+    for _ in range(8):
+        for a, b in pairs:
+            parent[a] = parent[b] = min(parent[a], parent[b])
+    links = {i: len({texts[b if a == i else a] for a, b in pairs if i in (a, b)} - {texts[i]}) for i in texts}
+    for r in got:
+        i = r["doc_id"]
+        assert r["component_id"] == parent[i] if i is not None else r["component_id"] is None
+        assert r["n_links"] == (0 if i is None else links[0] if i in (9002, 9003) else links[i])
+    assert m.near_classes(docs(spark, [])).count() == 0
+
+
 def test_word_hashes_across_segments():
     text = " ".join(f"Word{i}x" for i in range(SEGMENT // 5)).encode() + b" " + b"y" * (SEGMENT + 10) + b"\t\x0bend\xc2\xa0of  text"
     words, got = fold_words(text), word_hashes(text)
