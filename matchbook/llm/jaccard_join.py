@@ -12,14 +12,16 @@ one row per document with its component.
    min-hash bucket is the document whose sample is shared most (the text that
    others were edited from, rather than an edit), and each document joins the
    leader it meets most often.  A group is cut by set size
-   into blocks of about ``BLOCK`` documents, each joined by the leader; blocks
-   are compared completely in one task, so nothing grows with a hot group.
+   into blocks of about ``BLOCK`` documents or ``BLOCK_BYTES`` of text, whichever
+   is less, each joined by the leader; blocks are compared completely in one
+   task, so nothing grows with a hot group or with the length of its texts.
 4. The matrix stores each group's union of sampled hashes.  A document and a
    group of which it is no part meet when their shared hashes can reach the
    need (of two groups, the smaller one's documents meet the larger group);
    within its own group a document outside the group's largest component meets
    all blocks.  Pairs that are already in one component are left out.
-5. A block is opened for the documents that met it (in lots of ``LOT``): the
+5. A block is opened for the documents that met it (in lots of ``LOT`` texts or
+   ``LOT_BYTES``): the
    exact union of its sets bounds the overlap once more, then all its members
    are compared.  One link per document and component of the block is kept.
 
@@ -32,7 +34,9 @@ Defined cases: null texts and texts without words have an empty set and are
 linked with nothing (the component is the own id); a row with a null id gets a
 null component and links nothing; rows that share an id are one document, so
 their links are joined; repeated rows each get a row; an empty table gives an
-empty result.  Ids are integers.
+empty result.  Ids are integers.  A text longer than a block's bytes is a part
+of its own or stands beside few others: one task holds a text or two of any
+length, and a hash for each of their words.
 """
 
 from __future__ import annotations
@@ -51,8 +55,8 @@ from matchbook.llm.shingles import _mix, shingle_set
 THRESHOLD = (75, 100)
 SAMPLE, NEED = 64, 22
 BUCKETS = 8                    # pairs of min-hashes
-BLOCK = 128
-LOT = 256
+BLOCK, BLOCK_BYTES = 128, 8 << 20       # texts, and bytes of texts, in a block
+LOT, LOT_BYTES = 256, 8 << 20           # the same in a lot of queries
 COMMON = 64                    # groups that may share a hash before it counts as common
 
 _rng = np.random.Generator(np.random.PCG64(417))
@@ -145,8 +149,15 @@ def _need(n: Column) -> Column:
     return F.least(F.lit(NEED), F.ceil(n * THRESHOLD[0] / THRESHOLD[1]))
 
 
+def _parts(rows: int, most_bytes: int) -> Column:
+    """Into how many parts a group's rows are cut so that a part holds about
+    ``rows`` of them and ``most_bytes`` of their texts."""
+    return F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.ceil(F.sum("bytes") / most_bytes))
+
+
 def _groups(active: DataFrame) -> DataFrame:
-    """Rows (rep, n, leader, block) of representatives (rep, n, central, bands)."""
+    """Rows (rep, n, bytes, leader, block) of representatives (rep, n, bytes,
+    central, bands)."""
     spots = active.select("rep", "central", F.explode("bands").alias("band"))
     lead = (spots.groupBy("band").agg(
         F.max(F.struct("central", (-F.col("rep")).alias("rep"))).alias("top"), F.count(F.lit(1)).alias("many"))
@@ -156,21 +167,21 @@ def _groups(active: DataFrame) -> DataFrame:
                    .groupBy("rep").agg(F.max(F.struct("times", "central", (-F.col("leader")).alias("no"))).alias("best"))
                    .select("rep", (-F.col("best.no")).alias("leader")))
     size_class = F.floor(F.log("n") / F.log(F.lit(4 / 3)))
-    joined = (active.select("rep", "n").join(choice, "rep", "left")
+    joined = (active.select("rep", "n", "bytes").join(choice, "rep", "left")
                     .withColumn("leader", F.coalesce("leader", "rep")).withColumn("size_class", size_class))
     joined = write_shared(joined, "jaccard-groups")
     # aggregates are written before they are joined back, so that a hot leader's
     # side of the join is a plain shuffle, which Spark can split
     many = write_shared(joined.groupBy("leader", "size_class").agg(
-        F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "jaccard-parts")
+        _parts(BLOCK, BLOCK_BYTES).alias("blocks")), "jaccard-parts")
     part = F.pmod(F.xxhash64("rep"), F.col("blocks"))
     return (joined.join(many, ["leader", "size_class"])
-                  .select("rep", "n", "leader", F.xxhash64("leader", "size_class", part).alias("block")))
+                  .select("rep", "n", "bytes", "leader", F.xxhash64("leader", "size_class", part).alias("block")))
 
 
 def _met(tokens: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Rows (rep, comp, block): documents and the blocks they have to be
-    compared with.  ``placed``: rep, n, leader, block, comp, apart (not in its
+    """Rows (rep, comp, bytes, block): documents and the blocks they have to be
+    compared with.  ``placed``: rep, n, bytes, leader, block, comp, apart (not in its
     group's largest component); ``blocks``: leader, block, least, most.
 
     Of two groups the documents of the smaller one meet the larger one, so a
@@ -209,23 +220,23 @@ def _met(tokens: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
     ahead = held.filter(F.col("place") <= F.col("common") - need + 1)
     asked = asked.unionByName(ahead.join(groups_with(held), "token").filter(meets).select("rep", "other")).distinct()
     own = placed.filter("apart").select("rep", F.col("leader").alias("other"))
-    at = placed.select("rep", "n", "comp", F.col("block").alias("own_block"))
+    at = placed.select("rep", "n", "bytes", "comp", F.col("block").alias("own_block"))
     return (asked.unionByName(own).join(at, "rep")
                  .join(blocks.withColumnRenamed("leader", "other"), "other")
                  .filter((F.col("block") != F.col("own_block")) &
                          (F.col("most") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("least") * num))
-                 .select("rep", "comp", "block"))
+                 .select("rep", "comp", "bytes", "block"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, n_shingles, component_id), one per row of ``docs``."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sets = write_shared(add_by_arrow(
-        base, ["text"], "n long, key binary, sample array<long>, bands array<long>", _describe)
+        base.withColumn("bytes", F.octet_length("text").cast("long")), ["text"], "n long, key binary, sample array<long>, bands array<long>", _describe)
         .drop("text"), "jaccard-sets")
     full = sets.filter("n > 0 and id is not null")
     reps = write_shared(full.groupBy("key").agg(
-        F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sample").alias("sample"),
+        F.min("id").alias("rep"), F.max("bytes").alias("bytes"), F.first("n").alias("n"), F.first("sample").alias("sample"),
         F.first("bands").alias("bands")), "jaccard-reps")
     of = full.select("id", "key").join(reps.select("key", "rep"), "key").select("id", "rep")
     # rows that share an id join their sets
@@ -238,7 +249,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     central = (tokens.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("c"), F.round(F.sum(F.log("df")), 6).alias("logs"))
                      .filter(F.col("c") >= _need(F.col("n"))))
     active = write_shared(reps.drop("n", "sample").join(central, "rep").select(
-        "rep", "n", "bands", (F.col("logs") / F.least(F.col("n"), F.lit(SAMPLE))).alias("central")), "jaccard-active")
+        "rep", "n", "bytes", "bands", (F.col("logs") / F.least(F.col("n"), F.lit(SAMPLE))).alias("central")), "jaccard-active")
     groups = write_shared(_groups(active), "jaccard-blocks")
     texts = write_shared(base.join(broadcast_if_fits(groups.select(F.col("rep").alias("id"))), "id")
                              .select(F.col("id").alias("rep"), "text").distinct(), "jaccard-texts")
@@ -257,7 +268,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = write_shared(placed.join(main, "leader").withColumn("apart", F.col("comp") != F.col("main")), "jaccard-placed")
     blocks = placed.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     met = write_shared(_met(tokens.select("token", "rep").join(placed.select("rep"), "rep"), placed, blocks), "jaccard-met")
-    lots = met.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / LOT).cast("int").alias("lots"))
+    lots = met.groupBy("block").agg(_parts(LOT, LOT_BYTES).cast("int").alias("lots"))
     queries = (met.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("rep"), F.col("lots")).cast("int"))
                   .select("block", "lot", "rep", "comp", F.lit(True).alias("query")))
     opened = (placed.select("block", "rep", "comp").join(lots, "block")

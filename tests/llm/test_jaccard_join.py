@@ -60,6 +60,25 @@ def test_matches_brute_force(spark, monkeypatch, common):
     assert got == brute(rows)
 
 
+def test_blocks_and_lots_are_cut_by_bytes(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(j, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(j, "LOT_BYTES", 20_000)
+    base = prose(5, 500).split()                            # about 3 kB each, far fewer than BLOCK texts
+    rows = [(c, edited(c, base, 0.002 * (c % 30))) for c in range(60)]
+    rows += [(100 + c, f"{rows[c][1]} " + f"{rows[c][1]} " * 8) for c in range(3)]     # few shingles, many bytes
+    groups = j._groups
+
+    def seen(active):
+        out = groups(active)
+        held.append(out.groupBy("leader", "block").sum("bytes").collect())
+        return out
+    monkeypatch.setattr(j, "_groups", seen)
+    got = sorted(map(tuple, j.jaccard_components(docs(spark, rows)).collect()), key=repr)
+    assert got == brute(rows)
+    assert len(held[0]) > 8 and max(r[2] for r in held[0]) < 3 * 27_000 < sum(r[2] for r in held[0])
+
+
 def test_unions_bound_and_open(spark):
     from matchbook.llm.shingles import shingle_set
     sets = [shingle_set(t.encode()) for t in (prose(1, 80), prose(1, 78) + " x y", prose(2, 60))]
