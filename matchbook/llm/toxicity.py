@@ -39,6 +39,7 @@ RATE = 0.1
 DECAY = 2e-5
 SEED = 11
 CACHE = 200_000                # words a task remembers the features of
+LOT = 1 << 20                  # features scored at once
 
 
 def _feature(term: bytes) -> int:
@@ -46,27 +47,38 @@ def _feature(term: bytes) -> int:
     return (zlib.crc32(term) * 2654435761 & 0xFFFFFFFF) >> (32 - BITS)
 
 
-def features(text: bytes | None, cache: dict) -> np.ndarray:
-    """Sorted distinct features of a text."""
+def _word_features(word: bytes) -> tuple:
+    letters = word.decode("utf-8", "ignore")
+    stems = [(letters[:n] + "*").encode() for n in PREFIXES if n < len(letters)]
+    return tuple(_feature(t) for t in (word, *stems))
+
+
+def _collect(text: bytes | None, cache: dict, of_word) -> np.ndarray:
+    """Sorted distinct values of ``of_word`` over the words of a text, which
+    ``cache`` remembers from text to text."""
     out: set = set()
     if len(cache) > CACHE:
         cache.clear()
     for word in set(words_of(text)):
         got = cache.get(word)
         if got is None:
-            letters = word.decode("utf-8", "ignore")
-            stems = [(letters[:n] + "*").encode() for n in PREFIXES if n < len(letters)]
-            got = tuple(_feature(t) for t in (word, *stems))
-            cache[word] = got
-        out.update(got)
+            got = cache[word] = of_word(word)
+        if got:
+            out.update(got)
     return np.array(sorted(out), dtype=np.int32)
 
 
+def features(text: bytes | None, cache: dict) -> np.ndarray:
+    """Sorted distinct features of a text."""
+    return _collect(text, cache, _word_features)
+
+
 class FactorizationMachine:
     """Logistic factorization machine over sparse 0/1 features."""
 
     def __init__(self, known: np.ndarray, rank: int = RANK, seed: int = SEED):
         self.known = known                                     # sorted feature numbers
+        self.row = {int(f): i for i, f in enumerate(known)}
         rng = np.random.default_rng(seed)
         self.bias = 0.0
         self.weights = np.zeros(len(known))
@@ -80,14 +92,41 @@ class FactorizationMachine:
         at[at == len(self.known)] = 0
         return at[self.known[at] == feats]
 
-    def margin(self, feats: np.ndarray) -> float:
-        at = self.places(feats)
+    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Margins of texts given by the rows of their known features, as one
+        sparse product (``LOT`` features at a time)."""
+        out, at = [], 0
+        while at < len(rows):
+            to, held = at, 0
+            while to < len(rows) and (to == at or held + len(rows[to]) <= LOT):
+                held += len(rows[to])
+                to += 1
+            out.append(self._margins(rows[at:to]))
+            at = to
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def _margins(self, rows: list[np.ndarray]) -> np.ndarray:
+        at = np.concatenate(rows).astype(np.int64)
+        text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
         f = self.factors[at]
-        s = f.sum(axis=0)
-        return float(self.bias + self.weights[at].sum() + 0.5 * (s @ s - (f * f).sum()))
+        pairs = np.zeros(len(rows))
+        for k in range(f.shape[1]):
+            s = np.bincount(text, f[:, k], len(rows))
+            pairs += s * s
+        return (self.bias + np.bincount(text, self.weights[at], len(rows)) +
+                0.5 * (pairs - np.bincount(text, (f * f).sum(axis=1), len(rows))))
+
+    def margin(self, feats: np.ndarray) -> float:
+        return float(self.margins([self.places(feats)])[0])
 
-    def score(self, feats: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(feats), -30, 30))))
+    def scores(self, texts: list, cache: dict) -> np.ndarray:
+        """Scores of texts; ``cache`` remembers the known rows of words."""
+        row = self.row
+
+        def known_rows(word: bytes) -> tuple:
+            return tuple(row[f] for f in _word_features(word) if f in row)
+        margins = self.margins([_collect(t, cache, known_rows) for t in texts])
+        return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
     def fit(self, rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> None:
         rng = np.random.default_rng(seed)
@@ -157,9 +196,13 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     if not share or share == 1:
         return float(share or 0.0)
     machine = FactorizationMachine(associated(sample))
-    known = F.array(*[F.lit(int(f)) for f in machine.known]).cast("array<int>")
-    rows = sorted(tuple(r) for r in sample.select(           # at most about max_rows short rows
-        "id", F.array_sort(F.array_intersect("features", known)), "label").collect())
+    shared = docs.sparkSession.sparkContext.broadcast(machine.known)       # at most 2 ** BITS numbers
+
+    def keep(cols):
+        known = shared.value
+        return [[np.intersect1d(f, known, assume_unique=True).astype(np.int32) for f in cols[0]]]
+    rows = sorted(tuple(r) for r in add_by_arrow(sample, ["features"], "chosen array<int>", keep).select(
+        "id", "chosen", "label").collect())                  # at most about max_rows short rows
     machine.fit([np.array(r[1], dtype=np.int32) for r in rows], np.array([r[2] for r in rows], dtype=np.float64))
     return machine
 
@@ -169,11 +212,10 @@ def score(docs: DataFrame, model, text_col: str = "text", score_col: str = "scor
     if isinstance(model, float):
         return docs.withColumn(score_col, F.lit(model))
     shared = docs.sparkSession.sparkContext.broadcast(model)       # at most 2 ** BITS rows of parameters
+    cache: dict = {}                                               # one in each task
 
     def work(cols):
-        cache: dict = {}
-        machine = shared.value
-        return [[machine.score(features(t, cache)) for t in cols[0]]]
+        return [shared.value.scores(cols[0], cache)]
     return add_by_arrow(docs, [text_col], f"{score_col} double", work)
 
 

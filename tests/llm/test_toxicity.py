@@ -55,6 +55,21 @@ def test_margin_equals_the_pairwise_sum():
     assert abs(m.margin(feats) - want) < 1e-9
 
 
+def test_texts_scored_together_score_as_alone(monkeypatch):
+    texts = [prose(i, 5 + 40 * (i % 4)).encode() for i in range(30)] + [None, b"", b"w1 w1 w1", prose(3, 125).encode()]
+    known = np.unique(np.concatenate([t.features(x, {}) for x in texts[:10]]))
+    rng = np.random.default_rng(4)
+    m = t.FactorizationMachine(known)
+    m.bias, m.weights, m.factors = -0.2, rng.normal(size=len(known)), rng.normal(size=(len(known), 4))
+    want = [1 / (1 + np.exp(-np.clip(m.margin(t.features(x, {})), -30, 30))) for x in texts]
+    for lot in (1, 50, 1 << 20):
+        monkeypatch.setattr(t, "LOT", lot)
+        assert list(m.scores(texts, {})) == want
+    monkeypatch.setattr(t, "CACHE", 3)
+    assert list(m.scores(texts, {})) == want
+    assert len(m.scores([], {})) == 0 and len(set(m.scores([texts[3], texts[3]], {}))) == 1
+
+
 def test_learns_an_interaction_that_weights_cannot():
     rng = np.random.default_rng(2)
     rows, y = [], []
