@@ -193,10 +193,14 @@ def _met(tokens: DataFrame, placed: DataFrame, blocks: DataFrame) -> DataFrame:
                                          (F.min("comp") == F.max("comp")).alias("pure"))
     kinds = write_shared(kinds, "jaccard-kinds")
     theirs = kinds.select(F.col("leader").alias("other"), F.col("size").alias("other_size"), "main", "pure")
-    mine = tokens.join(placed.select("rep", "leader", "comp"), "rep").join(kinds.select("leader", "size"), "leader")
+    mine = tokens.join(placed.select("rep", "leader", "comp"), "rep")
+    # most hashes stay within one group and go no further
+    several = (mine.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high"))
+                   .filter("low < high").select("token"))
+    mine = write_shared(mine.join(several, "token", "left_semi"), "jaccard-several")
     matrix = mine.select("token", "leader").distinct()
-    spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups")).filter("groups > 1")
-    mine = mine.join(spread, "token")
+    spread = matrix.groupBy("token").agg(F.count(F.lit(1)).alias("groups"))
+    mine = mine.join(kinds.select("leader", "size"), "leader").join(spread, "token")
     common = mine.filter(F.col("groups") > COMMON)
     many = common.groupBy("rep").agg(F.count(F.lit(1)).alias("common"))
     need = _need(F.col("n"))
@@ -267,7 +271,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     main = write_shared(main, "jaccard-main")
     placed = write_shared(placed.join(main, "leader").withColumn("apart", F.col("comp") != F.col("main")), "jaccard-placed")
     blocks = placed.groupBy("leader", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    met = write_shared(_met(tokens.select("token", "rep").join(placed.select("rep"), "rep"), placed, blocks), "jaccard-met")
+    met = write_shared(_met(tokens.select("token", "rep"), placed, blocks), "jaccard-met")
     lots = met.groupBy("block").agg(_parts(LOT, LOT_BYTES).cast("int").alias("lots"))
     queries = (met.join(lots, "block").withColumn("lot", F.pmod(F.xxhash64("rep"), F.col("lots")).cast("int"))
                   .select("block", "lot", "rep", "comp", F.lit(True).alias("query")))
