@@ -109,3 +109,22 @@ def test_keyword_filter_hot_term(spark):
                 if toks & set(inc.split()) and not toks & set(exc.split()):
                     want.add((u, d))
         assert got == want
+
+
+def test_keyword_pairs_are_made_once_in_cells_and_never_shuffled(spark):
+    from matchbook.operators.textfilter import pairs_of_hits
+    rnd = random.Random(8)
+    held = {d: {f"w{rnd.randrange(12)}" for _ in range(4)} | {"common"} for d in range(80)}
+    hits = [(d, t) for d, ts in held.items() for t in sorted(ts)] + [(3, "common"), (None, "w1"), (None, "w2")]
+    users = {u: ({f"w{rnd.randrange(12)}" for _ in range(3)} | {"common"}, {f"w{rnd.randrange(14)}"}) for u in range(30)}
+    terms = [(u, t, bad) for u, sides in users.items() for bad, ts in enumerate(sides) for t in sorted(ts)]
+    hdf = spark.createDataFrame(hits, "doc_id long, term string").repartition(4)
+    tdf = spark.createDataFrame([(u, t, bool(bad)) for u, t, bad in terms], "user_id long, term string, is_exclude boolean")
+    want = sorted([(u, d) for d, ts in held.items() for u, (inc, exc) in users.items() if ts & inc and not ts & exc]
+                  + [(u, -1) for u, (inc, _) in users.items() if inc & {"w1", "w2"}])
+    for cell in (1, 50, 4_000_000):
+        pairs = pairs_of_hits(hits=hdf, terms=tdf, doc_key="doc_id", cell_pairs=cell)
+        assert sorted((r.user_id, -1 if r.doc_id is None else r.doc_id) for r in pairs.collect()) == want
+        # from the join that makes the pairs to the result: no exchange, aggregate or further join
+        plan = pairs._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        assert plan[1].lstrip("+- ").startswith("Join Inner") and plan[0].startswith("Project")
