@@ -4,7 +4,7 @@ import os
 from pyspark.sql import functions as F
 
 from matchbook.functions.payload import drift_report, field, payload_paths, to_payload
-from matchbook.sources.page_source import PostingPages, parse_page, split_pages
+from matchbook.sources.page_source import PARTITION_BYTES, Page, PostingPages, bundled, parse_page, split_pages
 from matchbook.streaming.runner import run_to_table
 
 
@@ -88,3 +88,18 @@ def test_paths_and_drift(spark):
         ("$.e.f", "ARRAY", 0, 1, "new path"), ("$.e.f[]", "OBJECT", 0, 1, "new path"), ("$.e.f[].g", "BOOLEAN", 0, 1, "new path")}
     assert payload_paths(one.withColumn("k", F.lit(1)), "p", "k").columns == ["k", "path", "type", "n"]
     assert drift_report(before, before).count() == 0 and payload_paths(one.limit(0), "p").count() == 0
+
+
+def test_many_pages_share_tasks_and_a_broken_one_spoils_no_other(spark, tmp_dir):
+    spark.dataSource.register(PostingPages)
+    for p in range(1, 201):
+        land(tmp_dir, p, "{" if p % 50 == 0 else {"results": [posting(p * 10 + i) for i in range(2)]})
+    df = spark.read.format("posting_pages").option("path", tmp_dir).load()
+    assert 32 <= df.rdd.getNumPartitions() <= 100
+    good, broken = split_pages(df)
+    assert [(r.page, r.pos, r.title) for r in good.orderBy("page", "pos").collect()] == [
+        (p, i, f"t{p * 10 + i}") for p in range(1, 201) if p % 50 for i in range(2)]
+    assert sorted(r.page for r in broken.collect()) == [50, 100, 150, 200]
+    big = [Page(n, [("f", PARTITION_BYTES * (n % 10 == 0))]) for n in range(1, 301)]
+    assert [p.number for b in bundled(big) for p in b.pages] == list(range(1, 301))
+    assert all(len(b.pages) == 1 or sum(p.weight for p in b.pages) <= PARTITION_BYTES for b in bundled(big))
