@@ -241,3 +241,15 @@ def _doubling(base: DataFrame, groups, cooldown_seconds: int, max_rounds: int =
     return (flagged.join(blocker, "_e", "left")
                    .select(*groups, "_id", "_ts", "accepted",
                            F.when(~F.col("accepted"), wait).alias("wait_minutes")))
+
+
+def fold_few(us: list[int], last: int | None, cd_us: int):
+    """:func:`fold_after` of a short list of sorted times, as a loop."""
+    accepted, wait = [], []
+    for t in us:
+        ok = last is None or cd_us <= 0 or t >= last + cd_us
+        accepted.append(ok)
+        wait.append(0 if ok else (last + cd_us - t) // 60_000_000)
+        if ok:
+            last = t
+    return accepted, wait

@@ -2,6 +2,8 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
+
 from matchbook.operators.cooldown import cooldown_accept
 
 
@@ -136,3 +138,15 @@ def test_late_times_after_a_state_are_rejected():
     assert fold_after(np.array([5, 6]) * s, 1000 * s, 0)[0].all()
     with pytest.raises(ValueError):
         fold_sorted(np.array([True, False]), np.array([1000, 0]) * s, 10 * s)
+
+
+def test_few_rows_fold_as_many_do():
+    from matchbook.operators.cooldown import fold_after, fold_few
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 40):
+        for last in (None, 0, 500_000_000):
+            for cooldown in (0, 60_000_000, 300_000_000):
+                us = np.sort(rnd.integers(0, 1_500_000_000, n))
+                accepted, wait = fold_after(us, last, cooldown)
+                few = fold_few(us.tolist(), last, cooldown)
+                assert (accepted.tolist(), wait.tolist()) == few

@@ -1,6 +1,8 @@
 import datetime as dt
 import time
+from unittest.mock import Mock
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,25 @@ def test_replayed_epochs_change_nothing(spark, tmp_dir, monkeypatch):
     assert sorted(map(tuple, ks.read_store(spark, root).collect())) == stored
     handler(spark.createDataFrame([("a", 1, 7, "first"), ("a", 1, 8, "later")], POST).orderBy(F.desc("pos")), 6)
     assert ks.read_store(spark, root).where("job_hash = 'a'").first()["title"] == "first"
+
+
+def test_session_cooldown_folds_few_rows_in_a_loop_and_many_as_arrays(spark, tmp_dir, monkeypatch):
+    from matchbook.streaming import session_cooldown as sc
+    path = f"{tmp_dir}/req"
+    rows = [(i, 0 if i % 2 else i % 20, "s", at(i % 700 * 7)) for i in range(3 * sc.FEW_ROWS)]
+    land(spark, path, REQ, rows)
+    with timer_state(spark):
+        got = run_to_table(session_cooldown_stream(stream(spark, path, REQ), ["user_id", "session"], cooldown_seconds=300,
+                                                   delay="2 hours"), "t-session")
+    want = cooldown_accept(spark.createDataFrame(rows, REQ), ["user_id", "session"], "ts", "event_id", 300)
+    cols = ("user_id", "session", "event_id", "accepted", "wait_minutes")
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+    # few rows are never sorted, searched and merged as arrays
+    monkeypatch.setattr(sc, "fold_after", None)
+    processor = sc.LastAccepted(300_000_000, ["user_id"], "event_id")
+    processor.handle, processor.last = Mock(), Mock(get=lambda: (0,))
+    frame = pd.DataFrame({"user_id": [1, 1, 1], "event_id": [3, 2, 1], "request_us": [600_000_000, 300_000_000, 5]})
+    out = next(processor.handleInputRows((1,), iter([frame]), None))
+    assert out["event_id"].tolist() == [1, 2, 3] and out["accepted"].tolist() == [False, True, True]
+    assert out["wait_minutes"].isna().tolist() == [False, True, True] and out["wait_minutes"][0] == 4
+    processor.last.update.assert_called_once_with((600_000_000,))
